@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import decontaminate, substring_dedup
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -13,8 +13,13 @@ def op3_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), texts=False)
 
 
+def op10_decontaminate(spark, sf_dir):
+    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), texts=False)
+
+
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
