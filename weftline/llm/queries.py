@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, substring_dedup
+from . import decontaminate, quality_rules, substring_dedup
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -13,12 +13,17 @@ def op3_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), texts=False)
 
 
+def op9_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), texts=False)
 
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
 
