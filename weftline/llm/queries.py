@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, substring_dedup
+from . import decontaminate, hilbert_shards, quality_rules, substring_dedup, warc
 
 
 def _table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hilbert_shards(spark, sf_dir):
+    return hilbert_shards.shard(_table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), texts=False)
 
 
+def op4_warc_revisits(spark, sf_dir):
+    return warc.pages_through_warc(_table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -22,7 +30,9 @@ def op10_decontaminate(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_hilbert_shards": op1_hilbert_shards,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_warc_revisits": op4_warc_revisits,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
