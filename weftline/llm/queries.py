@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hilbert_shards, quality_rules, substring_dedup, warc
+from . import decontaminate, distinct_bpe, hilbert_shards, quality_rules, substring_dedup, warc
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -21,6 +21,17 @@ def op4_warc_revisits(spark, sf_dir):
     return warc.pages_through_warc(_table(spark, sf_dir, "pages"))
 
 
+def tokenizer_file() -> str:
+    """The byte-level BPE that the contract names; the file is not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_distinct_bpe(spark, sf_dir):
+    return distinct_bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_file(), texts=False)
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +44,7 @@ QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_warc_revisits": op4_warc_revisits,
+    "op6_distinct_bpe": op6_distinct_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
