@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, distinct_bpe, hilbert_shards, quality_rules, substring_dedup, warc
+from . import decontaminate, distinct_bpe, hilbert_shards, minhash_dedup, quality_rules, substring_dedup, warc
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -32,6 +32,10 @@ def op6_distinct_bpe(spark, sf_dir):
     return distinct_bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_file(), texts=False)
 
 
+def op8_minhash_dedup(spark, sf_dir):
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_warc_revisits": op4_warc_revisits,
     "op6_distinct_bpe": op6_distinct_bpe,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
