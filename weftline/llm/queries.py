@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, distinct_bpe, hilbert_shards, minhash_dedup, quality_rules, substring_dedup, warc
+from . import decontaminate, distinct_bpe, hilbert_shards, host_paths, minhash_dedup, perspectives, quality_rules, substring_dedup, warc
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -13,6 +13,10 @@ def op1_hilbert_shards(spark, sf_dir):
     return hilbert_shards.shard(_table(spark, sf_dir, "documents"))
 
 
+def op2_perspectives(spark, sf_dir):
+    return perspectives.rotate(_table(spark, sf_dir, "conversations"))
+
+
 def op3_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), texts=False)
 
@@ -32,6 +36,10 @@ def op6_distinct_bpe(spark, sf_dir):
     return distinct_bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_file(), texts=False)
 
 
+def op7_host_paths(spark, sf_dir):
+    return host_paths.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op8_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -46,12 +54,16 @@ def op10_decontaminate(spark, sf_dir):
 
 QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
+    "op2_perspectives": op2_perspectives,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_warc_revisits": op4_warc_revisits,
     "op6_distinct_bpe": op6_distinct_bpe,
+    "op7_host_paths": op7_host_paths,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_perspectives": perspectives.ROTATE_SQL,
+}
