@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, distinct_bpe, hilbert_shards, host_paths, minhash_dedup, perspectives, quality_rules, substring_dedup, warc
+from pyspark.sql import functions as F
+
+from . import decontaminate, distinct_bpe, hilbert_shards, host_paths, minhash_dedup, perspectives, quality_rules, substring_dedup, toxic_crf, warc
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -25,6 +27,13 @@ def op4_warc_revisits(spark, sf_dir):
     return warc.pages_through_warc(_table(spark, sf_dir, "pages"))
 
 
+def op5_toxic_crf(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxic_crf.fit(docs.select("doc_id", "text"), labels, usable=~toxic_crf.held_out(F.col("doc_id")))
+    scored = toxic_crf.score(docs, model, spans=False)
+    return scored.select("doc_id", toxic_crf.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def tokenizer_file() -> str:
     """The byte-level BPE that the contract names; the file is not part of this repository."""
     import public_tokenizers
@@ -57,6 +66,7 @@ QUERIES = {
     "op2_perspectives": op2_perspectives,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_warc_revisits": op4_warc_revisits,
+    "op5_toxic_crf": op5_toxic_crf,
     "op6_distinct_bpe": op6_distinct_bpe,
     "op7_host_paths": op7_host_paths,
     "op8_minhash_dedup": op8_minhash_dedup,
