@@ -174,8 +174,10 @@ def deal(key: np.ndarray, n: int):
         yield int(i), order[cuts[i] : cuts[i + 1]]
 
 
-def whole(column) -> list:
-    return column.to_pylist()
+def typed(df, names) -> str:
+    """The columns ``names`` of df as the end of a schema string."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return "".join(f", `{x}` {kinds[x]}" for x in names)
 
 
 # -------------------------------------------------------------- chunks

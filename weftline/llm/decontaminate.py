@@ -148,37 +148,40 @@ _RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 str
 _TEXTS = ", items array<string>, spans array<struct<start:long,end:long>>, clean_text string"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, texts: bool = True, block_bytes: int = 8 << 20, shard_words: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, texts: bool = True, block_bytes: int = 8 << 20, shard_words: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Find the words of every document that lie in an occurrence of a benchmark window.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. Returns doc_id,
     n_words, n_hit, n_items, items_sha256 (ids of the items with an occurring window, sorted as strings, joined by commas)
     and contaminated, one row per row of ``docs``; with ``texts`` also items, spans (byte offsets of the hit words, neighbours merged)
-    and clean_text (the text without them, unchanged if there are none). A null text has no words; a null item_id or item
+    and clean_text (the text without them, unchanged if there are none), then the columns ``carry`` of ``docs`` as they are. A null text has no words; a null item_id or item
     text is no item; rows that repeat give equal results; an empty benchmark hits nothing and an empty table gives an empty table.
     """
     query = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text")).where("id is not null and text is not null")
     total = query.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = _RESULT + (_TEXTS if texts else "")
+    named = [f"_{i}" for i in range(len(carry))]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(x).alias(n) for x, n in zip(carry, named, strict=True)))
+    state = _STATE + c.typed(rows, named)
+    schema = _RESULT + (_TEXTS if texts else "") + c.typed(docs, carry)
     for b in range(n):
         part = query if n == 1 else query.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b)
         block = docs.sparkSession.sparkContext.broadcast(_block([tuple(r) for r in part.collect()], window))
-        rows = rows.mapInArrow(_scan(block, b == 0, b == n - 1, texts, shard_words), schema if b == n - 1 else _STATE)
+        rows = rows.mapInArrow(_scan(block, b == 0, b == n - 1, texts, shard_words, carry), schema if b == n - 1 else state)
     return rows
 
 
-def _scan(block, opening: bool, closing: bool, texts: bool, shard_words: int):
+def _scan(block, opening: bool, closing: bool, texts: bool, shard_words: int, carry):
     def scan(batches):
         vocabulary, sets, shortest, names = block.value
         for batch in batches:
-            yield _scan_batch(batch, vocabulary, sets, shortest, names, opening, closing, texts, shard_words)
+            yield _scan_batch(batch, vocabulary, sets, shortest, names, opening, closing, texts, shard_words, carry)
 
     return scan
 
 
-def _scan_batch(batch, vocabulary, sets, shortest, names, opening, closing, texts, shard_words):
+def _scan_batch(batch, vocabulary, sets, shortest, names, opening, closing, texts, shard_words, carry):
+    others = batch.columns[2 if opening else 4 :]
     data, at = c.strings(batch.column(1))
     symbols, rows, places, held, first_word, seen = [], [], [], 0, [], 0
     hits: dict[int, list] = {}
@@ -243,7 +246,7 @@ def _scan_batch(batch, vocabulary, sets, shortest, names, opening, closing, text
         hit_words.append(place)
         named.append(sorted({*(old_items[r] or ()), *(names[x] for x in items.get(r, ()))}))
     if not closing:
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.pack_ascending(x) for x in hit_words], pa.binary()), pa.array(named, pa.list_(pa.string()))], ["doc_id", "text", "hits", "items"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.pack_ascending(x) for x in hit_words], pa.binary()), pa.array(named, pa.list_(pa.string())), *others], ["doc_id", "text", "hits", "items", *(f"_{i}" for i in range(len(carry)))])
     n_hit = [len(x) for x in hit_words]
     shas = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in named]
     out = {"doc_id": batch.column(0), "n_words": pa.array(counts, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array([len(x) for x in named], pa.int64()), "items_sha256": pa.array(shas, pa.string()), "contaminated": pa.array([x > 0 for x in n_hit], pa.bool_())}
@@ -260,4 +263,4 @@ def _scan_batch(batch, vocabulary, sets, shortest, names, opening, closing, text
                 spans[-1] = [{"start": x, "end": y} for x, y in cut]
                 clean[r] = b"".join(text[x:y] for x, y in zip([0, *(y for _, y in cut)], [*(x for x, _ in cut), len(text)], strict=True)).decode("utf-8", "replace")
         out |= {"items": pa.array(named, pa.list_(pa.string())), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "clean_text": pa.array(clean, pa.string())}
-    return pa.RecordBatch.from_arrays(list(out.values()), list(out))
+    return pa.RecordBatch.from_arrays([*out.values(), *others], [*out, *carry])

@@ -86,12 +86,13 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 _RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
-def quality_rules(docs: DataFrame, references: DataFrame | None = None, least_words: int = 50, most_char_distance: float = 0.3, most_word_distance: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality_rules(docs: DataFrame, references: DataFrame | None = None, least_words: int = 50, most_char_distance: float = 0.3, most_word_distance: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """Base counts and the divergence verdict of every row.
 
     ``kept`` is false if the base rules fail or if a text of at least ``least_words`` words is further than ``most_char_distance`` or
     ``most_word_distance`` from the reference of its language (the nearest of all where its language has none). Returns
-    doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance and word_distance.
+    doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance and word_distance, then
+    the columns ``carry`` of ``docs`` as they are.
     A null or empty text has no words, so it fails the base rules; null or unknown languages are compared with every
     reference; rows that repeat give equal results; an empty table gives an empty table.
     """
@@ -118,7 +119,7 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, least_wo
             far = np.concatenate([np.stack(x[1:], 1) for x in done]) if done else np.zeros((0, 2))
             failed = (base[:, 0] < 20) | (100 * base[:, 4] > 30 * base[:, 0])
             odd = (base[:, 0] >= least_words) & ((far[:, 0] > most_char_distance) | (far[:, 1] > most_word_distance))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(base[:, i]) for i in range(5)), pa.array(failed), pa.array(~failed & ~odd), pa.array(far[:, 0]), pa.array(far[:, 1])], [x.split()[0] for x in _RESULT.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(base[:, i]) for i in range(5)), pa.array(failed), pa.array(~failed & ~odd), pa.array(far[:, 0]), pa.array(far[:, 1]), *batch.columns[3:]], [*(x.split()[0] for x in _RESULT.split(", ")), *carry])
 
     def _measure(d, o, starts, ends, first, lang):
         n, size = np.diff(first), len(o) - 1
@@ -144,7 +145,7 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, least_wo
                 word_far[use], char_far[use] = np.where(better, w, word_far[use]), np.where(better, x, char_far[use])
         return base, np.where(np.isinf(char_far), 0.0, char_far), np.where(np.isinf(word_far), 0.0, word_far)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(judge, _RESULT)
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), *carry).mapInArrow(judge, _RESULT + c.typed(docs, carry))
 
 
 def _repeat_words(h: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:

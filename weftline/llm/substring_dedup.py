@@ -22,7 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from . import common as c
 
@@ -60,12 +60,12 @@ def _read_head(b: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.concatenate(([0], c.unpack_ascending(b[24 + size :])))
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each word that a window of ``window`` words covers whose words also begin in a document with a smaller id.
 
     Returns doc_id, n_words, n_removed, kept_sha256 (kept words joined by a space); with ``texts``
     also kept_text (the text without the removed stretches; unchanged if none is) and spans (byte offsets of what was
-    removed). Other columns of ``docs`` are left out: join them back by doc_id. A null text has no words and stays null. A null
+    removed), then the columns ``carry`` of ``docs`` as they are. A null text has no words and stays null. A null
     doc_id is smaller than none and none is smaller than it, so such a row is kept whole. Rows that repeat a doc_id don't remove
     each other's words. An empty table gives an empty table.
     """
@@ -74,7 +74,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, id_col
     tags = c.labels(spark, n)
     of_tag = {t: i for i, t in enumerate(tags)}
     block = (window + 1) // 2
-    whole = c.chunks(docs.selectExpr(f"{id_col} as doc_id", f"{text_col} as text"), tags)
+    named = [f"_{i}" for i in range(len(carry))]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(x).alias(n) for x, n in zip(carry, named, strict=True)))
+    whole = c.chunks(rows, tags, rows.columns)
+    schema = (_RESULT if texts else _RESULT.split(", kept_text")[0]) + c.typed(docs, carry)
+    empty = pa.schema([(f"_{i}", pa.null()) for i in range(len(carry))])
 
     def blocks(key, table):
         table = c.thaw(table.column("packed").to_pylist())
@@ -165,7 +169,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, id_col
 
     def finish(key, left, right):
         if left.num_rows == 0:
-            return _rows([], [], [], [], [], [])
+            return _rows([], [], [], [], [], [], texts, empty.empty_table(), carry)
         table = c.thaw(left.column("packed").to_pylist())
         ids = table.column(0).to_pylist()
         null = table.column(1).is_null().to_pylist()
@@ -192,17 +196,14 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, id_col
                 if texts:
                     kept_texts.append(None if null[lo + r] else kept.decode("utf-8", "replace"))
                     spans.append([{"start": x, "end": y} for x, y in cut])
-        if not texts:
-            kept_texts = spans = [None] * len(ids)
-        return _rows(ids, words, removed, shas, kept_texts, spans)
+        return _rows(ids, words, removed, shas, kept_texts, spans, texts, table, carry)
 
     packed = "bucket int, chunk int, a binary, b binary, head binary"
     found = "chunk int, places binary"
     hits = whole.groupBy("chunk").applyInArrow(blocks, packed).groupBy("bucket").applyInArrow(match, found)
     near = whole.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(extend, packed)
     gone = near.groupBy("bucket").applyInArrow(decide, found)
-    out = whole.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(finish, _RESULT)
-    return out if texts else out.drop("kept_text", "spans")
+    return whole.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(finish, schema)
 
 
 def _packed(rows, chunk: int, a, b, head: bytes) -> pa.Table:
@@ -221,6 +222,9 @@ def _found(owner, sizes, places, hit: np.ndarray) -> pa.Table:
     return pa.table({"chunk": pa.array(rows, pa.int32()), "places": pa.array(packed, pa.binary())})
 
 
-def _rows(ids, words, removed, shas, kept_texts, spans) -> pa.Table:
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string()), "kept_text": pa.array(kept_texts, pa.string()), "spans": pa.array(spans, span)})
+def _rows(ids, words, removed, shas, kept_texts, spans, texts: bool, table: pa.Table, carry) -> pa.Table:
+    out = {"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
+    if texts:
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        out |= {"kept_text": pa.array(kept_texts, pa.string()), "spans": pa.array(spans, span)}
+    return pa.Table.from_arrays([*out.values(), *(table.column(f"_{i}") for i in range(len(carry)))], [*out, *carry])
