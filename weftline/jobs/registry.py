@@ -1,23 +1,343 @@
-"""Every query of the library outside llm, with its SQL counterpart."""
+"""Every query of the library outside llm over the driver's tables, with its SQL counterpart."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from ..functions.versions import version, version_range
+from ..operators import lines as ln, links as lk, predicates as pr, rules as ru, series as se, sets as st
 
-def _table(spark, sf_dir, name):
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ------------------------------------------------------------ link graph
+
+_LINKS = """links AS (SELECT DISTINCT page_id AS src, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS name FROM pages),
+targets AS (SELECT page_id AS path, regexp_extract(html, '<title>([^ <]*)', 1) AS name FROM pages),
+firsts AS (SELECT lower(name) AS k, min(path) AS path FROM targets GROUP BY 1),
+resolved AS (SELECT src, name, path FROM links LEFT JOIN firsts ON lower(name) = k)"""
+
+
+def _resolved(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages")
+    names = F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)))
+    links = pages.select(F.col("page_id").alias("src"), F.explode(names).alias("name"))
+    return lk.resolve(links, pages.select(F.col("page_id").alias("path"), F.regexp_extract("html", "<title>([^ <]*)", 1).alias("name")))
+
+
+@_query("""SELECT page_id, count(DISTINCT t) AS n_links FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS t FROM pages) GROUP BY page_id""")
 def link_out_degree(spark, sf_dir):
     """Distinct link targets of each page."""
-    pages = _table(spark, sf_dir, "pages")
     targets = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
-    return pages.select("page_id", F.size(targets).cast("long").alias("n_links")).where("n_links > 0")
+    return _t(spark, sf_dir, "pages").select("page_id", F.size(targets).cast("long").alias("n_links")).where("n_links > 0")
+
+
+@_query(f"WITH {_LINKS} SELECT src, name, path FROM resolved")
+def forward_links(spark, sf_dir):
+    """Links of each page and the first page whose title begins with the link's name, without regard to case."""
+    return _resolved(spark, sf_dir)
+
+
+@_query(f"WITH {_LINKS} SELECT path AS dst, count(DISTINCT src) AS n_sources FROM resolved WHERE path IS NOT NULL AND path <> src GROUP BY 1")
+def backlink_counts(spark, sf_dir):
+    return lk.backlinks(_resolved(spark, sf_dir)).groupBy("dst").agg(F.count("*").alias("n_sources"))
+
+
+@_query("""SELECT page_id, replace(lower(html), 'href="/the"', 'href="/renamed"') <> lower(html) AS changed FROM pages""")
+def renamed_links(spark, sf_dir):
+    """Which pages a rename of one target would change."""
+    fresh = F.regexp_replace("html", '(?i)href="/the"', 'href="/renamed"')
+    return _t(spark, sf_dir, "pages").select("page_id", (fresh != F.col("html")).alias("changed"))
+
+
+# ------------------------------------------------------------ sets
+
+
+@_query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unlabelled_documents(spark, sf_dir):
+    return st.unseen(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang")
+
+
+@_query("SELECT user_id AS id FROM events UNION SELECT c_custkey FROM customer")
+def merged_ids(spark, sf_dir):
+    return st.merge_log(_t(spark, sf_dir, "events").select(F.col("user_id").alias("id")), _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id")
+
+
+@_query("SELECT count(*) FILTER (WHERE b IS NULL) AS only_a, count(*) FILTER (WHERE a IS NULL) AS only_b, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS common FROM (SELECT DISTINCT o_custkey AS a FROM orders) FULL JOIN (SELECT c_custkey AS b FROM customer) ON a = b")
+def ordering_customers(spark, sf_dir):
+    """How many customers are only in orders, only in customer, and in both."""
+    return st.sides(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k")
+
+
+@_query("""WITH o AS (SELECT l_linenumber AS line, l_orderkey, l_partkey, l_suppkey FROM lineitem),
+a AS (SELECT l_orderkey, line, min(l_partkey) AS old, max(l_suppkey) AS new FROM o GROUP BY 1, 2) SELECT l_orderkey, line, old, new FROM a WHERE old <> new""")
+def zipped_changes(spark, sf_dir):
+    """Two lists put side by side by place, and where they differ."""
+    li = _t(spark, sf_dir, "lineitem").withColumn("at", F.struct("l_orderkey", F.col("l_linenumber").alias("line")))
+    old, new = li.groupBy("at").agg(F.min("l_partkey").alias("x")), li.groupBy("at").agg(F.max("l_suppkey").alias("x"))
+    return st.zip_changes(old, new, "at", "x").select("at.l_orderkey", "at.line", "old", "new")
+
+
+# ------------------------------------------------------------ predicates
+
+
+@_query("""SELECT p_partkey, p_name LIKE '%ring%' AS literal, regexp_matches(p_name, 'r.d$') AS regex, regexp_matches(p_name, '^sm.ll .*$') AS glob,
+regexp_matches(p_name, 'b.*l.*t') AS letters, regexp_matches(p_name, '(?i)^red') AS smart, NOT regexp_matches(p_name, '(?i)GREEN') AS inverted FROM part""")
+def pattern_modes(spark, sf_dir):
+    n = F.col("p_name")
+    return _t(spark, sf_dir, "part").select(
+        "p_partkey", pr.pattern(n, "ring").alias("literal"), pr.pattern(n, "r.d$", "regex").alias("regex"), pr.pattern(n, "sm?ll *", "glob").alias("glob"),
+        pr.pattern(n, "blt", "letters").alias("letters"), pr.pattern(n, "^red", case="smart").alias("smart"), pr.pattern(n, "GREEN", case="ignore", invert=True).alias("inverted"),
+    )
+
+
+@_query("SELECT p_partkey, p_name FROM part WHERE (p_name LIKE '%bolt%' OR p_type = 'PROMO') AND NOT p_size < 10")
+def filter_stack(spark, sf_dir):
+    s = pr.FilterStack().push(F.col("p_size") < 10).combine("not").push(F.col("p_name").contains("bolt")).push(F.col("p_type") == "PROMO").combine("or")
+    return _t(spark, sf_dir, "part").where(s.column()).select("p_partkey", "p_name")
+
+
+@_query("""SELECT event_id, CASE WHEN event_type = 'error' AND value > 10 THEN 'alarm' WHEN event_type IN ('error', 'signup') THEN 'log' WHEN NOT event_type = 'view' AND value < 1 THEN 'drop' ELSE 'keep' END AS action FROM events""")
+def first_match_rules(spark, sf_dir):
+    kind, value = F.col("event_type"), F.col("value")
+    rules = [((kind == "error") & (value > 10), "alarm"), (kind.isin("error", "signup"), "log"), (~(kind == "view") & (value < 1), "drop")]
+    return pr.first_match(_t(spark, sf_dir, "events"), rules, "action", "keep").select("event_id", "action")
+
+
+@_query("""SELECT class, count(*) AS n_lines FROM (SELECT CASE WHEN regexp_matches(line, '^#+ ') THEN 'header' WHEN regexp_matches(line, '^[ \\t\\n\\x0B\\f\\r]*[-*+] ') THEN 'list' WHEN contains(line, '[[') THEN 'link'
+WHEN contains(line, '**') THEN 'bold' WHEN trim(line, ' ') = '' THEN 'blank' ELSE 'content' END AS class FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1""")
+def line_classes(spark, sf_dir):
+    rows = ln.lines(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.groupBy(pr.line_class(F.col("line")).alias("class")).agg(F.count("*").alias("n_lines"))
+
+
+# ------------------------------------------------------------ lines
+
+_DOC_LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)"
+
+
+@_query(f"WITH {_DOC_LINES} SELECT doc_id, line_no, line FROM l WHERE regexp_matches(line, 'Licen[sc]ed?')")
+def content_search(spark, sf_dir):
+    return ln.search(_t(spark, sf_dir, "documents"), "doc_id", "text", "Licen[sc]ed?")
+
+
+@_query(f"WITH {_DOC_LINES}, m AS (SELECT *, count(*) FILTER (WHERE line LIKE '%|%') OVER (PARTITION BY doc_id ORDER BY line_no) AS marks FROM l) SELECT doc_id, line_no FROM m WHERE marks % 2 = 1")
+def running_toggle(spark, sf_dir):
+    """Lines after an odd number of lines with a bar."""
+    rows = ln.lines(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    return ln.running_count(rows, "doc_id", F.col("line").contains("|"), "marks").where("marks % 2 = 1").select("doc_id", "line_no")
+
+
+@_query(f"WITH {_DOC_LINES}, b AS (SELECT doc_id, arg_min(line, line_no) AS line FROM l WHERE NOT starts_with(line, '---') AND trim(line, ' ') <> '' AND NOT starts_with(line, '#') GROUP BY 1) SELECT doc_id, strlen(line) > 60 AS was_cut, left(line, 15) AS head FROM b")
+def previews(spark, sf_dir):
+    """The first line with text, cut to 60 bytes: whether it was cut, and how it begins."""
+    rows = ln.lines(_t(spark, sf_dir, "documents"), "doc_id", "text").where("not line like '---%'")
+    out = ln.first_content(rows, "doc_id", 60)
+    return out.select("doc_id", F.col("preview").endswith("…").alias("was_cut"), F.substring("preview", 1, 15).alias("head"))
+
+
+@_query("SELECT doc_id, sum(n - 1)::BIGINT AS extra_lines FROM (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1, 2) GROUP BY 1 HAVING sum(n - 1) > 0")
+def repeated_lines(spark, sf_dir):
+    rows = F.split("text", "\n")
+    d = _t(spark, sf_dir, "documents").where(ru.has_repeats(rows))
+    return d.select("doc_id", (F.size(rows) - F.size(F.array_distinct(rows))).cast("long").alias("extra_lines"))
+
+
+@_query()
+def wrapped_turns(spark, sf_dir):
+    """Turns wrapped to 72 characters, and how many lines that takes."""
+    turns = _t(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    return ln.wrap(turns, "id", "text", 72).withColumn("n_lines", F.size(F.split("wrapped", "\n")).cast("long"))
+
+
+# ------------------------------------------------------------ scalars
+
+
+@_query("""SELECT p_partkey, trim(regexp_replace(lower(p_name || ' -- ' || p_brand), '[^-a-z0-9]+', '-', 'g'), '-') AS s0, regexp_replace(trim(regexp_replace(lower(p_name || ' -- ' || p_brand), '[^-a-z0-9]+', '-', 'g'), '-'), '-+', '-', 'g') AS slug,
+upper(left(p_type, 1)) || lower(substr(p_type, 2)) AS title, printf('%02d:%02d', p_size * 7 // 60, p_size * 7 % 60) AS clock, regexp_replace(lower(p_brand), '[^a-z0-9_]', '_', 'g') AS code FROM part""")
+def part_names(spark, sf_dir):
+    raw = F.concat_ws(" -- ", "p_name", "p_brand")
+    return _t(spark, sf_dir, "part").select("p_partkey", F.expr("trim(BOTH '-' FROM regexp_replace(lower(concat_ws(' -- ', p_name, p_brand)), '[^-a-z0-9]+', '-'))").alias("s0"), tx.slug(raw).alias("slug"), tx.capitalise(F.col("p_type")).alias("title"), tx.minutes_seconds(F.col("p_size") * 7).alias("clock"), tx.error_code(F.col("p_brand")).alias("code"))
+
+
+@_query("""SELECT page_id, string_split(string_split(string_split(url, '/')[-1], '=')[-1], '?')[1] AS file, coalesce(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), ''), '') AS page, coalesce(nullif(regexp_extract(url, '[?&]ref=([^&#]*)', 1), ''), '') AS ref FROM pages""")
+def url_parts(spark, sf_dir):
+    q = tx.query_map(F.col("url"))
+    get = lambda k: F.coalesce(F.try_element_at(q, F.lit(k)), F.lit(""))
+    return _t(spark, sf_dir, "pages").select("page_id", tx.url_file(F.col("url")).alias("file"), get("page").alias("page"), get("ref").alias("ref"))
+
+
+@_query("SELECT conv_id, turn, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS squeezed, sha256(text) AS sha FROM conversations")
+def squeezed_turns(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", tx.squeeze(F.col("text")).alias("squeezed"), F.sha2("text", 256).alias("sha"))
+
+
+@_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, strftime(ts, '%Y%m%d%H%M%S') AS stamp, CAST(ts AS DATE) + 1 AS next_day FROM events")
+def event_fields(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return _t(spark, sf_dir, "events").select("event_id", k.alias("k"), F.date_format("ts", "yyyyMMddHHmmss").alias("stamp"), F.date_add(F.to_date("ts"), 1).alias("next_day"))
+
+
+@_query("SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_type ORDER BY CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT), p_partkey) AS place FROM part")
+def natural_order(spark, sf_dir):
+    """Brands in natural order within their type."""
+    from pyspark.sql import Window
+
+    return _t(spark, sf_dir, "part").select("p_partkey", "p_brand", F.row_number().over(Window.partitionBy("p_type").orderBy(tx.natural_key(F.col("p_brand")), "p_partkey")).cast("long").alias("place"))
+
+
+# ------------------------------------------------------------ aggregates
+
+
+@_query("SELECT metric, value, count(*) AS n FROM (SELECT unnest(['flag', 'status', 'line']) AS metric, unnest([l_returnflag, l_linestatus, CAST(l_linenumber AS VARCHAR)]) AS value FROM lineitem) GROUP BY 1, 2")
+def metric_histogram(spark, sf_dir):
+    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(c).cast("string").alias("value")) for m, c in (("flag", "l_returnflag"), ("status", "l_linestatus"), ("line", "l_linenumber"))))
+    return _t(spark, sf_dir, "lineitem").select(F.explode(pairs).alias("x")).select("x.*").groupBy("metric", "value").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT lang, source, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY ROLLUP (lang, source)")
+def size_rollup(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").rollup("lang", "source").agg(F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@_query("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'error') AS errors, CASE WHEN count(*) FILTER (WHERE event_type = 'click') = count(*) FILTER (WHERE event_type = 'error') THEN '=' WHEN count(*) FILTER (WHERE event_type = 'click') > count(*) FILTER (WHERE event_type = 'error') THEN '>' ELSE '<' END AS status, CAST(round(100.0 * count(*) FILTER (WHERE event_type = 'click') / count(*)) AS BIGINT) AS percent FROM events GROUP BY 1")
+def user_status(spark, sf_dir):
+    counts = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count("*").alias("n"))
+    status = F.when(F.col("clicks") == F.col("errors"), "=").when(F.col("clicks") > F.col("errors"), ">").otherwise("<")
+    return counts.select("user_id", "clicks", "errors", status.alias("status"), F.round(100 * F.col("clicks") / F.col("n")).cast("long").alias("percent"))
+
+
+@_query("WITH c AS (SELECT l_suppkey, l_quantity, count(*) AS n FROM lineitem WHERE l_quantity > 10 AND l_quantity <= 40 GROUP BY 1, 2) SELECT l_suppkey, arg_min(l_quantity, (-n, l_quantity)) AS quantity, max(n) AS n FROM c GROUP BY 1")
+def usual_quantity(spark, sf_dir):
+    """The most frequent quantity of each supplier between two bounds, the smallest of several."""
+    c = _t(spark, sf_dir, "lineitem").where("l_quantity > 10 and l_quantity <= 40").groupBy("l_suppkey", "l_quantity").agg(F.count("*").alias("n"))
+    return c.groupBy("l_suppkey").agg(F.min_by("l_quantity", F.struct(-F.col("n"), "l_quantity")).alias("quantity"), F.max("n").alias("n"))
+
+
+@_query("SELECT conv_id, string_agg(role || ': ' || left(text, 20), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1")
+def transcripts(spark, sf_dir):
+    line = F.concat("role", F.lit(": "), F.substring("text", 1, 20))
+    parts = F.sort_array(F.collect_list(F.struct("turn", line.alias("s"))))
+    return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(parts.alias("p")).select("conv_id", F.array_join(F.col("p.s"), "\n").alias("transcript"))
+
+
+@_query("SELECT c_mktsegment, coalesce(max(CAST(nullif(regexp_extract(c_name, '([0-9]+)$', 1), '') AS BIGINT)) + 1, 0) AS next_number FROM customer GROUP BY 1")
+def next_numbers(spark, sf_dir):
+    return se.next_number(_t(spark, sf_dir, "customer"), "c_mktsegment", F.col("c_name"))
+
+
+# ------------------------------------------------------------ series
+
+
+@_query("SELECT user_id, day, lag(day) OVER (PARTITION BY user_id ORDER BY day) AS previous FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events)")
+def previous_active_day(spark, sf_dir):
+    return se.previous_entry(_t(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), "user_id", "day")
+
+
+@_query("SELECT o_custkey, max(o_orderdate) AS latest FROM orders WHERE o_orderdate < TIMESTAMP '1998-06-01' GROUP BY 1")
+def latest_order_before(spark, sf_dir):
+    import datetime
+
+    return se.latest_before(_t(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", datetime.datetime(1998, 6, 1))
+
+
+@_query("""SELECT conv_id, turn, coalesce((SELECT min(b.turn) FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn > a.turn AND (b.role = 'user') <> (a.role = 'user')),
+(SELECT min(b.turn) FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND (b.role = 'user') <> (a.role = 'user'))) AS next_opposite FROM conversations a""")
+def next_other_speaker(spark, sf_dir):
+    return se.next_opposite(_t(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", F.col("role") == "user").select("conv_id", "turn", "next_opposite")
+
+
+@_query("SELECT conv_id, turn, last_value(CASE WHEN role <> 'system' THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations")
+def previous_speaker(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return se.previous_where(c, "conv_id", "turn", F.when(F.col("role") != "system", F.col("role")), "before").select("conv_id", "turn", "before")
+
+
+@_query("SELECT p_partkey, p_name || p_brand || CASE n WHEN 1 THEN '' WHEN 2 THEN '_' ELSE '_' || (n - 3) END AS free_name FROM (SELECT *, row_number() OVER (PARTITION BY p_name || p_brand ORDER BY p_partkey) AS n FROM part)")
+def free_part_names(spark, sf_dir):
+    return se.free_names(_t(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", "p_brand").alias("name")), "name", "p_partkey").select("p_partkey", "free_name")
+
+
+@_query("SELECT p_partkey, ((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 - 3) % n + n) % n AS turn FROM (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n FROM part)")
+def rotated_parts(spark, sf_dir):
+    return se.rotated(_t(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey", 3).select("p_partkey", "turn")
+
+
+@_query("SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 50")
+def sampled_orders(spark, sf_dir):
+    return se.seeded_sample(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 50, 7)
+
+
+# ------------------------------------------------------------ rules
+
+
+@_query("""SELECT p_partkey, '5.3' AS missing_until FROM part WHERE lower(p_type) = 'promo' UNION ALL SELECT p_partkey, '7.10' FROM part WHERE lower(p_type) = 'economy'""")
+def new_feature_rules(spark, sf_dir):
+    """Types as names of features with versions that lack them; the target is 5.2."""
+    rules = spark.createDataFrame([("Promo", [("5.1", False), ("5.3", False), ("5.4", True)]), ("economy", [("7.10", False), ("7.9", True)]), ("SMALL", [("5.0", False), ("5.1", True)])], "name string, versions array<struct<ver string, flag boolean>>")
+    rules = rules.withColumn("versions", F.transform("versions", lambda v: F.struct(version(v["ver"]).alias("ver"), v["flag"].alias("flag"))))
+    tokens = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("name"))
+    found = ru.new_features(tokens, rules, version(F.lit("5.2")))
+    return found.select("p_partkey", F.array_join(F.col("missing_until").cast("array<string>"), ".").alias("missing_until"))
+
+
+@_query("""SELECT p_partkey, '5.3' AS deprecated, CASE WHEN lower(p_type) = 'promo' THEN '7.0' END AS removed FROM part WHERE lower(p_type) IN ('promo', 'large')""")
+def removed_feature_rules(spark, sf_dir):
+    rules = spark.createDataFrame([("promo", [("5.3", False), ("7.0", True)]), ("Large", [("5.3", False), ("7.10", True)]), ("small", [("8.0", False)])], "name string, versions array<struct<ver string, flag boolean>>")
+    rules = rules.withColumn("versions", F.transform("versions", lambda v: F.struct(version(v["ver"]).alias("ver"), v["flag"].alias("flag"))))
+    tokens = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("name"))
+    show = lambda c: F.array_join(F.col(c).cast("array<string>"), ".").alias(c)
+    return ru.removed_features(tokens, rules, version_range(F.lit("-7.9"))["high"]).select("p_partkey", show("deprecated"), show("removed"))
+
+
+@_query("""SELECT p_partkey, 'metal' AS "group" FROM part WHERE (p_name LIKE '%bolt' OR p_name LIKE 'small %') AND lower(p_name) NOT IN ('red bolt') UNION ALL SELECT p_partkey, 'round' FROM part WHERE p_name LIKE '%ring'""")
+def wildcard_rules(spark, sf_dir):
+    groups = {"metal": (["*bolt", "small *"], ["Red Bolt"]), "round": (["*ring"], [])}
+    return ru.wildcard_matches(_t(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", groups).select("p_partkey", "group")
+
+
+@_query("SELECT p_partkey, CASE WHEN p_name LIKE 're%' THEN 'Re' WHEN p_name LIKE 'r%' THEN 'r' WHEN p_name LIKE 'small%' THEN 'SMALL' END AS prefix FROM part")
+def prefix_rules(spark, sf_dir):
+    return ru.first_prefix(_t(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", ["Re", "r", "SMALL"]).select("p_partkey", "prefix")
+
+
+@_query("SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'Economy' WHEN 'SMALL' THEN 'small' END AS canonical FROM part WHERE p_type IN ('ECONOMY', 'SMALL')")
+def wrong_case_types(spark, sf_dir):
+    return ru.wrong_case(_t(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", ["Economy", "small", "Small", "LARGE"]).select("p_partkey", "canonical")
+
+
+@_query("SELECT event_id, coalesce(min(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id) < event_id, false) AS before, min(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id) IS NOT NULL AS anywhere FROM events")
+def signed_up(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    check = F.col("event_type") == "signup"
+    return e.select("event_id", ru.verified(e, "user_id", "event_id", check).alias("before"), ru.verified(e, "user_id", "event_id", check, "after").alias("anywhere"))
+
 
+@_query("SELECT event_id FROM (SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN 1 WHEN event_type = 'signup' THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS off FROM events) WHERE coalesce(off, 0) = 0")
+def outside_errors(spark, sf_dir):
+    """Events that no error of the same user suppresses until the next signup."""
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return ru.unsuppressed(e, "user_id", "event_id", F.col("event_type") == "error", F.col("event_type") == "signup").select("event_id")
 
-QUERIES = {"link_out_degree": link_out_degree}
 
-ORACLE_SQL = {
-    "link_out_degree": """SELECT page_id, count(DISTINCT t) AS n_links FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS t FROM pages) GROUP BY page_id"""
-}
+@_query("SELECT page_id, unnest(list_distinct(regexp_extract_all(url, '[?&]([^=&#]*)=', 1))) AS key FROM pages WHERE regexp_matches(url, '[?&](utm_source|ref)=')")
+def restricted_keys(spark, sf_dir):
+    """All parameters of urls that have one of a list of keys."""
+    keys = F.map_keys(tx.query_map(F.col("url")))
+    return _t(spark, sf_dir, "pages").where(F.arrays_overlap(keys, F.array(F.lit("utm_source"), F.lit("ref")))).select("page_id", F.explode(keys).alias("key"))
