@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, distinct_bpe, hilbert_shards, host_paths, minhash_dedup, perspectives, quality_rules, substring_dedup, toxic_crf, warc
+from . import decontaminate, distinct_bpe, hilbert_shards, host_paths, minhash_dedup, oracles, perspectives, quality_rules, substring_dedup, toxic_crf, warc
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -54,7 +54,7 @@ def op8_minhash_dedup(spark, sf_dir):
 
 
 def op9_quality_rules(spark, sf_dir):
-    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 def op10_decontaminate(spark, sf_dir):
@@ -76,4 +76,9 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_perspectives": perspectives.ROTATE_SQL,
+    "op3_substring_dedup": oracles.OP3,
+    "op4_warc_revisits": oracles.OP4,
+    "op8_minhash_dedup": oracles.OP8,
+    "op9_quality_rules": oracles.OP9,
+    "op10_decontaminate": oracles.OP10,
 }
