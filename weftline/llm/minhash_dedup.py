@@ -7,9 +7,12 @@
    tokens that another has is skipped as a whole. What thousands share comes last and is hardly ever posted.
 3. In each list every class is paired with the list's first class only. Pairs that agree in t coordinates are confirmed on the full
    sets; components of the confirmed links follow.
-4. Only lists that still hold more than one component can miss a link. Their classes are compared across components, in blocks of
-   bounded size, by signature; what agrees is confirmed on the full sets too. Each possible link is in some list, so none is lost,
-   and a group of copies or near copies never makes all its pairs.
+4. Only lists that still hold more than one component can miss a link. In these each class is first paired with the few of other
+   components that agree most, which joins nearly all that belongs together. Then classes that are still in different components are
+   compared once, in the list of their first common token, in blocks of bounded size, by signature and by the smallest ``low`` numbers of
+   their sets. Where those are the whole sets the answer is exact and one link per component is enough; else what may be a link is
+   confirmed on the full sets. Each possible link is in some list, so none is lost, and a group of copies or near copies never
+   makes all its pairs.
 """
 
 from __future__ import annotations
@@ -72,7 +75,7 @@ def signatures(docs: DataFrame, k: int = 5, m: int = 64) -> DataFrame:
 
 
 def _shared_tokens(classes: DataFrame, m: int) -> DataFrame:
-    """(node, tokens): how often each token of a class occurs among all classes and the token, of those that two or more have."""
+    """(node, tokens): of each token of a class that two or more have, how often it occurs among all classes, the token and its coordinate."""
     n = c.partitions(classes.sparkSession)
     tags = c.labels(classes.sparkSession, n)
     salt = c.constants(m, 8)
@@ -94,20 +97,21 @@ def _shared_tokens(classes: DataFrame, m: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([base] * len(rows), pa.int64()), pa.array(marks, pa.binary()), pa.array(places, pa.binary())], ["bucket", "base", "marks", "places"])
 
     def count(key, table):
-        marks, node = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        marks, node, coord = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for base, a, b in zip(*(table.column(x).to_pylist() for x in ("base", "marks", "places")), strict=True):
             marks.append(np.frombuffer(a, np.uint32))
-            node.append(c.unpack_ascending(b) // m + base)
-        marks, node = np.concatenate(marks), np.concatenate(node)
+            who = c.unpack_ascending(b)
+            node.append(who // m + base), coord.append(who % m)
+        marks, node, coord = np.concatenate(marks), np.concatenate(node), np.concatenate(coord)
         _, which, times = np.unique(marks, return_inverse=True, return_counts=True)
         times = times[which]
         some = times > 1
         token = (np.int64(key[0].as_py()) << np.int64(32)) | marks[some].astype(np.int64)
-        return pa.table({"node": pa.array(node[some]), "times": pa.array(times[some], pa.int64()), "token": pa.array(token)})
+        return pa.table({"node": pa.array(node[some]), "times": pa.array(times[some], pa.int64()), "token": pa.array(token), "coord": pa.array(coord[some], pa.int32())})
 
     posted = classes.select("node", "sig").mapInArrow(post, "bucket int, base long, marks binary, places binary")
-    counted = posted.groupBy("bucket").applyInArrow(count, "node long, times long, token long")
-    return counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("tokens"))  # m tokens at most
+    counted = posted.groupBy("bucket").applyInArrow(count, "node long, times long, token long, coord int")
+    return counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "token", "coord"))).alias("tokens"))  # m tokens at most
 
 
 def _agree(a: list, b: list) -> np.ndarray:
@@ -134,19 +138,20 @@ def _likely(pairs: DataFrame, marks: DataFrame, t: int, percent: int) -> DataFra
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
+def _unpack(b: bytes) -> np.ndarray:
+    x = np.zeros((len(b) // 5, 8), np.uint8)
+    x[:, 3:] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+    return x.view(">u8").ravel()
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that are links on their full sets."""
 
-    def unpack(b):
-        x = np.zeros((len(b) // 5, 8), np.uint8)
-        x[:, 3:] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-        return x.view(">u8").ravel()
-
     def check(batches):
         for x in batches:
             ok = []
             for a, b in zip(x.column("sa").to_pylist(), x.column("sb").to_pylist(), strict=True):
-                u, v = unpack(a), unpack(b)
+                u, v = _unpack(a), _unpack(b)
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 ok.append(100 * both >= percent * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([x.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], ["a", "b"])
@@ -155,28 +160,72 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def _compare(lists: DataFrame, t: int, percent: int, block: int) -> DataFrame:
-    """Pairs of different components in rows (token, size, node, comp, n_shingles, short) of the same token that may be links."""
+def _may_link(u: np.ndarray, v: np.ndarray, low: int, percent: int) -> tuple[bool, bool]:
+    """(may these be a link, is that sure), from the smallest ``low`` numbers of two sets, all of them if there are fewer."""
+    cut = min([x[-1] for x in (u, v) if len(x) == low], default=None)
+    if cut is not None:
+        u, v = u[: np.searchsorted(u, cut, "right")], v[: np.searchsorted(v, cut, "right")]
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    union = len(u) + len(v) - both
+    if cut is None:
+        return 100 * both >= percent * union, True
+    share = percent / 100  # five and a half deviations below, so that one link in many millions would be missed
+    return both >= union * (share - 5.5 * (share * (1 - share) / union) ** 0.5), False
+
+
+def _lists(posted: DataFrame, found: DataFrame, marks: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (token, coord, size, node, comp, *columns of marks) of the lists with more than one component."""
+    member = posted.join(found, "node", "left").select("token", "coord", "node", F.coalesce("label", "node").alias("comp"))
+    mixed = member.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x < y").select("token", "size")
+    return member.join(mixed, "token").join(marks.select("node", *columns), "node")
+
+
+def _compare(lists: DataFrame, t: int, percent: int, block: int, nearest: int, low: int) -> DataFrame:
+    """Pairs of different components in the same list: with ``nearest`` the few that agree most with each class, else all that may be links."""
+    columns = [x for x in lists.columns if x not in ("token", "size")]
     blocks = F.ceil(F.col("size") / block).cast("int")
     rows = lists.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp", "n_shingles", "short")
+    rows = rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", *columns)
 
     def pairs(key, table):
-        lo, hi = key[1].as_py(), key[2].as_py()
+        within = key[1].as_py() == key[2].as_py()
         node, comp, n, own = (table.column(x).to_numpy() for x in ("node", "comp", "n_shingles", "own"))
-        sig = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(len(node), -1)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(node), -1)
+        turn = np.frombuffer(b"".join(table.column("turn").to_pylist()), np.uint8).reshape(len(node), -1)
+        here = table.column("coord")[0].as_py()
+        sets = None if nearest else [_unpack(x) for x in table.column("low").to_pylist()]
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(len(node)):
-            j = np.flatnonzero((comp != comp[i]) & (node > node[i]) & _compatible(n, n[i], percent) & ((own != own[i]) if lo != hi else True))
-            j = j[(sig[j] == sig[i]).sum(1) >= t]
-            a.append(np.full(len(j), node[i])), b.append(node[j])
+            j = np.flatnonzero((comp != comp[i]) & _compatible(n, n[i], percent) & (within | (own != own[i])) & ((node != node[i]) if nearest else (node > node[i])))
+            if not len(j):
+                continue
+            same = sig[j] == sig[i]
+            agree = same.sum(1)
+            # a pair is met only in the list of its first common token
+            before = np.flatnonzero(turn[i] < turn[i, here])
+            good = np.flatnonzero((agree >= t) & ~(same[:, before] & (turn[np.ix_(j, before)] < 255)).any(1))
+            j = j[good[np.argsort(-agree[good], kind="stable")]]
+            if nearest:
+                j = j[:nearest]
+            else:
+                done: set[int] = set()
+                keep = []
+                for x in j.tolist():
+                    if comp[x] not in done:
+                        likely, sure = _may_link(sets[i], sets[x], low, percent)
+                        if likely:
+                            keep.append(x)
+                            if sure:
+                                done.add(comp[x])
+                j = np.array(keep, np.int64)
+            a.append(np.minimum(node[i], node[j])), b.append(np.maximum(node[i], node[j]))
         return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
     return rows.groupBy("token", "lo", "hi").applyInArrow(pairs, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64, t: int = 28, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64, t: int = 28, block: int = 1024, nearest: int = 1, low: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents whose sets of k-word shingles (A-Z folded) share at least ``percent`` of their union, through any chain of such links.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id of the group) and kept (it is its own component_id), one row per row of
@@ -189,28 +238,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64,
     classes = signed.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"))
     classes = c.saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     tokens = _shared_tokens(classes, m).where(F.size("tokens") >= t)
-    posted = c.saved(tokens.select("node", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - t + 1)).alias("x")).select("node", F.col("x.token").alias("token")), "postings")
-    posting_nodes = posted.select("node").distinct()
+    prefix = c.saved(tokens.select("node", F.slice("tokens", F.lit(1), F.size("tokens") - t + 1).alias("x")).select("node", F.col("x.token").alias("token"), F.col("x.coord").alias("coord")), "prefixes")
+    posted = prefix.select("node", F.explode(F.arrays_zip("token", "coord")).alias("x")).select("node", "x.token", "x.coord")
 
-    def shorten(batches):
+    def order(batches):
         for b in batches:
-            short = [np.frombuffer(x, np.uint32).astype(np.uint8).tobytes() for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(short, pa.binary())], ["node", "n_shingles", "short"])
+            turns, short = [], []
+            for x, sig in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True):
+                turn = np.full(m, 255, np.uint8)
+                turn[x] = np.arange(len(x))
+                turns.append(turn.tobytes())
+                short.append(np.frombuffer(sig, np.uint32).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(turns, pa.binary()), pa.array(short, pa.binary())], ["node", "n_shingles", "sig", "turn", "short"])
 
-    marks = c.saved(classes.join(posting_nodes, "node", "left_semi").select("node", "n_shingles", "sig").mapInArrow(shorten, "node long, n_shingles long, short binary"), "marks")
-    sets = c.saved(_full_sets(rows, classes.join(posting_nodes, "node", "left_semi"), k), "sets")
+    marks = c.saved(classes.join(prefix, "node").select("node", "n_shingles", "sig", "coord").mapInArrow(order, "node long, n_shingles long, sig binary, turn binary, short binary"), "marks")
+    sets = c.saved(_full_sets(rows, classes.join(prefix, "node", "left_semi"), k), "sets")
 
     heads = posted.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("size"))
     stars = posted.join(heads, "token").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     links = c.saved(_confirm(_likely(stars, marks, t, percent), sets, percent), "links")
     found = components(links)
 
-    member = posted.join(found, "node", "left").select("token", "node", F.coalesce("label", "node").alias("comp"))
-    mixed = member.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x < y").select("token", "size")
-    rest = _compare(member.join(mixed, "token").join(marks, "node"), t, percent, block)
-    more = c.saved(_confirm(rest, sets, percent), "links")
+    near = _compare(_lists(posted, found, marks, ["n_shingles", "sig", "turn"]), t, percent, block, nearest, low)
+    more = c.saved(_confirm(near, sets, percent), "links")
     if more.limit(1).count():
-        found = components(links.union(more))
+        links = links.union(more)
+        found = components(links)
+    lowest = marks.join(sets.select("node", F.substring("shingles", 1, 5 * low).alias("low")), "node")
+    rest = _compare(_lists(posted, found, lowest, ["n_shingles", "sig", "turn", "low"]), t, percent, block, 0, low)
+    last = c.saved(_confirm(rest, sets, percent), "links")
+    if last.limit(1).count():
+        found = components(links.union(last))
 
     groups = classes.join(found, "node", "left").select("h1", "h2", "n_shingles", "first_id", F.coalesce("label", "node").alias("label"))
     least = groups.groupBy("label").agg(F.min("first_id").alias("component"))
