@@ -123,3 +123,18 @@ def test_stream(spark, tmp_path):
         stream = spark.readStream.text(str(tmp_path / "in")).withColumnRenamed("value", "url")
         run_once(first_seen(stream, "url"), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_more_rules(spark):
+    from weftline.operators import sets as st
+
+    calls = spark.createDataFrame([(1, "F", ["a", "b"]), (2, "f", ["x"]), (3, "g", ["a"])], "i int, name string, args array<string>")
+    rules = spark.createDataFrame([("f", 1, "a"), ("F", 2, None)], "name string, position int, value string")
+    assert sorted((r.i, r.position) for r in ru.argument_rules(calls, rules).collect()) == [(1, 1), (1, 2)]
+    d = spark.createDataFrame([(1, i, k) for i, k in enumerate(["x", "on", "x", "off", "x", "on", "on", "x"])], "k int, i int, kind string")
+    spans = ru.inside_spans(d, "k", "i", F.col("kind") == "on", F.col("kind") == "off")
+    assert [r.opened_at for r in spans.orderBy("i").collect()] == [None, None, 1, None, None, None, 5, 6]
+    assert one(spark, ru.balanced(F.col("s"), "%[ds]", F.array(F.lit(1))), s="a %s 100%%s") and not one(spark, ru.same_multiset(F.split("s", ""), F.array(F.lit("b"), F.lit("a"))), s="bb")
+    none = d.limit(0).select("i")
+    assert st.selected(d, none, "i").count() == 8 and st.selected(d, d.where("i < 3"), "i").count() == 3
+    assert st.tagged(d, d.select("i", F.col("kind").alias("tag")), "i", "tag", ["on"]).count() == 3

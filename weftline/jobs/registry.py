@@ -341,3 +341,38 @@ def restricted_keys(spark, sf_dir):
     """All parameters of urls that have one of a list of keys."""
     keys = F.map_keys(tx.query_map(F.col("url")))
     return _t(spark, sf_dir, "pages").where(F.arrays_overlap(keys, F.array(F.lit("utm_source"), F.lit("ref")))).select("page_id", F.explode(keys).alias("key"))
+
+
+@_query("SELECT event_id, CASE WHEN opened AND event_type <> 'purchase' THEN since END AS opened_at FROM (SELECT *, last_value(CASE event_type WHEN 'purchase' THEN false WHEN 'signup' THEN true END IGNORE NULLS) OVER w AS opened, last_value(CASE WHEN event_type IN ('purchase', 'signup') THEN event_id END IGNORE NULLS) OVER w AS since FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
+def inside_signups(spark, sf_dir):
+    """The signup whose span, up to the next purchase, each event lies in."""
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return ru.inside_spans(e, "user_id", "event_id", F.col("event_type") == "signup", F.col("event_type") == "purchase").select("event_id", "opened_at")
+
+
+@_query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 45) GROUP BY 1")
+def selected_lines(spark, sf_dir):
+    """Lines of the parts that are picked."""
+    picked = _t(spark, sf_dir, "part").where("p_size > 45").select(F.col("p_partkey").alias("l_partkey"))
+    return st.selected(_t(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey"), picked, "l_partkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id) WHERE quality = 0")
+def tagged_documents(spark, sf_dir):
+    return st.tagged(_t(spark, sf_dir, "documents").select("doc_id", "lang"), _t(spark, sf_dir, "labels"), "doc_id", "quality", [0])
+
+
+@_query("SELECT p_partkey, position, value FROM (SELECT p_partkey, string_split(p_name, ' ') AS args, unnest([1, 2, 3]) AS position, unnest(['small', NULL, NULL]) AS value FROM part WHERE lower(p_type) = 'promo') WHERE len(args) >= position AND (value IS NULL OR args[position] = value)")
+def argument_rule_hits(spark, sf_dir):
+    """Words of a part's name as arguments of its type."""
+    calls = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("name"), F.split("p_name", " ").alias("args"))
+    rules = spark.createDataFrame([("Promo", 1, "small"), ("promo", 2, None), ("promo", 3, None)], "name string, position int, value string")
+    return ru.argument_rules(calls, rules).select("p_partkey", "position", "value")
+
+
+@_query("SELECT p_partkey, list_sort(string_split(p_name, ' ')) = list_sort(string_split(lower(p_type) || ' ' || string_split(p_name, ' ')[2], ' ')) AS same, len(regexp_extract_all(p_brand, '[0-9]')) = len(string_split(p_name, ' ')) AS balanced FROM part")
+def part_words(spark, sf_dir):
+    """Does the type stand for the first word of a name; has the brand as many digits as the name has words."""
+    words = F.split("p_name", " ")
+    other = F.array(F.lower("p_type"), F.try_element_at(words, F.lit(2)))
+    return _t(spark, sf_dir, "part").select("p_partkey", ru.same_multiset(words, other).alias("same"), ru.balanced(F.col("p_brand"), "[0-9]", words).alias("balanced"))

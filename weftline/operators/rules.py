@@ -65,3 +65,29 @@ def unsuppressed(df: DataFrame, key: str, order: str, off: Column, on: Column) -
 
 def has_repeats(a: Column) -> Column:
     return F.size(a) != F.size(F.array_distinct(a))
+
+
+def argument_rules(calls: DataFrame, rules: DataFrame) -> DataFrame:
+    """Calls (name, args) that a rule (name, position from 1, value) forbids: the argument there is the value, or is given at all if the value is null."""
+    joined = calls.join(bounded(rules.withColumn("_key", F.lower("name")).drop("name")), F.lower(calls["name"]) == F.col("_key")).drop("_key")
+    given = F.size("args") >= F.col("position")
+    return joined.where(given & (F.col("value").isNull() | (F.try_element_at("args", F.col("position")) == F.col("value"))))
+
+
+def inside_spans(rows: DataFrame, key: str, order: str, opens: Column, closes: Column, name: str = "opened_at") -> DataFrame:
+    """The place of the row that opened the span a row lies in, null outside; a span goes from an opening row to the next closing one.
+
+    The last opening or closing row so far decides, so no row is paired with the spans of its group.
+    """
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(closes, F.struct(F.lit(False).alias("open"), F.col(order).alias("at"))).when(opens, F.struct(F.lit(True).alias("open"), F.col(order).alias("at"))), True).over(w)
+    return rows.withColumn(name, F.when(last["open"] & ~closes, last["at"]))
+
+
+def balanced(text: Column, regex: str, args: Column) -> Column:
+    """Are there as many placeholders in the text as arguments; a doubled sign is none."""
+    return F.regexp_count(F.regexp_replace(text, "%%", ""), F.lit(regex)) == F.size(args)
+
+
+def same_multiset(a: Column, b: Column) -> Column:
+    return F.array_sort(a) == F.array_sort(b)

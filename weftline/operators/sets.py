@@ -24,3 +24,15 @@ def sides(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def zip_changes(old: DataFrame, new: DataFrame, order: str, name: str) -> DataFrame:
     """(order, old, new) where the rows of the same place differ; what the shorter list lacks is left out."""
     return old.select(order, F.col(name).alias("old")).join(new.select(order, F.col(name).alias("new")), order).where("old <> new")
+
+
+def selected(df: DataFrame, picked: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is picked; if nothing is picked, all rows."""
+    return df.join(picked.select(key), key, "left_semi") if picked.limit(1).count() else df
+
+
+def tagged(df: DataFrame, tags: DataFrame, key: str, tag: str, wanted: list | None = None) -> DataFrame:
+    """Rows with their tag, of the wanted tags only; no list is any tag."""
+    some = tags.select(key, tag).where(F.col(tag).isin(wanted)) if wanted else tags.select(key, tag)
+    return df.join(some, key)
+
