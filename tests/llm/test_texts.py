@@ -265,7 +265,7 @@ def test_toxic_crf(spark):
             b[i] = np.exp(step) @ (b[i + 1] * [1, e[i + 1]])
         assert np.allclose(((a * b)[:, 1] / (a * b).sum(1))[places], tc.marginals(np.array([n]), np.zeros(k, int), places, w, -1.0, step))
     rows = [(i, " ".join(rng.choice(["the", "and", "tree", "house", "of", "in", "green"], 40))) for i in range(400)]
-    rows = [(i, t + (f" blorg{i % 7} end" if i % 8 == 0 else "")) for i, t in rows]
+    rows = [(i, t + (f" blorg{i % 7} tree" if i % 8 == 0 else "")) for i, t in rows]
     labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i, _ in rows] + [(None, 1), (5, None)], "doc_id long, toxic int")
     docs = spark.createDataFrame([*rows, (9000, None), (9001, ""), (9002, "blorg99 unseen ending"), (None, "tree")], "doc_id long, text string")
     model = tc.fit(docs, labels, ~tc.held_out(F.col("doc_id")))
