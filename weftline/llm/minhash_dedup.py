@@ -160,17 +160,23 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def _may_link(u: np.ndarray, v: np.ndarray, low: int, percent: int) -> tuple[bool, bool]:
-    """(may these be a link, is that sure), from the smallest ``low`` numbers of two sets, all of them if there are fewer."""
-    cut = min([x[-1] for x in (u, v) if len(x) == low], default=None)
-    if cut is not None:
-        u, v = u[: np.searchsorted(u, cut, "right")], v[: np.searchsorted(v, cut, "right")]
-    both = len(np.intersect1d(u, v, assume_unique=True))
-    union = len(u) + len(v) - both
-    if cut is None:
-        return 100 * both >= percent * union, True
+def _may_link(u: np.ndarray, flat: np.ndarray, at: np.ndarray, low: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(may it be a link, is that sure) of one set with each of several (ascending, one after the other, from ``at`` on).
+
+    Sets are given by their smallest ``low`` numbers, all of them if there are fewer.
+    """
+    size = np.diff(at)
+    top = np.iinfo(np.int64).max
+    cut = np.where(size == low, flat[at[1:] - 1].astype(np.int64), top)
+    if len(u) == low:
+        cut = np.minimum(cut, np.int64(u[-1]))
+    below = flat.astype(np.int64) <= np.repeat(cut, size)
+    spot = np.minimum(np.searchsorted(u, flat), len(u) - 1)
+    both = np.add.reduceat((below & (u[spot] == flat)).astype(np.int64), at[:-1])
+    union = np.add.reduceat(below.astype(np.int64), at[:-1]) + np.searchsorted(u.astype(np.int64), cut, "right") - both
+    sure = cut == top
     share = percent / 100  # five and a half deviations below, so that one link in many millions would be missed
-    return both >= union * (share - 5.5 * (share * (1 - share) / union) ** 0.5), False
+    return np.where(sure, 100 * both >= percent * union, both >= union * (share - 5.5 * np.sqrt(share * (1 - share) / np.maximum(union, 1)))), sure
 
 
 def _lists(posted: DataFrame, found: DataFrame, marks: DataFrame, columns: list[str]) -> DataFrame:
@@ -191,13 +197,19 @@ def _compare(lists: DataFrame, t: int, percent: int, block: int, nearest: int, l
     def pairs(key, table):
         within = key[1].as_py() == key[2].as_py()
         node, comp, n, own = (table.column(x).to_numpy() for x in ("node", "comp", "n_shingles", "own"))
+        _, code = np.unique(comp, return_inverse=True)
+        large = code == np.argmax(np.bincount(code))  # pairs of this component need no look
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(node), -1)
+        short = sig.astype(np.uint8)
         turn = np.frombuffer(b"".join(table.column("turn").to_pylist()), np.uint8).reshape(len(node), -1)
         here = table.column("coord")[0].as_py()
         sets = None if nearest else [_unpack(x) for x in table.column("low").to_pylist()]
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in range(len(node)):
-            j = np.flatnonzero((comp != comp[i]) & _compatible(n, n[i], percent) & (within | (own != own[i])) & ((node != node[i]) if nearest else (node > node[i])))
+        for i in np.flatnonzero(~large):
+            j = np.flatnonzero((code != code[i]) & _compatible(n, n[i], percent) & (within | (own != own[i])) & (True if nearest else large | (node > node[i])))
+            # eight bits of each coordinate rule out most; eight comparisons are added at once
+            same = (short[j] == short[i]).view(np.uint64).sum(1, dtype=np.uint64)
+            j = j[(same * np.uint64(0x0101010101010101)) >> np.uint64(56) >= t]
             if not len(j):
                 continue
             same = sig[j] == sig[i]
@@ -208,17 +220,10 @@ def _compare(lists: DataFrame, t: int, percent: int, block: int, nearest: int, l
             j = j[good[np.argsort(-agree[good], kind="stable")]]
             if nearest:
                 j = j[:nearest]
-            else:
-                done: set[int] = set()
-                keep = []
-                for x in j.tolist():
-                    if comp[x] not in done:
-                        likely, sure = _may_link(sets[i], sets[x], low, percent)
-                        if likely:
-                            keep.append(x)
-                            if sure:
-                                done.add(comp[x])
-                j = np.array(keep, np.int64)
+            elif len(j):
+                likely, sure = _may_link(sets[i], np.concatenate([sets[x] for x in j]), np.concatenate(([0], np.cumsum([len(sets[x]) for x in j]))), low, percent)
+                first = np.unique(code[j[likely & sure]], return_index=True)[1]  # one sure link to a component is enough
+                j = np.concatenate((j[likely & ~sure], j[likely & sure][first]))
             a.append(np.minimum(node[i], node[j])), b.append(np.maximum(node[i], node[j]))
         return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
@@ -229,7 +234,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64,
     """Groups of documents whose sets of k-word shingles (A-Z folded) share at least ``percent`` of their union, through any chain of such links.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id of the group) and kept (it is its own component_id), one row per row of
-    ``docs``. A text of fewer than k words, but not none, is one shingle; null, empty and blank texts have no set and are linked
+    ``docs``. ``m`` is a multiple of 8 below 256. A text of fewer than k words, but not none, is one shingle; null, empty and blank texts have no set and are linked
     with nothing. A row without a doc_id takes part, but is never a component_id unless the group has no other (then null). Rows that
     repeat a doc_id get the same answer if they have the same text. An empty table gives an empty table.
     """
