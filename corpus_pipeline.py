@@ -29,9 +29,19 @@ def quality(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each near-duplicate group stays, that with the smallest doc_id; rows that repeat it go too."""
-    kept = minhash_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each near-duplicate group stays, that with the smallest doc_id, or any one if none has a doc_id; rows that repeat it go too.
+
+    A document is known by its doc_id and text, as ids may be null or repeated. Texts without words are in no group and stay.
+    """
+    groups = minhash_dedup.grouped(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha")
+    first = groups.where("component is not null").groupBy("component").agg(F.min(order).alias("x")).select("x.doc_id", "x.text_sha", F.lit(False).alias("alone"))
+    alone = groups.where("component is null").select("doc_id", "text_sha", F.lit(True).alias("alone")).distinct()
+    kept = first.union(alone).toDF("_id", "_sha", "_alone")
+    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & minhash_dedup.text_sha(F.col("text")).eqNullSafe(F.col("_sha")))
+    # equal texts without words and without a doc_id repeat nothing
+    rows = rows.withColumn("_own", F.when(F.col("_alone") & F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["doc_id", "text", "_own"]).select(*docs.columns)
 
 
 def repeats(spark, docs, sf_dir):

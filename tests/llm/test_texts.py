@@ -244,6 +244,41 @@ def test_pipeline(spark, sf):
     assert not after
 
 
+def test_near_dedup_stage_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(900)) for _ in range(60)) for _ in range(9)]
+    near = [t + " more" for t in texts]
+    # (id, text), and of each group the row that stays
+    groups = [
+        ([(None, texts[0])], None), ([(None, texts[1]), (None, near[1]), (None, texts[1])], None), ([(None, texts[2]), (4, near[2])], (4, near[2])),
+        ([(5, texts[3]), (5, texts[3]), (6, near[3])], (5, texts[3])), ([(5, texts[4])], (5, texts[4])), ([(5, texts[5]), (3, near[5])], (3, near[5])), ([(7, texts[6]), (7, near[6])], None), ([(8, texts[7].upper()), (8, texts[7])], None),
+    ]
+    blank = [(None, ""), (None, ""), (None, None), (9, " "), (9, " ")]
+    rows = [x for g, _ in groups for x in g] + blank
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in cp.near_dedup(spark, docs, None).collect())
+    for g, want in groups:
+        stay = {x: got.pop(x) for x in set(g) & set(got)}
+        assert sum(stay.values()) == 1 and (want is None or want in stay), g
+    assert got == {(None, ""): 2, (None, None): 1, (9, " "): 1}
+
+
+def test_full_sets_have_one_text_per_class(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.llm import minhash_dedup as md
+
+    texts = [f"w{i} " * 3 + " ".join(f"x{j}" for j in range(i, i + 20)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for t in texts for i in (None, None, 1, 1)], "doc_id long, text string").withColumn("text_sha", md.text_sha(F.col("text")))
+    classes = docs.groupBy("text_sha").agg(F.first("text")).withColumn("node", F.monotonically_increasing_id())
+    sets = md._full_sets(docs, classes, 5)
+    assert sets.count() == 40 == sets.select("node").distinct().count()
+    joins = [x.split("numOutputRows")[0] for x in sets._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joins and all("text_sha" in x and "doc_id" not in x for x in joins)
+
+
 def test_toxic_crf(spark):
     import numpy as np
     from pyspark.sql import functions as F

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common as c
 from .components import components
@@ -50,7 +50,8 @@ def _set_marks(u: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int = 5, m: int = 64) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, sig) of rows (doc_id, text); sig has m 32-bit values, none for an empty set."""
+    """(doc_id, n_shingles, h1, h2, sig) of rows (doc_id, text), then their further columns; sig has m 32-bit values, none for an empty set."""
+    carry = docs.columns[2:]
     odd, other = c.constants(m, 6), c.constants(m, 7)
 
     def sign(batches):
@@ -69,9 +70,9 @@ def signatures(docs: DataFrame, k: int = 5, m: int = 64) -> DataFrame:
                 size.append(n), h1.append(x), h2.append(y)
                 sigs += [s.tobytes() if z else b"" for s, z in zip(sig, n, strict=True)]
             cat = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), cat(size), cat(h1), cat(h2), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), cat(size), cat(h1), cat(h2), pa.array(sigs, pa.binary()), *b.columns[2:]], ["doc_id", "n_shingles", "h1", "h2", "sig", *carry])
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    return docs.mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, sig binary" + c.typed(docs, carry))
 
 
 def _shared_tokens(classes: DataFrame, m: int) -> DataFrame:
@@ -238,9 +239,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64,
     with nothing. A row without a doc_id takes part, but is never a component_id unless the group has no other (then null). Rows that
     repeat a doc_id get the same answer if they have the same text. An empty table gives an empty table.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    out = grouped(docs, k, percent, m, t, block, nearest, low, id_col, text_col)
+    return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def grouped(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64, t: int = 28, block: int = 1024, nearest: int = 1, low: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_sha, n_shingles, component_id, component): the groups of ``near_duplicates``, one row per row of ``docs``.
+
+    ``component`` tells groups apart that have no doc_id, or the same one; it is null for a text without a set. ``text_sha`` is the text's digest (``text_sha``).
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_sha(F.col(text_col)).alias("text_sha"))
     signed = c.saved(signatures(rows, k, m), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"))
+    classes = signed.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.min("text_sha").alias("text_sha"), F.first("sig").alias("sig"))
     classes = c.saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     tokens = _shared_tokens(classes, m).where(F.size("tokens") >= t)
     prefix = c.saved(tokens.select("node", F.slice("tokens", F.lit(1), F.size("tokens") - t + 1).alias("x")).select("node", F.col("x.token").alias("token"), F.col("x.coord").alias("coord")), "prefixes")
@@ -276,30 +286,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64,
         found = components(links.union(last))
 
     groups = classes.join(found, "node", "left").select("h1", "h2", "n_shingles", "first_id", F.coalesce("label", "node").alias("label"))
-    least = groups.groupBy("label").agg(F.min("first_id").alias("component"))
-    named = groups.join(least, "label").select("h1", "h2", "n_shingles", "component")
-    out = signed.select("doc_id", "h1", "h2", "n_shingles").join(named, ["h1", "h2", "n_shingles"], "left")
+    least = groups.groupBy("label").agg(F.min("first_id").alias("least_id"))
+    named = groups.join(least, "label").select("h1", "h2", "n_shingles", "least_id", F.col("label").alias("component"))
+    out = signed.select("doc_id", "text_sha", "h1", "h2", "n_shingles").join(named, ["h1", "h2", "n_shingles"], "left")
     alone = F.col("n_shingles") == 0
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out.select("doc_id", "text_sha", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"), "component")
+
+
+def text_sha(text: Column) -> Column:
+    return F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
 
 
 def _full_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, shingles): the set of each wanted class as ascending 40-bit numbers, from the text of its first document."""
-    # a class without any doc_id is found by its rows without one
-    joined = rows.join(wanted.select("node", "first_id", F.col("h1").alias("w1"), F.col("h2").alias("w2")), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "w1", "w2", "text")
+    """(node, shingles): the set of each wanted class as ascending 40-bit numbers, from one of its texts, however often that occurs."""
+    texts = rows.where("text_sha is not null").groupBy("text_sha").agg(F.first("text").alias("text"))
+    joined = texts.join(wanted.select("node", "text_sha"), "text_sha").select("node", "text")
 
     def make(batches):
         for b in batches:
-            data, at = c.strings(b.column(3))
-            w1, w2 = b.column(1).to_numpy(), b.column(2).to_numpy()
-            nodes, packed = [], []
+            data, at = c.strings(b.column(1))
+            packed = []
             for lo, hi in c.parts(at):
                 u, begin = shingle_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], k)
-                x, y = _set_marks(u, begin)
                 raw = u.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                for r in np.flatnonzero((x == w1[lo:hi]) & (y == w2[lo:hi])):  # another row with the same doc_id has another set
-                    nodes.append(b.column(0)[lo + int(r)].as_py())
-                    packed.append(raw[begin[r] : begin[r + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["node", "shingles"])
+                packed += [raw[begin[r] : begin[r + 1]].tobytes() for r in range(hi - lo)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["node", "shingles"])
 
     return joined.mapInArrow(make, "node long, shingles binary")
