@@ -138,3 +138,29 @@ def test_more_rules(spark):
     none = d.limit(0).select("i")
     assert st.selected(d, none, "i").count() == 8 and st.selected(d, d.where("i < 3"), "i").count() == 3
     assert st.tagged(d, d.select("i", F.col("kind").alias("tag")), "i", "tag", ["on"]).count() == 3
+
+
+def test_joined_blocks(spark):
+    rows = [("a", i, "r", "long text " * 5 + str(i)) for i in range(150)] + [("a", 3, "r", "again"), ("a", None, "r", "last"), (None, 1, "s", "x"), (None, 0, "s", "y"), ("b", -5, "r", "")]
+    d = spark.createDataFrame(rows, "k string, i long, role string, text string")
+    got = ln.joined_blocks(d, "k", "i", ["role", "text"], F.concat("role", F.lit(": "), "text"), "t", 64, 10).orderBy("k", "block").collect()
+    for k in ("a", "b", None):
+        want = [f"{r}: {t}" for x, i, r, t in sorted(rows, key=lambda x: (x[1] is None, x[1] or 0, x[2], x[3])) if x == k]
+        own = [r for r in got if r.k == k]
+        assert "\n".join(r.t for r in own) == "\n".join(want) and [r.block for r in own] == list(range(len(own))) and all(r.n_lines == 64 for r in own[:-1])
+
+
+def test_whole_previews(spark, sf, tmp_path):
+    from weftline.jobs import registry
+
+    rows = [(1, "# head\n\n" + "é漢" * 20), (2, "---x\n" + "a" * 60), (3, "a" * 61 + "\nb"), (4, "short"), (5, "\n  \n#"), (6, "b" * 59 + "é")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows_of = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    for folder, known in ((str(tmp_path), rows), (sf, [tuple(r) for r in rows_of])):
+        want = {}
+        for i, text in known:
+            line = next((x for x in text.split("\n") if not x.startswith(("---", "#")) and x.strip(" ")), None)
+            if line is not None:
+                raw = line.encode()
+                want[i] = line if len(raw) <= 60 else raw[:60].decode("utf-8", "ignore") + "…"
+        assert {r.doc_id: r.preview for r in registry.QUERIES["whole_previews"](spark, folder).collect()} == want

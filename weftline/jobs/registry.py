@@ -152,6 +152,13 @@ def previews(spark, sf_dir):
     return out.select("doc_id", F.col("preview").endswith("…").alias("was_cut"), F.substring("preview", 1, 15).alias("head"))
 
 
+@_query()
+def whole_previews(spark, sf_dir):
+    """The first line with text, cut to 60 bytes, as it is; ``previews`` has its first 15 characters only, as DuckDB cannot cut by bytes."""
+    rows = ln.lines(_t(spark, sf_dir, "documents"), "doc_id", "text").where("not line like '---%'")
+    return ln.first_content(rows, "doc_id", 60)
+
+
 @_query("SELECT doc_id, sum(n - 1)::BIGINT AS extra_lines FROM (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1, 2) GROUP BY 1 HAVING sum(n - 1) > 0")
 def repeated_lines(spark, sf_dir):
     rows = F.split("text", "\n")
@@ -232,11 +239,21 @@ def usual_quantity(spark, sf_dir):
 
 @_query("SELECT conv_id, string_agg(role || ': ' || left(text, 20), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1")
 def transcripts(spark, sf_dir):
+    """Outlines of conversations: the first 20 characters of each turn; ``whole_transcripts`` has the whole texts."""
     line = F.concat("role", F.lit(": "), F.substring("text", 1, 20))
     parts = F.sort_array(F.collect_list(F.struct("turn", line.alias("s"))))
     return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(parts.alias("p")).select("conv_id", F.array_join(F.col("p.s"), "\n").alias("transcript"))
 
 
+@_query("""WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, turn FROM conversations),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) - 1 AS place FROM t)
+SELECT conv_id, place // 64 AS block, count(*) AS n_lines, string_agg(role || ': ' || text, chr(10) ORDER BY place) AS transcript FROM p GROUP BY 1, 2""")
+def whole_transcripts(spark, sf_dir):
+    """The whole turns of each conversation, in blocks of 64 by position."""
+    turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return ln.joined_blocks(turns, "conv_id", "turn", ["role", "text"], F.concat("role", F.lit(": "), "text"), "transcript")
+
+
 @_query("SELECT c_mktsegment, coalesce(max(CAST(nullif(regexp_extract(c_name, '([0-9]+)$', 1), '') AS BIGINT)) + 1, 0) AS next_number FROM customer GROUP BY 1")
 def next_numbers(spark, sf_dir):
     return se.next_number(_t(spark, sf_dir, "customer"), "c_mktsegment", F.col("c_name"))

@@ -63,3 +63,20 @@ def wrap(df: DataFrame, key: str, text: str, width: int = 80) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], [key, "wrapped"])
 
     return df.select(key, text).mapInArrow(fold, f"{key} {dict(df.dtypes)[key]}, wrapped string")
+
+
+def joined_blocks(df: DataFrame, key: str, order: str, ties: list[str], line: Column, name: str, block: int = 64, stretch: int = 1024) -> DataFrame:
+    """(key, block, n_lines, name): the lines of each key in order (null last, then ``ties``), joined by line feeds in blocks of ``block`` rows by position.
+
+    Blocks joined in order by a line feed are the whole, so no row or task holds a key of any length. Positions are counted within stretches
+    of ``stretch`` values of the whole number ``order`` and added up over the stretches; only rows that share one value have to be sorted together.
+    """
+    at = F.coalesce(F.floor(F.col(order) / stretch).cast("long"), F.lit((1 << 63) - 1))
+    rows = df.select(F.col(key).alias("_key"), at.alias("_stretch"), F.col(order).alias("_order"), *(F.col(x).alias(f"_tie{i}") for i, x in enumerate(ties)), line.alias("_line"))
+    w = Window.partitionBy("_key", "_stretch").orderBy(F.asc_nulls_last("_order"), *(f"_tie{i}" for i in range(len(ties))))
+    placed = rows.withColumn("_at", F.row_number().over(w) - 1)
+    counts = rows.groupBy(F.col("_key").alias("_key2"), F.col("_stretch").alias("_stretch2")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_key2").orderBy("_stretch2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    whole = placed.join(before, F.col("_key").eqNullSafe(F.col("_key2")) & (F.col("_stretch") == F.col("_stretch2"))).withColumn("_at", F.col("_at") + F.col("_before"))
+    parts = whole.groupBy(F.col("_key").alias(key), F.floor(F.col("_at") / block).cast("long").alias("block")).agg(F.sort_array(F.collect_list(F.struct("_at", "_line"))).alias("_p"))  # block at most
+    return parts.select(key, "block", F.size("_p").cast("long").alias("n_lines"), F.array_join(F.col("_p._line"), "\n").alias(name))
