@@ -75,6 +75,26 @@ def test_warc(spark, sf):
     assert warc.pages_through_warc(p.limit(0)).count() == 0
 
 
+def test_archives_are_bounded_by_bytes(spark):
+    import gzip
+
+    from weftline.llm import common, warc
+
+    most = 20_000
+    rows = [(i, f"http://h/{i}", chr(97 + i % 26) * (50_000 if i % 40 == 7 else 100 + 97 * (i % 50)) + str(i)) for i in range(300)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    path = common.place(spark, "warc-bytes")
+    warc.archive_pages(p, path, archive_bytes=most)
+    found = [len(gzip.decompress(r.content)) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()]
+    counts = [sum(1 for _ in warc._records(r.content)) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()]
+    assert len(found) > 20 and sum(counts) == 300 and all(size <= most or n == 1 for size, n in zip(found, counts, strict=True))
+    assert sum(size > most for size in found) == sum(len(t) > most for _, _, t in rows)
+    whole = warc.follow_revisits(warc.read_warc(spark, path))
+    assert {(r.page_id, r.url, r.payload) for r in whole.collect()} == set(rows)
+    sizes = {r.page_id: r.payload_bytes for r in warc.pages_through_warc(p, archive_bytes=most).collect()}
+    assert sizes == {i: len(t) for i, _, t in rows}
+
+
 def test_host_paths(spark, sf):
     from weftline.llm import host_paths as hp
 

@@ -3,14 +3,16 @@
 Headers (id, digest, length) are shuffled by payload digest; of equal payloads of at least ``least_bytes`` the one with the
 largest id stays a response, and the others are joined to it and become revisits, with fresh headers that refer to it.
 Archives are written and read by Spark alone, so any of its file systems will do: a record ends with two line ends, which are
-the separator of the text writer, and an archive is read as a binary file and cut by Content-Length. ``archive_bytes`` bounds an archive
-by what one reading task may hold; a longer record has an archive of its own.
+the separator of the text writer, and an archive is read as a binary file, inflated as a stream and cut by Content-Length. ``archive_bytes``
+bounds the uncompressed bytes of an archive by what one reading task may hold; a longer record has an archive of its own.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
-import zlib
+import io
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -37,8 +39,26 @@ def _urn(page_id):
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
-def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_archive: int = 4000) -> None:
-    """Write resolved records as gzip archives, each of at most ``records_per_archive`` records."""
+def _archives(most: int):
+    """A function of record sizes: the archive of each record, counted within a task, by the running sum of bytes."""
+
+    def number(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        archive, held = 0, 0
+        for sizes in batches:
+            out = []
+            for n in sizes.to_pylist():
+                if held and held + n > most:
+                    archive, held = archive + 1, 0
+                held += n
+                out.append(archive)
+            yield pa.array(out, pa.int64())
+
+    # the sizes alone go to Python; a record's place in its task decides, so it is asked for once
+    return F.arrow_udf(number, "long").asNondeterministic()
+
+
+def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_archive: int = 4000, archive_bytes: int = 1 << 26) -> None:
+    """Write resolved records as gzip archives, each of at most ``records_per_archive`` records and ``archive_bytes`` bytes before compression, or of one longer record."""
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(_END * 2))
     revisit = F.col("record_type") == "revisit"
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
@@ -51,21 +71,27 @@ def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z"
         F.when(revisit, F.concat(line("WARC-Profile", F.lit(_PROFILE)), line("WARC-Refers-To", _urn(F.col("refers_to"))), line("WARC-Refers-To-Target-URI", one_line(F.col("refers_url"))), line("X-Refers-To-Page-ID", F.col("refers_to").cast("string")))).otherwise(""),
         line("Content-Length", F.octet_length(block).cast("string")), F.lit(_END),
     )
-    records.select(F.concat(head, block).alias("value")).write.option("lineSep", _END * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_archive).text(path)
+    rows = records.select(F.concat(head, block).alias("value")).withColumn("archive", _archives(archive_bytes)((F.octet_length("value") + 4).cast("long")))
+    rows.write.partitionBy("archive").option("lineSep", _END * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_archive).text(path)
 
 
 _READ = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload string"
 
 
 def _records(raw: bytes):
-    """(headers, block) of each record of an archive."""
-    raw, at = zlib.decompressobj(47).decompress(raw), 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        head = dict(x.split(": ", 1) for x in raw[at:end].decode().split(_END)[1:])
-        at = end + 4 + int(head["Content-Length"])
-        yield head, raw[end + 4 : at]
-        at += 4
+    """(headers, block) of each record of an archive, inflated one by one."""
+    with gzip.GzipFile(fileobj=io.BytesIO(raw)) as f:
+        while f.readline():  # the version
+            head = {}
+            while (line := f.readline()) not in (b"\r\n", b""):
+                name, value = line.decode()[:-2].split(": ", 1)
+                head[name] = value
+            size = int(head["Content-Length"])
+            block = f.read(size)
+            if len(block) != size:
+                raise ValueError(f"an archive ends within a record: {head}")
+            yield head, block
+            f.read(4)
 
 
 def read_warc(spark, path: str, payloads: bool = True) -> DataFrame:
@@ -74,15 +100,16 @@ def read_warc(spark, path: str, payloads: bool = True) -> DataFrame:
     def parse(batches):
         for batch in batches:
             for raw in batch.column(0):
-                rows = []
+                rows, held = [], 0
                 for head, block in _records(raw.as_py()):
                     kind = head["WARC-Type"]
                     body = block.split(b"\r\n\r\n", 1)[1]
                     own = kind == "response"
                     rows.append((int(head["X-Page-ID"]) if "X-Page-ID" in head else None, head["WARC-Target-URI"], kind, hashlib.sha1(body).hexdigest() if own else head["WARC-Payload-Digest"][5:], len(body) if own else None, int(head["X-Refers-To-Page-ID"]) if "X-Refers-To-Page-ID" in head else None, body.decode("utf-8", "replace") if own and payloads else None))
-                    if len(rows) == 1000:
+                    held += len(body) if payloads else 0
+                    if len(rows) == 1000 or held > c.STEP * 8:
                         yield _batch(rows)
-                        rows = []
+                        rows, held = [], 0
                 yield _batch(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
@@ -104,11 +131,11 @@ def follow_revisits(records: DataFrame) -> DataFrame:
     return records.where("record_type = 'response'").unionByName(back)
 
 
-def archive_pages(pages: DataFrame, path: str, least_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def archive_pages(pages: DataFrame, path: str, least_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = 1 << 26) -> None:
     """Write pages (null html: an empty payload; null url: an empty target; null ids refer to nothing but may revisit) as archives without repeated payloads."""
     payload = F.coalesce(F.col(html_col), F.lit(""))
     records = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(F.encode(payload, "UTF-8")).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
-    write_warc(resolve_revisits(records, least_bytes), path)
+    write_warc(resolve_revisits(records, least_bytes), path, archive_bytes=archive_bytes)
 
 
 def pages_through_warc(pages: DataFrame, **options) -> DataFrame:
