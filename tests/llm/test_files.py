@@ -116,6 +116,36 @@ def test_blocks():
     assert hp.extract(hp.read_blocks(page), []) == "T & U\n\nOne <b> two three link more.\n\nFour five.\n\na\n\nb"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='single has-sidebar'><article>{}</article><div class='sidebar'><p>side</p></div></body>",
+        "<body><main class='content-with-sidebar'>{}<div id='comments'><p>said</p></div></main></body>",
+        "<body class='sidebar'><main id='search'><article class='post no-ads comments-open ad' role='alert'>{}</article></main><nav>go</nav></body>",
+        "<body><div class='wrap widget'><article>{}</article><div class='ad-12'><p>buy</p></div></div></body>",
+        "<body><div class='widget'>{}</div></body>",
+    ],
+)
+def test_hints_do_not_hide_the_article(spark, page):
+    from weftline.llm import host_paths as hp
+
+    html_ = page.format("<h1>Title here</h1><p>" + "The first paragraph of a text. " * 9 + "</p><p>And the last one.</p>")
+    want = "\n\n".join(["Title here", ("The first paragraph of a text. " * 9).strip(), "And the last one."])
+    blocks = hp.read_blocks(html_)
+    assert hp.best_path(blocks) is not None and hp.extract(blocks, []) == want
+    d = spark.createDataFrame([(1, "http://h/a", html_), (2, "http://h/b", html_)], "page_id long, url string, html string")
+    assert [r.text for r in hp.extract_pages(d).collect()] == [want] * 2
+
+
+def test_no_text_is_left_out_where_all_is_hinted():
+    from weftline.llm import host_paths as hp
+
+    page = "<body><div class='widget'><p>one half of the text</p></div><div class='promo'><p>another half of it</p></div></body>"
+    blocks = hp.read_blocks(page)
+    assert [(outside, text) for _, outside, text, _ in blocks] == [(False, "one half of the text"), (False, "another half of it")]
+    assert hp.extract(blocks, [("body",)]) == "one half of the text\n\nanother half of it"
+
+
 def test_perspectives(spark, sf):
     from weftline.llm import perspectives as pv
 

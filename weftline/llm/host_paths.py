@@ -34,31 +34,36 @@ _TOKEN = re.compile(
     re.I | re.S,
 )
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORDS = re.compile(r"[a-z]+")
+#: Tags of the page and of the article itself, whose names are no hints.
+_MAIN = frozenset("html body main article".split())
 
 
 @lru_cache(20000)
 def _kind(tag: str, rest: str) -> tuple[str, bool]:
-    """(generalised step of a path, whether it surrounds the article rather than being it)."""
-    classes, hint = [], tag in _NOT_MAIN
+    """(generalised step of a path, whether a whole name of its class, id or role hints that it surrounds the article)."""
+    classes, hint = [], False
     if rest:
         for name, *values in _NAMES.findall(rest):
             value = "".join(values).lower()
-            hint |= any(w in _HINTS for w in _WORDS.findall(value))
+            hint |= tag not in _MAIN and any(re.sub(r"[-_]*\d+", "", w) in _HINTS for w in value.split())
             if name.lower() == "class":
                 classes += [re.sub(r"\d+", "", x) for x in value.split()]
     return ".".join([tag, *sorted({x for x in classes if x})]), hint
 
 
 def read_blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
-    """(container path, is it in something that surrounds an article, text, letters outside links) of each block in page order."""
-    out, parts, open_, at, linked, free = [], [], [], 0, 0, 0
+    """(container path, is it in something that surrounds an article, text, letters outside links) of each block in page order.
+
+    A hint does not count on a container that holds nine tenths or more of the text outside links, and none counts on a page that would
+    have no such text left.
+    """
+    out, parts, open_, at, linked, free, n_open = [], [], [], 0, 0, 0, 0
 
     def end_block():
         nonlocal free
         text = " ".join("".join(parts).split())
         if text:
-            out.append((tuple(step for tag, step, _ in open_ if tag not in _LEAF), any(h for _, _, h in open_), text, free))
+            out.append((tuple(step for tag, step, _ in open_ if tag not in _LEAF), any(tag in _NOT_MAIN for tag, _, _ in open_), text, free, [h for _, _, h in open_ if h]))
         parts.clear()
         free = 0
 
@@ -95,10 +100,20 @@ def read_blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
                 if open_ and open_[-1][0] in _ENDS and tag in _ENDS[open_[-1][0]]:
                     open_.pop()
                 if tag not in _VOID:
-                    open_.append((tag, *_kind(tag, m["rest"])))
+                    step, hint = _kind(tag, m["rest"])
+                    n_open += 1
+                    open_.append((tag, step, n_open if hint else 0))
     add(page[at:])
     end_block()
-    return out
+    held: dict[int, int] = {}
+    for _, outside, _, free, hints in out:
+        for h in () if outside else hints:
+            held[h] = held.get(h, 0) + free
+    total = sum(free for _, outside, _, free, _ in out if not outside)
+    count = {h for h, n in held.items() if 10 * n < 9 * total}
+    if not any(free and not outside and count.isdisjoint(hints) for _, outside, _, free, hints in out):
+        count = set()
+    return [(path, outside or not count.isdisjoint(hints), text, free) for path, outside, text, free, hints in out]
 
 
 def best_path(blocks) -> tuple[str, ...] | None:
