@@ -164,3 +164,25 @@ def test_whole_previews(spark, sf, tmp_path):
                 raw = line.encode()
                 want[i] = line if len(raw) <= 60 else raw[:60].decode("utf-8", "ignore") + "…"
         assert {r.doc_id: r.preview for r in registry.QUERIES["whole_previews"](spark, folder).collect()} == want
+
+
+def test_nested_spans(spark):
+    import random
+
+    random.seed(5)
+    kinds = ["open", "open", "x", "close", "y", "close", "z", "close", "w"] + random.choices(["open", "close", "x"], k=400)
+    d = spark.createDataFrame([(k, i, x) for k in (1, None) for i, x in enumerate(kinds)], "k int, i int, kind string")
+    stack, want = [], []
+    for i, x in enumerate(kinds):
+        if x == "close" and stack:
+            stack.pop()
+        want.append(stack[-1] if stack else None)
+        if x == "open":
+            stack.append(i)
+    assert want[:9] == [None, 0, 1, 0, 0, None, None, None, None]
+    got = ru.inside_nested(d, "k", "i", F.col("kind") == "open", F.col("kind") == "close")
+    assert got.columns == ["k", "i", "kind", "opened_at"] and {(r.k, r.i): r.opened_at for r in got.collect()} == {(k, i): x for k in (1, None) for i, x in enumerate(want)}
+    scopes = spark.createDataFrame([(1, 2, 9), (1, 4, 6), (1, 9, 12), (2, 0, 3)], "k int, opener int, closer int")
+    tokens = spark.createDataFrame([(k, i) for k in (1, 2, 3) for i in range(14)], "k int, i int")
+    span = {(r.k, r.i): r.opened_at for r in ru.inside_scopes(tokens, scopes, "k", "i").collect()}
+    assert span == {(k, i): max((o for s, o, c in [(1, 2, 9), (1, 4, 6), (1, 9, 12), (2, 0, 3)] if s == k and o < i < c), default=None) for k in (1, 2, 3) for i in range(14)}

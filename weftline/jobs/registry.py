@@ -367,6 +367,16 @@ def inside_signups(spark, sf_dir):
     return ru.inside_spans(e, "user_id", "event_id", F.col("event_type") == "signup", F.col("event_type") == "purchase").select("event_id", "opened_at")
 
 
+@_query("""WITH s AS (SELECT *, sum(CASE event_type WHEN 'purchase' THEN -1 WHEN 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS total FROM events),
+d AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY user_id ORDER BY event_id)) AS depth FROM s),
+l AS (SELECT *, depth - CASE event_type WHEN 'signup' THEN 1 ELSE 0 END AS level FROM d)
+SELECT a.event_id, max(b.event_id) AS opened_at FROM l a LEFT JOIN d b ON b.event_type = 'signup' AND b.user_id IS NOT DISTINCT FROM a.user_id AND b.event_id < a.event_id AND b.depth = a.level AND a.level > 0 GROUP BY 1""")
+def nested_signups(spark, sf_dir):
+    """The innermost signup around each event that no purchase has closed; a purchase closes one signup."""
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return ru.inside_nested(e, "user_id", "event_id", F.col("event_type") == "signup", F.col("event_type") == "purchase").select("event_id", "opened_at")
+
+
 @_query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 45) GROUP BY 1")
 def selected_lines(spark, sf_dir):
     """Lines of the parts that are picked."""

@@ -75,7 +75,7 @@ def argument_rules(calls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def inside_spans(rows: DataFrame, key: str, order: str, opens: Column, closes: Column, name: str = "opened_at") -> DataFrame:
-    """The place of the row that opened the span a row lies in, null outside; a span goes from an opening row to the next closing one.
+    """The place of the row that opened the span a row lies in, null outside; a span goes from an opening row to the next closing one (``inside_nested`` is for spans that nest).
 
     The last opening or closing row so far decides, so no row is paired with the spans of its group.
     """
@@ -84,6 +84,37 @@ def inside_spans(rows: DataFrame, key: str, order: str, opens: Column, closes: C
     return rows.withColumn(name, F.when(last["open"] & ~closes, last["at"]))
 
 
+def inside_nested(rows: DataFrame, key: str, order: str, opens: Column, closes: Column, name: str = "opened_at") -> DataFrame:
+    """The place of the row that opened the innermost span around each row, null outside; spans may nest.
+
+    A closing row ends the innermost open span, if there is one. Opening and closing rows lie in the span around their own. Rows get their depth by a
+    running sum; the last opening row of that depth decides, so no row is paired with the spans of its group.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    closing = F.coalesce(closes, F.lit(False))
+    opening = F.coalesce(opens, F.lit(False)) & ~closing
+    placed = rows.withColumn("_opens", opening).withColumn("_sum", F.sum(F.when(closing, -1).when(opening, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # closing rows without a span count for nothing
+    depth = F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = placed.withColumn("_depth", depth)
+    # an opening row stands at its own depth as an opener and one further out as a row
+    both = F.when(F.col("_opens"), F.array(F.struct((F.col("_depth") - 1).alias("level"), F.lit(False).alias("opener")), F.struct(F.col("_depth").alias("level"), F.lit(True).alias("opener"))))
+    split = placed.withColumn("_at", F.explode(F.coalesce(both, F.array(F.struct(F.col("_depth").alias("level"), F.lit(False).alias("opener")))))).withColumn("_level", F.col("_at.level"))
+    before = Window.partitionBy(key, "_level").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("_at.opener"), F.col(order)), True).over(before)
+    return split.withColumn(name, F.when(F.col("_level") > 0, last)).where(~F.col("_at.opener")).drop("_opens", "_sum", "_depth", "_at", "_level")
+
+
+def inside_scopes(rows: DataFrame, scopes: DataFrame, key: str, order: str, name: str = "opened_at") -> DataFrame:
+    """The opener of the innermost of the given scopes (key, opener, closer), properly nested, that each row lies strictly between; null outside."""
+    some = scopes.where("opener < closer")
+    edge = lambda at, turn: some.select(F.col(key), F.struct(F.col(at).alias("at"), F.lit(turn).alias("turn")).alias("_place"))
+    # at one place scopes end before and begin after the row there
+    all_ = rows.withColumn("_place", F.struct(F.col(order).alias("at"), F.lit(1).alias("turn"))).unionByName(edge("closer", 0).unionByName(edge("opener", 2)), allowMissingColumns=True)
+    found = inside_nested(all_, key, "_place", F.col("_place.turn") == 2, F.col("_place.turn") == 0, name)
+    return found.where("_place.turn = 1").withColumn(name, F.col(name)["at"]).drop("_place")
+
+
 def balanced(text: Column, regex: str, args: Column) -> Column:
     """Are there as many placeholders in the text as arguments; a doubled sign is none."""
     return F.regexp_count(F.regexp_replace(text, "%%", ""), F.lit(regex)) == F.size(args)
