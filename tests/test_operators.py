@@ -186,3 +186,13 @@ def test_nested_spans(spark):
     tokens = spark.createDataFrame([(k, i) for k in (1, 2, 3) for i in range(14)], "k int, i int")
     span = {(r.k, r.i): r.opened_at for r in ru.inside_scopes(tokens, scopes, "k", "i").collect()}
     assert span == {(k, i): max((o for s, o, c in [(1, 2, 9), (1, 4, 6), (1, 9, 12), (2, 0, 3)] if s == k and o < i < c), default=None) for k in (1, 2, 3) for i in range(14)}
+
+
+def test_free_names_avoid_existing(spark):
+    for names, want in (
+        (["x", "x", "x_"], ["x", "x_0", "x_"]), (["x", "x_", "x", "x_0", "x", "x_2", "x"], ["x", "x_", "x_1", "x_0", "x_3", "x_2", "x_4"]), (["x_", "x_", "x", "x", "x__"], ["x_", "x__0", "x", "x_0", "x__"]),
+        (["_", "", "", ""], ["_", "", "_0", "_1"]), (["a_01", "a", "a", "a_99999999999999999999", "a\n_", "a\n", "a\n"], ["a_01", "a", "a_", "a_99999999999999999999", "a\n_", "a\n", "a\n_0"]),
+    ):
+        d = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+        got = [r.free_name for r in se.free_names(d, "name", "i").orderBy("i").collect()]
+        assert got == want and len(set(got)) == len(got)
