@@ -1,10 +1,10 @@
 """What the text operators share: words found and hashed on whole Arrow batches,
-packed rows dealt out between chunks and buckets, and tables in the shared folder.
+packed rows dealt out between chunks and buckets, joins with hot keys, and tables in the shared folder.
 
-A *chunk* is a fixed set of documents (by doc_id), a *bucket* a fixed range of 64-bit keys.
-Operators that compare documents pack what they know of a chunk into one row per
-bucket, so that a shuffle moves a few bytes per key instead of a Spark row.
-Both are as many as ``spark.sql.shuffle.partitions``, each in a partition of its own.
+A *chunk* is a fixed set of rows of a bounded size in bytes, a *bucket* a fixed range of 64-bit keys, and there are as many of
+one as of the other. Operators that compare rows send each distinct key of a chunk once to its bucket, whatever number of
+the chunk's rows has it, and get an answer for it: a key that a third of all rows share is one entry per chunk. A message holds its keys
+and a small number for each, and nothing of the chunk's other rows, so what moves depends on the distinct keys alone.
 """
 
 from __future__ import annotations
@@ -67,9 +67,10 @@ def constants(n: int, seed: int) -> np.ndarray:
 
 def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and where each row begins; null is empty."""
+    column = column.cast(pa.large_string())  # first, as all together may be more than 2 GiB
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.fill_null("")
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
@@ -146,32 +147,102 @@ def cover(n: int, starts: np.ndarray, k: int | np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------- packing
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers, most of them small and not below 0: one, two or four bytes each, whichever is least, and others apart."""
+    x = x.astype(np.int64).view(np.uint64)
+    width = min((1, 2, 4), key=lambda w: w * len(x) + 8 * int((x >= (1 << 8 * w) - 1).sum()))
+    top = (1 << 8 * width) - 1
+    big = x >= top
+    return np.int64([len(x), width]).tobytes() + np.where(big, _U(top), x).astype(f"<u{width}").tobytes() + x[big].tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    n, width = (int(x) for x in np.frombuffer(b, np.int64, 2))
+    x = np.frombuffer(b, f"<u{width}", n, 16).astype(np.int64)
+    x[x == (1 << 8 * width) - 1] = np.frombuffer(b, np.int64, -1, 16 + n * width)
+    return x
+
+
 def pack_ascending(x: np.ndarray) -> bytes:
-    """Ascending whole numbers as gaps of a byte, larger ones apart."""
-    gaps = np.diff(x.astype(np.int64), prepend=0)
-    big = gaps >= 255
-    small = np.where(big, 255, gaps).astype(np.uint8)
-    return np.int64(len(x)).tobytes() + small.tobytes() + gaps[big].tobytes()
+    """Ascending whole numbers from 0 by their gaps."""
+    return pack(np.diff(x.astype(np.int64), prepend=0))
 
 
 def unpack_ascending(b: bytes) -> np.ndarray:
-    n = int(np.frombuffer(b, np.int64, 1)[0])
-    gaps = np.frombuffer(b, np.uint8, n, 8).astype(np.int64)
-    gaps[gaps == 255] = np.frombuffer(b, np.int64, -1, 8 + n)
-    return np.cumsum(gaps)
+    return np.cumsum(unpack(b))
+
+
+def squeeze(b: bytes) -> bytes:
+    return np.int64(len(b)).tobytes() + pa.Codec("zstd").compress(b, asbytes=True)
+
+
+def stretch(b: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(b[8:], decompressed_size=int(np.frombuffer(b, np.int64, 1)[0]), asbytes=True)
+
+
+def distinct(key: np.ndarray):
+    """(order, where each distinct key begins in it, the distinct keys, ascending)."""
+    order = np.argsort(key, kind="stable")
+    s = key[order]
+    head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
+    return order, head, s[head]
 
 
 def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
-    return (((key >> _U(32)) * _U(n)) >> _U(32)).astype(np.uint32)
+    """The range of each 64-bit key, of n equal ones: larger keys have no smaller bucket."""
+    return (((key >> _U(32)) * _U(n)) >> _U(32)).astype(np.int64)
+
+
+def bucket_cuts(key: np.ndarray, n: int):
+    """(bucket, lo, hi) of ascending keys, for every bucket that has some."""
+    b = bucket_of(key, n)
+    cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True]))) if len(b) else np.zeros(1, np.int64)
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield int(b[lo]), lo, hi
 
 
 def deal(key: np.ndarray, n: int):
     """(bucket, which) for every bucket that gets some of the keys; which is ascending."""
     b = bucket_of(key, n)
-    order = np.argsort(b.astype(np.uint16) if n < 1 << 16 else b, kind="stable")
-    cuts = np.searchsorted(b[order], np.arange(n + 1))
-    for i in np.flatnonzero(np.diff(cuts)):
-        yield int(i), order[cuts[i] : cuts[i + 1]]
+    order = np.argsort(b, kind="stable")
+    for i, lo, hi in bucket_cuts(key[order], n):
+        yield i, order[lo:hi]
+
+
+def ask(chunk: int, key: np.ndarray, value: np.ndarray, n: int, drop: int = 0) -> pa.Table:
+    """(bucket, chunk, keys, values): the ascending distinct keys of a chunk with a small number each; the ``drop`` lowest bits of keys do not travel."""
+    rows, keys, values = [], [], []
+    for i, lo, hi in bucket_cuts(key, n):
+        own = key[lo:hi] >> _U(drop)
+        rows.append(i)
+        keys.append(pack_ascending((own - own[:1]).astype(np.int64)) + own[:1].tobytes() if drop else own.tobytes())
+        values.append(pack(value[lo:hi]))
+    return pa.table({"bucket": pa.array(rows, pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "keys": pa.array(keys, pa.binary()), "values": pa.array(values, pa.binary())})
+
+
+ASKED = "bucket int, chunk int, keys binary, values binary"
+
+
+def asked(table: pa.Table, drop: int = 0):
+    """All that was sent to a bucket: (chunks, sizes, keys, values), chunk after chunk."""
+    chunks_, keys, values, sizes = table.column("chunk").to_pylist(), [np.zeros(0, _U)], [np.zeros(0, np.int64)], []
+    for a, b in zip(table.column("keys").to_pylist(), table.column("values").to_pylist(), strict=True):
+        keys.append(unpack_ascending(a[:-8]).astype(_U) + np.frombuffer(a[-8:], _U) if drop else np.frombuffer(a, _U))
+        values.append(unpack(b))
+        sizes.append(len(keys[-1]))
+    return chunks_, sizes, np.concatenate(keys), np.concatenate(values)
+
+
+def by_key(key: np.ndarray, value: np.ndarray, reduce: np.ufunc) -> tuple[np.ndarray, np.ndarray]:
+    """For every entry: the reduced value of its key, and in how many entries the key is."""
+    if not len(key):
+        return value, value
+    order, head, _ = distinct(key)
+    times = np.diff(np.append(head, len(key)))
+    total, count = np.empty(len(key), value.dtype), np.empty(len(key), np.int64)
+    total[order] = np.repeat(reduce.reduceat(value[order], head), times)
+    count[order] = np.repeat(times, times)
+    return total, count
 
 
 def typed(df, names) -> str:
@@ -183,41 +254,53 @@ def typed(df, names) -> str:
 # -------------------------------------------------------------- chunks
 
 
-def labels(spark, n: int) -> list[int]:
-    """One number for each of n partitions that Spark's hash puts into that partition, so that no two share one."""
-    from pyspark.sql import functions as F
+def partitions(spark) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    found: dict[int, int] = {}
-    lo, step = 0, 16 * n
-    while len(found) < n:
-        rows = spark.range(lo, lo + step, numPartitions=1).select(F.col("id").cast("int").alias("i"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).groupBy("p").agg(F.min("i").alias("i")).collect()
-        for r in rows:
-            found.setdefault(r["p"], r["i"])
-        lo += step
-    return [found[p] for p in range(n)]
 
+def chunk_count(spark, n_bytes: int, chunk_bytes: int) -> int:
+    """So many chunks that none is much above ``chunk_bytes``; small data is dealt to all partitions as long as that leaves a MB each."""
+    return max(1, -(-n_bytes // chunk_bytes), min(partitions(spark), -(-n_bytes >> 20)))
 
-def partitions(spark) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+def text_bytes(df, column: str) -> int:
+    from pyspark.sql import functions as F
+
+    return int(df.agg(F.sum(F.octet_length(column) + 64)).first()[0] or 0)
 
 
-def chunks(docs, tags: list[int], columns=("doc_id", "text")):
-    """(chunk, packed): the rows of each batch by chunk as compressed Arrow streams, shuffled to their chunks.
+def chunks(docs, n: int):
+    """(chunk, packed): the rows (id, text, ...) of each batch by chunk as compressed Arrow streams, each chunk in a partition of its own.
 
-    doc_id alone decides, so copies of one text spread evenly and a lost task gives the same chunks again.
+    The id and the text's length decide, so copies of one text or of one id spread, and a lost task gives the same chunks again.
     """
-    n, keep = len(tags), list(columns)
+    from pyspark.sql import functions as F
 
     def split(batches):
         for b in batches:
-            ids = b.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            ids = b.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
+            _, at = strings(b.column(1))
             rows, blobs = [], []
-            for i, which in deal(mix(ids), n):
-                rows.append(tags[i])
+            for i, which in deal(mix(ids ^ mix(np.diff(at).astype(_U))), n):
+                rows.append(i)
                 blobs.append(freeze(pa.Table.from_batches([b.take(pa.array(which))])))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "packed"])
 
-    return docs.select(*keep).mapInArrow(split, "chunk int, packed binary").repartition(n, "chunk")
+    return docs.mapInArrow(split, "chunk int, packed binary").repartitionById(n, F.col("chunk"))
+
+
+def to_buckets(messages, n: int):
+    """Messages at their buckets, each bucket in a partition of its own."""
+    from pyspark.sql import functions as F
+
+    return messages.repartitionById(n, F.col("bucket")).groupBy("bucket")
+
+
+def with_answers(whole, answers, n: int):
+    """The rows of each chunk with the answers to it."""
+    from pyspark.sql import functions as F
+
+    return whole.groupBy("chunk").cogroup(answers.repartitionById(n, F.col("chunk")).groupBy("chunk"))
 
 
 def freeze(table: pa.Table) -> bytes:
@@ -229,24 +312,43 @@ def freeze(table: pa.Table) -> bytes:
 
 def thaw(blobs) -> pa.Table:
     """The rows of a chunk, by doc_id and text: the same order whenever it is read."""
-    table = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in blobs]).combine_chunks()
+    table = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in blobs])
+    # a chunk may hold more than 2 GiB of text
+    table = table.cast(pa.schema([f.with_type(pa.large_string()) if f.type == pa.string() else f.with_type(pa.large_binary()) if f.type == pa.binary() else f for f in table.schema])).combine_chunks()
     return table.sort_by([(table.column_names[0], "ascending"), (table.column_names[1], "ascending")])
 
 
+def plain(column: pa.ChunkedArray) -> pa.ChunkedArray:
+    """A column of ``thaw`` with the type that it had before, in pieces of less than 2 GiB."""
+    kind = {pa.large_string(): pa.string(), pa.large_binary(): pa.binary()}.get(column.type)
+    if kind is None:
+        return column
+    step = max(1, len(column) * (1 << 29) // max(column.nbytes, 1))
+    return pa.chunked_array([x.slice(lo, step).cast(kind) for x in column.chunks for lo in range(0, len(x), step)], kind)
+
+
 # ------------------------------------------------------- shared tables
 
 
 def shared(spark) -> str:
-    """The folder that all executors see; one of its own only where none is set."""
+    """The folder that all executors see. Where none is set, a local master gets one of its own; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_PLACES: dict[str, list[str]] = {}
+
+
 def place(spark, name: str) -> str:
-    return f"{shared(spark)}/weftline-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which ``clear`` removes."""
+    path = f"{shared(spark)}/weftline-{name}-{uuid.uuid4().hex}"
+    _PLACES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def saved(df, name: str):
@@ -257,6 +359,30 @@ def saved(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def skew_join(left, right, keys: list[str], counts, total: int, spread: list[str], how: str = "inner"):
+    """left joined to right on ``keys`` where some keys have a large share of left's rows.
+
+    ``counts`` has the keys and ``n``, how many of left's ``total`` rows each has. Keys with more than a thousandth of them, of which there are less
+    than a thousand, are broadcast. Their rows are dealt by the columns ``spread`` to as many pieces as their share of the partitions, and right's rows of
+    these keys are repeated once per piece: all pieces together are no more than partitions and hot keys.
+    """
+    from pyspark.sql import functions as F
+
+    n = partitions(left.sparkSession)
+    hot = F.broadcast(counts.where(F.col("n") * 1000 > total).select(*keys, F.ceil(F.col("n") * n / max(total, 1)).cast("int").alias("_pieces")))
+    one, two = left.join(hot, keys, "left"), right.join(hot, keys, "left")
+    one = one.withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_pieces")).cast("int"), F.lit(0))).drop("_pieces")
+    two = two.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1))).drop("_pieces")
+    return one.join(two, [*keys, "_piece"], how).drop("_piece")
+
+
+def clear(spark) -> None:
+    """Remove all intermediate tables that this session's operators have written; results that still read from them are lost."""
+    for path in _PLACES.pop(spark.sparkContext.applicationId, []):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def forget(df) -> None:
     """Remove the files of tables that ``saved`` made."""
     spark = df.sparkSession

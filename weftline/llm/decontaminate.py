@@ -1,13 +1,14 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is what one task has read of the documents, up to ``shard_words``. Its words become symbols of the
+A shard is what a task holds of the documents at a time, an Arrow batch, in parts of up to ``shard_words`` indexed words. Its words become symbols of the
 benchmark's own vocabulary; a word that no item has ends a run, and runs shorter than the shortest window cannot hold
 one, so the index keeps exactly the stretches that can match. The index has the Burrows-Wheeler transform in a
 wavelet matrix, symbol counts and sampled suffix positions. Every distinct window of the benchmark is searched
 backward, all windows at once, its occurrences are located by walking to the next sample, and the hit words merge to spans.
 
-The benchmark is a stated query set. It is taken in blocks of a checked size, each a pass over the same rows
-that adds its hits to what the row carries, so nothing is shuffled and no block grows with the documents.
+The benchmark is a stated query set. One of up to ``block_bytes`` is sent to every task as a whole, and nothing is shuffled. A larger one is taken in
+blocks of that size, one after the other, each in a pass of its own that writes what it has found of every row; a block is dropped before the next
+is read, so no more than one is held anywhere. An item that is longer than a block is a block of its own.
 """
 
 from __future__ import annotations
@@ -148,14 +149,15 @@ _RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 str
 _TEXTS = ", items array<string>, spans array<struct<start:long,end:long>>, clean_text string"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, texts: bool = True, block_bytes: int = 8 << 20, shard_words: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, texts: bool = True, block_bytes: int = 32 << 20, shard_words: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Find the words of every document that lie in an occurrence of a benchmark window.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. Returns doc_id,
     n_words, n_hit, n_items, items_sha256 (ids of the items with an occurring window, sorted as strings, joined by commas)
     and contaminated, one row per row of ``docs``; with ``texts`` also items, spans (byte offsets of the hit words, neighbours merged)
     and clean_text (the text without them, unchanged if there are none), then the columns ``carry`` of ``docs`` as they are. A null text has no words; a null item_id or item
-    text is no item; rows that repeat give equal results; an empty benchmark hits nothing and an empty table gives an empty table.
+    text is no item; rows that repeat give equal results; an empty benchmark hits nothing and an empty table gives an empty table. Columns to
+    carry whose names the result has need other names first.
     """
     query = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text")).where("id is not null and text is not null")
     total = query.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -167,8 +169,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, texts
     for b in range(n):
         part = query if n == 1 else query.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b)
         block = docs.sparkSession.sparkContext.broadcast(_block([tuple(r) for r in part.collect()], window))
-        rows = rows.mapInArrow(_scan(block, b == 0, b == n - 1, texts, shard_words, carry), schema if b == n - 1 else state)
-    return rows
+        done = rows.mapInArrow(_scan(block, b == 0, b == n - 1, texts, shard_words, carry), schema if b == n - 1 else state)
+        if b == n - 1:
+            return done
+        last, rows = rows, c.saved(done, "hits")
+        block.destroy()
+        if b:
+            c.forget(last)
 
 
 def _scan(block, opening: bool, closing: bool, texts: bool, shard_words: int, carry):

@@ -1,8 +1,8 @@
 """Byte-level BPE through a table of distinct words.
 
 Texts are split into words by the tokenizer's own pattern, chunk by chunk. Each chunk sends its distinct words, once each, to
-the bucket of their hash; a bucket encodes every distinct word once, whatever number of chunks has it, joins each id to its piece to decode
-it, and sends ids and bytes back to the chunks that asked. There the ids are joined to the words' positions. What moves besides the
+the bucket of their hash; a bucket encodes every distinct word once, whatever number of chunks has it, and sends the ids back to the chunks
+that asked. There they are joined to the words' positions by place, and to decode, to the table of pieces by id. What moves besides the
 compressed texts are distinct words per chunk and never a row per position, so the commonest word weighs as much as any other.
 """
 
@@ -15,7 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from . import common as c
 
@@ -30,7 +31,11 @@ def _splitter(path: str):
     import regex
 
     with open(path, encoding="utf-8") as f:
-        added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+        tokens = json.load(f)["added_tokens"]
+    odd = [x["content"] for x in tokens if any(x.get(k) for k in ("lstrip", "rstrip", "single_word"))]
+    if odd:
+        raise ValueError(f"special tokens that take blanks or ask for word ends are not supported: {odd}")
+    added = {x["content"]: x["id"] for x in tokens}
     body = PATTERN.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
     special = "|".join(regex.escape(x) for x in sorted(added, key=len, reverse=True))
     # a special token ends the piece before it, as if the texts on both sides stood alone
@@ -77,34 +82,49 @@ _RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _TEXTS = ", ids array<int>, decoded string"
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, texts: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _by_bucket(words: list[str], n: int):
+    """(bucket, words) by the hash of distinct words, in an order that depends on nothing else."""
+    column = pa.array(sorted(words), pa.large_string())
+    data, at = c.strings(column)
+    h = np.concatenate([np.zeros(0, np.uint64), *(c.hash_spans(data[at[lo] : at[hi]], at[lo:hi] - at[lo], at[lo + 1 : hi + 1] - at[lo]) for lo, hi in c.parts(at))])
+    for i, which in c.deal(h, n):
+        yield i, column.take(pa.array(which))
+
+
+def _send(words) -> bytes:
+    data, at = c.strings(words)
+    sizes = c.pack(np.diff(at))
+    return c.squeeze(np.int64(len(sizes)).tobytes() + sizes + data.tobytes())
+
+
+def _receive(raw: bytes) -> pa.Array:
+    raw = c.stretch(raw)
+    split = 8 + int(np.frombuffer(raw, np.int64, 1)[0])
+    sizes = c.unpack(raw[8:split])
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))).astype(np.int64).tobytes()), pa.py_buffer(raw[split:]))
+
+
+def encode_decode(docs: DataFrame, tokenizer: str, texts: bool = True, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 32 << 20) -> DataFrame:
     """Encode and decode every text with the byte-level BPE in the file ``tokenizer``, which every executor must have.
 
     Returns doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 (decoded text in UTF-8), with ``texts`` also
     ids and decoded, one row per row of ``docs``. Null and empty texts have no ids and decode to nothing; rows that repeat give equal
-    results, also without a doc_id; an empty table gives an empty table.
+    results, also without a doc_id; an empty table gives an empty table. A task holds a chunk of about ``chunk_bytes`` of text, or one longer text.
     """
-    spark = docs.sparkSession
-    n = c.partitions(spark)
-    tags = c.labels(spark, n)
-    whole = c.chunks(docs.selectExpr(f"cast({id_col} as long) as doc_id", f"{text_col} as text"), tags)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    n = c.chunk_count(docs.sparkSession, c.text_bytes(rows, "text"), chunk_bytes)
+    whole = c.chunks(rows, n)
 
     def ask(key, table):
         words: set[str] = set()
-        for text in c.thaw(table.column("packed").to_pylist()).column(1).to_pylist():
-            if text:
-                words.update(split_words(text, tokenizer))
-        words_ = pa.array(sorted(words), pa.string())
-        data, at = c.strings(words_)
-        h = np.concatenate([np.zeros(0, np.uint64), *(c.hash_spans(data[at[lo] : at[hi]], at[lo:hi] - at[lo], at[lo + 1 : hi + 1] - at[lo]) for lo, hi in c.parts(at))])
-        rows, lists = [], []
-        for i, which in c.deal(h, n):
-            rows.append(tags[i])
-            lists.append(c.freeze(pa.table({"w": words_.take(pa.array(which))})))
-        return pa.table({"bucket": pa.array(rows, pa.int32()), "chunk": pa.array([int(key[0].as_py())] * len(rows), pa.int32()), "words": pa.array(lists, pa.binary())})
+        for text in c.thaw(table.column("packed").to_pylist()).column(1):
+            if text.is_valid:
+                words.update(split_words(text.as_py(), tokenizer))
+        sent = [(i, _send(x)) for i, x in _by_bucket(list(words), n)]
+        return pa.table({"bucket": pa.array([i for i, _ in sent], pa.int32()), "chunk": pa.array([int(key[0].as_py())] * len(sent), pa.int32()), "words": pa.array([x for _, x in sent], pa.binary())})
 
     def encode(key, table):
-        asked = [pa.ipc.open_stream(x).read_all().column("w").combine_chunks() for x in table.column("words").to_pylist()]
+        asked = [_receive(x) for x in table.column("words").to_pylist()]
         every = pa.chunked_array(asked).dictionary_encode().combine_chunks()
         words = every.dictionary.to_pylist()
         t, special = _tokenizer(tokenizer), _splitter(tokenizer)[2]
@@ -115,15 +135,14 @@ def encode_decode(docs: DataFrame, tokenizer: str, texts: bool = True, id_col: s
                 own = [special[word]] if word in special else e.ids
                 ids += own
                 counts[lo + i] = len(own)
-        ids = np.array(ids, np.int32)
+        ids = np.array(ids, np.int64)
         at = np.concatenate(([0], np.cumsum(counts)))
         which, out, lo = every.indices.to_numpy(), [], 0
         for a in asked:
             own = which[lo : lo + len(a)]
             lo += len(a)
-            k = counts[own]
-            spot = np.repeat(at[own], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            out.append(c.freeze(pa.table({"n": pa.array([k.astype(np.uint8 if k.max(initial=0) < 256 else np.int32).tobytes()]), "w": pa.array([k.max(initial=0) < 256]), "ids": pa.array([ids[spot].astype(np.uint16 if len(ids) == 0 or ids.max() < 65536 else np.int32).tobytes()]), "s": pa.array([len(ids) == 0 or bool(ids.max() < 65536)])})))
+            sizes = c.pack(counts[own])
+            out.append(c.squeeze(np.int64(len(sizes)).tobytes() + sizes + c.pack(ids[_spots(at[own], counts[own])])))
         # the words go back by their order in the request, which the chunk makes again
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "answer": pa.array(out, pa.binary())})
 
@@ -132,38 +151,58 @@ def encode_decode(docs: DataFrame, tokenizer: str, texts: bool = True, id_col: s
             return _rows([], [], [], [], [], [], texts)
         table = c.thaw(left.column("packed").to_pylist())
         index: dict[str, int] = {}
-        places = [np.array([index.setdefault(w, len(index)) for w in split_words(x, tokenizer)] if x else [], np.int32) for x in table.column(1).to_pylist()]
-        words_ = pa.array(sorted(index), pa.string())
-        data, at = c.strings(words_)
-        h = np.concatenate([np.zeros(0, np.uint64), *(c.hash_spans(data[at[lo] : at[hi]], at[lo:hi] - at[lo], at[lo + 1 : hi + 1] - at[lo]) for lo, hi in c.parts(at))])
+        words, ends = [np.zeros(0, np.int32)], [0]
+        for text in table.column(1):
+            own = [index.setdefault(w, len(index)) for w in split_words(text.as_py(), tokenizer)] if text.is_valid else []
+            words.append(np.array(own, np.int32))
+            ends.append(ends[-1] + len(own))
+        words, ends = np.concatenate(words), np.array(ends)
         answers = dict(zip(right.column("bucket").to_pylist(), right.column("answer").to_pylist(), strict=True))
-        piece, of_word, order = pieces(tokenizer), [None] * len(index), [index[w] for w in words_.to_pylist()]
-        del index, words_, data
-        for i, which in c.deal(h, n):
-            a = pa.ipc.open_stream(answers[tags[i]]).read_all()
-            k = np.frombuffer(a.column("n")[0].as_py(), np.uint8 if a.column("w")[0].as_py() else np.int32).tolist()
-            ids = np.frombuffer(a.column("ids")[0].as_py(), np.uint16 if a.column("s")[0].as_py() else np.int32).tolist()
-            lo = 0
-            for w, m in zip(which.tolist(), k, strict=True):
-                own = ids[lo : lo + m]
-                lo += m
-                of_word[order[w]] = (m, ",".join(map(str, own)), b"".join([piece[x] for x in own]))
-        counts, id_shas, text_shas, all_ids, decoded = [], [], [], [], []
-        for own in places:
-            found = [of_word[w] for w in own.tolist()]
-            joined = ",".join([x[1] for x in found])
-            raw = b"".join([x[2] for x in found]).decode("utf-8", "replace").encode()
-            counts.append(sum([x[0] for x in found]))
-            id_shas.append(hashlib.sha256(joined.encode()).hexdigest())
-            text_shas.append(hashlib.sha256(raw).hexdigest())
+        # a table of the chunk's distinct words: how many ids each has, and where they begin
+        order, sizes, ids = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, own in _by_bucket(list(index), n):
+            raw = c.stretch(answers[i])
+            split = 8 + int(np.frombuffer(raw, np.int64, 1)[0])
+            order += [index[w] for w in own.to_pylist()]
+            sizes.append(c.unpack(raw[8:split])), ids.append(c.unpack(raw[split:]))
+        del index
+        sizes, ids = np.concatenate(sizes), np.concatenate(ids)
+        counts, begins = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        counts[order], begins[order] = sizes, np.cumsum(sizes) - sizes
+        n_tokens = np.zeros(len(ends) - 1, np.int64)
+        shas, text_shas, all_ids, decoded = [], [], [], []
+        names, piece = _id_names(tokenizer), pa.array(pieces(tokenizer), pa.large_binary())
+        for lo, hi in c.parts(ends):
+            own = words[ends[lo] : ends[hi]]
+            # ids to the positions of their words
+            own_ids = ids[_spots(begins[own], counts[own])]
+            at = np.concatenate(([0], np.cumsum(counts[own])))[ends[lo : hi + 1] - ends[lo]]
+            n_tokens[lo:hi] = np.diff(at)
+            offsets, taken = pa.array(at, pa.int64()), pa.array(own_ids)
+            joined = pc.binary_join(pa.LargeListArray.from_arrays(offsets, names.take(taken)), pa.scalar(",", pa.large_string()))
+            shas += [hashlib.sha256(x.as_buffer()).hexdigest() for x in joined]
+            # pieces to ids
+            raw = pc.binary_join(pa.LargeListArray.from_arrays(offsets, piece.take(taken)), pa.scalar(b"", pa.large_binary()))
+            back = [x.as_py().decode("utf-8", "replace") for x in raw]
+            text_shas += [hashlib.sha256(x.encode()).hexdigest() for x in back]
             if texts:
-                all_ids.append([int(x) for x in joined.split(",")] if joined else [])
-                decoded.append(raw.decode())
-        return _rows(table.column(0).to_pylist(), counts, id_shas, text_shas, all_ids, decoded, texts)
+                all_ids += [own_ids[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)]
+                decoded += back
+        return _rows(table.column(0).to_pylist(), n_tokens, shas, text_shas, all_ids, decoded, texts)
 
     asked = whole.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, words binary")
-    answers = asked.groupBy("bucket").applyInArrow(encode, "chunk int, bucket int, answer binary")
-    return whole.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(join, _RESULT + (_TEXTS if texts else ""))
+    answers = c.to_buckets(asked, n).applyInArrow(encode, "chunk int, bucket int, answer binary")
+    return c.with_answers(whole, answers, n).applyInArrow(join, _RESULT + (_TEXTS if texts else ""))
+
+
+@lru_cache(4)
+def _id_names(path: str) -> pa.Array:
+    return pa.array([str(i) for i in range(len(pieces(path)))], pa.large_string())
+
+
+def _spots(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begins[i], begins[i] + 1 and so on, sizes[i] of them, for each i."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 def _rows(ids, counts, id_shas, text_shas, all_ids, decoded, texts: bool) -> pa.Table:

@@ -7,6 +7,8 @@ runs of that order of equal length become the shards, so that a filter on any of
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -41,37 +43,62 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _number(docs: DataFrame, dims: list[str]) -> list:
-    """Columns that order like dims: a string counts by the six bytes after what all its values begin with."""
-    kinds = dict(docs.dtypes)
-    texts = [d for d in dims if kinds[d] == "string"]
-    ends = docs.agg(*(f(d).alias(f"{d}_{f.__name__}") for d in texts for f in (F.min, F.max))).first() if texts else None
-    out = []
-    for d in dims:
-        if d not in texts:
-            out.append(F.col(d).cast("double"))
-            continue
-        a, b = (ends[f"{d}_min"] or "").encode(), (ends[f"{d}_max"] or "").encode()
-        same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        rest = F.substring(F.encode(F.col(d), "UTF-8"), same + 1, 6)
-        out.append(F.conv(F.rpad(F.hex(rest), 12, "0"), 16, 10).cast("double"))
-    return out
+def _text_cuts(rows: DataFrame, names: list[str], cells: int) -> dict[str, list[str]]:
+    """For each text column the values at which its rows, in order, are cut into ``cells`` parts about alike.
+
+    The distinct values are put in order and counted over all rows; what comes to the driver are sums over ``16 * cells`` ranges of them and the
+    values at the cuts.
+    """
+    if not names:
+        return {}
+    pairs = rows.select(F.explode(F.array(*(F.struct(F.lit(n).alias("dim"), F.col(n).alias("value")) for n in names))).alias("x")).select("x.*").where("value is not null")
+    ordered = positions(pairs.groupBy("dim", "value").agg(F.count("*").alias("n")), ["dim", "value"], "values").drop("n_rows")
+    ends = {r["dim"]: (r["lo"], r["hi"]) for r in ordered.groupBy("dim").agg(F.min("position").alias("lo"), F.max("position").alias("hi")).collect()}
+    wanted: set[int] = set()
+    if ends:
+        low = F.coalesce(*(F.when(F.col("dim") == d, F.lit(lo)) for d, (lo, _) in ends.items()))
+        width = F.coalesce(*(F.when(F.col("dim") == d, F.lit((hi - lo) // (16 * cells) + 1)) for d, (lo, hi) in ends.items()))
+        sums = ordered.groupBy("dim", F.floor((F.col("position") - low) / width).alias("part")).agg(F.sum("n").alias("n"), F.min("position").alias("first")).collect()
+        for d in ends:
+            parts = sorted((r["part"], r["n"], r["first"]) for r in sums if r["dim"] == d)
+            total, seen = sum(n for _, n, _ in parts), 0
+            for i, (_, n, _) in enumerate(parts[:-1]):
+                if (seen + n) * cells // total > seen * cells // total:
+                    wanted.add(parts[i + 1][2])
+                seen += n
+    found: dict[str, list[str]] = {n: [] for n in names}
+    at = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in sorted(wanted)], "position long"))
+    for r in ordered.join(at, "position").select("dim", "value").collect():  # fewer than cells values of each column
+        found[r["dim"]].append(r["value"])
+    return {n: sorted(x) for n, x in found.items()}
 
 
 def curve_order(docs: DataFrame, dims: list[str], keep: list, bits: int = 8, tie: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` with ``curve`` and ``position``, gapless from 0 in curve order (ties by the columns ``tie``, which keep has)."""
-    numbers = _number(docs, dims)
+    """The columns ``keep`` with ``curve`` and ``position``, gapless from 0 in curve order (ties by the columns ``tie``, which keep has).
+
+    Numbers are cut into cells at their quantiles, texts at theirs in the order of their code points.
+    """
+    kinds = dict(docs.dtypes)
     names = [f"_d{i}" for i in range(len(dims))]
-    rows = docs.select(*keep, *(x.alias(n) for x, n in zip(numbers, names, strict=True)))
+    rows = docs.select(*keep, *((F.col(d) if kinds[d] == "string" else F.col(d).cast("double")).alias(n) for d, n in zip(dims, names, strict=True)))
+    texts = [n for d, n in zip(dims, names, strict=True) if kinds[d] == "string"]
+    numbers = [n for n in names if n not in texts]
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = rows.agg(*(F.percentile_approx(n, steps, 10000).alias(n) for n in names)).first()
-    edges = [np.unique(np.array(cuts[n] or [], float)) for n in names]
+    cuts = rows.agg(*(F.percentile_approx(n, steps, 10000).alias(n) for n in numbers)).first() if numbers else {}
+    edges = {n: np.unique(np.array(cuts[n] or [], float)) for n in numbers} | {n: np.array(x, object) for n, x in _text_cuts(rows.select(*texts), texts, 1 << bits).items()}
+
+    def cell(column, edge, text: bool):
+        """How many cuts are not above each value (below it for numbers); null is below every cut, so it shares the lowest cell."""
+        if text:
+            known = column.dictionary_encode()
+            at = np.searchsorted(edge, np.array(known.dictionary.to_pylist(), object), "right") if len(edge) else np.zeros(len(known.dictionary), np.int64)
+            return np.append(at, 0)[known.indices.fill_null(len(at)).to_numpy(zero_copy_only=False).astype(np.int64)]
+        return np.searchsorted(edge, column.fill_null(-np.inf).to_numpy(zero_copy_only=False), "left")
 
     def place(batches):
         for b in batches:
-            # null is below every cut, so it shares the lowest cell
             # few distinct values are spread over the whole range, so that every dimension weighs alike
-            cells = np.stack([(np.searchsorted(e, b.column(n).fill_null(-np.inf).to_numpy(zero_copy_only=False), "left") << bits) // (len(e) + 1) for n, e in zip(names, edges, strict=True)], 1) if b.num_rows else np.zeros((0, len(names)), np.int64)
+            cells = np.stack([(cell(b.column(n), edges[n], n in texts) << bits) // (len(edges[n]) + 1) for n in names], 1) if b.num_rows else np.zeros((0, len(names)), np.int64)
             kept = [x for x in b.schema.names if x not in names]
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in kept), pa.array(hilbert_index(cells, bits), pa.int64())], [*kept, "curve"])
 
@@ -88,14 +115,11 @@ def positions(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     n = c.partitions(rows.sparkSession)
     local = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     kept = c.saved(local.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))), name)
-    counts = dict(kept.groupBy("_part").count().collect())  # one number for each of n partitions
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p], total = total, total + counts[p]
-    if not before:
-        return kept.drop("_at", "_part").withColumn("position", F.lit(None).cast("long")).withColumn("n_rows", F.lit(0).cast("long"))
-    table = F.create_map(*(F.lit(x) for p, x in before.items() for x in (p, x)))
-    return kept.withColumn("position", table[F.col("_part")] + F.col("_at")).withColumn("n_rows", F.lit(total).cast("long")).drop("_at", "_part")
+    counts = sorted(kept.groupBy("_part").count().collect())  # one number for each of n partitions
+    total = sum(k for _, k in counts)
+    before = [(p, sum_ - k) for (p, k), sum_ in zip(counts, itertools.accumulate(k for _, k in counts), strict=True)]
+    table = F.broadcast(rows.sparkSession.createDataFrame(before, "_part long, _before long"))
+    return kept.join(table, "_part").withColumn("position", F.col("_before") + F.col("_at")).withColumn("n_rows", F.lit(total).cast("long")).drop("_at", "_part", "_before")
 
 
 def shard(docs: DataFrame, n_shards: int = 16, dims: list[str] | None = None, bits: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

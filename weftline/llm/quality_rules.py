@@ -1,8 +1,8 @@
 """Quality rules by distribution divergence.
 
 Two histograms describe a text: its characters by class, and its words by the commonest words of a language (all
-other words are one more bin). The references are the same histograms over all documents of a language. A document of
-enough words whose Jensen-Shannon distance to the reference is too large fails; short ones are judged by the base rules only.
+other words are one more bin). The references are the same histograms over all documents of a language, and every language has one. A
+document of enough words whose Jensen-Shannon distance to the reference is too large fails; short ones are judged by the base rules only.
 """
 
 from __future__ import annotations
@@ -39,38 +39,63 @@ def _class_counts(d, o) -> np.ndarray:
     return np.bincount(row * len(CLASSES) + _CLASS[d], minlength=(len(o) - 1) * len(CLASSES)).reshape(-1, len(CLASSES))
 
 
-def language_references(docs: DataFrame, common: int = 64, most_languages: int = 1000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, chars, n_words, keys, counts): class counts and the ``common`` commonest words (as hashes, A-Z folded) of each language, over all documents.
+_HELD = 1 << 20  # counts that a task holds before it passes them on
 
-    A null language is one of its own. Only the ``most_languages`` languages with the most words get a reference.
+
+def language_references(docs: DataFrame, common: int = 64, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(lang, n_docs, chars, n_words, keys, counts): class counts and the ``common`` commonest words (as hashes, A-Z folded) of each language, over all documents.
+
+    A null language has a reference of its own, over the documents without one.
     """
 
     def count(batches):
+        held: dict = {}
+        size = 0
         for batch in batches:
             langs, which = np.unique(np.array(batch.column(0).fill_null(_NULL).to_pylist(), object).astype(str), return_inverse=True) if batch.num_rows else (np.zeros(0, str), np.zeros(0, int))
-            chars = np.zeros((len(langs), len(CLASSES)), np.int64)
-            keys, owner = [], []
             for lo, hi, d, o, starts, ends, first in _runs(batch, 1):
-                np.add.at(chars, which[lo:hi], _class_counts(d, o))
-                keys.append(c.hash_spans(c.FOLD[d], starts, ends))
-                owner.append(np.repeat(which[lo:hi], np.diff(first)))
-            keys, owner = np.concatenate(keys or [np.zeros(0, np.uint64)]), np.concatenate(owner or [np.zeros(0, int)])
-            for i, lang in enumerate(langs):
-                own, n = np.unique(keys[owner == i], return_counts=True)
-                own = np.concatenate((np.arange(len(CLASSES)), own.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array([True] * len(CLASSES) + [False] * len(n)), pa.array(own), pa.array(np.concatenate((chars[i], n)))], ["lang", "is_class", "key", "n"])
-
-    counts = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, is_class boolean, key long, n long")
-    totals = counts.groupBy("lang", "is_class", "key").agg(F.sum("n").alias("n"))
-    ranked = totals.withColumn("place", F.row_number().over(Window.partitionBy("lang", "is_class").orderBy(F.desc("n"), "key")))
-    top = ranked.where(F.col("place") <= max(common, len(CLASSES)))
-    # both sums come from the same counts: all words of a language, and its commonest
-    sums = totals.where("not is_class").groupBy("lang").agg(F.sum("n").alias("n_words")).orderBy(F.desc("n_words"), "lang").limit(most_languages)
-    bins = top.groupBy("lang").agg(
-        F.sort_array(F.collect_list(F.when(F.col("is_class"), F.struct("key", "n")))).alias("chars"),
-        F.sort_array(F.collect_list(F.when(~F.col("is_class") & (F.col("place") <= common), F.struct("key", "n")))).alias("words"),
+                keys, chars, own = c.hash_spans(c.FOLD[d], starts, ends), _class_counts(d, o), which[lo:hi]
+                owner = np.repeat(own, np.diff(first))
+                for i in np.unique(own):
+                    # what is counted of a language besides its words: its classes, words and documents
+                    fixed = np.append(chars[own == i].sum(0), [(owner == i).sum(), (own == i).sum()])
+                    found, n = np.unique(keys[owner == i], return_counts=True)
+                    held.setdefault(langs[i], []).append((np.concatenate((np.arange(len(fixed)), found.view(np.int64))), np.concatenate((fixed, n)), np.arange(len(fixed) + len(n)) < len(fixed)))
+                    size += len(n)
+                if size > 2 * _HELD:
+                    held, size = _merged(held)
+                if size > _HELD:
+                    yield from _counted(held)
+                    held, size = {}, 0
+        yield from _counted(_merged(held)[0])
+
+    counts = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, fixed boolean, key long, n long")
+    totals = counts.groupBy("lang", "fixed", "key").agg(F.sum("n").alias("n"))
+    ranked = totals.withColumn("place", F.row_number().over(Window.partitionBy("lang", "fixed").orderBy(F.desc("n"), "key")))
+    bins = ranked.where(F.col("place") <= max(common, len(CLASSES) + 2)).groupBy("lang").agg(
+        F.sort_array(F.collect_list(F.when(F.col("fixed"), F.struct("key", "n")))).alias("fixed"),
+        F.sort_array(F.collect_list(F.when(~F.col("fixed") & (F.col("place") <= common), F.struct("key", "n")))).alias("words"),
     )
-    return bins.join(sums, "lang").select("lang", F.col("chars.n").alias("chars"), "n_words", F.col("words.key").alias("keys"), F.col("words.n").alias("counts"))
+    n = F.col("fixed.n")
+    return bins.select("lang", F.element_at(n, len(CLASSES) + 2).alias("n_docs"), F.slice(n, 1, len(CLASSES)).alias("chars"), F.element_at(n, len(CLASSES) + 1).alias("n_words"), F.col("words.key").alias("keys"), F.col("words.n").alias("counts"))
+
+
+def _merged(held: dict) -> tuple[dict, int]:
+    """The counts of a task with each key of a language once, and how many there are."""
+    out = {}
+    for lang, parts in held.items():
+        key, n, fixed = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((key, ~fixed))
+        key, n, fixed = key[order], n[order], fixed[order]
+        head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (fixed[1:] != fixed[:-1]))))
+        out[lang] = [(key[head], np.add.reduceat(n, head), fixed[head])]
+    return out, sum(len(x[0][0]) for x in out.values())
+
+
+def _counted(held: dict):
+    for lang, parts in held.items():
+        for key, n, fixed in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(fixed), pa.array(key), pa.array(n)], ["lang", "fixed", "key", "n"])
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -90,62 +115,79 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, least_wo
     """Base counts and the divergence verdict of every row.
 
     ``kept`` is false if the base rules fail or if a text of at least ``least_words`` words is further than ``most_char_distance`` or
-    ``most_word_distance`` from the reference of its language (the nearest of all where its language has none). Returns
+    ``most_word_distance`` from the reference of its language. Returns
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance and word_distance, then
-    the columns ``carry`` of ``docs`` as they are.
-    A null or empty text has no words, so it fails the base rules; null or unknown languages are compared with every
-    reference; rows that repeat give equal results; an empty table gives an empty table.
+    the columns ``carry`` of ``docs`` as they are; give those whose names these columns have other names first.
+    A null or empty text has no words, so it fails the base rules. A text without a language is compared with the reference of the texts
+    without one and with those of the large languages (at least a 500th of all documents each, so 500 at most), and the nearest counts; a
+    language that ``references`` lacks has distance 0. Rows that repeat give equal results; an empty table gives an empty table.
+    References of large languages go to every task; texts of other languages are joined to theirs.
     """
-    references = language_references(docs, lang_col=lang_col, text_col=text_col) if references is None else references
-    refs = {r["lang"]: r for r in references.collect()}  # most_languages rows of a fixed number of bins
-    names = sorted(refs)
-    vocabulary = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.array(refs[x]["keys"], np.int64) for x in names)])).view(np.uint64)
-    vocabulary = np.sort(vocabulary)
-    k = len(vocabulary)
-    member = np.zeros((len(names), k + 1), bool)
-    words = np.zeros((len(names), k + 1))
-    for i, x in enumerate(names):
-        at = np.searchsorted(vocabulary, np.array(refs[x]["keys"], np.int64).view(np.uint64))
-        member[i, at], words[i, at] = True, refs[x]["counts"]
-        words[i, k] = refs[x]["n_words"] - sum(refs[x]["counts"])
-    chars = np.array([refs[x]["chars"] for x in names], float).reshape(len(names), len(CLASSES))
-    place = {x: i for i, x in enumerate(names)}
-
-    def judge(batches):
-        for batch in batches:
-            lang = [place.get(_NULL if x is None else x, -1) if x is not None else -1 for x in batch.column(1).to_pylist()]
-            done = [_measure(d, o, starts, ends, first, np.array(lang[lo:hi], int)) for lo, hi, d, o, starts, ends, first in _runs(batch, 2)]
-            base = np.concatenate([x for x, _, _ in done]) if done else np.zeros((0, 5), np.int64)
-            far = np.concatenate([np.stack(x[1:], 1) for x in done]) if done else np.zeros((0, 2))
-            failed = (base[:, 0] < 20) | (100 * base[:, 4] > 30 * base[:, 0])
-            odd = (base[:, 0] >= least_words) & ((far[:, 0] > most_char_distance) | (far[:, 1] > most_word_distance))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(base[:, i]) for i in range(5)), pa.array(failed), pa.array(~failed & ~odd), pa.array(far[:, 0]), pa.array(far[:, 1]), *batch.columns[3:]], [*(x.split()[0] for x in _RESULT.split(", ")), *carry])
-
-    def _measure(d, o, starts, ends, first, lang):
-        n, size = np.diff(first), len(o) - 1
-        row = np.repeat(np.arange(size), n)
-        lead = np.concatenate(([0], np.cumsum((d & 0xC0) != 0x80)))
-        word_chars = np.bincount(row, lead[ends] - lead[starts], size).astype(np.int64)
-        symbols = np.concatenate(([0], np.cumsum(_SYMBOLS[d])))
-        base = np.stack([n, word_chars, symbols[o[1:]] - symbols[o[:-1]], _dup_lines(d, o, starts), _repeat_words(c.hash_spans(d, starts, ends), first, 8)], 1)
-        h = c.hash_spans(c.FOLD[d], starts, ends)
-        at = np.minimum(np.searchsorted(vocabulary, h), max(k - 1, 0))
-        known = vocabulary[at] == h if k else np.zeros(len(h), bool)
-        hist = np.bincount(row * (k + 1) + np.where(known, at, k), minlength=size * (k + 1)).reshape(size, k + 1)
-        own = _class_counts(d, o)
-        char_far, word_far = np.full(size, np.inf), np.full(size, np.inf)
-        for i in range(len(names)):
-            use = np.flatnonzero((lang == i) | (lang < 0))
-            if len(use):
-                # words that are common in other languages only count as other words
-                p = np.where(member[i], hist[use], 0)
-                p[:, k] = n[use] - p[:, :k].sum(1)
-                w, x = distance(p, words[i]), distance(own[use], chars[i])
-                better = w < word_far[use]
-                word_far[use], char_far[use] = np.where(better, w, word_far[use]), np.where(better, x, char_far[use])
-        return base, np.where(np.isinf(char_far), 0.0, char_far), np.where(np.isinf(word_far), 0.0, word_far)
-
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), *carry).mapInArrow(judge, _RESULT + c.typed(docs, carry))
+    if references is None:
+        references = c.saved(language_references(docs, lang_col=lang_col, text_col=text_col), "references")
+    total = references.agg(F.sum("n_docs"), F.count("*")).first()
+    large = (F.col("n_docs") * 500 >= (total[0] or 0)) | (F.col("lang") == _NULL)
+    known = {r["lang"]: _Reference(r) for r in references.where(large).collect()}  # 501 rows of a fixed number of bins at most
+    names = [f"_{i}" for i in range(len(carry))]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), *(F.col(x).alias(n) for x, n in zip(carry, names, strict=True)))
+    schema = _RESULT + c.typed(docs, carry)
+
+    def judge(joined: bool):
+        def work(batches):
+            for batch in batches:
+                langs = batch.column(1).to_pylist()
+                refs = {x: _Reference(r) for x, r in zip(langs, batch.column(batch.num_columns - 1).to_pylist(), strict=True) if r is not None} if joined else known
+                own = np.array([_NULL if x is None else x for x in langs], object)
+                done = [_measure(d, o, starts, ends, first, own[lo:hi], refs) for lo, hi, d, o, starts, ends, first in _runs(batch, 2)]
+                base = np.concatenate([x for x, _, _ in done]) if done else np.zeros((0, 5), np.int64)
+                far = np.concatenate([np.stack(x[1:], 1) for x in done]) if done else np.zeros((0, 2))
+                failed = (base[:, 0] < 20) | (100 * base[:, 4] > 30 * base[:, 0])
+                odd = (base[:, 0] >= least_words) & ((far[:, 0] > most_char_distance) | (far[:, 1] > most_word_distance))
+                out = [batch.column(0), *(pa.array(base[:, i]) for i in range(5)), pa.array(failed), pa.array(~failed & ~odd), pa.array(far[:, 0]), pa.array(far[:, 1])]
+                yield pa.RecordBatch.from_arrays([*out, *batch.columns[3 : 3 + len(carry)]], [*(x.split()[0] for x in _RESULT.split(", ")), *carry])
+
+        return work
+
+    if total[1] <= len(known):
+        return rows.mapInArrow(judge(False), schema)
+    here = F.coalesce(F.col("lang").isin([x for x in known if x != _NULL]), F.lit(True))
+    rest = references.where(~large).select("lang", F.struct("chars", "n_words", "keys", "counts").alias("_reference"))
+    return rows.where(here).mapInArrow(judge(False), schema).union(rows.where(~here).join(rest, "lang", "left").select(*rows.columns, "_reference").mapInArrow(judge(True), schema))
+
+
+class _Reference:
+    """The histograms of a language: class counts, the ascending hashes of its commonest words, their counts and that of all others."""
+
+    def __init__(self, row):
+        keys = np.array(row["keys"], np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        self.chars, self.keys = np.array(row["chars"], float), keys[order]
+        self.words = np.append(np.array(row["counts"], float)[order], row["n_words"] - sum(row["counts"]))
+
+
+def _measure(d, o, starts, ends, first, lang, refs: dict):
+    n, size = np.diff(first), len(o) - 1
+    row = np.repeat(np.arange(size), n)
+    lead = np.concatenate(([0], np.cumsum((d & 0xC0) != 0x80)))
+    word_chars = np.bincount(row, lead[ends] - lead[starts], size).astype(np.int64)
+    symbols = np.concatenate(([0], np.cumsum(_SYMBOLS[d])))
+    base = np.stack([n, word_chars, symbols[o[1:]] - symbols[o[:-1]], _dup_lines(d, o, starts), _repeat_words(c.hash_spans(d, starts, ends), first, 8)], 1)
+    h, own = c.hash_spans(c.FOLD[d], starts, ends), _class_counts(d, o)
+    char_far, word_far = np.full(size, np.inf), np.full(size, np.inf)
+    for x in set(lang.tolist()):
+        use = np.flatnonzero(lang == x)
+        place = np.full(size, -1)
+        place[use] = np.arange(len(use))
+        word = np.flatnonzero(place[row] >= 0)
+        for r in refs.values() if x == _NULL else [refs[x]] if x in refs else []:
+            k = len(r.keys)
+            at = np.minimum(np.searchsorted(r.keys, h[word]), max(k - 1, 0))
+            at = np.where(r.keys[at] == h[word], at, k) if k else np.zeros(len(word), np.int64)
+            hist = np.bincount(place[row[word]] * (k + 1) + at, minlength=len(use) * (k + 1)).reshape(len(use), k + 1)
+            w, far = distance(hist, r.words), distance(own[use], r.chars)
+            better = w < word_far[use]
+            word_far[use], char_far[use] = np.where(better, w, word_far[use]), np.where(better, far, char_far[use])
+    return base, np.where(np.isinf(char_far), 0.0, char_far), np.where(np.isinf(word_far), 0.0, word_far)
 
 
 def _repeat_words(h: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:

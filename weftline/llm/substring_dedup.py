@@ -4,16 +4,15 @@ Any run of ``window`` words holds a whole block of ``(window + 1) // 2`` words t
 multiple of the block length in its own document. So the aligned blocks of every document are
 the index, every rolling block is a probe, and a repeat cannot hide from them:
 
-1. each chunk of documents packs its rolling blocks by bucket: a 24-bit mark, and the word's place
-   as a gap of about a byte; aligned places are those whose offset divides by the block length;
-2. a bucket names the places whose block is aligned in a document with a smaller id (probe hits), and
-   the aligned places that such a probe found (anchor hits);
-3. hits are extended: every window around a hit is hashed in full (64 bits), and the smallest doc_id
-   of each window decides. Windows that follow each other merge to maximal repeats, which are removed.
-
-Extension goes through the windows' own keys and not through pairs of documents, so a passage that
-thousands share costs each of them a few bytes and never a pair. Marks only choose candidates: a
-false hit costs one window and changes nothing.
+1. each chunk of documents sends the marks of its distinct rolling blocks to their buckets, with two bits: is the block aligned
+   somewhere in the chunk, and do several of its documents have it;
+2. a bucket answers with the marks that are aligned somewhere and lie in several documents: the hits;
+3. hits are extended: every window around a hit is hashed in full (64 bits), each chunk sends its distinct windows with the smallest doc_id
+   that has them, and a bucket answers with the smallest of all. Windows that also begin in a smaller doc_id are repeats; those that
+   follow each other merge to maximal repeats, which are removed.
+
+Extension goes through the windows' own keys and not through pairs of documents, and a passage that thousands of a chunk's documents
+share is one entry of the chunk. Marks only choose candidates: a false hit costs one window and changes nothing.
 """
 
 from __future__ import annotations
@@ -29,6 +28,9 @@ from . import common as c
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:long,end:long>>"
 
 
+_NONE = np.iinfo(np.int64).max
+
+
 def _chunk_words(table: pa.Table):
     """(lo, hi, data, at, starts, ends, first, hashes, number of earlier words) by runs of rows."""
     data, at = c.strings(table.column(1))
@@ -42,130 +44,94 @@ def _chunk_words(table: pa.Table):
 
 def _ids(table: pa.Table) -> np.ndarray:
     """doc_ids in order; null, which sort_by puts last, is above all of them and matches nothing."""
-    return table.column(0).combine_chunks().fill_null(np.iinfo(np.int64).max).to_numpy().astype(np.int64)
-
+    return table.column(0).combine_chunks().fill_null(_NONE).to_numpy().astype(np.int64)
 
-def _head(ids: np.ndarray, counts: np.ndarray) -> bytes:
-    """The chunk's documents: ids ascend, so they and the word counts take a few bytes each."""
-    low = int(ids[0]) if len(ids) else 0
-    known = ids < np.iinfo(np.int64).max
-    return np.int64([low, len(ids), int(known.sum())]).tobytes() + c.pack_ascending(ids[known] - low) + c.pack_ascending(np.cumsum(counts))
 
+def _rank(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The row of each word, and so, as ids ascend, the order of its doc_id."""
+    return np.repeat(np.arange(len(ids)), np.diff(first))
 
-def _read_head(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    low, n, known = np.frombuffer(b, np.int64, 3)
-    size = 8 + known + 8 * int((np.frombuffer(b, np.uint8, known, 32) == 255).sum())
-    ids = np.full(n, np.iinfo(np.int64).max)
-    ids[:known] = c.unpack_ascending(b[24 : 24 + size]) + low
-    return ids, np.concatenate(([0], c.unpack_ascending(b[24 + size :])))
 
-
-def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), chunk_bytes: int = 32 << 20) -> DataFrame:
     """Remove each word that a window of ``window`` words covers whose words also begin in a document with a smaller id.
 
     Returns doc_id, n_words, n_removed, kept_sha256 (kept words joined by a space); with ``texts``
     also kept_text (the text without the removed stretches; unchanged if none is) and spans (byte offsets of what was
-    removed), then the columns ``carry`` of ``docs`` as they are. A null text has no words and stays null. A null
+    removed), then the columns ``carry`` of ``docs`` as they are; give those whose names these columns have other names first. A null text has no words and stays null. A null
     doc_id is smaller than none and none is smaller than it, so such a row is kept whole. Rows that repeat a doc_id don't remove
-    each other's words. An empty table gives an empty table.
+    each other's words. An empty table gives an empty table. A task holds a chunk of about ``chunk_bytes`` of text, or one longer text.
     """
     spark = docs.sparkSession
-    n = c.partitions(spark)
-    tags = c.labels(spark, n)
-    of_tag = {t: i for i, t in enumerate(tags)}
-    block = (window + 1) // 2
     named = [f"_{i}" for i in range(len(carry))]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(x).alias(n) for x, n in zip(carry, named, strict=True)))
-    whole = c.chunks(rows, tags, rows.columns)
+    n = c.chunk_count(spark, c.text_bytes(rows, "text"), chunk_bytes)
+    block = (window + 1) // 2
+    # so many bits tell the marks of a bucket apart, whatever the number of buckets
+    drop = max(0, 64 - 26 - n.bit_length())
+    whole = c.chunks(rows, n)
     schema = (_RESULT if texts else _RESULT.split(", kept_text")[0]) + c.typed(docs, carry)
     empty = pa.schema([(f"_{i}", pa.null()) for i in range(len(carry))])
 
-    def blocks(key, table):
-        table = c.thaw(table.column("packed").to_pylist())
-        marks, places, counts = [], [], []
+    none = c.ask(0, np.zeros(0, np.uint64), np.zeros(0, np.int64), n)
+    none = none.append_column("low", pa.array([], pa.int64())).append_column("ids", pa.array([], pa.binary()))
+
+    def marks_of(table):
+        """(place of every rolling block, its mark, its row, is it aligned, number of words) of a chunk."""
+        ids, places, marks, rows, aligned, seen_rows, total = _ids(table), [], [], [], [], 0, 0
         for _, _, _, _, _, _, first, h, seen in _chunk_words(table):
-            w = c.windows(h, block, 1)
+            own = ids[seen_rows : seen_rows + len(first) - 1]
             ok = np.flatnonzero(c.inside_rows(first, block))
-            marks.append(w[ok])
+            row = _rank(own, first)[ok]
+            ok, row = ok[own[row] < _NONE], row[own[row] < _NONE]
+            marks.append((c.windows(h, block, 1)[ok] >> np.uint64(drop)) << np.uint64(drop))
             places.append(ok + seen)
-            counts.append(np.diff(first))
-        marks, places = np.concatenate(marks), np.concatenate(places)
-        head = _head(_ids(table), np.concatenate(counts))
-        rows, a, b = [], [], []
-        for i, which in c.deal(marks, n):
-            rows.append(tags[i])
-            m = (marks[which] & np.uint64(0xFFFFFF)).astype(np.uint32)
-            a.append(m.view(np.uint8).reshape(-1, 4)[:, :3].tobytes())
-            b.append(c.pack_ascending(places[which]))
-        return _packed(rows, int(key[0].as_py()), a, b, head)
+            aligned.append((ok - first[row]) % block == 0)
+            rows.append(row + seen_rows)
+            seen_rows += len(own)
+            total = seen + len(h)
+        return np.concatenate(places), np.concatenate(marks), np.concatenate(rows), np.concatenate(aligned), total
+
+    def blocks(key, table):
+        table = c.thaw(table.column("packed").to_pylist())
+        _, marks, row, aligned, _ = marks_of(table)
+        order, head, keys = c.distinct(marks)
+        if not len(keys):
+            return c.ask(0, keys, keys.astype(np.int64), n, drop)
+        doc = _ids(table)[row[order]]
+        several = np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head)
+        return c.ask(int(key[0].as_py()), keys, np.logical_or.reduceat(aligned[order], head) + 2 * several, n, drop)
 
     def match(key, table):
-        marks, owner, places, doc, aligned, sizes = [], [], [], [], [], []
-        for chunk, a, b, head in zip(*(table.column(x).to_pylist() for x in ("chunk", "a", "b", "head")), strict=True):
-            p = c.unpack_ascending(b)
-            ids, first = _read_head(head)
-            row = np.searchsorted(first, p, "right") - 1
-            m = np.zeros((len(p), 4), np.uint8)
-            m[:, :3] = np.frombuffer(a, np.uint8).reshape(-1, 3)
-            marks.append(m.view(np.uint32).ravel())
-            doc.append(ids[row])
-            aligned.append((p - first[row]) % block == 0)
-            places.append(p.astype(np.uint32))
-            owner.append(chunk)
-            sizes.append(len(p))
-        marks, doc, aligned = np.concatenate(marks), np.concatenate(doc), np.concatenate(aligned)
-        order = np.argsort(marks, kind="stable")
-        m = marks[order]
-        head = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
-        group = np.empty(len(m), np.int64)
-        group[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(m))))
-        top = np.iinfo(np.int64).max
-        least = np.minimum.reduceat(np.where(aligned, doc, top)[order], head)
-        most = np.maximum.reduceat(np.where(doc == top, -top, doc)[order], head)
-        hit = (doc < top) & ((least[group] < doc) | (aligned & (most[group] > doc)))
-        return _found(owner, sizes, places, hit)
+        chunk, sizes, keys, flags = c.asked(table, drop)
+        flags, times = c.by_key(keys, flags, np.bitwise_or)
+        return _answers(chunk, sizes, (flags & 1 > 0) & ((flags & 2 > 0) | (times > 1)), keys)
 
     def extend(key, left, right):
         if left.num_rows == 0 or right.num_rows == 0:
-            return _packed([], 0, [], [], b"")
+            return none
         table = c.thaw(left.column("packed").to_pylist())
-        hits = np.sort(np.concatenate([c.unpack_ascending(x) for x in right.column("places").to_pylist()]))
-        keys, places, counts = [], [], []
-        for _, _, _, _, _, _, first, h, seen in _chunk_words(table):
-            counts.append(np.diff(first))
+        places, marks, _, _, total = marks_of(table)
+        _, found = _found(right)
+        near, ids = c.cover(total, np.maximum(places[_member(marks >> np.uint64(drop), found)] - (window - block), 0), window - block + 1), _ids(table)
+        keys, docs_ = [], []
+        for lo, hi, _, _, _, _, first, h, seen in _chunk_words(table):
             w = c.windows(h, window, 2)
-            own = hits[np.searchsorted(hits, seen) : np.searchsorted(hits, seen + len(h))] - seen
-            near = c.cover(len(h), np.maximum(own - (window - block), 0), own - np.maximum(own - (window - block), 0) + 1)[: len(w)]
-            ok = np.flatnonzero(near & c.inside_rows(first, window))
-            keys.append(w[ok])
-            places.append(ok + seen)
-        keys, places = np.concatenate(keys), np.concatenate(places)
-        head = _head(_ids(table), np.concatenate(counts))
-        rows, a, b = [], [], []
-        for i, which in c.deal(keys, n):
-            rows.append(tags[i])
-            a.append(keys[which].tobytes())
-            b.append(c.pack_ascending(places[which]))
-        return _packed(rows, int(key[0].as_py()), a, b, head)
+            ok = np.flatnonzero(near[seen : seen + len(w)] & c.inside_rows(first, window))
+            doc = np.repeat(ids[lo:hi], np.diff(first))[ok]
+            keys.append(w[ok][doc < _NONE]), docs_.append(doc[doc < _NONE])
+        keys, docs_ = np.concatenate(keys), np.concatenate(docs_)
+        order, head, keys = c.distinct(keys)
+        if not len(keys):
+            return none
+        least, most = np.minimum.reduceat(docs_[order], head), np.maximum.reduceat(docs_[order], head)
+        out, low = c.ask(int(key[0].as_py()), keys, most > least, n), docs_.min()
+        return out.append_column("low", pa.array([int(low)] * out.num_rows, pa.int64())).append_column("ids", pa.array([c.pack(least[lo:hi] - low) for _, lo, hi in c.bucket_cuts(keys, n)], pa.binary()))
 
     def decide(key, table):
-        keys, doc, owner, places, sizes = [], [], [], [], []
-        for chunk, a, b, head in zip(*(table.column(x).to_pylist() for x in ("chunk", "a", "b", "head")), strict=True):
-            p = c.unpack_ascending(b)
-            ids, first = _read_head(head)
-            keys.append(np.frombuffer(a, np.uint64))
-            doc.append(ids[np.searchsorted(first, p, "right") - 1])
-            places.append(p.astype(np.uint32))
-            owner.append(chunk)
-            sizes.append(len(p))
-        keys, doc = np.concatenate(keys), np.concatenate(doc)
-        order = np.argsort(keys, kind="stable")
-        k = keys[order]
-        head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        least = np.minimum.reduceat(doc[order], head)
-        repeat = np.empty(len(k), bool)
-        repeat[order] = np.repeat(least, np.diff(np.append(head, len(k)))) < doc[order]
-        return _found(owner, sizes, places, repeat & (doc < np.iinfo(np.int64).max))
+        chunk, sizes, keys, several = c.asked(table)
+        least = np.concatenate([np.zeros(0, np.int64), *(c.unpack(x) + low for x, low in zip(table.column("ids").to_pylist(), table.column("low").to_pylist(), strict=True))])
+        first, _ = c.by_key(keys, least, np.minimum)
+        return _answers(chunk, sizes, (first < least) | (several > 0), keys, first)
 
     def finish(key, left, right):
         if left.num_rows == 0:
@@ -173,10 +139,14 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, id_col
         table = c.thaw(left.column("packed").to_pylist())
         ids = table.column(0).to_pylist()
         null = table.column(1).is_null().to_pylist()
-        repeats = np.sort(np.concatenate([np.zeros(0, np.int64), *(c.unpack_ascending(x) for x in right.column("places").to_pylist())]))
+        firsts, found = _found(right)
+        known = _ids(table)
         words, removed, shas, kept_texts, spans = [], [], [], [], []
-        for lo, hi, d, o, starts, ends, first, _, seen in _chunk_words(table):
-            own = repeats[np.searchsorted(repeats, seen) : np.searchsorted(repeats, seen + len(starts))] - seen
+        for lo, hi, d, o, starts, ends, first, h, _ in _chunk_words(table):
+            w = c.windows(h, window, 2)
+            own = np.flatnonzero(_member(w, found) & c.inside_rows(first, window))
+            doc = np.repeat(known[lo:hi], np.diff(first))[own]
+            own = own[(firsts[np.searchsorted(found, w[own])] < doc) & (doc < _NONE)]
             gone = c.cover(len(starts), own, window)
             raw, total = d.tobytes(), np.concatenate(([0], np.cumsum(gone)))
             for r in range(hi - lo):
@@ -198,28 +168,47 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, id_col
                     spans.append([{"start": x, "end": y} for x, y in cut])
         return _rows(ids, words, removed, shas, kept_texts, spans, texts, table, carry)
 
-    packed = "bucket int, chunk int, a binary, b binary, head binary"
-    found = "chunk int, places binary"
-    hits = whole.groupBy("chunk").applyInArrow(blocks, packed).groupBy("bucket").applyInArrow(match, found)
-    near = whole.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(extend, packed)
-    gone = near.groupBy("bucket").applyInArrow(decide, found)
-    return whole.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(finish, schema)
+    hits = c.to_buckets(whole.groupBy("chunk").applyInArrow(blocks, c.ASKED), n).applyInArrow(match, _FOUND)
+    near = c.with_answers(whole, hits, n).applyInArrow(extend, c.ASKED + ", low long, ids binary")
+    gone = c.to_buckets(near, n).applyInArrow(decide, _FOUND)
+    return c.with_answers(whole, gone, n).applyInArrow(finish, schema)
 
 
-def _packed(rows, chunk: int, a, b, head: bytes) -> pa.Table:
-    return pa.table({"bucket": pa.array(rows, pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "head": pa.array([head] * len(rows), pa.binary())})
+_FOUND = "chunk int, keys binary, firsts binary"
 
 
-def _found(owner, sizes, places, hit: np.ndarray) -> pa.Table:
-    """The places that were hit, one row per chunk that has some."""
-    rows, packed, lo = [], [], 0
-    for chunk, size, p in zip(owner, sizes, places, strict=True):
-        own = p[hit[lo : lo + size]]
+def _answers(chunk: list, sizes: list, hit: np.ndarray, keys: np.ndarray, firsts: np.ndarray | None = None) -> pa.Table:
+    """The keys of each chunk that were hit, with their smallest doc_ids if there are such."""
+    rows, packed, ids, lo = [], [], [], 0
+    for i, size in zip(chunk, sizes, strict=True):
+        own = np.flatnonzero(hit[lo : lo + size]) + lo
         lo += size
         if len(own):
-            rows.append(chunk)
-            packed.append(c.pack_ascending(own))
-    return pa.table({"chunk": pa.array(rows, pa.int32()), "places": pa.array(packed, pa.binary())})
+            rows.append(i)
+            packed.append(keys[own].tobytes())
+            ids.append(b"" if firsts is None else firsts[own].tobytes())
+    return pa.table({"chunk": pa.array(rows, pa.int32()), "keys": pa.array(packed, pa.binary()), "firsts": pa.array(ids, pa.binary())})
+
+
+def _found(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest doc_ids, keys), by ascending keys."""
+    keys = np.frombuffer(b"".join(answers.column("keys").to_pylist()), np.uint64)
+    firsts = np.frombuffer(b"".join(answers.column("firsts").to_pylist()), np.int64)
+    order = np.argsort(keys)
+    return firsts[order] if len(firsts) else firsts, keys[order]
+
+
+def _member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in the ascending keys ``known``; a table of bits of the keys leaves few to be looked up."""
+    bits = min(24, max(10, len(known).bit_length() + 4))
+    sieve = np.zeros(1 << bits, bool)
+    mask = np.uint64((1 << bits) - 1)
+    sieve[(known & mask).astype(np.int64)] = True
+    out = sieve[(x & mask).astype(np.int64)]
+    some = np.flatnonzero(out)
+    if len(known):
+        out[some] = known[np.minimum(np.searchsorted(known, x[some]), len(known) - 1)] == x[some]
+    return out
 
 
 def _rows(ids, words, removed, shas, kept_texts, spans, texts: bool, table: pa.Table, carry) -> pa.Table:
@@ -227,4 +216,4 @@ def _rows(ids, words, removed, shas, kept_texts, spans, texts: bool, table: pa.T
     if texts:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         out |= {"kept_text": pa.array(kept_texts, pa.string()), "spans": pa.array(spans, span)}
-    return pa.Table.from_arrays([*out.values(), *(table.column(f"_{i}") for i in range(len(carry)))], [*out, *carry])
+    return pa.Table.from_arrays([*out.values(), *(c.plain(table.column(f"_{i}")) for i in range(len(carry)))], [*out, *carry])

@@ -45,6 +45,7 @@ def _runs(column):
 
 def sample(docs: DataFrame, labels: DataFrame, usable, most_toxic: int, most_clean: int) -> tuple[DataFrame, dict]:
     """(doc_id, text, toxic) of at most ``most_toxic`` and ``most_clean`` labelled documents, and how many there are of each."""
+    docs, labels = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (F.lit(True) if usable is None else usable)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {int(r[0]): r[1] for r in known.groupBy((F.col("toxic") > 0).cast("int")).count().collect()}
     ranked = [known.where(x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for x, n in (("toxic > 0", most_toxic), ("toxic <= 0", most_clean))]
@@ -232,8 +233,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, usable=None, most_toxic: int = 3000, most_clean: int = 9000, most_traits: int = 20000, least_gain: float = 4.0, most_trained: int = 1500) -> dict:
     """The model from rows (doc_id, text) and (doc_id, toxic): a dict of arrays whose size the limits bound.
 
-    ``usable`` is the condition on doc_id for labels that may be learned from. The field's own weights are fitted in one task on
-    the ``most_trained`` first documents of either class. Without labels of both classes every score is the share of toxic labels.
+    ``usable`` is the condition on doc_id for labels that may be learned from. Traits and the score are fitted on at most ``most_toxic`` and
+    ``most_clean`` documents, the field's own weights in one task on the ``most_trained`` first of either. Other columns are not read. Without labels of both classes every score is the share of toxic labels.
     """
     rows, sizes = sample(docs, labels, usable, most_toxic, most_clean)
     model = _lexicon(rows, sizes, (most_toxic, most_clean), most_traits, least_gain)
@@ -309,7 +310,7 @@ def score(docs: DataFrame, model: dict, spans: bool = True, least: float = 0.5,
                 out.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))))
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "score", "predicted", "spans"][: len(out)])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, score double, predicted int" + (_SPANS if spans else ""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, score double, predicted int" + (_SPANS if spans else ""))
 
 
 def held_out(doc_id):
