@@ -1,15 +1,20 @@
 """HTML extraction by the consensus of a host.
 
 Each page's containers are scored by the text that stands in them outside links, and the best one casts a vote for
-its path of generalised tags and classes (digits dropped, inline tags left out). Votes are counted per host in Spark; the paths with
+its path of generalised tags, classes and ids (digits dropped, inline tags left out). Votes are counted per host in Spark; the paths with
 a tenth of a host's votes or more win (ten at most). Every page is then extracted again from the winning paths of its host, the strongest
 that the page has; a page that has none of them falls back to its own best container.
+
+What surrounds an article is told by tags (a header only outside the article) and by names, which count for an element only if it is small beside the page or
+neither holds the page's heading nor main element; where pages have no article or main element, also by short blocks that most pages of their host repeat.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import namedtuple
 from functools import lru_cache
 
 import pyarrow as pa
@@ -36,34 +41,61 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Tags of the page and of the article itself, whose names are no hints.
 _MAIN = frozenset("html body main article".split())
+#: Names of reader comments, which may be longer than what they are about.
+_REPLIES = frozenset("comment comments respond disqus".split())
+#: Parts of names of an element that holds an article, whose header is the article's own.
+_BODY = frozenset("article content entry hentry post story".split())
+_HEADINGS = frozenset("h1".split())
+_SHORT = 200  # characters of a block that may be a notice
+Block = namedtuple("Block", "path outside text free own heading")  # own: in an article or main element
 
 
 @lru_cache(20000)
-def _kind(tag: str, rest: str) -> tuple[str, bool]:
-    """(generalised step of a path, whether a whole name of its class, id or role hints that it surrounds the article)."""
-    classes, hint = [], False
+def _kind(tag: str, rest: str) -> tuple[str, str, bool]:
+    """(generalised step of a path, what its names hint at: "" or "around" or "replies", whether they are those of an article's element)."""
+    classes, hint, body = [], "", False
     if rest:
         for name, *values in _NAMES.findall(rest):
             value = "".join(values).lower()
-            hint |= tag not in _MAIN and any(re.sub(r"[-_]*\d+", "", w) in _HINTS for w in value.split())
-            if name.lower() == "class":
-                classes += [re.sub(r"\d+", "", x) for x in value.split()]
-    return ".".join([tag, *sorted({x for x in classes if x})]), hint
+            names = [re.sub(r"[-_]*\d+", "", w) for w in value.split()]
+            if tag not in _MAIN and any(w in _HINTS for w in names):
+                hint = "replies" if hint == "replies" or any(w in _REPLIES for w in names) else "around"
+            body |= any(x in _BODY for w in names for x in re.split("[-_]", w))
+            if name.lower() != "role":
+                classes += [("#" if name.lower() == "id" else "") + re.sub(r"\d+", "", x) for x in value.split()]
+    return ".".join([tag, *sorted({x for x in classes if x})]), hint, body
+
+
+class _Element:
+    """An open element: its tag and step, why it may surround an article, and what it holds."""
 
+    __slots__ = ("tag", "step", "why", "body", "inside", "free", "main")
 
-def read_blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
-    """(container path, is it in something that surrounds an article, text, letters outside links) of each block in page order.
+    def __init__(self, tag: str, rest: str, parents: list):
+        self.tag, (self.step, hint, self.body) = tag, _kind(tag, rest)
+        # in an article or main element
+        self.inside = tag in ("article", "main") or any(x.inside for x in parents)
+        own_header = tag == "header" and (any(x.tag in ("article", "main", "section") for x in parents) or bool(parents) and parents[-1].body)
+        self.why = hint or ("tag" if tag in _NOT_MAIN or tag == "header" and not own_header else "")
+        self.free, self.main = 0, False
 
-    A hint does not count on a container that holds nine tenths or more of the text outside links, and none counts on a page that would
-    have no such text left.
+
+def read_blocks(page: str) -> list[Block]:
+    """Its blocks in page order: container path, is it in something that surrounds an article, text, letters outside links, is it in an article or main element, is it a heading.
+
+    An element with nine tenths or more of the page's text outside links does not surround the article, whatever its tag or names, unless they are
+    those of reader comments; nor do forms and elements with names that hold a main element or the first heading. If all text would be left out, none is.
     """
-    out, parts, open_, at, linked, free, n_open = [], [], [], 0, 0, 0, 0
+    out, parts, open_, at, linked, free = [], [], [], 0, 0, 0
+    headed = False
 
     def end_block():
         nonlocal free
         text = " ".join("".join(parts).split())
         if text:
-            out.append((tuple(step for tag, step, _ in open_ if tag not in _LEAF), any(tag in _NOT_MAIN for tag, _, _ in open_), text, free, [h for _, _, h in open_ if h]))
+            for x in open_:
+                x.free += free
+            out.append(([x for x in open_ if x.why], Block(tuple(x.step for x in open_ if x.tag not in _LEAF), False, text, free, any(x.inside for x in open_), any(x.tag in _HEADINGS for x in open_))))
         parts.clear()
         free = 0
 
@@ -90,67 +122,104 @@ def read_blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
             end_block()
             if m["end"]:
                 for i in range(len(open_) - 1, -1, -1):
-                    if open_[i][0] == tag:
+                    if open_[i].tag == tag:
                         del open_[i:]
                         break
             else:
                 linked = 0
-                if open_ and open_[-1][0] == "p":  # a paragraph ends where any block begins
+                if open_ and open_[-1].tag == "p":  # a paragraph ends where any block begins
                     open_.pop()
-                if open_ and open_[-1][0] in _ENDS and tag in _ENDS[open_[-1][0]]:
+                if open_ and open_[-1].tag in _ENDS and tag in _ENDS[open_[-1].tag]:
                     open_.pop()
                 if tag not in _VOID:
-                    step, hint = _kind(tag, m["rest"])
-                    n_open += 1
-                    open_.append((tag, step, n_open if hint else 0))
+                    if tag == "main" or tag in _HEADINGS and not headed:
+                        headed |= tag in _HEADINGS and not any(x.why == "tag" and x.tag != "form" for x in open_)
+                        for x in open_:
+                            x.main = True
+                    open_.append(_Element(tag, m["rest"], open_))
     add(page[at:])
     end_block()
-    held: dict[int, int] = {}
-    for _, outside, _, free, hints in out:
-        for h in () if outside else hints:
-            held[h] = held.get(h, 0) + free
-    total = sum(free for _, outside, _, free, _ in out if not outside)
-    count = {h for h, n in held.items() if 10 * n < 9 * total}
-    if not any(free and not outside and count.isdisjoint(hints) for _, outside, _, free, hints in out):
-        count = set()
-    return [(path, outside or not count.isdisjoint(hints), text, free) for path, outside, text, free, hints in out]
-
-
-def best_path(blocks) -> tuple[str, ...] | None:
-    """The container with most text outside links; what it holds also counts half for the container around it."""
+    total = sum(block.free for _, block in out)
+
+    def counts(x: _Element) -> bool:
+        if x.why == "replies":
+            return True
+        if 10 * x.free >= 9 * total:
+            return False
+        return not (x.main and (x.why == "around" or x.tag in ("form", "fieldset", "dialog")))
+
+    marked = [(any(counts(x) for x in around), block) for around, block in out]
+    if not any(block.free and not outside for outside, block in marked):
+        marked = [(any(counts(x) and x.tag in ("nav", "footer", "menu") for x in around), block) for around, block in out]
+    return [block._replace(outside=outside) for outside, block in marked]
+
+
+def best_path(blocks: list[Block]) -> tuple[str, ...] | None:
+    """The container with most text outside links; what it holds also counts half for the container around it.
+
+    Containers in an article or main element, or with a heading, come first if they have a tenth or more of the best one's text besides.
+    """
     score: dict[tuple[str, ...], float] = {}
-    for path, outside, _, free in blocks:
-        if not outside and free:
-            score[path] = score.get(path, 0) + free
-            if path:
-                score[path[:-1]] = score.get(path[:-1], 0) + free / 2
-    return max(score, key=lambda p: (score[p], p), default=None)
+    strong: dict[tuple[str, ...], float] = {}
+    headed = set()
+    for block in blocks:
+        path, free = block.path, block.free
+        if not block.outside and free:
+            if block.heading:
+                headed.add(path)
+            for p, share in ((path, free), (path[:-1], free / 2)) if path else ((path, free),):
+                score[p] = score.get(p, 0) + share
+                if not block.heading:
+                    strong[p] = strong.get(p, 0) + share
+            if block.own:
+                headed.add(path)
+    if not score:
+        return None
+    top = max(score.values())
+    first = {p for p in headed if 10 * strong.get(p, 0) >= top}
+    return max(first or score, key=lambda p: (score[p], p))
 
 
-def extract(blocks, winners) -> str:
-    """The text under the first of the winning paths that this page has, else under its own best."""
+def extract(blocks: list[Block], winners, repeated=frozenset()) -> str:
+    """The text under the first of the winning paths that this page has, else under its own best, without blocks that the host repeats."""
+    own: list[Block] = []
     for path in winners:
-        own = [text for p, outside, text, _ in blocks if not outside and p[: len(path)] == path]
+        own = [x for x in blocks if not x.outside and x.path[: len(path)] == path]
         if own:
-            return "\n\n".join(own)
-    path = best_path(blocks)
-    return "" if path is None else "\n\n".join(text for p, outside, text, _ in blocks if not outside and p[: len(path)] == path)
+            break
+    if not own:
+        path = best_path(blocks)
+        own = [] if path is None else [x for x in blocks if not x.outside and x.path[: len(path)] == path]
+    return "\n\n".join([x.text for x in own if x.own or not repeated or _mark(x) not in repeated])
 
 
-def host_votes(pages: DataFrame) -> DataFrame:
-    """(host, path, votes) of rows (host, html)."""
+def _mark(block: Block) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join([*block.path, "", block.text]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _votes(pages: DataFrame) -> DataFrame:
+    """(host, path, mark, page) of rows (host, html): a row with the path that each page votes for, and one for each short block in it outside article and main elements."""
 
     def vote(batches):
         for b in batches:
-            found: dict[tuple, int] = {}
+            hosts, paths, marks, pages_ = [], [], [], []
             for host, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                path = best_path(read_blocks(page.as_py() or ""))
+                text = page.as_py() or ""
+                blocks = read_blocks(text)
+                path = best_path(blocks)
                 if path is not None:
-                    found[host, " ".join(path)] = found.get((host, " ".join(path)), 0) + 1
-            rows = list(found)
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([p for _, p in rows], pa.string()), pa.array([found[x] for x in rows], pa.int64())], ["host", "path", "votes"])
+                    known = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                    own = {_mark(x) for x in blocks if not x.outside and not x.own and len(x.text) <= _SHORT and x.path[: len(path)] == path}
+                    for m in (None, *sorted(own)):
+                        hosts.append(host), paths.append(" ".join(path) if m is None else None), marks.append(m), pages_.append(known)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(marks, pa.int64()), pa.array(pages_, pa.int64())], ["host", "path", "mark", "page"])
+
+    return pages.mapInArrow(vote, "host string, path string, mark long, page long")
 
-    return pages.mapInArrow(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+
+def host_votes(pages: DataFrame) -> DataFrame:
+    """(host, path, votes) of rows (host, html)."""
+    return _votes(pages).where("mark is null").groupBy("host", "path").agg(F.count("*").alias("votes"))
 
 
 def winning_paths(votes: DataFrame, tenth: int = 10) -> DataFrame:
@@ -161,22 +230,40 @@ def winning_paths(votes: DataFrame, tenth: int = 10) -> DataFrame:
     return strong.groupBy("host").agg(ordered.alias("x")).select("host", F.col("x.path").alias("winners"))
 
 
-def extract_pages(pages: DataFrame, broadcast_hosts: int = 100_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def repeated_blocks(votes: DataFrame, least_pages: int = 5) -> DataFrame:
+    """(host, repeated): marks of the short blocks that at least half of a host's different pages have, and ``least_pages`` at least; copies of a page count once."""
+    marks = votes.where("mark is not null").distinct().groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    pages = votes.where("mark is null").select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
+    return marks.join(pages, "host").where("2 * n >= n_pages").groupBy("host").agg(F.sort_array(F.collect_set("mark")).alias("repeated"))
+
+
+def extract_pages(pages: DataFrame, broadcast_bytes: int = 32 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of every page: page_id, url, text (blocks joined by two line feeds, empty if there are none) and n_chars.
 
-    Up to ``broadcast_hosts`` hosts the winning paths are broadcast; beyond that they are joined by a shuffle. Null html is
-    empty; pages without a host (null or odd urls) share one; rows that repeat give equal results; an empty table gives an empty table.
+    What the hosts have agreed on is broadcast if it is no more than ``broadcast_bytes``; else pages are joined to it by host, those of a large
+    host by several tasks. Null html is empty; pages without a host (null or odd urls) share one; rows that repeat give equal results; an
+    empty table gives an empty table. Other columns are not read.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    winners = c.saved(winning_paths(host_votes(rows.select("host", "html"))), "winners")
-    small = winners.count() <= broadcast_hosts
-    joined = rows.join(F.broadcast(winners) if small else winners, "host", "left").select("page_id", "url", "html", "winners")
+    cast = c.saved(_votes(rows.select("host", "html")), "votes")
+    paths = cast.where("mark is null").groupBy("host", "path").agg(F.count("*").alias("votes"))
+    agreed = winning_paths(paths).join(repeated_blocks(cast), "host", "left")
+    agreed = c.saved(agreed.join(paths.groupBy("host").agg(F.sum("votes").alias("n")), "host"), "hosts")
+    size = agreed.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("winners", " ")) + 8 * F.coalesce(F.size("repeated"), F.lit(0)) + 64), F.sum("n")).first()
+    told = agreed.drop("n")
+    if (size[0] or 0) <= broadcast_bytes:
+        joined = rows.join(F.broadcast(told), "host", "left")
+    else:
+        joined = c.skew_join(rows, told, ["host"], agreed.select("host", "n"), size[1], ["page_id", "url"], "left")
 
     def work(batches):
         for b in batches:
-            texts = [extract(read_blocks(page.as_py() or ""), [tuple(x.split(" ")) if x else () for x in paths or ()]) for page, paths in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
+            texts = [
+                extract(read_blocks(page.as_py() or ""), [tuple(x.split(" ")) if x else () for x in paths_ or ()], frozenset(known or ()))
+                for page, paths_, known in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)
+            ]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    kinds = dict(joined.dtypes)
-    return joined.mapInArrow(work, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    joined = joined.select("page_id", "url", "html", "winners", "repeated")
+    return joined.mapInArrow(work, f"page_id {dict(joined.dtypes)['page_id']}, url string, text string, n_chars long")

@@ -2,17 +2,21 @@
 
 1. Every distinct set of word shingles (a *class*; its copies are only members) gets a signature of ``m`` coordinates. Sets that share
    three quarters of their union agree in at least ``t`` of them but for one pair in millions.
-2. Classes are posted under their (coordinate, value) pairs. Tokens are ranked by how many classes have them, rarest first; of ``t`` or
+2. Classes are posted under their (coordinate, value) pairs: a token is 58 bits of the value's hash and the coordinate. Each chunk of classes
+   sends its distinct tokens with their counts, and is told how many classes have them in all. Tokens are ranked by that, rarest first; of ``t`` or
    more agreements at least one lies in the first m - t + 1 tokens of either side, so only this prefix is posted, and a class with less than ``t``
    tokens that another has is skipped as a whole. What thousands share comes last and is hardly ever posted.
 3. In each list every class is paired with the list's first class only. Pairs that agree in t coordinates are confirmed on the full
    sets; components of the confirmed links follow.
 4. Only lists that still hold more than one component can miss a link. In these each class is first paired with the few of other
    components that agree most, which joins nearly all that belongs together. Then classes that are still in different components are
-   compared once, in the list of their first common token, in blocks of bounded size, by signature and by the smallest ``low`` numbers of
+   compared once, in the list of their first common token, by signature and by the smallest ``low`` numbers of
    their sets. Where those are the whole sets the answer is exact and one link per component is enough; else what may be a link is
-   confirmed on the full sets. Each possible link is in some list, so none is lost, and a group of copies or near copies never
-   makes all its pairs.
+   confirmed on the full sets. Lists are cut by the size of sets, as sets of very different sizes are no link, and then into blocks of bounded
+   size. Each possible link is in some list, so none is lost, and a group of copies or near copies never makes all its pairs.
+
+Sets are compared by 64-bit numbers of their shingles. Joins on keys that a large share of the rows may have (a text's copies, a
+component's classes) split such keys among tasks.
 """
 
 from __future__ import annotations
@@ -50,7 +54,7 @@ def _set_marks(u: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int = 5, m: int = 64) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, sig) of rows (doc_id, text), then their further columns; sig has m 32-bit values, none for an empty set."""
+    """(doc_id, n_shingles, h1, h2, sig) of rows (doc_id, text), then their further columns; sig has m 64-bit values, none for an empty set."""
     carry = docs.columns[2:]
     odd, other = c.constants(m, 6), c.constants(m, 7)
 
@@ -61,11 +65,11 @@ def signatures(docs: DataFrame, k: int = 5, m: int = 64) -> DataFrame:
             for lo, hi in c.parts(at):
                 u, begin = shingle_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], k)
                 n = np.diff(begin)
-                sig = np.zeros((len(n), m), np.uint32)
+                sig = np.zeros((len(n), m), np.uint64)
                 some = np.flatnonzero(n)
                 if len(some):
                     for j in range(m):
-                        sig[some, j] = np.minimum.reduceat(((u ^ other[j]) * odd[j]) >> np.uint64(32), begin[some]).astype(np.uint32)
+                        sig[some, j] = np.minimum.reduceat((u ^ other[j]) * odd[j], begin[some])
                 x, y = _set_marks(u, begin)
                 size.append(n), h1.append(x), h2.append(y)
                 sigs += [s.tobytes() if z else b"" for s, z in zip(sig, n, strict=True)]
@@ -75,44 +79,73 @@ def signatures(docs: DataFrame, k: int = 5, m: int = 64) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, sig binary" + c.typed(docs, carry))
 
 
-def _shared_tokens(classes: DataFrame, m: int) -> DataFrame:
-    """(node, tokens): of each token of a class that two or more have, how often it occurs among all classes, the token and its coordinate."""
-    n = c.partitions(classes.sparkSession)
-    tags = c.labels(classes.sparkSession, n)
-    salt = c.constants(m, 8)
+def _band(n: np.ndarray, percent: int) -> np.ndarray:
+    """A coarse size: sets that may be linked are in the same or in neighbouring ones."""
+    return np.floor(np.log(n) / np.log(101 / percent)).astype(np.int32)
 
-    def post(batches):
-        for b in batches:
-            node = b.column(0).to_numpy()
-            order = np.argsort(node, kind="stable")
-            node = node[order]
-            sig = np.frombuffer(b"".join(b.column(1).take(pa.array(order)).to_pylist()), np.uint32).reshape(-1, m)
-            key = c.mix(sig.astype(np.uint64) ^ salt).ravel()
-            base = int(node[0]) if len(node) else 0
-            who = ((node - base)[:, None] * m + np.arange(m)).ravel()
-            rows, marks, places = [], [], []
-            for i, which in c.deal(key, n):
-                rows.append(tags[i])
-                marks.append((key[which] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
-                places.append(c.pack_ascending(who[which]))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([base] * len(rows), pa.int64()), pa.array(marks, pa.binary()), pa.array(places, pa.binary())], ["bucket", "base", "marks", "places"])
+
+def _marks(classes: DataFrame, m: int, t: int, percent: int, chunk_bytes: int) -> DataFrame:
+    """(node, n_shingles, band, tokens, sig, turn, short) of the classes (node, sig, n_shingles) with ``t`` or more tokens that another class has.
+
+    tokens are the rarest of them, less t - 1; turn has the place in tokens of every coordinate, 255 if it is not there; sig and short have
+    32 and 8 bits of each value.
+    """
+    spark = classes.sparkSession
+    n = c.chunk_count(spark, classes.count() * (8 * m + 64), chunk_bytes)
+    drop = max(6, 64 - 32 - n.bit_length())
+    whole = c.chunks(classes.select("node", "sig", "n_shingles"), n)
+    salt, coord = c.constants(m, 8), np.arange(m, dtype=np.uint64)
+
+    def tokens_of(packed):
+        table = c.thaw(packed.to_pylist())
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(-1, m)
+        return table, sig, (c.mix(sig ^ salt) & ~np.uint64(63)) | coord
+
+    def post(key, table):
+        _, _, token = tokens_of(table.column("packed"))
+        _, head, keys = c.distinct((token.ravel() >> np.uint64(drop)) << np.uint64(drop))
+        return c.ask(int(key[0].as_py()), keys, np.diff(np.append(head, token.size)), n, drop)
 
     def count(key, table):
-        marks, node, coord = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for base, a, b in zip(*(table.column(x).to_pylist() for x in ("base", "marks", "places")), strict=True):
-            marks.append(np.frombuffer(a, np.uint32))
-            who = c.unpack_ascending(b)
-            node.append(who // m + base), coord.append(who % m)
-        marks, node, coord = np.concatenate(marks), np.concatenate(node), np.concatenate(coord)
-        _, which, times = np.unique(marks, return_inverse=True, return_counts=True)
-        times = times[which]
-        some = times > 1
-        token = (np.int64(key[0].as_py()) << np.int64(32)) | marks[some].astype(np.int64)
-        return pa.table({"node": pa.array(node[some]), "times": pa.array(times[some], pa.int64()), "token": pa.array(token), "coord": pa.array(coord[some], pa.int32())})
-
-    posted = classes.select("node", "sig").mapInArrow(post, "bucket int, base long, marks binary, places binary")
-    counted = posted.groupBy("bucket").applyInArrow(count, "node long, times long, token long, coord int")
-    return counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "token", "coord"))).alias("tokens"))  # m tokens at most
+        chunk, sizes, keys, counts = c.asked(table, drop)
+        total, _ = c.by_key(keys, counts, np.add)
+        cuts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        several = [np.flatnonzero(total[lo:hi] > 1) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"chunk": pa.array(chunk, pa.int32()), "bucket": table.column("bucket"), "places": pa.array([c.pack_ascending(x) for x in several], pa.binary()), "times": pa.array([c.pack(total[lo + x]) for lo, x in zip(cuts[:-1], several, strict=True)], pa.binary())})
+
+    def order(key, left, right):
+        if left.num_rows == 0:
+            return _marked([], [], [], [], [], [], [], [])
+        table, sig, token = tokens_of(left.column("packed"))
+        by, head, keys = c.distinct((token.ravel() >> np.uint64(drop)) << np.uint64(drop))
+        begins = {b: lo for b, lo, _ in c.bucket_cuts(keys, n)}
+        times = np.ones(len(keys), np.int64)
+        for b, places, counts in zip(*(right.column(x).to_pylist() for x in ("bucket", "places", "times")), strict=True):
+            times[begins[b] + c.unpack_ascending(places)] = c.unpack(counts)
+        each = np.empty(token.size, np.int64)
+        each[by] = np.repeat(times, np.diff(np.append(head, token.size)))
+        each = each.reshape(token.shape)
+        size = (each > 1).sum(1)
+        some = np.flatnonzero(size >= t)
+        token, each, size, sig = token[some], each[some], size[some], sig[some]
+        # by (shared, times, token)
+        first = np.argsort(token, axis=1, kind="stable")
+        ranked = np.take_along_axis(np.where(each > 1, each, np.iinfo(np.int64).max), first, 1)
+        first = np.take_along_axis(first, np.argsort(ranked, axis=1, kind="stable"), 1)
+        inside = np.arange(m)[None] < (size - t + 1)[:, None]
+        turn = np.full(token.shape, 255, np.uint8)
+        np.put_along_axis(turn, first, np.where(inside, np.arange(m), 255).astype(np.uint8), 1)
+        n_shingles = table.column("n_shingles").to_numpy()[some]
+        low = sig.astype(np.uint32)
+        return _marked(table.column("node").to_numpy()[some], n_shingles, _band(n_shingles, percent), size - t + 1, np.take_along_axis(token, first, 1)[inside].view(np.int64), low, turn, low.astype(np.uint8))
+
+    counted = c.to_buckets(whole.groupBy("chunk").applyInArrow(post, c.ASKED), n).applyInArrow(count, "chunk int, bucket int, places binary, times binary")
+    return c.with_answers(whole, counted, n).applyInArrow(order, "node long, n_shingles long, band int, tokens array<long>, sig binary, turn binary, short binary")
+
+
+def _marked(node, n_shingles, band, sizes, tokens, *rows) -> pa.Table:
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(tokens, pa.int64()))
+    return pa.table({"node": pa.array(node, pa.int64()), "n_shingles": pa.array(n_shingles, pa.int64()), "band": pa.array(band, pa.int32()), "tokens": lists} | {name: pa.array([x.tobytes() for x in r], pa.binary()) for name, r in zip(("sig", "turn", "short"), rows, strict=True)})
 
 
 def _agree(a: list, b: list) -> np.ndarray:
@@ -140,9 +173,7 @@ def _likely(pairs: DataFrame, marks: DataFrame, t: int, percent: int) -> DataFra
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    x = np.zeros((len(b) // 5, 8), np.uint8)
-    x[:, 3:] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return x.view(">u8").ravel()
+    return np.frombuffer(b, np.uint64)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -167,47 +198,48 @@ def _may_link(u: np.ndarray, flat: np.ndarray, at: np.ndarray, low: int, percent
     Sets are given by their smallest ``low`` numbers, all of them if there are fewer.
     """
     size = np.diff(at)
-    top = np.iinfo(np.int64).max
-    cut = np.where(size == low, flat[at[1:] - 1].astype(np.int64), top)
+    top = np.uint64(np.iinfo(np.uint64).max)
+    cut = np.where(size == low, flat[at[1:] - 1], top)
     if len(u) == low:
-        cut = np.minimum(cut, np.int64(u[-1]))
-    below = flat.astype(np.int64) <= np.repeat(cut, size)
+        cut = np.minimum(cut, u[-1])
+    below = flat <= np.repeat(cut, size)
     spot = np.minimum(np.searchsorted(u, flat), len(u) - 1)
     both = np.add.reduceat((below & (u[spot] == flat)).astype(np.int64), at[:-1])
-    union = np.add.reduceat(below.astype(np.int64), at[:-1]) + np.searchsorted(u.astype(np.int64), cut, "right") - both
+    union = np.add.reduceat(below.astype(np.int64), at[:-1]) + np.searchsorted(u, cut, "right") - both
     sure = cut == top
     share = percent / 100  # five and a half deviations below, so that one link in many millions would be missed
     return np.where(sure, 100 * both >= percent * union, both >= union * (share - 5.5 * np.sqrt(share * (1 - share) / np.maximum(union, 1)))), sure
 
 
 def _lists(posted: DataFrame, found: DataFrame, marks: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows (token, coord, size, node, comp, *columns of marks) of the lists with more than one component."""
-    member = posted.join(found, "node", "left").select("token", "coord", "node", F.coalesce("label", "node").alias("comp"))
-    mixed = member.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x < y").select("token", "size")
-    return member.join(mixed, "token").join(marks.select("node", *columns), "node")
+    """Rows (token, group, size, node, band, comp, *columns of marks) of the lists with more than one component; a group has the sets of a size band and of the next."""
+    member = posted.join(found, "node", "left").select("token", "band", "node", F.coalesce("label", "node").alias("comp"), F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("group"))
+    mixed = member.groupBy("token", "group").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"), F.min("band").alias("z")).where("x < y and z = group").select("token", "group", "size")
+    return member.join(mixed, ["token", "group"]).join(marks.select("node", *columns), "node")
 
 
 def _compare(lists: DataFrame, t: int, percent: int, block: int, nearest: int, low: int) -> DataFrame:
     """Pairs of different components in the same list: with ``nearest`` the few that agree most with each class, else all that may be links."""
-    columns = [x for x in lists.columns if x not in ("token", "size")]
+    columns = [x for x in lists.columns if x not in ("token", "group", "size")]
     blocks = F.ceil(F.col("size") / block).cast("int")
     rows = lists.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", *columns)
+    rows = rows.select("token", "group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", *columns)
 
     def pairs(key, table):
-        within = key[1].as_py() == key[2].as_py()
+        within = key[2].as_py() == key[3].as_py()
         node, comp, n, own = (table.column(x).to_numpy() for x in ("node", "comp", "n_shingles", "own"))
+        here_first = table.column("band").to_numpy() == key[1].as_py()  # two sets of the next band meet in its own group
         _, code = np.unique(comp, return_inverse=True)
         large = code == np.argmax(np.bincount(code))  # pairs of this component need no look
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(node), -1)
         short = sig.astype(np.uint8)
         turn = np.frombuffer(b"".join(table.column("turn").to_pylist()), np.uint8).reshape(len(node), -1)
-        here = table.column("coord")[0].as_py()
+        here = key[0].as_py() & 63  # the token's coordinate
         sets = None if nearest else [_unpack(x) for x in table.column("low").to_pylist()]
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in np.flatnonzero(~large):
-            j = np.flatnonzero((code != code[i]) & _compatible(n, n[i], percent) & (within | (own != own[i])) & (True if nearest else large | (node > node[i])))
+            j = np.flatnonzero((code != code[i]) & (here_first | here_first[i]) & _compatible(n, n[i], percent) & (within | (own != own[i])) & (True if nearest else large | (node > node[i])))
             # eight bits of each coordinate rule out most; eight comparisons are added at once
             same = (short[j] == short[i]).view(np.uint64).sum(1, dtype=np.uint64)
             j = j[(same * np.uint64(0x0101010101010101)) >> np.uint64(56) >= t]
@@ -228,46 +260,34 @@ def _compare(lists: DataFrame, t: int, percent: int, block: int, nearest: int, l
             a.append(np.minimum(node[i], node[j])), b.append(np.maximum(node[i], node[j]))
         return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
-    return rows.groupBy("token", "lo", "hi").applyInArrow(pairs, "a long, b long").distinct()
+    return rows.groupBy("token", "group", "lo", "hi").applyInArrow(pairs, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64, t: int = 28, block: int = 1024, nearest: int = 1, low: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64, t: int = 28, block: int = 1024, nearest: int = 1, low: int = 256, chunk_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents whose sets of k-word shingles (A-Z folded) share at least ``percent`` of their union, through any chain of such links.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id of the group) and kept (it is its own component_id), one row per row of
-    ``docs``. ``m`` is a multiple of 8 below 256. A text of fewer than k words, but not none, is one shingle; null, empty and blank texts have no set and are linked
+    ``docs``. ``m`` is a multiple of 8 up to 64. A text of fewer than k words, but not none, is one shingle; null, empty and blank texts have no set and are linked
     with nothing. A row without a doc_id takes part, but is never a component_id unless the group has no other (then null). Rows that
     repeat a doc_id get the same answer if they have the same text. An empty table gives an empty table.
     """
-    out = grouped(docs, k, percent, m, t, block, nearest, low, id_col, text_col)
+    out = grouped(docs, k, percent, m, t, block, nearest, low, chunk_bytes, id_col, text_col)
     return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def grouped(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64, t: int = 28, block: int = 1024, nearest: int = 1, low: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grouped(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64, t: int = 28, block: int = 1024, nearest: int = 1, low: int = 256, chunk_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_sha, n_shingles, component_id, component): the groups of ``near_duplicates``, one row per row of ``docs``.
 
     ``component`` tells groups apart that have no doc_id, or the same one; it is null for a text without a set. ``text_sha`` is the text's digest (``text_sha``).
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_sha(F.col(text_col)).alias("text_sha"))
     signed = c.saved(signatures(rows, k, m), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.min("text_sha").alias("text_sha"), F.first("sig").alias("sig"))
-    classes = c.saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    tokens = _shared_tokens(classes, m).where(F.size("tokens") >= t)
-    prefix = c.saved(tokens.select("node", F.slice("tokens", F.lit(1), F.size("tokens") - t + 1).alias("x")).select("node", F.col("x.token").alias("token"), F.col("x.coord").alias("coord")), "prefixes")
-    posted = prefix.select("node", F.explode(F.arrays_zip("token", "coord")).alias("x")).select("node", "x.token", "x.coord")
-
-    def order(batches):
-        for b in batches:
-            turns, short = [], []
-            for x, sig in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True):
-                turn = np.full(m, 255, np.uint8)
-                turn[x] = np.arange(len(x))
-                turns.append(turn.tobytes())
-                short.append(np.frombuffer(sig, np.uint32).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(turns, pa.binary()), pa.array(short, pa.binary())], ["node", "n_shingles", "sig", "turn", "short"])
-
-    marks = c.saved(classes.join(prefix, "node").select("node", "n_shingles", "sig", "coord").mapInArrow(order, "node long, n_shingles long, sig binary, turn binary, short binary"), "marks")
-    sets = c.saved(_full_sets(rows, classes.join(prefix, "node", "left_semi"), k), "sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha")).alias("first")
+    classes = signed.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(first, F.first("sig").alias("sig"), F.count("*").alias("n"))
+    classes = c.saved(classes.select("h1", "h2", "n_shingles", F.col("first.doc_id").alias("first_id"), F.col("first.text_sha").alias("text_sha"), "sig", "n", F.monotonically_increasing_id().alias("node")), "classes")
+    marks = c.saved(_marks(classes, m, t, percent, chunk_bytes), "marks")
+    posted = marks.select("node", "band", F.explode("tokens").alias("token"))
+    sets = c.saved(_full_sets(rows, classes.join(marks.select("node"), "node", "left_semi"), k), "sets")
 
     heads = posted.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("size"))
     stars = posted.join(heads, "token").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
@@ -279,16 +299,18 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64, t: int
     if more.limit(1).count():
         links = links.union(more)
         found = components(links)
-    lowest = marks.join(sets.select("node", F.substring("shingles", 1, 5 * low).alias("low")), "node")
+    lowest = marks.join(sets.select("node", F.substring("shingles", 1, 8 * low).alias("low")), "node")
     rest = _compare(_lists(posted, found, lowest, ["n_shingles", "sig", "turn", "low"]), t, percent, block, 0, low)
     last = c.saved(_confirm(rest, sets, percent), "links")
     if last.limit(1).count():
         found = components(links.union(last))
 
-    groups = classes.join(found, "node", "left").select("h1", "h2", "n_shingles", "first_id", F.coalesce("label", "node").alias("label"))
-    least = groups.groupBy("label").agg(F.min("first_id").alias("least_id"))
-    named = groups.join(least, "label").select("h1", "h2", "n_shingles", "least_id", F.col("label").alias("component"))
-    out = signed.select("doc_id", "text_sha", "h1", "h2", "n_shingles").join(named, ["h1", "h2", "n_shingles"], "left")
+    groups = c.saved(classes.join(found, "node", "left").select("h1", "h2", "n_shingles", "first_id", "n", F.coalesce("label", "node").alias("label")), "groups")
+    totals = groups.agg(F.count("*"), F.sum("n")).first()
+    least = groups.groupBy("label").agg(F.min("first_id").alias("least_id"), F.count("*").alias("n"))
+    named = c.skew_join(groups.drop("n"), least.drop("n"), ["label"], least.select("label", "n"), totals[0], ["h1"]).select("h1", "h2", "n_shingles", "least_id", F.col("label").alias("component"))
+    key = ["h1", "h2", "n_shingles"]
+    out = c.skew_join(signed.select("doc_id", "text_sha", *key), named, key, groups.select(*key, "n"), totals[1] or 0, ["doc_id", "text_sha"], "left")
     alone = F.col("n_shingles") == 0
     return out.select("doc_id", "text_sha", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"), "component")
 
@@ -298,9 +320,14 @@ def text_sha(text: Column) -> Column:
 
 
 def _full_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, shingles): the set of each wanted class as ascending 40-bit numbers, from one of its texts, however often that occurs."""
-    texts = rows.where("text_sha is not null").groupBy("text_sha").agg(F.first("text").alias("text"))
-    joined = texts.join(wanted.select("node", "text_sha"), "text_sha").select("node", "text")
+    """(node, shingles): the set of each wanted class as ascending 64-bit numbers, from one of its texts, that of its first_id."""
+    with_key = lambda x, i: x.withColumn("_id", F.coalesce(i, F.lit(0))).withColumn("_none", F.col(i).isNull())
+    wanted = with_key(wanted.select("node", "text_sha", "first_id", "n"), "first_id")
+    key = ["text_sha", "_id", "_none"]
+    # only rows without an id can be many of one key, or those that repeat an id and its text
+    total = wanted.agg(F.sum("n")).first()[0] or 0
+    joined = c.skew_join(with_key(rows.where("text_sha is not null"), "doc_id").select(*key, "text"), wanted.select(*key, "node"), key, wanted.where("_none").select(*key, "n"), total, ["text_sha", "_id"])
+    joined = joined.groupBy("node").agg(F.first("text").alias("text"))
 
     def make(batches):
         for b in batches:
@@ -308,8 +335,7 @@ def _full_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             packed = []
             for lo, hi in c.parts(at):
                 u, begin = shingle_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], k)
-                raw = u.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                packed += [raw[begin[r] : begin[r + 1]].tobytes() for r in range(hi - lo)]
+                packed += [u[begin[r] : begin[r + 1]].tobytes() for r in range(hi - lo)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["node", "shingles"])
 
     return joined.mapInArrow(make, "node long, shingles binary")
