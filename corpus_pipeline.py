@@ -12,20 +12,24 @@ from weftline.llm import common, decontaminate, distinct_bpe, minhash_dedup, qua
 from weftline.llm.queries import tokenizer_file
 
 
-def _others(docs) -> tuple[str, ...]:
-    return tuple(x for x in docs.columns if x not in ("doc_id", "text", "n_chars"))
+def _numbered(docs):
+    """The rows of docs with columns c0, c1 and so on, so that no name can clash with those of an operator, and the new names by the old."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
 
 
 def _documents(docs, changed, text: str):
-    """Rows of an operator with the columns of documents; ``text`` is the column that holds the new text."""
-    new = changed.select("doc_id", F.col(text).alias("text"), *_others(docs)).withColumn("n_chars", F.length("text").cast("long"))
-    return new.select(*docs.columns)
+    """Rows of an operator that carried all numbered columns, as documents; ``text`` is the column that holds the new text."""
+    _, names = _numbered(docs)
+    new = {"text": F.col(text), "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return changed.select(*(new.get(x, F.col(n)) for x, n in names.items())).toDF(*docs.columns)
 
 
 def quality(spark, docs, sf_dir):
     """Documents that the quality rules reject go."""
-    judged = quality_rules.quality_rules(docs.withColumnsRenamed({x: f"doc_{x}" for x in docs.columns}), id_col="doc_doc_id", text_col="doc_text", lang_col="doc_lang", carry=tuple(f"doc_{x}" for x in docs.columns))
-    return judged.where("kept").select(*(F.col(f"doc_{x}").alias(x) for x in docs.columns))
+    rows, names = _numbered(docs)
+    judged = quality_rules.quality_rules(rows, id_col=names["doc_id"], text_col=names["text"], lang_col=names["lang"], carry=tuple(names.values()))
+    return judged.where("kept").select(*names.values()).toDF(*docs.columns)
 
 
 def near_dedup(spark, docs, sf_dir):
@@ -33,26 +37,34 @@ def near_dedup(spark, docs, sf_dir):
 
     A document is known by its doc_id and text, as ids may be null or repeated. Texts without words are in no group and stay.
     """
-    groups = minhash_dedup.grouped(docs)
+    rows, names = _numbered(docs)
+    groups = common.saved(minhash_dedup.grouped(docs.select("doc_id", "text")), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha")
     first = groups.where("component is not null").groupBy("component").agg(F.min(order).alias("x")).select("x.doc_id", "x.text_sha", F.lit(False).alias("alone"))
     alone = groups.where("component is null").select("doc_id", "text_sha", F.lit(True).alias("alone")).distinct()
-    kept = first.union(alone).toDF("_id", "_sha", "_alone")
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & minhash_dedup.text_sha(F.col("text")).eqNullSafe(F.col("_sha")))
+    key = ["id", "none", "sha"]
+    known = lambda x, i, sha: x.withColumn("id", F.coalesce(F.col(i).cast("long"), F.lit(0))).withColumn("none", F.col(i).isNull()).withColumn("sha", F.coalesce(sha, F.lit(b"")))
+    kept = known(first.union(alone), "doc_id", F.col("text_sha")).select(*key, "alone")
+    # without an id, copies of one text are one key
+    copies = known(groups.where("doc_id is null"), "doc_id", F.col("text_sha")).groupBy(*key).agg(F.count("*").alias("n"))
+    i, text = names["doc_id"], names["text"]
+    rows = common.skew_join(known(rows, i, minhash_dedup.text_sha(F.col(text))), kept, key, copies, groups.count(), list(names.values()))
     # equal texts without words and without a doc_id repeat nothing
-    rows = rows.withColumn("_own", F.when(F.col("_alone") & F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    return rows.dropDuplicates(["doc_id", "text", "_own"]).select(*docs.columns)
+    rows = rows.withColumn("own", F.when(F.col("alone") & F.col("none"), F.monotonically_increasing_id()))
+    return rows.dropDuplicates([i, text, "own"]).select(*names.values()).toDF(*docs.columns)
 
 
 def repeats(spark, docs, sf_dir):
     """Stretches that repeat those of a document with a smaller doc_id are cut out of the text."""
-    return _documents(docs, substring_dedup.remove_repeats(docs, carry=_others(docs)), "kept_text")
+    rows, names = _numbered(docs)
+    return _documents(docs, substring_dedup.remove_repeats(rows, id_col=names["doc_id"], text_col=names["text"], carry=tuple(names.values())), "kept_text")
 
 
 def benchmark_passages(spark, docs, sf_dir):
     """Words that lie in a benchmark window are cut out of the text."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _documents(docs, decontaminate.decontaminate(docs, benchmark, carry=_others(docs)), "clean_text")
+    rows, names = _numbered(docs)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return _documents(docs, decontaminate.decontaminate(rows, benchmark, id_col=names["doc_id"], text_col=names["text"], carry=tuple(names.values())), "clean_text")
 
 
 def tokens(spark, docs, sf_dir):
