@@ -8,8 +8,11 @@ from pyspark.sql import Column, functions as F
 LOWEST, HIGHEST = "4.0", "99.9"
 
 
-def version(s: Column) -> Column:
-    return F.transform(F.split(s, r"\."), lambda x: x.cast("int"))
+def version(s: Column, parts: int = 0) -> Column:
+    """The numbers of a version, null if a part is none; with ``parts`` a version of one part less ends with a zero (5.3 as 5.3.0)."""
+    numbers = F.transform(F.split(s, r"\."), lambda x: x.try_cast("int"))
+    whole = F.when(~F.exists(numbers, lambda x: x.isNull()), numbers)
+    return F.when(F.size(whole) == parts - 1, F.concat(whole, F.array(F.lit(0)))).otherwise(whole) if parts else whole
 
 
 def version_range(s: Column) -> Column:

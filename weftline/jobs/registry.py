@@ -6,25 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.versions import version, version_range
-from ..operators import lines as ln, links as lk, predicates as pr, rules as ru, series as se, sets as st
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from ..operators import aggregates as ag, lines as ln, links as lk, predicates as pr, rules as ru, series as se, sets as st
+from .base import NOTES, ORACLE_SQL, QUERIES, query as _query, sql_cut, table as _t, with_links  # noqa: F401
 
 # ------------------------------------------------------------ link graph
 
@@ -44,8 +27,7 @@ def _resolved(spark, sf_dir):
 @_query("""SELECT page_id, count(DISTINCT t) AS n_links FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS t FROM pages) GROUP BY page_id""")
 def link_out_degree(spark, sf_dir):
     """Distinct link targets of each page."""
-    targets = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
-    return _t(spark, sf_dir, "pages").select("page_id", F.size(targets).cast("long").alias("n_links")).where("n_links > 0")
+    return lk.out_degree(_t(spark, sf_dir, "pages"), "page_id", F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), "n_links")
 
 
 @_query(f"WITH {_LINKS} SELECT src, name, path FROM resolved")
@@ -59,11 +41,10 @@ def backlink_counts(spark, sf_dir):
     return lk.backlinks(_resolved(spark, sf_dir)).groupBy("dst").agg(F.count("*").alias("n_sources"))
 
 
-@_query("""SELECT page_id, replace(lower(html), 'href="/the"', 'href="/renamed"') <> lower(html) AS changed FROM pages""")
+@_query(f"""WITH {NOTES} SELECT path, regexp_matches(content, '(?i)\\[\\[the(\\]\\]|\\|)') AS changed, md5(regexp_replace(content, '(?i)\\[\\[the(\\]\\]|\\|)', '[[re$named\\1', 'g')) AS digest FROM notes""")
 def renamed_links(spark, sf_dir):
-    """Which pages a rename of one target would change."""
-    fresh = F.regexp_replace("html", '(?i)href="/the"', 'href="/renamed"')
-    return _t(spark, sf_dir, "pages").select("page_id", (fresh != F.col("html")).alias("changed"))
+    """Pages after one target got another name."""
+    return lk.rename(with_links(_t(spark, sf_dir, "pages")), "the", "re$named").select("path", "changed", F.md5(F.encode("content", "UTF-8")).alias("digest"))
 
 
 # ------------------------------------------------------------ sets
@@ -97,20 +78,23 @@ def zipped_changes(spark, sf_dir):
 # ------------------------------------------------------------ predicates
 
 
-@_query("""SELECT p_partkey, p_name LIKE '%ring%' AS literal, regexp_matches(p_name, 'r.d$') AS regex, regexp_matches(p_name, '^sm.ll .*$') AS glob,
-regexp_matches(p_name, 'b.*l.*t') AS letters, regexp_matches(p_name, '(?i)^red') AS smart, NOT regexp_matches(p_name, '(?i)GREEN') AS inverted FROM part""")
+@_query("""SELECT p_partkey, p_name LIKE '%ring%' AS literal, regexp_matches(p_name, 'r.d$') AS regex, regexp_matches(p_name, 'm.l.* b') AS glob, regexp_matches(p_name, '^s.*t$') AS whole_glob,
+regexp_matches(p_name, 'b.*l.*t') AS letters, regexp_matches(p_name, '(?i)^red') AS smart, NOT regexp_matches(p_name, '(?i)GREEN') AS inverted, p_name LIKE '%a.b%' AS dotted, p_name IS NOT NULL AS dot, p_name IS NOT NULL AS broken FROM part""")
 def pattern_modes(spark, sf_dir):
     n = F.col("p_name")
     return _t(spark, sf_dir, "part").select(
-        "p_partkey", pr.pattern(n, "ring").alias("literal"), pr.pattern(n, "r.d$", "regex").alias("regex"), pr.pattern(n, "sm?ll *", "glob").alias("glob"),
+        "p_partkey", pr.pattern(n, "ring").alias("literal"), pr.pattern(n, "r.d$", "regex").alias("regex"), pr.pattern(n, "m?l* b", "glob").alias("glob"), pr.pattern(n, "^s*t$", "glob").alias("whole_glob"),
         pr.pattern(n, "blt", "letters").alias("letters"), pr.pattern(n, "^red", case="smart").alias("smart"), pr.pattern(n, "GREEN", case="ignore", invert=True).alias("inverted"),
+        pr.pattern(n, "a.b").alias("dotted"), pr.pattern(n, ".").alias("dot"), pr.pattern(n, "(", "regex").alias("broken"),
     )
 
 
-@_query("SELECT p_partkey, p_name FROM part WHERE (p_name LIKE '%bolt%' OR p_type = 'PROMO') AND NOT p_size < 10")
+@_query("SELECT p_partkey, p_name FROM (SELECT *, count(*) OVER (PARTITION BY p_name) AS copies FROM part) WHERE (p_name LIKE '%bolt%' OR p_type = 'PROMO') AND NOT p_size < 10 AND copies > 1")
 def filter_stack(spark, sf_dir):
-    s = pr.FilterStack().push(F.col("p_size") < 10).combine("not").push(F.col("p_name").contains("bolt")).push(F.col("p_type") == "PROMO").combine("or")
-    return _t(spark, sf_dir, "part").where(s.column()).select("p_partkey", "p_name")
+    """A stack that is built, taken apart and put together again."""
+    s = pr.FilterStack().push(F.col("p_size") < 10).combine("not").add("name", "bolt").push(F.col("p_type") == "PROMO", "promo").combine("or").decompose().combine("or").add("duplicate").rotate(2)
+    rows = pr.counted_copies(_t(spark, sf_dir, "part").withColumn("name", F.col("p_name")), "p_name")
+    return rows.where(s.column()).select("p_partkey", "p_name")
 
 
 @_query("""SELECT event_id, CASE WHEN event_type = 'error' AND value > 10 THEN 'alarm' WHEN event_type IN ('error', 'signup') THEN 'log' WHEN NOT event_type = 'view' AND value < 1 THEN 'drop' ELSE 'keep' END AS action FROM events""")
@@ -120,11 +104,14 @@ def first_match_rules(spark, sf_dir):
     return pr.first_match(_t(spark, sf_dir, "events"), rules, "action", "keep").select("event_id", "action")
 
 
-@_query("""SELECT class, count(*) AS n_lines FROM (SELECT CASE WHEN regexp_matches(line, '^#+ ') THEN 'header' WHEN regexp_matches(line, '^[ \\t\\n\\x0B\\f\\r]*[-*+] ') THEN 'list' WHEN contains(line, '[[') THEN 'link'
-WHEN contains(line, '**') THEN 'bold' WHEN trim(line, ' ') = '' THEN 'blank' ELSE 'content' END AS class FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1""")
+@_query("""WITH l AS (SELECT unnest(string_split(CASE doc_id % 8 WHEN 0 THEN '## ' WHEN 1 THEN '  12. ' WHEN 2 THEN '[a](b) ' WHEN 3 THEN '__x__ ' WHEN 4 THEN 'see [[a]] ' WHEN 5 THEN '[[a ' WHEN 6 THEN '+ **b** ' ELSE ' * ' END || text, chr(10))) AS line FROM documents)
+SELECT class, count(*) AS n_lines FROM (SELECT CASE WHEN regexp_matches(line, '^#+[ \\t\\n\\x0B\\f\\r]') THEN 'header' WHEN regexp_matches(line, '^[ \\t\\n\\x0B\\f\\r]*([-*]|[0-9]+\\.)[ \\t\\n\\x0B\\f\\r]') THEN 'list' WHEN regexp_matches(line, '\\[\\[.+\\]\\]|\\[.+\\]\\(') THEN 'link'
+WHEN regexp_matches(line, '\\*\\*.+\\*\\*|__.+__') THEN 'bold' ELSE 'content' END AS class FROM l) GROUP BY 1""")
 def line_classes(spark, sf_dir):
-    rows = ln.lines(_t(spark, sf_dir, "documents"), "doc_id", "text")
-    return rows.groupBy(pr.line_class(F.col("line")).alias("class")).agg(F.count("*").alias("n_lines"))
+    """Classes of the lines of documents, which get a mark of some kind in front."""
+    marks = ["## ", "  12. ", "[a](b) ", "__x__ ", "see [[a]] ", "[[a ", "+ **b** ", " * "]
+    marked = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.get(F.array(*map(F.lit, marks)), (F.col("doc_id") % 8).cast("int")), "text").alias("text"))
+    return ln.lines(marked, "doc_id", "text").groupBy(pr.line_class(F.col("line")).alias("class")).agg(F.count("*").alias("n_lines"))
 
 
 # ------------------------------------------------------------ lines
@@ -144,18 +131,17 @@ def running_toggle(spark, sf_dir):
     return ln.running_count(rows, "doc_id", F.col("line").contains("|"), "marks").where("marks % 2 = 1").select("doc_id", "line_no")
 
 
-@_query(f"WITH {_DOC_LINES}, b AS (SELECT doc_id, arg_min(line, line_no) AS line FROM l WHERE NOT starts_with(line, '---') AND trim(line, ' ') <> '' AND NOT starts_with(line, '#') GROUP BY 1) SELECT doc_id, strlen(line) > 60 AS was_cut, left(line, 15) AS head FROM b")
-def previews(spark, sf_dir):
-    """The first line with text, cut to 60 bytes: whether it was cut, and how it begins."""
-    rows = ln.lines(_t(spark, sf_dir, "documents"), "doc_id", "text").where("not line like '---%'")
-    out = ln.first_content(rows, "doc_id", 60)
-    return out.select("doc_id", F.col("preview").endswith("…").alias("was_cut"), F.substring("preview", 1, 15).alias("head"))
+_FRONT = "CASE doc_id % 4 WHEN 0 THEN '---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) || '# head' || chr(10) || '[[only]]' || chr(10) || '  ' WHEN 1 THEN '--- rule' || chr(10) WHEN 2 THEN '[[a]] b' || chr(10) ELSE '' END || text"
 
 
-@_query()
-def whole_previews(spark, sf_dir):
-    """The first line with text, cut to 60 bytes, as it is; ``previews`` has its first 15 characters only, as DuckDB cannot cut by bytes."""
-    rows = ln.lines(_t(spark, sf_dir, "documents"), "doc_id", "text").where("not line like '---%'")
+@_query(f"""WITH d AS (SELECT doc_id, {_FRONT} AS t FROM documents), l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS line_no FROM d),
+m AS (SELECT doc_id, line_no, regexp_replace(line, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS line, starts_with(line, '---') AS rule, count(*) FILTER (WHERE starts_with(line, '---')) OVER (PARTITION BY doc_id ORDER BY line_no) AS marks FROM l),
+b AS (SELECT doc_id, arg_min(line, line_no) AS line FROM m WHERE marks % 2 = 0 AND NOT rule AND line <> '' AND NOT starts_with(line, '#') AND NOT (starts_with(line, '[[') AND ends_with(line, ']]')) GROUP BY 1)
+SELECT doc_id, {sql_cut("line", 60)} AS preview FROM b""")
+def previews(spark, sf_dir):
+    """The first line of documents with text, cut at 60 bytes; they get front matter, rules and lines of links in front."""
+    front = F.expr("CASE doc_id % 4 WHEN 0 THEN '---\\ntitle: x\\n---\\n# head\\n[[only]]\\n  ' WHEN 1 THEN '--- rule\\n' WHEN 2 THEN '[[a]] b\\n' ELSE '' END")
+    rows = ln.lines(_t(spark, sf_dir, "documents").select("doc_id", F.concat(front, "text").alias("text")), "doc_id", "text")
     return ln.first_content(rows, "doc_id", 60)
 
 
@@ -166,11 +152,13 @@ def repeated_lines(spark, sf_dir):
     return d.select("doc_id", (F.size(rows) - F.size(F.array_distinct(rows))).cast("long").alias("extra_lines"))
 
 
-@_query()
+@_query("""WITH w AS (SELECT concat_ws(':', conv_id, turn) AS id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM conversations),
+f AS (SELECT id, CASE WHEN len(ws) = 0 THEN '' ELSE list_reduce(ws, lambda acc, x: CASE WHEN length(string_split(acc, chr(10))[-1]) + 1 + length(x) > 72 THEN acc || chr(10) || x ELSE acc || ' ' || x END) END AS wrapped FROM w)
+SELECT id, wrapped, len(string_split(wrapped, chr(10))) AS n_lines FROM f""")
 def wrapped_turns(spark, sf_dir):
     """Turns wrapped to 72 characters, and how many lines that takes."""
     turns = _t(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
-    return ln.wrap(turns, "id", "text", 72).withColumn("n_lines", F.size(F.split("wrapped", "\n")).cast("long"))
+    return ln.wrap(turns, "id", "text", 72).withColumn("n_lines", F.size(F.split("wrapped", "\\n")).cast("long"))
 
 
 # ------------------------------------------------------------ scalars
@@ -201,12 +189,15 @@ def event_fields(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", k.alias("k"), F.date_format("ts", "yyyyMMddHHmmss").alias("stamp"), F.date_add(F.to_date("ts"), 1).alias("next_day"))
 
 
-@_query("SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_type ORDER BY CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT), p_partkey) AS place FROM part")
+@_query("""WITH p AS (SELECT p_partkey, p_type, 'v' || p_size || repeat('0', p_partkey % 25) || CASE WHEN p_partkey % 2 = 0 THEN 'b' ELSE '' END AS name, p_size || repeat('0', p_partkey % 25) AS digits FROM part)
+SELECT p_partkey, name, row_number() OVER (PARTITION BY p_type ORDER BY length(digits), digits, right(name, 1) = 'b', p_partkey) AS place FROM p""")
 def natural_order(spark, sf_dir):
-    """Brands in natural order within their type."""
+    """Names with numbers of up to 27 digits in natural order within their type."""
     from pyspark.sql import Window
 
-    return _t(spark, sf_dir, "part").select("p_partkey", "p_brand", F.row_number().over(Window.partitionBy("p_type").orderBy(tx.natural_key(F.col("p_brand")), "p_partkey")).cast("long").alias("place"))
+    name = F.concat(F.lit("v"), F.col("p_size").cast("string"), F.repeat(F.lit("0"), (F.col("p_partkey") % 25).cast("int")), F.when(F.col("p_partkey") % 2 == 0, "b").otherwise(""))
+    rows = _t(spark, sf_dir, "part").select("p_partkey", "p_type", name.alias("name"))
+    return rows.select("p_partkey", "name", F.row_number().over(Window.partitionBy("p_type").orderBy(tx.natural_key(F.col("name")), "p_partkey")).cast("long").alias("place"))
 
 
 # ------------------------------------------------------------ aggregates
@@ -214,42 +205,30 @@ def natural_order(spark, sf_dir):
 
 @_query("SELECT metric, value, count(*) AS n FROM (SELECT unnest(['flag', 'status', 'line']) AS metric, unnest([l_returnflag, l_linestatus, CAST(l_linenumber AS VARCHAR)]) AS value FROM lineitem) GROUP BY 1, 2")
 def metric_histogram(spark, sf_dir):
-    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(c).cast("string").alias("value")) for m, c in (("flag", "l_returnflag"), ("status", "l_linestatus"), ("line", "l_linenumber"))))
-    return _t(spark, sf_dir, "lineitem").select(F.explode(pairs).alias("x")).select("x.*").groupBy("metric", "value").agg(F.count("*").alias("n"))
+    return ag.histogram(_t(spark, sf_dir, "lineitem"), {"flag": "l_returnflag", "status": "l_linestatus", "line": "l_linenumber"})
 
 
 @_query("SELECT lang, source, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY ROLLUP (lang, source)")
 def size_rollup(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").rollup("lang", "source").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    return ag.cumulative_size(_t(spark, sf_dir, "documents"), ["lang", "source"], F.octet_length("text"), "bytes")
 
 
 @_query("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'error') AS errors, CASE WHEN count(*) FILTER (WHERE event_type = 'click') = count(*) FILTER (WHERE event_type = 'error') THEN '=' WHEN count(*) FILTER (WHERE event_type = 'click') > count(*) FILTER (WHERE event_type = 'error') THEN '>' ELSE '<' END AS status, CAST(round(100.0 * count(*) FILTER (WHERE event_type = 'click') / count(*)) AS BIGINT) AS percent FROM events GROUP BY 1")
 def user_status(spark, sf_dir):
-    counts = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count("*").alias("n"))
-    status = F.when(F.col("clicks") == F.col("errors"), "=").when(F.col("clicks") > F.col("errors"), ">").otherwise("<")
-    return counts.select("user_id", "clicks", "errors", status.alias("status"), F.round(100 * F.col("clicks") / F.col("n")).cast("long").alias("percent"))
+    return ag.two_sided_status(_t(spark, sf_dir, "events"), "user_id", F.col("event_type") == "click", F.col("event_type") == "error", ("clicks", "errors"))
 
 
 @_query("WITH c AS (SELECT l_suppkey, l_quantity, count(*) AS n FROM lineitem WHERE l_quantity > 10 AND l_quantity <= 40 GROUP BY 1, 2) SELECT l_suppkey, arg_min(l_quantity, (-n, l_quantity)) AS quantity, max(n) AS n FROM c GROUP BY 1")
 def usual_quantity(spark, sf_dir):
     """The most frequent quantity of each supplier between two bounds, the smallest of several."""
-    c = _t(spark, sf_dir, "lineitem").where("l_quantity > 10 and l_quantity <= 40").groupBy("l_suppkey", "l_quantity").agg(F.count("*").alias("n"))
-    return c.groupBy("l_suppkey").agg(F.min_by("l_quantity", F.struct(-F.col("n"), "l_quantity")).alias("quantity"), F.max("n").alias("n"))
-
-
-@_query("SELECT conv_id, string_agg(role || ': ' || left(text, 20), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1")
-def transcripts(spark, sf_dir):
-    """Outlines of conversations: the first 20 characters of each turn; ``whole_transcripts`` has the whole texts."""
-    line = F.concat("role", F.lit(": "), F.substring("text", 1, 20))
-    parts = F.sort_array(F.collect_list(F.struct("turn", line.alias("s"))))
-    return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(parts.alias("p")).select("conv_id", F.array_join(F.col("p.s"), "\n").alias("transcript"))
+    return ag.most_frequent(_t(spark, sf_dir, "lineitem").where("l_quantity > 10 and l_quantity <= 40"), "l_suppkey", "l_quantity").withColumnRenamed("l_quantity", "quantity")
 
 
 @_query("""WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, turn FROM conversations),
 p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) - 1 AS place FROM t)
 SELECT conv_id, place // 64 AS block, count(*) AS n_lines, string_agg(role || ': ' || text, chr(10) ORDER BY place) AS transcript FROM p GROUP BY 1, 2""")
 def whole_transcripts(spark, sf_dir):
-    """The whole turns of each conversation, in blocks of 64 by position."""
+    """The turns of each conversation, in blocks of 64 by position."""
     turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return ln.joined_blocks(turns, "conv_id", "turn", ["role", "text"], F.concat("role", F.lit(": "), "text"), "transcript")
 
@@ -286,9 +265,14 @@ def previous_speaker(spark, sf_dir):
     return se.previous_where(c, "conv_id", "turn", F.when(F.col("role") != "system", F.col("role")), "before").select("conv_id", "turn", "before")
 
 
-@_query("SELECT p_partkey, p_name || p_brand || CASE n WHEN 1 THEN '' WHEN 2 THEN '_' ELSE '_' || (n - 3) END AS free_name FROM (SELECT *, row_number() OVER (PARTITION BY p_name || p_brand ORDER BY p_partkey) AS n FROM part)")
+@_query("""WITH p AS (SELECT p_partkey, p_brand || CASE p_partkey % 7 WHEN 0 THEN '_' WHEN 1 THEN '_0' WHEN 2 THEN '_3' ELSE '' END AS name FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) - 1 AS n FROM p),
+s AS (SELECT name, k, name || CASE k WHEN 0 THEN '_' ELSE '_' || (k - 1) END AS free FROM (SELECT name, unnest(range(0, max(n) + 5)) AS k FROM n GROUP BY name)),
+f AS (SELECT name, free, row_number() OVER (PARTITION BY name ORDER BY k) AS n FROM s WHERE free NOT IN (SELECT name FROM p))
+SELECT p_partkey, coalesce(free, n.name) AS free_name FROM n LEFT JOIN f ON f.name = n.name AND f.n = n.n""")
 def free_part_names(spark, sf_dir):
-    return se.free_names(_t(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", "p_brand").alias("name")), "name", "p_partkey").select("p_partkey", "free_name")
+    """Brands made unique where some names already have the suffixes that others would get."""
+    name = F.concat("p_brand", F.coalesce(F.get(F.array(F.lit("_"), F.lit("_0"), F.lit("_3")), (F.col("p_partkey") % 7).cast("int")), F.lit("")))
+    return se.free_names(_t(spark, sf_dir, "part").select("p_partkey", name.alias("name")), "name", "p_partkey").select("p_partkey", "free_name")
 
 
 @_query("SELECT p_partkey, ((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 - 3) % n + n) % n AS turn FROM (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n FROM part)")
@@ -304,7 +288,11 @@ def sampled_orders(spark, sf_dir):
 # ------------------------------------------------------------ rules
 
 
-@_query("""SELECT p_partkey, '5.3' AS missing_until FROM part WHERE lower(p_type) = 'promo' UNION ALL SELECT p_partkey, '7.10' FROM part WHERE lower(p_type) = 'economy'""")
+_VERSIONS = "string_split(ver, '.')::INT[]"
+
+
+@_query(f"""WITH r(name, i, ver, flag) AS (VALUES ('promo', 1, '5.1', false), ('promo', 2, '5.3', false), ('promo', 3, '5.4', true), ('economy', 1, '7.10', false), ('economy', 2, '7.9', true), ('small', 1, '5.0', false), ('small', 2, '5.1', true)),
+m AS (SELECT name, arg_min(ver, i) AS ver FROM r WHERE NOT flag AND {_VERSIONS} >= [5, 2] GROUP BY 1) SELECT p_partkey, ver AS missing_until FROM part JOIN m ON lower(p_type) = name""")
 def new_feature_rules(spark, sf_dir):
     """Types as names of features with versions that lack them; the target is 5.2."""
     rules = spark.createDataFrame([("Promo", [("5.1", False), ("5.3", False), ("5.4", True)]), ("economy", [("7.10", False), ("7.9", True)]), ("SMALL", [("5.0", False), ("5.1", True)])], "name string, versions array<struct<ver string, flag boolean>>")
@@ -314,7 +302,8 @@ def new_feature_rules(spark, sf_dir):
     return found.select("p_partkey", F.array_join(F.col("missing_until").cast("array<string>"), ".").alias("missing_until"))
 
 
-@_query("""SELECT p_partkey, '5.3' AS deprecated, CASE WHEN lower(p_type) = 'promo' THEN '7.0' END AS removed FROM part WHERE lower(p_type) IN ('promo', 'large')""")
+@_query(f"""WITH r(name, i, ver, flag) AS (VALUES ('promo', 1, '5.3', false), ('promo', 2, '7.0', true), ('large', 1, '5.3', false), ('large', 2, '7.10', true), ('small', 1, '8.0', false)),
+m AS (SELECT name, arg_min(ver, i) FILTER (WHERE NOT flag) AS deprecated, arg_min(ver, i) FILTER (WHERE flag) AS removed FROM r WHERE {_VERSIONS} <= [7, 9] GROUP BY 1) SELECT p_partkey, deprecated, removed FROM part JOIN m ON lower(p_type) = name""")
 def removed_feature_rules(spark, sf_dir):
     rules = spark.createDataFrame([("promo", [("5.3", False), ("7.0", True)]), ("Large", [("5.3", False), ("7.10", True)]), ("small", [("8.0", False)])], "name string, versions array<struct<ver string, flag boolean>>")
     rules = rules.withColumn("versions", F.transform("versions", lambda v: F.struct(version(v["ver"]).alias("ver"), v["flag"].alias("flag"))))
@@ -325,7 +314,7 @@ def removed_feature_rules(spark, sf_dir):
 
 @_query("""SELECT p_partkey, 'metal' AS "group" FROM part WHERE (p_name LIKE '%bolt' OR p_name LIKE 'small %') AND lower(p_name) NOT IN ('red bolt') UNION ALL SELECT p_partkey, 'round' FROM part WHERE p_name LIKE '%ring'""")
 def wildcard_rules(spark, sf_dir):
-    groups = {"metal": (["*bolt", "small *"], ["Red Bolt"]), "round": (["*ring"], [])}
+    groups = {"metal": (["*bolt", "small *"], ["Red Bolt"]), "round": (["*ring"], []), "empty": ([], ["x"])}
     return ru.wildcard_matches(_t(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", groups).select("p_partkey", "group")
 
 
@@ -356,8 +345,7 @@ def outside_errors(spark, sf_dir):
 @_query("SELECT page_id, unnest(list_distinct(regexp_extract_all(url, '[?&]([^=&#]*)=', 1))) AS key FROM pages WHERE regexp_matches(url, '[?&](utm_source|ref)=')")
 def restricted_keys(spark, sf_dir):
     """All parameters of urls that have one of a list of keys."""
-    keys = F.map_keys(tx.query_map(F.col("url")))
-    return _t(spark, sf_dir, "pages").where(F.arrays_overlap(keys, F.array(F.lit("utm_source"), F.lit("ref")))).select("page_id", F.explode(keys).alias("key"))
+    return ru.keys_if_any(_t(spark, sf_dir, "pages"), tx.query_map(F.col("url")), ["utm_source", "ref"]).select("page_id", "key")
 
 
 @_query("SELECT event_id, CASE WHEN opened AND event_type <> 'purchase' THEN since END AS opened_at FROM (SELECT *, last_value(CASE event_type WHEN 'purchase' THEN false WHEN 'signup' THEN true END IGNORE NULLS) OVER w AS opened, last_value(CASE WHEN event_type IN ('purchase', 'signup') THEN event_id END IGNORE NULLS) OVER w AS since FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
@@ -386,7 +374,8 @@ def selected_lines(spark, sf_dir):
 
 @_query("SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id) WHERE quality = 0")
 def tagged_documents(spark, sf_dir):
-    return st.tagged(_t(spark, sf_dir, "documents").select("doc_id", "lang"), _t(spark, sf_dir, "labels"), "doc_id", "quality", [0])
+    tags = _t(spark, sf_dir, "labels")
+    return st.tagged(_t(spark, sf_dir, "documents").select("doc_id", "lang"), tags.union(tags), "doc_id", "quality", [0])
 
 
 @_query("SELECT p_partkey, position, value FROM (SELECT p_partkey, string_split(p_name, ' ') AS args, unnest([1, 2, 3]) AS position, unnest(['small', NULL, NULL]) AS value FROM part WHERE lower(p_type) = 'promo') WHERE len(args) >= position AND (value IS NULL OR args[position] = value)")
@@ -403,3 +392,6 @@ def part_words(spark, sf_dir):
     words = F.split("p_name", " ")
     other = F.array(F.lower("p_type"), F.try_element_at(words, F.lit(2)))
     return _t(spark, sf_dir, "part").select("p_partkey", ru.same_multiset(words, other).alias("same"), ru.balanced(F.col("p_brand"), "[0-9]", words).alias("balanced"))
+
+
+from . import catalog  # noqa: E402, F401  (adds its queries to the same tables)

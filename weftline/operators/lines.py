@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import cut_bytes
+from ..functions.text import cut_bytes, trimmed
 
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -24,9 +23,12 @@ def running_count(numbered: DataFrame, key: str, condition: Column, name: str) -
 
 
 def first_content(numbered: DataFrame, key: str, n: int = 80) -> DataFrame:
-    """(key, preview): the first line with text outside front matter, which every line that begins with --- opens or closes."""
-    marked = running_count(numbered, key, F.col("line").startswith("---"), "marks")
-    body = marked.where((F.col("marks") % 2 == 0) & ~F.col("line").startswith("---") & (F.trim("line") != "") & ~F.col("line").rlike("^#"))
+    """(key, preview): the first line, trimmed, with text outside front matter, which every line that begins with --- opens or closes.
+
+    Headings and lines that begin with [[ and end with ]] are passed over; a longer line is cut after ``n`` bytes, but within no character.
+    """
+    marked = running_count(numbered, key, F.col("line").startswith("---"), "marks").withColumn("line", trimmed(F.col("line")))
+    body = marked.where((F.col("marks") % 2 == 0) & ~F.col("line").startswith("---") & (F.col("line") != "") & ~F.col("line").rlike(r"^#|^\[\[.*\]\]$"))
     return body.groupBy(key).agg(F.min_by("line", "line_no").alias("line")).select(key, cut_bytes(F.col("line"), n).alias("preview"))
 
 
@@ -47,22 +49,15 @@ def in_fence(numbered: DataFrame, key: str) -> DataFrame:
 
 def wrap(df: DataFrame, key: str, text: str, width: int = 80) -> DataFrame:
     """(key, wrapped): words put on lines of at most width characters as they come; a longer word has a line of its own."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
+    start = F.struct(F.array().cast("array<string>").alias("rows"), F.lit("").alias("row"))
+
+    def step(acc, word):
+        full = (acc["row"] != "") & (F.length(acc["row"]) + 1 + F.length(word) > width)
+        longer = F.when(acc["row"] == "", word).otherwise(F.concat(acc["row"], F.lit(" "), word))
+        return F.struct(F.when(full, F.concat(acc["rows"], F.array(acc["row"]))).otherwise(acc["rows"]).alias("rows"), F.when(full, word).otherwise(longer).alias("row"))
 
-    def fold(batches):
-        for b in batches:
-            out = []
-            for t in b.column(1).to_pylist():
-                rows, row = [], ""
-                for word in (t or "").split():
-                    if row and len(row) + 1 + len(word) > width:
-                        rows.append(row)
-                        row = word
-                    else:
-                        row = f"{row} {word}" if row else word
-                out.append("\n".join([*rows, row]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], [key, "wrapped"])
-
-    return df.select(key, text).mapInArrow(fold, f"{key} {dict(df.dtypes)[key]}, wrapped string")
+    return df.select(key, F.aggregate(words, start, step, lambda acc: F.array_join(F.concat(acc["rows"], F.array(acc["row"])), "\n")).alias("wrapped"))
 
 
 def joined_blocks(df: DataFrame, key: str, order: str, ties: list[str], line: Column, name: str, block: int = 64, stretch: int = 1024) -> DataFrame:

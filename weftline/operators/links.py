@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import link_names, without_links
+from ..functions.text import cut_bytes, link_names, slug, without_links
 from .lines import body_lines, lines
 
 
@@ -15,6 +15,11 @@ def edges(notes: DataFrame) -> DataFrame:
     return notes.select(F.col("path").alias("src"), F.explode(link_names(F.col("content"))).alias("name"))
 
 
+def out_degree(df: DataFrame, key: str, targets, name: str = "n_links") -> DataFrame:
+    """(key, name): how many different targets each row has, for rows that have any."""
+    return df.select(key, F.size(F.array_distinct(targets)).cast("long").alias(name)).where(F.col(name) > 0)
+
+
 def resolve(links: DataFrame, targets: DataFrame) -> DataFrame:
     """(src, name, path): links (src, name) joined to targets (name, path) without regard to case; the least path of a name, null if there is none."""
     first = targets.groupBy(F.lower("name").alias("_key")).agg(F.min("path").alias("path"))
@@ -26,12 +31,13 @@ def backlinks(resolved: DataFrame) -> DataFrame:
     return resolved.where("path is not null and path <> src").select(F.col("path").alias("dst"), "src").distinct()
 
 
-def contexts(notes: DataFrame, name: str, n: int = 80) -> DataFrame:
-    """(src, context): the first line of each note that links to name, without its links; ``(link only)`` if nothing is left."""
+def contexts(notes: DataFrame, name: str, n: int = 50) -> DataFrame:
+    """(src, context): the first line of each note that holds [[name, without its links and trimmed, cut after n bytes with an ellipsis; ``(link only)`` if nothing is left."""
     mark = f"[[{name}"
     found = lines(notes.where(F.col("content").contains(mark)), "path", "content").where(F.col("line").contains(mark))
-    line = without_links(F.min_by("line", "line_no"))
-    return found.groupBy(F.col("path").alias("src")).agg(line.alias("line")).select("src", F.when(F.col("line") == "", "(link only)").otherwise(F.substring("line", 1, n)).alias("context"))
+    first = found.groupBy(F.col("path").alias("src")).agg(F.min_by("line", "line_no").alias("line"))
+    line = without_links(F.col("line"))
+    return first.select("src", F.when(line == "", "(link only)").otherwise(cut_bytes(line, n)).alias("context"))
 
 
 def transclude(notes: DataFrame) -> DataFrame:
@@ -47,3 +53,31 @@ def rename(notes: DataFrame, old: str, new: str) -> DataFrame:
     regex = r"(?i)\[\[" + re.escape(old) + r"(\]\]|\|)"
     fresh = F.regexp_replace("content", regex, "[[" + re.sub(r"([\\$])", r"\\\1", new) + "$1")
     return notes.withColumn("_new", fresh).withColumn("changed", F.col("_new") != F.col("content")).withColumn("content", F.col("_new")).drop("_new")
+
+
+def slugged(links: DataFrame, files: DataFrame, name: str = "name", file: str = "file") -> DataFrame:
+    """Links with the file that their name's slug begins with, followed by one character and md: the least of several, null if there is none.
+
+    Files are known by the slug before the last three characters of their match, so this is an equality join.
+    """
+    found = files.select(F.col(file).alias("_file"))
+    # a name may hold several times one character and md
+    ends = F.filter(F.sequence(F.lit(1), F.length("_file")), lambda i: F.substring("_file", i + 1, 2) == "md")
+    keyed = found.select("_file", F.explode(F.transform(ends, lambda i: F.left("_file", i - 1))).alias("_key")).groupBy("_key").agg(F.min("_file").alias(file))
+    return links.withColumn("_key", slug(F.col(name))).join(keyed, "_key", "left").drop("_key")
+
+
+def prefix_expansion(folders: DataFrame, base: str, tokens: list[str], case: str = "sensitive") -> DataFrame:
+    """(path): the folders (parent, name, path) below base that are reached level by level through names that begin with the tokens.
+
+    case is sensitive, insensitive or smart (names in small letters if the token has no capital). One join per token.
+    """
+    level = folders.where(F.col("parent") == base)
+    for i, token in enumerate(tokens or [""]):
+        if i:
+            found = level.select(F.col("path").alias("_parent"))
+            level = folders.join(found, F.col("parent") == F.col("_parent"), "left_semi")
+        small = case == "insensitive" or case == "smart" and token.islower()
+        name = F.lower("name") if small else F.col("name")
+        level = level.where(name.startswith(token.lower() if case == "insensitive" else token))
+    return level.select("path")

@@ -1,6 +1,6 @@
 """Rule tables joined to rows: versions, wildcards, prefixes, scopes and suppressions.
 
-Rule tables are small by nature and are broadcast only if ``bounded`` finds them so; beyond that Spark chooses the join.
+Rule tables are joined as data, and Spark chooses how by their size in bytes.
 """
 
 from __future__ import annotations
@@ -10,26 +10,25 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import glob_regex
 
 
-def bounded(rules: DataFrame, most: int = 100_000) -> DataFrame:
-    return F.broadcast(rules) if rules.limit(most + 1).count() <= most else rules
-
-
 def new_features(tokens: DataFrame, rules: DataFrame, low: Column) -> DataFrame:
     """Tokens (name) whose rule (name, versions array<struct<ver, flag>>) lacks the feature in a version from ``low`` on: the first such version."""
-    joined = tokens.join(bounded(rules.withColumn("_key", F.lower("name")).drop("name")), F.lower(tokens["name"]) == F.col("_key")).drop("_key")
+    joined = tokens.join(rules.withColumn("_key", F.lower("name")).drop("name"), F.lower(tokens["name"]) == F.col("_key")).drop("_key")
     missing = F.filter("versions", lambda v: ~v["flag"] & (v["ver"] >= low))
     return joined.withColumn("missing_until", F.try_element_at(missing, F.lit(1))["ver"]).where("missing_until is not null").drop("versions")
 
 
 def removed_features(tokens: DataFrame, rules: DataFrame, high: Column) -> DataFrame:
     """Tokens whose rule has a version up to ``high``: deprecated (flag false) and removed (flag true), the first of each."""
-    joined = tokens.join(bounded(rules.withColumn("_key", F.lower("name")).drop("name")), F.lower(tokens["name"]) == F.col("_key")).drop("_key")
+    joined = tokens.join(rules.withColumn("_key", F.lower("name")).drop("name"), F.lower(tokens["name"]) == F.col("_key")).drop("_key")
     first = lambda flag: F.try_element_at(F.filter("versions", lambda v: (v["flag"] == flag) & (v["ver"] <= high)), F.lit(1))["ver"]
     return joined.withColumn("deprecated", first(False)).withColumn("removed", first(True)).where("deprecated is not null or removed is not null").drop("versions")
 
 
 def wildcard_matches(tokens: DataFrame, column: str, groups: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
     """(row, group): rows whose column matches a group's wildcards and is not on its allow list; one regex for all rejects most rows first."""
+    groups = {g: x for g, x in groups.items() if x[0]}  # a group without wildcards matches nothing
+    if not groups:
+        return tokens.where(F.lit(False)).withColumn("group", F.lit(None).cast("string"))
     one = {g: "(?i)" + "|".join(f"(?:{glob_regex(p)})" for p in patterns) for g, (patterns, _) in groups.items()}
     some = tokens.where(F.col(column).rlike("|".join(f"(?:{x})" for x in one.values())))
     hits = F.array_compact(F.array(*(F.when(F.col(column).rlike(one[g]) & ~F.lower(column).isin([x.lower() for x in allow]), g) for g, (_, allow) in groups.items())))
@@ -69,7 +68,7 @@ def has_repeats(a: Column) -> Column:
 
 def argument_rules(calls: DataFrame, rules: DataFrame) -> DataFrame:
     """Calls (name, args) that a rule (name, position from 1, value) forbids: the argument there is the value, or is given at all if the value is null."""
-    joined = calls.join(bounded(rules.withColumn("_key", F.lower("name")).drop("name")), F.lower(calls["name"]) == F.col("_key")).drop("_key")
+    joined = calls.join(rules.withColumn("_key", F.lower("name")).drop("name"), F.lower(calls["name"]) == F.col("_key")).drop("_key")
     given = F.size("args") >= F.col("position")
     return joined.where(given & (F.col("value").isNull() | (F.try_element_at("args", F.col("position")) == F.col("value"))))
 
@@ -122,3 +121,64 @@ def balanced(text: Column, regex: str, args: Column) -> Column:
 
 def same_multiset(a: Column, b: Column) -> Column:
     return F.array_sort(a) == F.array_sort(b)
+
+
+def suppressed_files(markers: DataFrame, file: str, order: str, kind: str, codes: str, wanted: list[str]) -> DataFrame:
+    """(file): files with a disable marker for one of the wanted codes and no later enable marker for them.
+
+    A marker without codes is for all. Only what follows the last matching disable marker of a file decides, in one aggregate.
+    """
+    ours = F.coalesce(F.size(codes) == 0, F.lit(True)) | F.arrays_overlap(codes, F.array(*map(F.lit, wanted)))
+    last = lambda k: F.max(F.when((F.col(kind) == k) & ours, F.col(order)))
+    return markers.groupBy(file).agg(last("disable").alias("_off"), last("enable").alias("_on")).where("_off is not null and (_on is null or _on < _off)").select(file)
+
+
+def verified_in_scope(rows: DataFrame, scope: str, order: str, check: Column, closed: Column, mode: Column) -> DataFrame:
+    """``verified``: has a row's scope a checking row outside closed scopes within it: before the row, or anywhere if the row's mode is ``after``.
+
+    The first such row of each scope is found in one aggregate and joined back, so no window holds a scope.
+    """
+    first = rows.where(check & ~closed).groupBy(F.col(scope).alias("_scope")).agg(F.min(order).alias("_first"))
+    found = F.when(mode == "after", F.col("_first").isNotNull()).otherwise(F.coalesce(F.col("_first") < F.col(order), F.lit(False)))
+    return rows.join(first, F.col(scope).eqNullSafe(F.col("_scope")), "left").withColumn("verified", found).drop("_scope", "_first")
+
+
+def repeated_in_scope(rows: DataFrame, key: list[str], condition: Column, least: int = 2) -> DataFrame:
+    """The scopes (columns ``key``, the level among them) with ``least`` or more rows that meet the condition."""
+    return rows.where(condition).groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(*key)
+
+
+def findings(df: DataFrame, checks: list[tuple[str, Column]], stop: tuple[str, ...] = ()) -> DataFrame:
+    """A row with ``finding`` for each check that holds; after one of ``stop`` no later check counts."""
+    found, open_ = [], F.lit(True)
+    for name, condition in checks:
+        holds = F.coalesce(condition, F.lit(False)) & open_
+        found.append(F.when(holds, F.lit(name)))
+        if name in stop:
+            open_ = open_ & ~holds
+    return df.withColumn("finding", F.explode(F.array_compact(F.array(*found))))
+
+
+def slug_findings(df: DataFrame, column: str, reserved: list[str], prefix: str, most: int = 20) -> DataFrame:
+    """What is wrong with slugs: characters other than small letters, digits, - and _; a reserved name, or else a reserved prefix in any case; more than ``most`` bytes."""
+    s = F.col(column)
+    taken = s.isin(reserved) if reserved else F.lit(False)
+    return findings(df, [("InvalidCharacters", ~s.rlike(r"^[a-z0-9_-]+$")), ("Reserved", taken), ("ReservedPrefix", F.lower(s).startswith(prefix.lower()) & ~taken), ("TooLong", F.octet_length(s) > most)])
+
+
+def prefix_findings(df: DataFrame, column: str, blocked: list[str], least: int = 4) -> DataFrame:
+    """What is wrong with prefixes: blocked in any case, else fewer than ``least`` characters, else not the beginning of a name."""
+    s = F.col(column)
+    checks = [("ForbiddenPrefixPassed", F.lower(s).isin([x.lower() for x in blocked]) if blocked else F.lit(False)), ("ShortPrefixPassed", F.length(s) < least), ("InvalidPrefixPassed", ~s.rlike(r"^[a-zA-Z_\x80-\x{10FFFF}][a-zA-Z0-9_\x80-\x{10FFFF}\\]*$"))]
+    return findings(df, checks, ("ForbiddenPrefixPassed", "ShortPrefixPassed"))
+
+
+def least_of(a: Column) -> Column:
+    """The least of a list, null if it is empty."""
+    return F.array_min(a)
+
+
+def keys_if_any(df: DataFrame, entries: Column, restricted: list[str]) -> DataFrame:
+    """(row, key) for every key of the map of rows that have one of the restricted keys."""
+    keys = F.map_keys(entries)
+    return df.where(F.arrays_overlap(keys, F.array(*map(F.lit, restricted)))).withColumn("key", F.explode(keys))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import natural_key
+
 
 def previous_entry(df: DataFrame, key: str, at: str) -> DataFrame:
     """(key, at, previous): the greatest entry before each, whatever the gap."""
@@ -59,6 +61,58 @@ def seeded_sample(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     return df.withColumn("_draw", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).orderBy("_draw", key).limit(k).drop("_draw")
 
 
+def exact_sample(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
+    """``seeded_sample`` of exactly k rows, or none at all if there are fewer."""
+    some = seeded_sample(df, key, k, seed)
+    return some.where(some.agg(F.count("*")).scalar() == k)
+
+
+#: What files can be sorted by: expressions over their listing.
+SORT_KEYS = {"size": "length", "basename": "name", "mtime": "mtime", "ctime": "ctime", "atime": "atime", "type": "type", "extension": "extension"}
+
+
+def sorted_files(files: DataFrame, by: str = "natural", reverse: bool = False, folders_first: bool = True, ignore_case: bool = True, seed: int = 0, name: str = "name", folder: str = "is_dir") -> DataFrame:
+    """Files in order of natural name, size, basename, mtime, ctime, atime, type, extension or random (the same for a seed).
+
+    Folders go first whatever the direction; sizes and times are largest and latest first; equal keys go by name, then as they are in bytes.
+    """
+    plain = F.lower(name) if ignore_case else F.col(name)
+    if by == "natural":
+        key = natural_key(plain)
+    elif by == "random":
+        key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(name)))
+    else:
+        key = plain if by == "basename" else F.col(SORT_KEYS[by])
+    down = (by in ("size", "mtime", "ctime", "atime")) != reverse
+    first = [F.desc(folder)] if folders_first else []
+    ties = [plain, F.col(name)]
+    return files.orderBy(*first, key.desc() if down else key.asc(), *(x.desc() if reverse else x.asc() for x in ties))
+
+
+def human_size(n: Column) -> Column:
+    """Bytes as du -h shows them: up to one digit after the point, rounded up, in powers of 1024."""
+    out = F.concat(n.cast("string"), F.lit("B"))
+    for i, unit in enumerate("KMGTP", 1):
+        x = n / float(1024**i)
+        shown = F.when(x < 10, F.format_string("%.1f", F.ceil(x * 10) / 10)).otherwise(F.ceil(x).cast("string"))
+        out = F.when(n >= 1024**i, F.concat(shown, F.lit(unit))).otherwise(out)
+    return out
+
+
+def completions(paths: DataFrame, bookmarks: DataFrame, path: str = "path") -> DataFrame:
+    """(path) in order: the bookmarks that lie below one of the paths first, then the paths, each by name."""
+    step = F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.length(path)), lambda i: F.when(F.substring(path, i, 1) == "/", F.left(path, i - 1))), lambda x: x.isNotNull()))
+    above = bookmarks.select(path, step.alias("_above")).join(paths.select(F.col(path).alias("_above")), "_above", "left_semi").select(path).distinct()
+    both = above.withColumn("_rank", F.lit(0)).union(paths.select(path).withColumn("_rank", F.lit(1)))
+    return both.orderBy("_rank", path).select(path)
+
+
+def natural_array(a: Column) -> Column:
+    """The strings of an array in natural order."""
+    keyed = F.transform(a, lambda x: F.struct(natural_key(x).alias("key"), x.alias("value")))
+    return F.transform(F.array_sort(keyed), lambda x: x["value"])
+
+
 def next_number(df: DataFrame, key: str, name: Column) -> DataFrame:
     """One more than the largest number at the end of a group's names, 0 if there is none."""
     number = F.regexp_extract(name, r"(\d+)$", 1)

@@ -49,9 +49,9 @@ def scraped_urls(spark, path: str) -> DataFrame:
     return spark.read.text(path).select(F.regexp_extract(line, 'url="([^"]*)"(?!.*url=")', 1).alias("url")).where("url <> ''")
 
 
-def themes(spark, folder: str) -> DataFrame:
+def themes(spark, folder: str, glob: str = "*.toml") -> DataFrame:
     """(name, key, value) of every leaf of the TOML files of a folder: sparse blocks just have no rows."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.toml").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content")
 
     def leaves(x, at=""):
         pairs = x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ()
@@ -71,3 +71,20 @@ def themes(spark, folder: str) -> DataFrame:
 def excluded(files: DataFrame, column: str, globs: list[str]) -> DataFrame:
     """Files that no exclusion glob matches."""
     return files.where(~F.col(column).rlike("|".join(f"(?:{glob_regex(g)})" for g in globs))) if globs else files
+
+
+def metadata(spark, path: str, files: DataFrame, schema: str, key: str) -> DataFrame:
+    """files with what a JSON store knows of them; null where it knows nothing."""
+    return files.join(spark.read.schema(schema).json(path), key, "left")
+
+
+def lint_config(spark, path: str) -> DataFrame:
+    """(kind, value) of an XML rule configuration: its exclude patterns, each once."""
+    rows = spark.read.format("xml").option("rowTag", "exclude-pattern").schema("_VALUE string").load(path)
+    return rows.select(F.lit("exclude").alias("kind"), F.trim("_VALUE").alias("value")).where("value <> ''").distinct()
+
+
+def without_excluded(files: DataFrame, column: str, config: DataFrame) -> DataFrame:
+    """Files that no exclusion of a configuration matches, as a whole."""
+    globs = [r["value"] for r in config.where("kind = 'exclude'").select("value").collect()]  # a configuration is a short list
+    return excluded(files, column, globs)
