@@ -52,7 +52,7 @@ def test_patterns(spark):
     d = spark.createDataFrame([("Alpha.md",), ("alpine",), ("a.md",), ("xaxlx",)], "s string")
     found = lambda *a, **k: {r.s for r in d.where(pr.pattern(F.col("s"), *a, **k)).collect()}
     assert found(".md") == {"Alpha.md", "a.md"} and found("^al", case="smart") == {"Alpha.md", "alpine"} and found("^Al", case="smart") == {"Alpha.md"}
-    assert found("al", "letters") == {"alpine", "xaxlx"} and found("?.md", "glob") == {"a.md"} and found("(", "regex") == {r.s for r in d.collect()} and found("p", invert=True) == {"a.md", "xaxlx"}
+    assert found("al", "letters") == {"alpine", "xaxlx"} and found("?.md", "glob") == {"Alpha.md", "a.md"} and found("^?.md$", "glob") == {"a.md"} and found(".") == found("(", "regex", invert=True) == {r.s for r in d.collect()} and found("(", "regex") == {r.s for r in d.collect()} and found("p", invert=True) == {"a.md", "xaxlx"}
 
 
 @pytest.fixture(scope="module")
@@ -74,7 +74,7 @@ def test_links(notes):
 
 def test_lines(spark, notes):
     rows = ln.lines(notes, "path", "content")
-    assert {r.path: r.preview for r in ln.first_content(rows, "path").collect()} == {"/v/a.md": "See [[b|Bee]] and [[B]].", "/v/b.md": "[[a]]", "/v/c.md": "one", "/v/d.md": "[[foobar]] [[nowhere]] [[foo]]", "/v/e.md": "other a"}
+    assert {r.path: r.preview for r in ln.first_content(rows, "path").collect()} == {"/v/a.md": "See [[b|Bee]] and [[B]].", "/v/b.md": "![[c]] tail", "/v/c.md": "one", "/v/e.md": "other a"}
     fences = spark.createDataFrame([(1, "x\n```py\ny\n```\nz")], "k int, t string")
     assert [r.line for r in ln.in_fence(ln.lines(fences, "k", "t"), "k").where("in_fence").orderBy("line_no").collect()] == ["y", "```"]
     text = spark.createDataFrame([(1, "aa bb  ccc\ndddddddd e"), (2, None), (3, "")], "k int, t string")
@@ -150,20 +150,53 @@ def test_joined_blocks(spark):
         assert "\n".join(r.t for r in own) == "\n".join(want) and [r.block for r in own] == list(range(len(own))) and all(r.n_lines == 64 for r in own[:-1])
 
 
-def test_whole_previews(spark, sf, tmp_path):
-    from weftline.jobs import registry
-
-    rows = [(1, "# head\n\n" + "é漢" * 20), (2, "---x\n" + "a" * 60), (3, "a" * 61 + "\nb"), (4, "short"), (5, "\n  \n#"), (6, "b" * 59 + "é")]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    rows_of = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
-    for folder, known in ((str(tmp_path), rows), (sf, [tuple(r) for r in rows_of])):
-        want = {}
-        for i, text in known:
-            line = next((x for x in text.split("\n") if not x.startswith(("---", "#")) and x.strip(" ")), None)
-            if line is not None:
-                raw = line.encode()
-                want[i] = line if len(raw) <= 60 else raw[:60].decode("utf-8", "ignore") + "…"
-        assert {r.doc_id: r.preview for r in registry.QUERIES["whole_previews"](spark, folder).collect()} == want
+def test_previews_cut_whole_characters(spark):
+    rows = [(1, "# head\n\n" + "é漢" * 20), (2, "---x\n" + "a" * 60), (3, " \t" + "a" * 61 + "\nb"), (4, "short "), (5, "\n  \n#"), (6, "b" * 59 + "é"), (7, "--- a\nno\n---\n[[x]] and [[y]]\n[[x]] z")]
+    want = {}
+    for i, text in rows:
+        shown, inside = None, False
+        for x in text.split("\n"):
+            if x.startswith("---"):
+                inside = not inside
+            elif not inside and x.strip() and not x.strip().startswith("#") and not (x.strip().startswith("[[") and x.strip().endswith("]]")):
+                shown = x.strip()
+                break
+        if shown is not None:
+            raw = shown.encode()
+            want[i] = shown if len(raw) <= 60 else raw[:60].decode("utf-8", "ignore") + "…"
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.preview for r in ln.first_content(ln.lines(d, "doc_id", "text"), "doc_id", 60).collect()} == want and want[7] == "[[x]] z"
+
+
+def test_odd_values_end_no_job(spark):
+    from weftline.operators import sets as st
+
+    d = spark.createDataFrame([("a1",), ("b",)], "s string")
+    assert ru.wildcard_matches(d, "s", {"none": ([], []), "b": (["b*"], [])}).count() == 1 and ru.wildcard_matches(d, "s", {}).count() == 0
+    assert st.tagged(d, spark.createDataFrame([("b", 1), ("b", 1), ("b", 2)], "s string, tag int"), "s", "tag", [1]).count() == 1
+    assert [one(spark, version(F.col("s")), s=x) for x in ("", "7.4RC1", "5.10")] == [None, None, [5, 10]] and one(spark, version(F.col("s"), 3), s="5.3") == [5, 3, 0]
+    assert one(spark, tx.record_map(F.col("s")), s="a: 1\nb: 2\na: 3") == {"a": "3", "b": "2"}
+    long = ["x" + "9" * 25, "x1" + "0" * 25, "x" + "0" * 30 + "7", "x8"]
+    assert [r.s for r in spark.createDataFrame([(x,) for x in long], "s string").orderBy(tx.natural_key(F.col("s"))).collect()] == [long[2], long[3], long[0], long[1]]
+    assert one(spark, tx.show_links(tx.hide_links(F.col("s"))["text"], tx.hide_links(F.col("s"))["links"]), s="[[a]][[b c]] d [[e]]") == "[[a]][[b c]] d [[e]]"
+
+
+def test_filter_stack_taken_apart():
+    s = pr.FilterStack().add("name", "x").add("type", "d").combine("or").combine("not")
+    assert s.show() == ["not ((name x) or (type d))"] and s.decompose().show() == ["(name x) or (type d)"] and s.decompose().decompose().show() == ["name x", "type d"]
+    assert s.decompose().decompose().rotate().show() == ["type d", "name x"] and s.add("hash", "1").decompose().show() == s.show() and s.clear().show() == []
+
+
+def test_current_and_samples(spark, tmp_path):
+    from weftline.sources import sinks as si
+
+    named = spark.createDataFrame([("dark", "1"), ("light", "2")], "key string, value string")
+    want = lambda k: spark.createDataFrame([(k,)], "key string")
+    for k in ("dark", "light", "dark"):
+        assert [tuple(r) for r in si.set_current(named, want(k), str(tmp_path / "t")).collect()] == [(k, {"dark": "1", "light": "2"}[k])]
+    assert si.set_current(named, want("none"), str(tmp_path / "t")).count() == 0
+    d = spark.range(5)
+    assert se.exact_sample(d, "id", 5).count() == 5 and se.exact_sample(d, "id", 6).count() == 0
 
 
 def test_nested_spans(spark):

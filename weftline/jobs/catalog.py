@@ -531,6 +531,17 @@ def current_theme(spark, sf_dir):
     return si.set_current(named.drop("r_regionkey"), wanted, path)
 
 
+@query("SELECT DISTINCT 'rule' AS kind, p_type AS value FROM part UNION SELECT DISTINCT 'property', p_type || ':size=' || p_size FROM part WHERE p_size > 45 UNION SELECT 'exclude', '*/x/*'")
+def lint_settings(spark, sf_dir):
+    """Rules, properties and exclusions of an XML configuration."""
+    path = scratch(spark, "settings")
+    part = table(spark, sf_dir, "part").select("p_type", "p_size").distinct()
+    size = F.struct(F.lit("size").alias("_name"), F.col("p_size").cast("string").alias("_value"))
+    rule = F.struct(F.col("p_type").alias("_ref"), F.when(F.col("p_size") > 45, F.struct(F.array(size).alias("property"))).alias("properties"))
+    part.select(rule.alias("rule"), F.lit("*/x/*").alias("exclude-pattern")).write.format("xml").option("rootTag", "rulesets").option("rowTag", "ruleset").save(path)
+    return so.lint_config(spark, path)
+
+
 @query("""SELECT p_partkey FROM part WHERE NOT ('/' || p_type || '/' || p_name LIKE '%/PROMO/%' OR p_name LIKE 'red%')""")
 def linted_files(spark, sf_dir):
     """Files that no exclusion of an XML configuration matches."""

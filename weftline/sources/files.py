@@ -79,9 +79,14 @@ def metadata(spark, path: str, files: DataFrame, schema: str, key: str) -> DataF
 
 
 def lint_config(spark, path: str) -> DataFrame:
-    """(kind, value) of an XML rule configuration: its exclude patterns, each once."""
-    rows = spark.read.format("xml").option("rowTag", "exclude-pattern").schema("_VALUE string").load(path)
-    return rows.select(F.lit("exclude").alias("kind"), F.trim("_VALUE").alias("value")).where("value <> ''").distinct()
+    """(kind, value) of an XML rule configuration, each once: its exclude patterns, the rules that it refers to (rule), and their properties (property, as rule:name=value)."""
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    globs = read("exclude-pattern", "_VALUE string").select(F.lit("exclude").alias("kind"), F.trim("_VALUE").alias("value"))
+    rules = read("rule", "_ref string, properties struct<property array<struct<_name string, _value string>>>")
+    refs = rules.select(F.lit("rule").alias("kind"), F.col("_ref").alias("value"))
+    entries = rules.select("_ref", F.explode("properties.property").alias("p"))
+    properties = entries.select(F.lit("property").alias("kind"), F.concat("_ref", F.lit(":"), F.col("p._name"), F.lit("="), F.col("p._value")).alias("value"))
+    return globs.union(refs).union(properties).where("value <> ''").distinct()
 
 
 def without_excluded(files: DataFrame, column: str, config: DataFrame) -> DataFrame:
