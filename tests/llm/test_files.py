@@ -206,3 +206,115 @@ def test_perspectives(spark, sf):
             a, b = map(int, span.split("-"))
             assert r.text[:a].endswith("<|im_start|>assistant\n") and r.text[a:b].endswith("<|im_end|>\n")
     assert pv.rotate(d.limit(0)).count() == 0
+
+
+def test_shards_by_force(spark, sf):
+    """The whole order again: cells at the quantiles of numbers and of texts, places on the curve, runs of equal length."""
+    from weftline.llm import hilbert_shards as hs, queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    texts = {d: hs._text_cuts(spark.createDataFrame([(getattr(r, d),) for r in docs], f"{d} string"), [d], 256)[d] for d in ("lang", "source")}
+    for d, edges in texts.items():
+        values = sorted(getattr(r, d) for r in docs)
+        # few distinct values have a cell each
+        assert edges == sorted(set(values))[1:]
+    edges = np.unique(spark.read.parquet(f"{sf}/documents.parquet").selectExpr(f"percentile_approx(cast(n_chars as double), array({', '.join(f'{i}/256D' for i in range(1, 256))}), 10000)").first()[0])
+    cells = np.array([[sum(e <= r.lang for e in texts["lang"]) * 256 // (len(texts["lang"]) + 1), sum(e <= r.source for e in texts["source"]) * 256 // (len(texts["source"]) + 1), int((edges < r.n_chars).sum()) * 256 // (len(edges) + 1)] for r in docs])
+    curve = hs.hilbert_index(cells, 8)
+    order = sorted((int(k), r.doc_id, zlib.crc32(r.text.encode()), len(r.text.encode()) + 1) for k, r in zip(curve, docs, strict=True))
+    want, n = {}, len(order)
+    for at, (k, i, crc, size) in enumerate(order):
+        wide = n % 16 * (n // 16 + 1)
+        shard, slot = divmod(at, n // 16 + 1) if at < wide else (n % 16 + (at - wide) // (n // 16), (at - wide) % (n // 16))
+        want[i] = (size, crc, "rows", shard, slot, None, k)
+    got = queries.op1_hilbert_shards(spark, sf).collect()
+    assert len(got) == n and {r.doc_id: (r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard, r.curve) for r in got} == want
+
+
+def test_text_cuts_tell_long_texts_apart(spark):
+    from weftline.llm import hilbert_shards as hs
+
+    urls = [f"http://h/{'x' * 40}/{i:05d}" for i in range(3000)] + ["a", None]
+    cuts = hs._text_cuts(spark.createDataFrame([(u,) for u in urls * 2], "u string"), ["u"], 16)["u"]
+    known = sorted(u for u in urls if u)
+    sizes = np.diff([0, *(known.index(c) for c in cuts), len(known)])
+    assert len(cuts) == 15 and sizes.max() < 1.3 * sizes.min()
+    # one value with half of all rows
+    cuts = hs._text_cuts(spark.createDataFrame([("m",)] * 500 + [(f"n{i:03d}",) for i in range(500)], "u string"), ["u"], 8)["u"]
+    assert len(cuts) == 4 and all(c >= "n" for c in cuts)
+
+
+CLASH = ["id", "host", "path", "winners", "position", "_part", "n_rows", "curve", "_d0", "shard", "payload", "_key", "first", "score", "toxic", "h", "n", "archive", "value"]
+
+
+def with_clash(d):
+    return d.selectExpr("*", *(f"'{x}' as {x}" for x in CLASH if x not in d.columns))
+
+
+def test_clashing_columns_and_long_texts(spark, sf):
+    from pyspark.sql import functions as F
+
+    from weftline.llm import hilbert_shards as hs, host_paths as hp, perspectives as pv, toxic_crf as tc, warc
+
+    long = " ".join(f"word{i % 991}" for i in range(300_000))
+    docs = spark.createDataFrame([(1, long, "en", "s", 1), (2, None, None, None, None), (3, "", "de", "t", 0), (None, "x", "", "", 5)], "doc_id int, text string, lang string, source string, n_chars int")
+    got = {r.doc_id: r for r in hs.shard(with_clash(docs)).collect()}
+    assert len(got) == 4 and got[1]["size"] == len(long) + 1 and got[2]["size"] == 1 and got[2].text_crc32 == 0
+    labels = spark.createDataFrame([(1, 1), (3, 0), (3, 1), (None, 1)], "doc_id int, toxic int")
+    scored = tc.score(with_clash(docs), tc.fit(with_clash(docs), labels)).collect()
+    assert {r.doc_id for r in scored} == {1, 2, 3, None} and all(0 <= r.score <= 1 for r in scored)
+    empty = docs.limit(0)
+    assert tc.score(empty, tc.fit(empty, labels.limit(0))).count() == 0 and tc.score(docs, tc.fit(empty, labels)).count() == 4
+    pages = spark.createDataFrame([(1, "http://h/", f"<body><article><p>{long}</p></article></body>"), (2, None, None), (3, "http://h/", "")], "page_id int, url string, html string")
+    text = {r.page_id: r.text for r in hp.extract_pages(with_clash(pages)).collect()}
+    assert text == {1: long, 2: "", 3: ""} and hp.extract_pages(pages.limit(0)).count() == 0
+    twice = pages.union(pages.where("page_id = 1").withColumn("page_id", F.lit(9)))
+    back = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.pages_through_warc(with_clash(twice)).collect()}
+    assert back == {1: (len(long) + 39, "revisit", 9), 9: (len(long) + 39, "response", None), 2: (0, "response", None), 3: (0, "response", None)}
+    talk = spark.createDataFrame([(1, 1, "a", long), (1, 2, "b", "short"), (1, 2, "b", "short")], "conv_id int, turn int, role string, text string")
+    views = {r.perspective: r for r in pv.rotate(with_clash(talk)).collect()}
+    assert set(views) == {"a", "b"} and views["a"].n_turns == 3 and long in views["b"].text and views["b"].n_assistant_turns == 2
+
+
+def test_hot_keys_are_split(spark):
+    """A key with most of the rows is dealt to many pieces, and no row is lost or repeated."""
+    from pyspark.sql import functions as F
+
+    from weftline.llm import common
+
+    left = spark.range(20_000).selectExpr("id", "case when id % 3 < 2 then 7 else id end as k")
+    right = left.groupBy("k").agg(F.max("id").alias("top")).where("k % 2 = 1")
+    counts = left.groupBy("k").agg(F.count("*").alias("n"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        for how in ("inner", "left", "left_semi"):
+            got = common.skew_join(left, right, ["k"], counts, 20_000, ["id"], how)
+            want = left.join(right, "k", how)
+            assert got.exceptAll(want.select(*got.columns)).count() == 0 and got.count() == want.count()
+        hot = counts.where(F.col("n") * 1000 > 20_000)
+        assert [r.k for r in hot.collect()] == [7]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_messages_hold_distinct_keys_only():
+    """What a chunk sends depends on its distinct keys, not on how many rows have them or how many other rows it has."""
+    from weftline.llm import common as c
+
+    rng = np.random.default_rng(1)
+    few, size = rng.integers(0, 1 << 62, 500).astype(np.uint64), []
+    for times in (1, 100):
+        _, _, keys = c.distinct(np.repeat(few, times))
+        size.append([sum(len(x) for x in c.ask(0, keys, np.ones(len(keys), np.int64), n).column("keys").to_pylist()) for n in (8, 128)])
+    assert size[0] == size[1] and size[0][0] == size[0][1] == 4000
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from weftline.llm import common
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(RuntimeError):
+        common.shared(cluster)

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -404,3 +405,35 @@ def test_toxic_crf(spark):
     assert [text[s.start : s.end].decode() for s in got[8].spans] == ["blorg1"]
     none = tc.score(docs, tc.fit(docs, labels.limit(0)))
     assert none.count() == len(rows) + 4 and none.where("score > 0.01").count() == 0
+
+
+def test_toxic_crf_on_held_out_labels(spark):
+    """The query's own verdicts on labels that it may not learn from."""
+    from weftline.llm import queries
+
+    d = "/root/testdata/sf0.1"  # few documents are toxic
+    rows = queries.op5_toxic_crf(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    assert len(toxic) > 50 and len(clean) > 500
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic) and sum(r.predicted for r in clean) <= 0.05 * len(clean)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+
+
+def test_every_language_has_a_reference(spark):
+    """More languages than go to every task: those of small ones are joined, and the verdicts are those of one rule."""
+    from weftline.llm.quality_rules import distance, language_references, quality_rules
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60)), lang) for i, (lang, words) in enumerate((f"l{k}", [f"k{k}w{j}" for j in range(30)]) for k in range(700) for _ in range(2))]
+    rows += [(10_000 + i, " ".join(rng.choice([f"big{j}" for j in range(30)]) for _ in range(60)), "big") for i in range(400)]
+    rows += [(20_000, rows[0][1], "l1"), (20_001, rows[-1][1], None), (20_002, rows[-1][1], "big")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    assert language_references(docs).count() == 702
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
+    assert len(got) == len(rows) and got[20_002].kept and got[20_001].word_distance == min(got[20_001].word_distance, got[20_002].word_distance)
+    for i, text, lang in rows[:2] + rows[1400:1402] + rows[-3:-2]:
+        count = Counter(w for _, t, x in rows if x == lang for w in t.split())
+        top = dict(sorted(count.items(), key=lambda x: -x[1])[:64])
+        own = Counter(w if w in top else None for w in text.split())
+        far = distance(np.array([[*(own[w] for w in top), own[None]]]), np.array([*top.values(), sum(count.values()) - sum(top.values())]))[0]
+        assert abs(got[i].word_distance - far) < 1e-9 and got[i].kept == (far <= 0.5 and got[i].char_distance <= 0.3)

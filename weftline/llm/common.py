@@ -154,13 +154,13 @@ def pack(x: np.ndarray) -> bytes:
     width = min((1, 2, 4), key=lambda w: w * len(x) + 8 * int((x >= (1 << 8 * w) - 1).sum()))
     top = (1 << 8 * width) - 1
     big = x >= top
-    return np.int64([len(x), width]).tobytes() + np.where(big, _U(top), x).astype(f"<u{width}").tobytes() + x[big].tobytes()
+    return np.uint32(len(x)).tobytes() + bytes([width]) + np.where(big, _U(top), x).astype(f"<u{width}").tobytes() + x[big].tobytes()
 
 
 def unpack(b: bytes) -> np.ndarray:
-    n, width = (int(x) for x in np.frombuffer(b, np.int64, 2))
-    x = np.frombuffer(b, f"<u{width}", n, 16).astype(np.int64)
-    x[x == (1 << 8 * width) - 1] = np.frombuffer(b, np.int64, -1, 16 + n * width)
+    n, width = int(np.frombuffer(b, np.uint32, 1)[0]), b[4]
+    x = np.frombuffer(b, f"<u{width}", n, 5).astype(np.int64)
+    x[x == (1 << 8 * width) - 1] = np.frombuffer(b, np.int64, -1, 5 + n * width)
     return x
 
 
@@ -364,13 +364,17 @@ def skew_join(left, right, keys: list[str], counts, total: int, spread: list[str
     """left joined to right on ``keys`` where some keys have a large share of left's rows.
 
     ``counts`` has the keys and ``n``, how many of left's ``total`` rows each has. Keys with more than a thousandth of them, of which there are less
-    than a thousand, are broadcast. Their rows are dealt by the columns ``spread`` to as many pieces as their share of the partitions, and right's rows of
-    these keys are repeated once per piece: all pieces together are no more than partitions and hot keys.
+    than a thousand, are looked up first; without such keys this is a plain join. Their rows are dealt by the columns ``spread`` to as many pieces as
+    their share of the partitions, and right's rows of these keys are repeated once per piece: all pieces together are no more than partitions and hot keys.
     """
     from pyspark.sql import functions as F
 
     n = partitions(left.sparkSession)
-    hot = F.broadcast(counts.where(F.col("n") * 1000 > total).select(*keys, F.ceil(F.col("n") * n / max(total, 1)).cast("int").alias("_pieces")))
+    few = counts.where(F.col("n") * 1000 > total).select(*keys, F.ceil(F.col("n") * n / max(total, 1)).cast("int").alias("_pieces")).where("_pieces > 1")
+    found = few.collect()
+    if not found:
+        return left.join(right, keys, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, few.schema))
     one, two = left.join(hot, keys, "left"), right.join(hot, keys, "left")
     one = one.withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_pieces")).cast("int"), F.lit(0))).drop("_pieces")
     two = two.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1))).drop("_pieces")

@@ -225,6 +225,8 @@ def _compare(lists: DataFrame, t: int, percent: int, block: int, nearest: int, l
     rows = lists.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("token", "group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", *columns)
+    # comparing is more work than the bytes tell, so partitions stay apart
+    rows = rows.repartition(c.partitions(lists.sparkSession), "token", "group", "lo", "hi")
 
     def pairs(key, table):
         within = key[2].as_py() == key[3].as_py()
@@ -287,7 +289,8 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64, t: int
     classes = c.saved(classes.select("h1", "h2", "n_shingles", F.col("first.doc_id").alias("first_id"), F.col("first.text_sha").alias("text_sha"), "sig", "n", F.monotonically_increasing_id().alias("node")), "classes")
     marks = c.saved(_marks(classes, m, t, percent, chunk_bytes), "marks")
     posted = marks.select("node", "band", F.explode("tokens").alias("token"))
-    sets = c.saved(_full_sets(rows, classes.join(marks.select("node"), "node", "left_semi"), k), "sets")
+    wanted = c.saved(classes.select("node", "text_sha", "first_id", "n").join(marks.select("node"), "node", "left_semi"), "wanted")  # small enough, it spares the texts a shuffle
+    sets = c.saved(_full_sets(rows, wanted, k), "sets")
 
     heads = posted.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("size"))
     stars = posted.join(heads, "token").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
