@@ -360,21 +360,29 @@ def saved(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def skew_join(left, right, keys: list[str], counts, total: int, spread: list[str], how: str = "inner"):
+def hot_keys(counts, keys: list[str], total: int) -> tuple[list, str]:
+    """(rows, schema) of the keys with more than a thousandth of ``total`` rows, fewer than a thousand, and into how many pieces each is to be cut."""
+    from pyspark.sql import functions as F
+
+    n = partitions(counts.sparkSession)
+    few = counts.where(F.col("n") * 1000 > total).select(*keys, F.ceil(F.col("n") * n / max(total, 1)).cast("int").alias("_pieces")).where("_pieces > 1")
+    return few.collect(), few.schema
+
+
+def skew_join(left, right, keys: list[str], counts, total: int, spread: list[str], how: str = "inner", found: tuple | None = None):
     """left joined to right on ``keys`` where some keys have a large share of left's rows.
 
     ``counts`` has the keys and ``n``, how many of left's ``total`` rows each has. Keys with more than a thousandth of them, of which there are less
     than a thousand, are looked up first; without such keys this is a plain join. Their rows are dealt by the columns ``spread`` to as many pieces as
     their share of the partitions, and right's rows of these keys are repeated once per piece: all pieces together are no more than partitions and hot keys.
+    ``found`` is what ``hot_keys`` gave, if that is known already.
     """
     from pyspark.sql import functions as F
 
-    n = partitions(left.sparkSession)
-    few = counts.where(F.col("n") * 1000 > total).select(*keys, F.ceil(F.col("n") * n / max(total, 1)).cast("int").alias("_pieces")).where("_pieces > 1")
-    found = few.collect()
-    if not found:
+    rows, schema = found or hot_keys(counts, keys, total)
+    if not rows:
         return left.join(right, keys, how)
-    hot = F.broadcast(left.sparkSession.createDataFrame(found, few.schema))
+    hot = F.broadcast(left.sparkSession.createDataFrame(rows, schema))
     one, two = left.join(hot, keys, "left"), right.join(hot, keys, "left")
     one = one.withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_pieces")).cast("int"), F.lit(0))).drop("_pieces")
     two = two.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1))).drop("_pieces")
@@ -388,6 +396,15 @@ def clear(spark) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def saved_and_counted(df, name: str, condition=None):
+    """(``saved`` rows, how many there are or meet a condition), counted as they are written; lost executors may make it more, never less."""
+    from pyspark.sql import Observation, functions as F
+
+    seen = Observation(uuid.uuid4().hex)
+    out = saved(df.observe(seen, F.count(F.lit(1)).alias("n") if condition is None else F.count_if(condition).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def forget(df) -> None:
     """Remove the files of tables that ``saved`` made."""
     spark = df.sparkSession

@@ -226,43 +226,103 @@ def _compare(lists: DataFrame, t: int, percent: int, block: int, nearest: int, l
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("token", "group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", *columns)
     # comparing is more work than the bytes tell, so partitions stay apart
-    rows = rows.repartition(c.partitions(lists.sparkSession), "token", "group", "lo", "hi")
-
-    def pairs(key, table):
-        within = key[2].as_py() == key[3].as_py()
-        node, comp, n, own = (table.column(x).to_numpy() for x in ("node", "comp", "n_shingles", "own"))
-        here_first = table.column("band").to_numpy() == key[1].as_py()  # two sets of the next band meet in its own group
-        _, code = np.unique(comp, return_inverse=True)
-        large = code == np.argmax(np.bincount(code))  # pairs of this component need no look
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(node), -1)
-        short = sig.astype(np.uint8)
-        turn = np.frombuffer(b"".join(table.column("turn").to_pylist()), np.uint8).reshape(len(node), -1)
-        here = key[0].as_py() & 63  # the token's coordinate
-        sets = None if nearest else [_unpack(x) for x in table.column("low").to_pylist()]
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in np.flatnonzero(~large):
-            j = np.flatnonzero((code != code[i]) & (here_first | here_first[i]) & _compatible(n, n[i], percent) & (within | (own != own[i])) & (True if nearest else large | (node > node[i])))
-            # eight bits of each coordinate rule out most; eight comparisons are added at once
-            same = (short[j] == short[i]).view(np.uint64).sum(1, dtype=np.uint64)
-            j = j[(same * np.uint64(0x0101010101010101)) >> np.uint64(56) >= t]
-            if not len(j):
-                continue
-            same = sig[j] == sig[i]
-            agree = same.sum(1)
-            # a pair is met only in the list of its first common token
-            before = np.flatnonzero(turn[i] < turn[i, here])
-            good = np.flatnonzero((agree >= t) & ~(same[:, before] & (turn[np.ix_(j, before)] < 255)).any(1))
-            j = j[good[np.argsort(-agree[good], kind="stable")]]
-            if nearest:
-                j = j[:nearest]
-            elif len(j):
-                likely, sure = _may_link(sets[i], np.concatenate([sets[x] for x in j]), np.concatenate(([0], np.cumsum([len(sets[x]) for x in j]))), low, percent)
-                first = np.unique(code[j[likely & sure]], return_index=True)[1]  # one sure link to a component is enough
-                j = np.concatenate((j[likely & ~sure], j[likely & sure][first]))
-            a.append(np.minimum(node[i], node[j])), b.append(np.maximum(node[i], node[j]))
-        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
-
-    return rows.groupBy("token", "group", "lo", "hi").applyInArrow(pairs, "a long, b long").distinct()
+    key = ["token", "group", "lo", "hi"]
+    rows = rows.repartition(c.partitions(lists.sparkSession), *key).sortWithinPartitions(*key)
+
+    def pairs(batches):
+        for table in _whole_lists(batches, key):
+            for i, j in _candidates(table, t, percent, nearest, low):
+                node = table.column("node").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
+    return rows.mapInArrow(pairs, "a long, b long").distinct()
+
+
+def _whole_lists(batches, key: list[str]):
+    """The rows, sorted by key, in tables that end where a list ends; a table holds a batch and a list's rows at most."""
+    held = None
+    for b in batches:
+        table = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+        if table.num_rows:
+            last = np.ones(table.num_rows, bool)
+            for x in key:
+                column = table.column(x).to_numpy()
+                last &= column == column[-1]
+            cut = int(np.argmax(last))
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut)
+    if held is not None:
+        yield held
+
+
+def _candidates(table: pa.Table, t: int, percent: int, nearest: int, low: int, most: int = 200_000):
+    """(i, j) of the rows of each list that may be links or, with ``nearest``, agree most; ``most`` pairs at a time, or those of one row.
+
+    In every list the rows outside its largest component are paired with all others.
+    """
+    token, group, lo, hi, node, comp, n, own, band = (table.column(x).to_numpy() for x in ("token", "group", "lo", "hi", "node", "comp", "n_shingles", "own", "band"))
+    change = np.concatenate(([True], (token[1:] != token[:-1]) | (group[1:] != group[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+    of, start = np.cumsum(change) - 1, np.flatnonzero(change)
+    size = np.diff(np.append(start, len(token)))
+    # how many rows of its list are in each row's component, and is that the largest one (of equal ones the least)
+    order = np.lexsort((comp, of))
+    head = np.flatnonzero(np.concatenate(([True], (of[order][1:] != of[order][:-1]) | (comp[order][1:] != comp[order][:-1]))))
+    count = np.diff(np.append(head, len(order)))
+    by = np.lexsort((comp[order][head], -count, of[order][head]))
+    first = by[np.concatenate(([True], of[order][head][by][1:] != of[order][head][by][:-1]))]
+    large = comp == comp[order][head[first]][of]
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(node), -1)
+    turn = np.frombuffer(b"".join(table.column("turn").to_pylist()), np.uint8).reshape(len(node), -1)
+    short, within, here = sig.astype(np.uint8), lo == hi, token & 63
+    sets = None if nearest else table.column("low").to_pylist()
+    wanted = np.flatnonzero(~large)
+    cuts = np.concatenate(([0], np.cumsum(size[of[wanted]])))
+    for x, y in c.parts(cuts, most):
+        r = wanted[x:y]
+        k = size[of[r]]
+        i = np.repeat(r, k)
+        j = np.repeat(start[of[r]] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        # two sets of the next size band meet in its own list, rows of one block where the block meets itself
+        ok = (comp[i] != comp[j]) & ((band[i] == group[i]) | (band[j] == group[i])) & _compatible(n[i], n[j], percent) & (within[i] | (own[i] != own[j]))
+        if not nearest:
+            ok &= large[j] | (node[j] > node[i])
+        i, j = i[ok], j[ok]
+        # eight bits of each coordinate rule out most; eight comparisons are added at once
+        same = (short[i] == short[j]).view(np.uint64).sum(1, dtype=np.uint64)
+        ok = (same * np.uint64(0x0101010101010101)) >> np.uint64(56) >= t
+        i, j = i[ok], j[ok]
+        if not len(i):
+            continue
+        same = sig[i] == sig[j]
+        agree = same.sum(1)
+        # a pair is met only in the list of its first common token
+        earlier = same & (turn[i] < turn[i, here[i]][:, None]) & (turn[j] < 255)
+        ok = (agree >= t) & ~earlier.any(1)
+        i, j, agree = i[ok], j[ok], agree[ok]
+        if nearest:
+            order = np.lexsort((-agree, i))
+            i, j = i[order], j[order]
+            begins = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.zeros(0, np.int64)
+            ok = np.arange(len(i)) - np.repeat(begins, np.diff(np.append(begins, len(i)))) < nearest
+            yield i[ok], j[ok]
+            continue
+        kept = []
+        for lo_, hi_ in _runs(i):
+            some = j[lo_:hi_]
+            others = [_unpack(sets[x]) for x in some]
+            likely, sure = _may_link(_unpack(sets[i[lo_]]), np.concatenate(others), np.concatenate(([0], np.cumsum([len(x) for x in others]))), low, percent)
+            one = np.unique(comp[some[likely & sure]], return_index=True)[1]  # one sure link to a component is enough
+            kept += [lo_ + np.flatnonzero(likely & ~sure), lo_ + np.flatnonzero(likely & sure)[one]]
+        if kept:
+            kept = np.concatenate(kept)
+            yield i[kept], j[kept]
+
+
+def _runs(x: np.ndarray):
+    """(lo, hi) of the runs of equal numbers."""
+    cuts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True]))) if len(x) else np.zeros(1, np.int64)
+    return zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64, t: int = 28, block: int = 1024, nearest: int = 1, low: int = 256, chunk_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,14 +358,14 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64, t: int
     found = components(links)
 
     near = _compare(_lists(posted, found, marks, ["n_shingles", "sig", "turn"]), t, percent, block, nearest, low)
-    more = c.saved(_confirm(near, sets, percent), "links")
-    if more.limit(1).count():
+    more, n_more = c.saved_and_counted(_confirm(near, sets, percent), "links")
+    if n_more:
         links = links.union(more)
         found = components(links)
     lowest = marks.join(sets.select("node", F.substring("shingles", 1, 8 * low).alias("low")), "node")
     rest = _compare(_lists(posted, found, lowest, ["n_shingles", "sig", "turn", "low"]), t, percent, block, 0, low)
-    last = c.saved(_confirm(rest, sets, percent), "links")
-    if last.limit(1).count():
+    last, n_last = c.saved_and_counted(_confirm(rest, sets, percent), "links")
+    if n_last:
         found = components(links.union(last))
 
     groups = c.saved(classes.join(found, "node", "left").select("h1", "h2", "n_shingles", "first_id", "n", F.coalesce("label", "node").alias("label")), "groups")
