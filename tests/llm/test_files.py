@@ -154,6 +154,9 @@ TEXT = ["Title here", ("The first paragraph of a text. " * 9).strip(), "And the
         ("<body><article><h1>Title here</h1>{}</article><div id='c1'>" + "<p>What a reader had to say about this. </p>" * 40 + "</div></body>", True),
         ("<body><div id='x'><h1>Title here</h1>{}</div><div id='c1'>" + "<p>What a reader had to say about this. </p>" * 40 + "</div></body>", True),
         ("<body><div id='top'><h1>Site</h1></div><div id='text'>{}</div></body>", False),
+        ("<body><div class='site-header'><h1>Site</h1><p>tagline</p></div><div class='cookie-banner'><p>We use cookies.</p></div><div class='entry'>{}<div class='share-buttons'>Tell others</div></div><div class='comments-area'><p>said one</p></div></body>", False),
+        ("<body><div class='page has-comments no-ads'><h1>Title here</h1>{}<p class='no-share'></p></div><div class='widget-area'><p>side</p></div></body>", True),
+        ("<body><div class='menu-wrap'><div class='text related-style'>{}</div></div></body>", False),
         ("<body><div id='fb' class='promo'><h1>Title here</h1>{}</div></body>", True),
         ("<body><main>{}</main><div class='comments'><article>" + "<p>What a reader had to say about this. </p>" * 90 + "</article></div></body>", False),
     ],

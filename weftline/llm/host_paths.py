@@ -43,6 +43,9 @@ _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^
 _MAIN = frozenset("html body main article".split())
 #: Names of reader comments, which may be longer than what they are about.
 _REPLIES = frozenset("comment comments respond disqus".split())
+#: Parts of longer names that hint at surroundings, and beginnings of names that say whether something is there.
+_OTHERS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer masthead menu nav navbar navigation newsletter notice pagination popup promo related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+_NOT = frozenset("has hide is no not show with without".split())
 #: Parts of names of an element that holds an article, whose header is the article's own.
 _BODY = frozenset("article content entry hentry post story".split())
 _HEADINGS = frozenset("h1".split())
@@ -52,15 +55,21 @@ Block = namedtuple("Block", "path outside text free own heading")  # own: in an
 
 @lru_cache(20000)
 def _kind(tag: str, rest: str) -> tuple[str, str, bool]:
-    """(generalised step of a path, what its names hint at: "" or "around" or "replies", whether they are those of an article's element)."""
+    """(generalised step of a path, what its names hint at, whether they are those of an article's element).
+
+    Whole names hint at what is "around" an article or at "replies" to it, parts of names only at what "perhaps" is around it.
+    """
     classes, hint, body = [], "", False
     if rest:
         for name, *values in _NAMES.findall(rest):
             value = "".join(values).lower()
             names = [re.sub(r"[-_]*\d+", "", w) for w in value.split()]
+            body |= any(x in _BODY for w in names for x in re.split("[-_]", w))
             if tag not in _MAIN and any(w in _HINTS for w in names):
                 hint = "replies" if hint == "replies" or any(w in _REPLIES for w in names) else "around"
-            body |= any(x in _BODY for w in names for x in re.split("[-_]", w))
+            elif tag not in _MAIN and not hint:
+                split = [re.split("[-_]+", w) for w in names]
+                hint = "perhaps" if any(not _OTHERS.isdisjoint(x) for x in split if x[0] not in _NOT) else ""
             if name.lower() != "role":
                 classes += [("#" if name.lower() == "id" else "") + re.sub(r"\d+", "", x) for x in value.split()]
     return ".".join([tag, *sorted({x for x in classes if x})]), hint, body
@@ -84,7 +93,8 @@ def read_blocks(page: str) -> list[Block]:
     """Its blocks in page order: container path, is it in something that surrounds an article, text, letters outside links, is it in an article or main element, is it a heading.
 
     An element with nine tenths or more of the page's text outside links does not surround the article, whatever its tag or names, unless they are
-    those of reader comments; nor do forms and elements with names that hold a main element or the first heading. If all text would be left out, none is.
+    those of reader comments; nor do forms and elements with names that hold a main element or the first heading, or only parts of such names and half of the
+    text. If all text would be left out, none is.
     """
     out, parts, open_, at, linked, free = [], [], [], 0, 0, 0
     headed = False
@@ -144,9 +154,9 @@ def read_blocks(page: str) -> list[Block]:
     def counts(x: _Element) -> bool:
         if x.why == "replies":
             return True
-        if 10 * x.free >= 9 * total:
+        if 10 * x.free >= 9 * total or x.why == "perhaps" and 2 * x.free >= total:
             return False
-        return not (x.main and (x.why == "around" or x.tag in ("form", "fieldset", "dialog")))
+        return not (x.main and (x.why in ("around", "perhaps") or x.tag in ("form", "fieldset", "dialog")))
 
     marked = [(any(counts(x) for x in around), block) for around, block in out]
     if not any(block.free and not outside for outside, block in marked):
