@@ -256,7 +256,7 @@ def _whole_lists(batches, key: list[str]):
         yield held
 
 
-def _candidates(table: pa.Table, t: int, percent: int, nearest: int, low: int, most: int = 200_000):
+def _candidates(table: pa.Table, t: int, percent: int, nearest: int, low: int, most: int = 1 << 15):
     """(i, j) of the rows of each list that may be links or, with ``nearest``, agree most; ``most`` pairs at a time, or those of one row.
 
     In every list the rows outside its largest component are paired with all others.
