@@ -104,7 +104,7 @@ def _receive(raw: bytes) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))).astype(np.int64).tobytes()), pa.py_buffer(raw[split:]))
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, texts: bool = True, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 32 << 20) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, texts: bool = True, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20) -> DataFrame:
     """Encode and decode every text with the byte-level BPE in the file ``tokenizer``, which every executor must have.
 
     Returns doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 (decoded text in UTF-8), with ``texts`` also
@@ -156,12 +156,13 @@ def encode_decode(docs: DataFrame, tokenizer: str, texts: bool = True, id_col: s
             own = [index.setdefault(w, len(index)) for w in split_words(text.as_py(), tokenizer)] if text.is_valid else []
             words.append(np.array(own, np.int32))
             ends.append(ends[-1] + len(own))
-        words, ends = np.concatenate(words), np.array(ends)
+        words, ends, ids_of_docs = np.concatenate(words), np.array(ends), table.column(0).to_pylist()
+        del table  # the texts are not needed any more
         answers = dict(zip(right.column("bucket").to_pylist(), right.column("answer").to_pylist(), strict=True))
         # a table of the chunk's distinct words: how many ids each has, and where they begin
         order, sizes, ids = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, own in _by_bucket(list(index), n):
-            raw = c.stretch(answers[i])
+            raw = c.stretch(answers.pop(i))
             split = 8 + int(np.frombuffer(raw, np.int64, 1)[0])
             order += [index[w] for w in own.to_pylist()]
             sizes.append(c.unpack(raw[8:split])), ids.append(c.unpack(raw[split:]))
@@ -172,7 +173,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, texts: bool = True, id_col: s
         n_tokens = np.zeros(len(ends) - 1, np.int64)
         shas, text_shas, all_ids, decoded = [], [], [], []
         names, piece = _id_names(tokenizer), pa.array(pieces(tokenizer), pa.large_binary())
-        for lo, hi in c.parts(ends):
+        for lo, hi in c.parts(ends, 1 << 18):  # places at once, or one longer text's
             own = words[ends[lo] : ends[hi]]
             # ids to the positions of their words
             own_ids = ids[_spots(begins[own], counts[own])]
@@ -188,7 +189,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, texts: bool = True, id_col: s
             if texts:
                 all_ids += [own_ids[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)]
                 decoded += back
-        return _rows(table.column(0).to_pylist(), n_tokens, shas, text_shas, all_ids, decoded, texts)
+        return _rows(ids_of_docs, n_tokens, shas, text_shas, all_ids, decoded, texts)
 
     asked = whole.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, words binary")
     answers = c.to_buckets(asked, n).applyInArrow(encode, "chunk int, bucket int, answer binary")

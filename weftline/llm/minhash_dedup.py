@@ -325,7 +325,7 @@ def _runs(x: np.ndarray):
     return zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64, t: int = 28, block: int = 1024, nearest: int = 1, low: int = 256, chunk_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64, t: int = 28, block: int = 1024, nearest: int = 1, low: int = 256, chunk_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents whose sets of k-word shingles (A-Z folded) share at least ``percent`` of their union, through any chain of such links.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id of the group) and kept (it is its own component_id), one row per row of
@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64,
     return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def grouped(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64, t: int = 28, block: int = 1024, nearest: int = 1, low: int = 256, chunk_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grouped(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64, t: int = 28, block: int = 1024, nearest: int = 1, low: int = 256, chunk_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_sha, n_shingles, component_id, component): the groups of ``near_duplicates``, one row per row of ``docs``.
 
     ``component`` tells groups apart that have no doc_id, or the same one; it is null for a text without a set. ``text_sha`` is the text's digest (``text_sha``).

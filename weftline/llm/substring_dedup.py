@@ -52,7 +52,7 @@ def _rank(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(ids)), np.diff(first))
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), chunk_bytes: int = 32 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), chunk_bytes: int = 16 << 20) -> DataFrame:
     """Remove each word that a window of ``window`` words covers whose words also begin in a document with a smaller id.
 
     Returns doc_id, n_words, n_removed, kept_sha256 (kept words joined by a space); with ``texts``
