@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .license_votes import NOTICES, PHRASES
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -88,3 +90,24 @@ items AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids F
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
+
+_TEMPLATES = ", ".join(f"({i}, '{label}', {str(phrase).lower()}, '{text}')" for i, (label, text, phrase) in enumerate([*((*x, True) for x in PHRASES), *((*x, False) for x in NOTICES)]))
+OP11 = f"""
+WITH d AS (SELECT doc_id, {_words(_fold("text"), _SPLIT)} AS ws FROM documents),
+m AS (SELECT id, label, phrase, {_words(_fold("body"), _SPLIT)} AS ws, CASE WHEN phrase THEN 2 ELSE 4 END AS k FROM (VALUES {_TEMPLATES}) AS x(id, label, phrase, body)),
+g AS (SELECT id, k, t, ws[t + 1:t + k] AS run FROM (SELECT *, unnest(range(len(ws) - k + 1)) AS t FROM m)),
+r AS (SELECT doc_id, k, i, ws[i + 1:i + k] AS run FROM (SELECT doc_id, ws, k, unnest(range(len(ws) - k + 1)) AS i FROM d CROSS JOIN (VALUES (2), (4)) AS sizes(k) WHERE len(ws) >= k)),
+v AS (SELECT DISTINCT doc_id, id, r.k, i - t AS diagonal, t FROM r JOIN g ON r.k = g.k AND r.run = g.run),
+p AS (SELECT doc_id, label, diagonal FROM v JOIN m USING (id) WHERE phrase GROUP BY doc_id, id, label, diagonal, ws HAVING count(*) = len(any_value(m.ws)) - 1),
+n AS (SELECT DISTINCT doc_id, id, k, diagonal FROM v WHERE k = 4),
+j AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, id ORDER BY diagonal) <= 3 THEN 0 ELSE 1 END AS fresh FROM n),
+i AS (SELECT doc_id, id, diagonal, sum(fresh) OVER (PARTITION BY doc_id, id ORDER BY diagonal) AS island FROM j),
+w AS (SELECT doc_id, id, island, min(diagonal + t) AS lo, max(diagonal + t) + 4 AS hi, len(list_distinct(flatten(list(range(t, t + 4))))) AS covered FROM i JOIN v USING (doc_id, id, diagonal) GROUP BY ALL),
+s AS (SELECT doc_id, label, covered / greatest(len(ws), hi - lo) AS coverage FROM w JOIN m USING (id)),
+b AS (SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY 1),
+a AS (SELECT doc_id, max(coverage) AS score, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE coverage >= 0.75) AS labels
+      FROM (SELECT doc_id, label, coverage FROM s UNION ALL SELECT doc_id, label, 1.0 FROM p) GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id
+"""

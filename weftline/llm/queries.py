@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, distinct_bpe, hilbert_shards, host_paths, minhash_dedup, oracles, perspectives, quality_rules, substring_dedup, toxic_crf, warc
+from . import decontaminate, distinct_bpe, hilbert_shards, host_paths, license_votes, minhash_dedup, oracles, perspectives, quality_rules, substring_dedup, toxic_crf, warc
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -61,6 +61,10 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), texts=False)
 
 
+def op11_license_votes(spark, sf_dir):
+    return license_votes.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_perspectives": op2_perspectives,
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
+    "op11_license_votes": op11_license_votes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -81,4 +86,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_minhash_dedup": oracles.OP8,
     "op9_quality_rules": oracles.OP9,
     "op10_decontaminate": oracles.OP10,
+    "op11_license_votes": oracles.OP11,
 }
