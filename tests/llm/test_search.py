@@ -1,7 +1,11 @@
 """License scans, prefix tries and ranked search."""
 
+import math
+import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 
@@ -62,7 +66,61 @@ def test_license_scan_is_native(spark, sf):
     assert not re.search("Python|Pandas|Arrow|NestedLoop|Cartesian", plan) and "BroadcastHashJoin" in plan
 
 
-@pytest.mark.parametrize("name", ["op11_license_votes"])
+def _brute_rank(docs, items, k):
+    """The contract, term by term over all documents."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    bags = [(i, Counter(split(t))) for i, t in docs]
+    N, L, df = sum(1 for _, b in bags if b), sum(b.total() for _, b in bags), Counter(t for _, b in bags for t in b)
+    out = []
+    for i, text in set(items):
+        score = lambda b: sum(math.floor(1000 * math.log((2 * N + 2) / (2 * df[t] + 1))) * (1000000000 * b[t] // (1000 * b[t] + 8 * (25 + 75 * b.total() * N // L))) for t in split(text) if b[t])  # noqa: E731, B023
+        found = sorted(((score(b), d) for d, b in bags), key=lambda x: (-x[0], x[1] is None, x[1] or 0))
+        out += [(i, n, d, s) for n, (s, d) in enumerate(found[:k], 1) if s > 0]
+    return sorted(map(str, out))
+
+
+def test_dual_tree_by_force(spark):
+    from weftline.llm import dual_tree as dt
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)] + ["Über", "naïve", "X1"]
+    text = lambda n: " ".join(rng.choices(words, [1 / (i + 1) for i in range(len(words))], k=n))
+    docs = [(i, text(rng.randint(0, 60))) for i in range(700)] + [(i, docs_) for i, docs_ in enumerate([None, "", "...", "w5 " * 30000, "only here"], 1000)]
+    docs += [(9000 - i, "w1 w2 W3-w4") for i in range(40)] + [(None, "w1 w2 w3 w4")] * 3 + [(3, "w1 w2 w3 w4"), (3, "w1 w2 w3 w4")]
+    items = [(i, text(rng.randint(1, 30))) for i in range(330)] + [(500, None), (501, ""), (502, "w1 w2 w3 w4"), (502, "w1 w2 w3 w4"), (503, "nowhere"), (504, "w7 " * 500), (1, "Only HERE"), (None, "w9 w10")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "text", "'x' AS term", "1 AS score").repartition(5)
+    q = spark.createDataFrame(items, "item_id long, text string").selectExpr("item_id", "text", "2 AS doc_id", "3 AS n")
+    want = _brute_rank(docs, [x for x in items if x[1] is not None], 10)
+    for args in ({}, {"block_bytes": 3000, "run": 100}):
+        assert sorted(str(tuple(r)) for r in dt.rank(d, q, **args).collect()) == want
+    assert dt.rank(d.limit(0), q).count() == dt.rank(d, q.limit(0)).count() == 0 and dt.rank(d, q.where("item_id = 503")).count() == 0
+
+
+def test_dual_tree_prunes_and_bounds():
+    """Bounds are never below a score beneath them, and pairs of nodes that cannot reach an item's weakest score are not opened."""
+    from weftline.llm import dual_tree as dt
+
+    rng = np.random.default_rng(1)
+    n, terms = 2000, 400
+    row = np.repeat(np.arange(n), 20)
+    term = (rng.integers(0, 20, len(row)) + 20 * (row // 100)).astype(np.int64)  # documents of one kind side by side
+    at, term, value = dt._csr(row, term, rng.integers(1, 1000, len(row)), n)
+    q_row = np.repeat(np.arange(64), 5)
+    q_at, q_term, q_value = dt._csr(q_row, rng.integers(0, 20, len(q_row)) + 20 * (q_row // 4), rng.integers(1, 100, len(q_row)), 64)
+    full = np.zeros((n, terms), np.int64)
+    full[np.repeat(np.arange(n), np.diff(at)), term] = value
+    other = np.zeros((terms, 64), np.int64)
+    other[q_term, np.repeat(np.arange(64), np.diff(q_at))] = q_value
+    scores = full @ other
+    weakest = np.sort(scores, axis=0)[-10]
+    d, q, s, compared = dt.Group(q_at, q_term, q_value, terms).search(at, term, value, weakest)
+    assert {(a, b): x for a, b, x in zip(d.tolist(), q.tolist(), s.tolist(), strict=True)} == {(a, b): scores[a, b] for a, b in np.argwhere((scores >= weakest) & (scores > 0)).tolist()}
+    assert compared < n * 64 / 8
+    x = rng.integers(1, 1_000_000, 5000)
+    assert all(dt.least_of(k) <= v < dt.least_of(k + 1) or dt.least_of(k) == dt.least_of(k + 1) for v, k in zip(x.tolist(), dt._class(x).tolist(), strict=True))
+
+
+@pytest.mark.parametrize("name", ["op11_license_votes", "op13_dual_tree"])
 def test_against_sql(spark, name):
     """Rows of the query and of its SQL over the whole small tables."""
     import duckdb

@@ -111,3 +111,16 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_ba
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
 FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id
 """
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, {_words(_fold("text"), _SPLIT)} AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS term, len(ws) AS n FROM d),
+x AS (SELECT count(*) FILTER (WHERE len(ws) > 0) AS nn, CAST(coalesce(sum(len(ws)), 0) AS BIGINT) AS ll FROM d),
+f AS (SELECT doc_id, term, any_value(n) AS n, count(*) AS tf FROM t GROUP BY 1, 2),
+g AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS w FROM g CROSS JOIN x),
+q AS (SELECT item_id, text, unnest({_words(_fold("text"), _SPLIT)}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+s AS (SELECT item_id, text, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll)))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN f USING (term) CROSS JOIN x GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) <= 10
+"""
