@@ -1,8 +1,10 @@
 """License scans, prefix tries and ranked search."""
 
+import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -120,7 +122,45 @@ def test_dual_tree_prunes_and_bounds():
     assert all(dt.least_of(k) <= v < dt.least_of(k + 1) or dt.least_of(k) == dt.least_of(k + 1) for v, k in zip(x.tolist(), dt._class(x).tolist(), strict=True))
 
 
-@pytest.mark.parametrize("name", ["op11_license_votes", "op13_dual_tree"])
+def _brute_trie(rows):
+    """The contract over dictionaries of whole prefixes."""
+    turns: dict = {}
+    for conv, turn, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        turns.setdefault(conv, []).append((role or "", text or ""))
+    head = {k: zlib.crc32(str(k).encode()) % 9 for k in turns}
+    whole = {k: turns.get(k - k % 5, [])[: head[k]] + x[head[k] :] for k, x in turns.items()}
+    members: dict = {}
+    for k in sorted(whole):
+        for d in range(len(whole[k]) + 1):
+            members.setdefault(tuple(whole[k][:d]), []).append(k)
+    children: dict = {}
+    for node in members:
+        if node:
+            children.setdefault(node[:-1], []).append(node)
+    totals = {}
+    for node in sorted(members, key=len, reverse=True):
+        own = children.get(node, [])
+        totals[node] = (sum(totals[x][0] for x in own) if own else 1, (len(members[node]) - 1) * len(node[-1][1].encode()) * bool(node) + sum(totals[x][1] for x in own) if node else sum(totals[x][1] for x in own))
+    ends = lambda node: hashlib.sha256(",".join(str(k) for k in members[node] if len(whole[k]) == len(node)).encode()).hexdigest()
+    return sorted(str((m[0], len(x), members[x[:-1]][0] if x else None, len(m), len(children.get(x, ())), *totals[x], ends(x))) for x, m in members.items())
+
+
+def test_prefix_trie_by_force(spark, monkeypatch):
+    from weftline.llm import prefix_trie as pt
+
+    rng = random.Random(5)
+    rows = [(k, i if rng.random() < 0.9 else None, rng.choice(["user", "assistant", None]), rng.choice(["a", "b", "é", "", None])) for k in range(0, 90) for i in range(rng.randint(1, 12)) if k % 7]
+    rows += [(k, i, "user", f"same {i}") for k in (1000, 1005, 1010, 1011, 1013) for i in range(70)] + [(1010, 70, "user", "more"), (2003, 0, "u", "x"), (2003, 0, "u", "x"), (None, 0, "u", "x")]
+    rows += [(k, 0, "user", "hot first turn") for k in range(3000, 3400, 5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS depth", "'x' AS id").repartition(3)
+    want = _brute_trie(rows)
+    assert sorted(str(tuple(r)) for r in pt.trie(df).collect()) == want
+    monkeypatch.setattr(pt, "BLOCK", 8), monkeypatch.setattr(pt, "PIECE", 3)
+    assert sorted(str(tuple(r)) for r in pt.trie(df, height=3).collect()) == want  # four rounds
+    assert pt.trie(df.limit(0)).count() == 0 and [r.depth for r in pt.trie(df.where("conv_id = 2003")).collect()].count(0) == 1
+
+
+@pytest.mark.parametrize("name", ["op11_license_votes", "op12_prefix_trie", "op13_dual_tree"])
 def test_against_sql(spark, name):
     """Rows of the query and of its SQL over the whole small tables."""
     import duckdb

@@ -124,3 +124,22 @@ s AS (SELECT item_id, text, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * t
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
 QUALIFY row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) <= 10
 """
+
+OP12 = """
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(3988292384, x // 2) ELSE x // 2 END)) AS tab),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, n, conv_id - conv_id % 5 AS donor,
+        xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT))), lambda x, b: xor(x >> 8, tab[(xor(x, b) & 255) + 1])), 4294967295) % 9 AS h
+      FROM (SELECT conv_id, count(*) AS n, CAST(conv_id AS VARCHAR) AS s FROM t GROUP BY 1) CROSS JOIN crc),
+k AS (SELECT c.*, least(c.h, coalesce(o.n, 0)) AS lead FROM c LEFT JOIN c o ON o.conv_id = c.donor),
+r AS (SELECT k.conv_id, t.p AS d, role, text FROM k JOIN t ON t.conv_id = k.donor AND t.p < k.h UNION ALL SELECT k.conv_id, t.p - h + lead, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND t.p >= k.h),
+w AS (SELECT k.conv_id, coalesce(turns, []) AS turns FROM k LEFT JOIN (SELECT conv_id, list({'role': role, 'text': text} ORDER BY d) AS turns FROM r GROUP BY 1) x ON x.conv_id = k.conv_id),
+p AS (SELECT conv_id, d, CAST(turns[:d] AS VARCHAR) || len(turns[:d]) AS node, CASE WHEN d > 0 THEN CAST(turns[:d - 1] AS VARCHAR) || (d - 1) END AS parent, coalesce(strlen(turns[d].text), 0) AS bytes, d = len(turns) AS last
+      FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM w)),
+n AS (SELECT node, any_value(d) AS depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '') AS ends FROM p GROUP BY 1),
+g AS (SELECT parent, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY 1),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN g ON g.parent = n.node),
+s AS (SELECT p.node, CAST(count(*) FILTER (WHERE v.n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((v.n_convs - 1) * v.bytes) AS BIGINT) AS saved_tokens FROM v JOIN p ON p.conv_id = v.conv_id AND p.d <= v.depth GROUP BY 1)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v JOIN s ON s.node = v.node LEFT JOIN n u ON u.node = v.parent
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, distinct_bpe, dual_tree, hilbert_shards, host_paths, license_votes, minhash_dedup, oracles, perspectives, quality_rules, substring_dedup, toxic_crf, warc
+from . import decontaminate, distinct_bpe, dual_tree, hilbert_shards, host_paths, license_votes, minhash_dedup, oracles, perspectives, prefix_trie, quality_rules, substring_dedup, toxic_crf, warc
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -65,6 +65,10 @@ def op11_license_votes(spark, sf_dir):
     return license_votes.scan(_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_dual_tree(spark, sf_dir):
     return dual_tree.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
     "op11_license_votes": op11_license_votes,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_dual_tree": op13_dual_tree,
 }
 
@@ -92,5 +97,6 @@ ORACLE_SQL: dict[str, str] = {
     "op9_quality_rules": oracles.OP9,
     "op10_decontaminate": oracles.OP10,
     "op11_license_votes": oracles.OP11,
+    "op12_prefix_trie": oracles.OP12,
     "op13_dual_tree": oracles.OP13,
 }
