@@ -175,3 +175,47 @@ def test_against_sql(spark, name):
     got = [tuple(r) for r in df.collect()]
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
     assert len(got) == len(want) and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_toxic_sample_is_bounded(spark):
+    """Repeated ids, copies and long texts stay within the limits, and two runs see the same rows."""
+    from weftline.llm import toxic_crf as tc
+
+    docs = [(1, f"same id, text {i} " + "w " * 20) for i in range(3000)] + [(i, "copy") for i in range(2, 500)] + [(i, f"own {i}") for i in range(500, 700)] + [(700, "long " * 200_000), (701, None), (None, "no id")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "text", "'x' AS toxic", "1 AS at").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 702)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    rows, sizes = tc.sample(d, labels, None, 400, 100, 5000)
+    got = rows.collect()
+    assert sizes == {0: 350, 1: 351} and len({r.text for r in got if r.toxic}) == len([r for r in got if r.toxic]) <= 400 and len([r for r in got if not r.toxic]) <= 100
+    assert all(sum(len(r.text) for r in got if r.toxic == x) <= 5000 for x in (True, False)) and sorted(got) == sorted(tc.sample(d.repartition(3), labels, None, 400, 100, 5000)[0].collect())
+    assert tc.score(d.limit(0), tc.fit(d.limit(0), labels)).count() == 0
+
+
+def test_toxic_field_by_force():
+    """The trained weights are the maximum of the penalised likelihood over all label sequences."""
+    from itertools import product
+
+    from weftline.llm import toxic_crf as tc
+
+    rng = np.random.default_rng(2)
+    gain, docs = np.array([1.0, 2.0]), []
+    for _ in range(12):
+        n = int(rng.integers(2, 7))
+        places = np.flatnonzero(rng.random(n) < 0.6)
+        docs.append((n, places, rng.integers(0, 2, len(places)), rng.integers(0, 2, len(places)).astype(np.int8)))
+    field = tc._train_field(docs, 2, gain, length=8, steps=6000)
+    start = np.array([1.0, 2.0, -4.0, 0.0, -3.0, 0.0, -1.0])
+
+    def loss(x):
+        w, b, a = x[:2], x[2], x[3:].reshape(2, 2)
+        total = 0.005 * ((x - start) ** 2).sum()
+        for n, places, which, y in docs:
+            at, label = dict(zip(places.tolist(), which.tolist(), strict=True)), np.zeros(n, int)
+            label[places] = y
+            energy = lambda s: sum(s[i] * (b + (w[at[i]] if i in at else 0)) for i in range(n)) + sum(a[s[i], s[i + 1]] for i in range(n - 1))  # noqa: E731, B023
+            total += np.log(sum(np.exp(energy(s)) for s in product((0, 1), repeat=n))) - energy(label)
+        return total
+
+    best = np.concatenate((field["weight"], [field["bias"]], np.ravel(field["step"])))
+    now = loss(best)
+    assert now < loss(start) and all(loss(best + e * v) > now - 1e-4 for v in np.eye(7) for e in (-0.2, 0.2))
