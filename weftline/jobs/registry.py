@@ -265,6 +265,29 @@ def previous_speaker(spark, sf_dir):
     return se.previous_where(c, "conv_id", "turn", F.when(F.col("role") != "system", F.col("role")), "before").select("conv_id", "turn", "before")
 
 
+def _other(back: bool, wrap: bool) -> str:
+    """SQL for the place of the nearest row of the other kind on one side, and with wrap else the farthest on the other."""
+    side = lambda f, op: f"(SELECT {f}(b.turn) FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn {op} a.turn AND (b.role = 'user') <> (a.role = 'user'))"
+    near, far = (side("max", "<"), side("max", ">")) if back else (side("min", ">"), side("min", "<"))
+    return f"coalesce({near}, {far})" if wrap else near
+
+
+@_query(f"SELECT conv_id, turn, {_other(False, False)} AS ahead, {_other(True, False)} AS back, {_other(True, True)} AS back_wrapped FROM conversations a")
+def other_speakers(spark, sf_dir):
+    """The nearest turn of the other side, forward without wrapping and in reverse order with and without."""
+    c, user = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), F.col("role") == "user"
+    rows = se.next_opposite(c, "conv_id", "turn", user, "ahead", wrap=False)
+    rows = se.next_opposite(rows, "conv_id", "turn", user, "back", wrap=False, reverse=True)
+    return se.next_opposite(rows, "conv_id", "turn", user, "back_wrapped", reverse=True).drop("role")
+
+
+@_query("SELECT conv_id, turn, first_value(CASE WHEN role <> 'system' THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM conversations")
+def next_speaker(spark, sf_dir):
+    """The next turn's role that is not system's."""
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return se.next_where(c, "conv_id", "turn", F.when(F.col("role") != "system", F.col("role")), "after").select("conv_id", "turn", "after")
+
+
 @_query("""WITH p AS (SELECT p_partkey, p_brand || CASE p_partkey % 7 WHEN 0 THEN '_' WHEN 1 THEN '_0' WHEN 2 THEN '_3' ELSE '' END AS name FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) - 1 AS n FROM p),
 s AS (SELECT name, k, name || CASE k WHEN 0 THEN '_' ELSE '_' || (k - 1) END AS free FROM (SELECT name, unnest(range(0, max(n) + 5)) AS k FROM n GROUP BY name)),
 f AS (SELECT name, free, row_number() OVER (PARTITION BY name ORDER BY k) AS n FROM s WHERE free NOT IN (SELECT name FROM p))
@@ -332,7 +355,8 @@ def wrong_case_types(spark, sf_dir):
 def signed_up(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     check = F.col("event_type") == "signup"
-    return e.select("event_id", ru.verified(e, "user_id", "event_id", check).alias("before"), ru.verified(e, "user_id", "event_id", check, "after").alias("anywhere"))
+    found = ru.verified_in_scope(e, "user_id", "event_id", check, F.lit(False), F.lit("before")).withColumnRenamed("verified", "before")
+    return ru.verified_in_scope(found, "user_id", "event_id", check, F.lit(False), F.lit("after")).select("event_id", "before", F.col("verified").alias("anywhere"))
 
 
 @_query("SELECT event_id FROM (SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN 1 WHEN event_type = 'signup' THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS off FROM events) WHERE coalesce(off, 0) = 0")

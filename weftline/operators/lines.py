@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import cut_bytes, trimmed
+from . import scans
 
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -19,7 +20,7 @@ def search(df: DataFrame, key: str, text: str, regex: str) -> DataFrame:
 
 def running_count(numbered: DataFrame, key: str, condition: Column, name: str) -> DataFrame:
     """How many lines so far, this one included, meet the condition."""
-    return numbered.withColumn(name, F.count_if(condition).over(Window.partitionBy(key).orderBy("line_no")))
+    return scans.scan(numbered, key, "line_no", {name: scans.count(condition)}, inclusive=True)
 
 
 def first_content(numbered: DataFrame, key: str, n: int = 80) -> DataFrame:
@@ -34,17 +35,17 @@ def first_content(numbered: DataFrame, key: str, n: int = 80) -> DataFrame:
 
 def body_lines(numbered: DataFrame, key: str) -> DataFrame:
     """Lines without front matter, which only a --- on line 1 opens and the next --- closes."""
-    w = Window.partitionBy(key).orderBy("line_no")
     fence = F.col("line").startswith("---")
-    marked = numbered.withColumn("opens", F.first("line").over(w).startswith("---")).withColumn("marks", F.count_if(fence).over(w))
-    inside = F.col("opens") & ((F.col("marks") < 2) | (F.col("marks") == 2) & fence)
-    return marked.where(~inside).drop("opens", "marks")
+    # a text that line 1 does not open has no front matter; the first line is that of the smallest number
+    marked = scans.scan(numbered, key, "line_no", {"_opens": scans.earliest(fence), "_marks": scans.count(fence)}, inclusive=True)
+    inside = F.coalesce(F.col("_opens"), F.lit(False)) & ((F.col("_marks") < 2) | (F.col("_marks") == 2) & fence)
+    return marked.where(~inside).drop("_opens", "_marks")
 
 
 def in_fence(numbered: DataFrame, key: str) -> DataFrame:
     """Is an odd number of lines before this one a code fence."""
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return numbered.withColumn("in_fence", F.count_if(F.col("line").startswith("```")).over(w) % 2 == 1)
+    before = scans.scan(numbered, key, "line_no", {"in_fence": scans.count(F.col("line").startswith("```"))})
+    return before.withColumn("in_fence", F.col("in_fence") % 2 == 1)
 
 
 def wrap(df: DataFrame, key: str, text: str, width: int = 80) -> DataFrame:

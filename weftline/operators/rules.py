@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import glob_regex
+from . import scans
 
 
 def new_features(tokens: DataFrame, rules: DataFrame, low: Column) -> DataFrame:
@@ -49,17 +50,10 @@ def wrong_case(df: DataFrame, column: str, canonical: list[str]) -> DataFrame:
     return df.withColumn("canonical", F.try_element_at(table, F.lower(column))).where(F.col("canonical") != F.col(column))
 
 
-def verified(df: DataFrame, scope: str, order: str, check: Column, mode: str = "before") -> Column:
-    """Has the row's scope a checking row: before it, or with mode ``after`` anywhere. One aggregate per scope."""
-    first = F.min(F.when(check, F.col(order))).over(Window.partitionBy(scope))
-    return F.coalesce(first < F.col(order) if mode == "before" else first.isNotNull(), F.lit(False))
-
-
 def unsuppressed(df: DataFrame, key: str, order: str, off: Column, on: Column) -> DataFrame:
     """Rows outside suppression: an off row suppresses what follows it in its group until the next on row, or to the end."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    state = F.last(F.when(off, F.lit(True)).when(on, F.lit(False)), True).over(w)
-    return df.withColumn("_off", F.coalesce(state, F.lit(False))).where(~F.col("_off")).drop("_off")
+    rows = scans.scan(df, key, order, {"_off": scans.latest(F.when(off, F.lit(True)).when(on, F.lit(False)))})
+    return rows.where(~F.coalesce("_off", F.lit(False))).drop("_off")
 
 
 def has_repeats(a: Column) -> Column:
@@ -78,9 +72,9 @@ def inside_spans(rows: DataFrame, key: str, order: str, opens: Column, closes: C
 
     The last opening or closing row so far decides, so no row is paired with the spans of its group.
     """
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(closes, F.struct(F.lit(False).alias("open"), F.col(order).alias("at"))).when(opens, F.struct(F.lit(True).alias("open"), F.col(order).alias("at"))), True).over(w)
-    return rows.withColumn(name, F.when(last["open"] & ~closes, last["at"]))
+    state = lambda open_: F.struct(F.lit(open_).alias("open"), F.col(order).alias("at"))
+    found = scans.scan(rows, key, order, {"_last": scans.latest(F.when(closes, state(False)).when(opens, state(True)))})
+    return found.withColumn(name, F.when(F.col("_last.open") & ~closes, F.col("_last.at"))).drop("_last")
 
 
 def inside_nested(rows: DataFrame, key: str, order: str, opens: Column, closes: Column, name: str = "opened_at") -> DataFrame:
@@ -89,19 +83,23 @@ def inside_nested(rows: DataFrame, key: str, order: str, opens: Column, closes:
     A closing row ends the innermost open span, if there is one. Opening and closing rows lie in the span around their own. Rows get their depth by a
     running sum; the last opening row of that depth decides, so no row is paired with the spans of its group.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    closing = F.coalesce(closes, F.lit(False))
-    opening = F.coalesce(opens, F.lit(False)) & ~closing
-    placed = rows.withColumn("_opens", opening).withColumn("_sum", F.sum(F.when(closing, -1).when(opening, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # closing rows without a span count for nothing
-    depth = F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.withColumn("_depth", depth)
+    placed = depths(rows, key, order, opens, closes)
     # an opening row stands at its own depth as an opener and one further out as a row
     both = F.when(F.col("_opens"), F.array(F.struct((F.col("_depth") - 1).alias("level"), F.lit(False).alias("opener")), F.struct(F.col("_depth").alias("level"), F.lit(True).alias("opener"))))
-    split = placed.withColumn("_at", F.explode(F.coalesce(both, F.array(F.struct(F.col("_depth").alias("level"), F.lit(False).alias("opener")))))).withColumn("_level", F.col("_at.level"))
-    before = Window.partitionBy(key, "_level").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("_at.opener"), F.col(order)), True).over(before)
-    return split.withColumn(name, F.when(F.col("_level") > 0, last)).where(~F.col("_at.opener")).drop("_opens", "_sum", "_depth", "_at", "_level")
+    split = placed.withColumn("_at", F.explode(F.coalesce(both, F.array(F.struct(F.col("_depth").alias("level"), F.lit(False).alias("opener"))))))
+    # key and level in one column, as a scan has one key
+    split = split.withColumn("_level", F.struct(F.col(key).alias("key"), F.col("_at.level").alias("level")))
+    found = scans.scan(split, "_level", order, {"_last": scans.latest(F.when(F.col("_at.opener"), F.col(order)))})
+    return found.withColumn(name, F.when(F.col("_at.level") > 0, F.col("_last"))).where(~F.col("_at.opener")).drop("_opens", "_depth", "_at", "_level", "_last")
+
+
+def depths(rows: DataFrame, key: str, order: str, opens: Column, closes: Column) -> DataFrame:
+    """rows with ``_opens``, whether a row opens a span, and ``_depth``, how many spans are open after it; closing rows without an open span count for nothing."""
+    closing = F.coalesce(closes, F.lit(False))
+    opening = F.coalesce(opens, F.lit(False)) & ~closing
+    placed = scans.scan(rows.withColumn("_opens", opening), key, order, {"_sum": scans.total(F.when(closing, -1).when(opening, 1).otherwise(0))}, inclusive=True)
+    placed = scans.scan(placed, key, order, {"_low": scans.least(F.col("_sum"))}, inclusive=True)
+    return placed.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.col("_low"))).drop("_sum", "_low")
 
 
 def inside_scopes(rows: DataFrame, scopes: DataFrame, key: str, order: str, name: str = "opened_at") -> DataFrame:

@@ -5,34 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import natural_key
+from . import scans
 
 
 def previous_entry(df: DataFrame, key: str, at: str) -> DataFrame:
-    """(key, at, previous): the greatest entry before each, whatever the gap."""
-    return df.select(key, at).distinct().withColumn("previous", F.lag(at).over(Window.partitionBy(key).orderBy(at)))
+    """(key, at, previous): the greatest entry before each, whatever the gap; a key of any length is scanned in stretches."""
+    return scans.scan(df.select(key, at).distinct(), key, at, {"previous": scans.latest(F.col(at))})
 
 
 def latest_before(df: DataFrame, key: str, at: str, bound) -> DataFrame:
     return df.where(F.col(at) < F.lit(bound)).groupBy(key).agg(F.max(at).alias("latest"))
 
 
-def next_opposite(df: DataFrame, key: str, order: str, kind: Column, name: str = "next_opposite") -> DataFrame:
-    """The place of the first later row of another kind, else of the first earlier one, else null."""
-    w = Window.partitionBy(key).orderBy(order)
-    rows = df.withColumn("_kind", kind)
-    # the next row whose kind differs begins the next run: its place is known at the row before it
-    change = F.lead("_kind").over(w) != F.col("_kind")
-    rows = rows.withColumn("_step", F.when(change, F.lead(order).over(w)))
-    ahead = F.first("_step", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    first_of = F.min(F.struct(order, "_kind")).over(Window.partitionBy(key))
-    first_change = F.min("_step").over(Window.partitionBy(key))
-    behind = F.when(first_of["_kind"] != F.col("_kind"), first_of[order]).otherwise(F.when(first_change < F.col(order), first_change))
-    return rows.withColumn(name, F.coalesce(ahead, behind)).drop("_kind", "_step")
+def next_opposite(df: DataFrame, key: str, order: str, kind: Column, name: str = "next_opposite", wrap: bool = True, reverse: bool = False) -> DataFrame:
+    """The place of the first later row of the other kind (a boolean); with ``wrap`` else of the first row of the other kind at all, else null.
+
+    ``reverse`` goes through the rows from the last to the first. A null kind is false. Nearest and farthest rows of either kind come from two scans, so keys of any length do.
+    """
+    yes = F.coalesce(kind, F.lit(False))
+    places = {"t": F.when(yes, F.col(order)), "f": F.when(~yes, F.col(order))}
+    rows = scans.scan(df, key, order, {f"_ahead_{x}": scans.latest(v) for x, v in places.items()}, backward=not reverse)
+    if wrap:
+        rows = scans.scan(rows, key, order, {f"_behind_{x}": scans.earliest(v) for x, v in places.items()}, backward=reverse)
+    steps = ("_ahead", "_behind")[: 1 + wrap]
+    found = F.coalesce(*(F.when(yes, F.col(f"{x}_f")).otherwise(F.col(f"{x}_t")) for x in steps))
+    return rows.withColumn(name, found).drop(*(f"{x}_{k}" for x in steps for k in "tf"))
 
 
 def previous_where(df: DataFrame, key: str, order: str, value: Column, name: str) -> DataFrame:
     """The last value before each row that is not null."""
-    return df.withColumn(name, F.last(value, True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)))
+    return scans.scan(df, key, order, {name: scans.latest(value)})
+
+
+def next_where(df: DataFrame, key: str, order: str, value: Column, name: str) -> DataFrame:
+    """The first value after each row that is not null."""
+    return scans.scan(df, key, order, {name: scans.latest(value)}, backward=True)
 
 
 def free_names(wanted: DataFrame, name: str, order: str) -> DataFrame:
@@ -52,8 +59,8 @@ def free_names(wanted: DataFrame, name: str, order: str) -> DataFrame:
 
 def rotated(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
     """``turn``: the place of each row in its group when the order starts at the k-th."""
-    w = Window.partitionBy(key)
-    return df.withColumn("turn", F.pmod(F.row_number().over(w.orderBy(order)) - 1 - F.lit(k), F.count("*").over(w)).cast("long"))
+    rows = scans.scan(scans.scan(df, key, order, {"_before": scans.count()}), key, order, {"_after": scans.count()}, backward=True)
+    return rows.withColumn("turn", F.pmod(F.col("_before") - k, F.col("_before") + F.col("_after") + 1).cast("long")).drop("_before", "_after")
 
 
 def seeded_sample(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
