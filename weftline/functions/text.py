@@ -224,18 +224,37 @@ def pretty_json(s: Column, schema: str) -> Column:
     return F.to_json(F.from_json(s, schema), {"pretty": "true"})
 
 
-#: Kinds of definitions and the words before their names.
-SYMBOLS = {
-    "function": r"^[ \t]*(?:pub[ \t]+)?(?:extern[ \t]+)?(?:\"[^\"]+\"[ \t]+)?(?:unsafe[ \t]+)?fn[ \t]+(\w+)", "type": r"^[ \t]*(?:pub[ \t]+)?type[ \t]+(\w+)", "enum": r"^[ \t]*(?:pub[ \t]+)?enum[ \t]+(\w+)",
-    "struct": r"^[ \t]*(?:pub[ \t]+)?struct[ \t]+(\w+)", "module": r"^[ \t]*(?:pub[ \t]+)?mod[ \t]+(\w+)", "const": r"^[ \t]*(?:pub[ \t]+)?(?:static|const)[ \t]+(?:mut[ \t]+)?(\w+)",
-    "trait": r"^[ \t]*(?:pub[ \t]+)?(?:unsafe[ \t]+)?trait[ \t]+(\w+)", "impl": r"^[ \t]*(?:pub[ \t]+)?(?:unsafe[ \t]+)?impl(?:[ \t]*<[^>]*>)?[ \t]+(?:[\w:]+[ \t]*(?:<[^>]*>)?[ \t]+for[ \t]+)?(\w+)", "macro": r"^[ \t]*macro_rules![ \t]+(\w+)",
-}
-
-
-def symbols(line: Column, kinds: dict[str, str] | None = None) -> Column:
-    """array<(kind, name)> of what a line defines: one regex per kind, whose first group is the name."""
-    found = [F.when(line.rlike(r), F.struct(F.lit(k).alias("kind"), F.regexp_extract(line, r, 1).alias("name"))) for k, r in (kinds or SYMBOLS).items()]
-    return F.array_compact(F.array(*found))
+#: The kind of definition that each keyword of the language begins.
+DEFINED_BY = {"fn": "function", "type": "type", "enum": "enum", "struct": "struct", "mod": "module", "static": "const", "const": "const", "trait": "trait", "impl": "impl", "macro_rules!": "macro"}
+#: Words that may stand before the keyword, and the kinds that take them.
+QUALIFIERS, QUALIFIED = ("default", "unsafe", "async", "extern"), ("function", "trait", "impl")
+
+
+def _after(s: Column, regex: str) -> Column:
+    """What follows a match at the beginning; all of it if there is none."""
+    return F.regexp_replace(s, r"\A" + regex, "")
+
+
+def symbols(line: Column) -> Column:
+    """array<(kind, name)> of what a line of Rust defines, one entry at most.
+
+    A line is taken apart from the left: attributes, visibility (``pub``, with or without a scope), qualifiers with a quoted calling convention, keyword,
+    name. ``const`` before a function is a qualifier. The name of an ``impl`` of a trait for a type names both, its parameters left out: ``Trait for Type``.
+    """
+    shown = _after(_after(line, r"\s*(?:#!?\[[^\]]*\]\s*)*"), r"pub(?:\s*\([^)]*\))?\s+")
+    words = "|".join([*QUALIFIERS, r'"[^"]+"', rf"const(?=\s+(?:{'|'.join(QUALIFIERS)}|fn)\b)"])
+    bare = _after(shown, rf"(?:(?:{words})\s+)+")
+    keyword = F.regexp_extract(bare, r"\A(\w+!?)", 1)
+    kind = F.try_element_at(F.create_map(*(F.lit(x) for pair in DEFINED_BY.items() for x in pair)), keyword)
+    rest = F.substr(bare, F.length(keyword) + 1)
+    plain = F.regexp_extract(_after(rest, r"(?=\s)(?:\s+mut(?=\s))?"), r"\A\s+(\w+)", 1)
+    params = r"<(?:[^<>]|<[^<>]*>)*>"
+    of = _after(rest, rf"\s*{params}")
+    trait = F.regexp_extract(of, rf"\A\s+([\w:]+)\s*(?:{params})?\s+for\s", 1)
+    type_ = F.regexp_extract(F.when(trait != "", _after(of, rf"\s+[\w:]+\s*(?:{params})?\s+for(?=\s)")).otherwise(of), r"\A\s+([\w:]+)", 1)
+    name = F.when(kind != "impl", plain).when(trait != "", F.concat_ws(" for ", trait, type_)).otherwise(type_)
+    right = kind.isNotNull() & (name != "") & ((F.length(bare) == F.length(shown)) | kind.isin(*QUALIFIED))
+    return F.when(right, F.array(F.struct(kind.alias("kind"), name.alias("name")))).otherwise(F.array().cast("array<struct<kind:string,name:string>>"))
 
 
 def hyphenated_file(name: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import text as tx
 from ..functions.versions import version
-from ..operators import aggregates as ag, lines as ln, links as lk, predicates as pr, rules as ru, series as se, sets as st
+from ..operators import aggregates as ag, lines as ln, links as lk, matching as ma, predicates as pr, rules as ru, series as se, sets as st
 from ..sources import files as so, sinks as si
 from ..streaming import ingest
 from .base import NOTES, query, scratch, sql_cut, table, with_links
@@ -188,12 +188,19 @@ def hidden_links(spark, sf_dir):
     return h.select("path", F.size("x.links").cast("long").alias("n_links"), F.length("x.text").cast("long").alias("n_chars"), F.md5(F.encode(tx.show_links(F.col("x.text"), F.col("x.links")), "UTF-8")).alias("shown"), (~F.contains("x.text", F.lit("]]"))).alias("hidden"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'function' WHEN 1 THEN 'struct' WHEN 2 THEN 'impl' WHEN 3 THEN 'const' END AS kind, CASE WHEN p_partkey % 5 = 4 THEN NULL ELSE 'x_' || p_size END AS name FROM part WHERE p_partkey % 5 < 4""")
+#: Lines of code from the words of a part: attributes, visibility, qualifiers, keywords and names in all combinations that the numbers of a part give.
+_CODE = """c AS (SELECT p_partkey, p_size, string_split(p_name, ' ') AS w FROM part), parts AS (SELECT p_partkey, [chr(9), '#[' || w[1] || '] ', ''][1 + p_partkey % 3] AS lead, ['pub ', 'pub(' || w[2] || ') ', ''][1 + p_size % 3] AS shown,
+  ['', 'unsafe ', 'extern "' || w[1] || '" '][1 + p_partkey // 3 % 3] AS qualifier, ['fn', 'struct', 'trait', 'enum', 'mod', 'static mut', 'const', 'type', 'let', 'impl'][1 + p_partkey // 9 % 10] AS keyword, w[1] || '_' || p_size AS name FROM c)"""
+
+
+@query(f"""WITH {_CODE} SELECT p_partkey, CASE keyword WHEN 'fn' THEN 'function' WHEN 'mod' THEN 'module' WHEN 'static mut' THEN 'const' ELSE keyword END AS kind, name FROM parts WHERE keyword <> 'let' AND (qualifier = '' OR keyword IN ('fn', 'trait', 'impl'))""")
 def symbol_names(spark, sf_dir):
     """Definitions in lines of code."""
-    name = F.concat(F.lit("x_"), F.col("p_size").cast("string"))
-    heads = ['  pub extern "C" unsafe fn ', "\tstruct ", "impl<T> a::B<T> for ", "pub static mut ", "// fn "]
-    line = F.concat(F.get(F.array(*map(F.lit, heads)), (F.col("p_partkey") % 5).cast("int")), name, F.lit(" {"))
+    w, k, n = F.split("p_name", " "), F.col("p_partkey").cast("int"), F.col("p_size").cast("int")
+    pick = lambda at, *xs: F.get(F.array(*(F.lit(x) if isinstance(x, str) else x for x in xs)), at)
+    nine, three = F.floor(k / 9).cast("int"), F.floor(k / 3).cast("int")
+    lead, shown = pick(k % 3, "\t", F.concat(F.lit("#["), w[0], F.lit("] ")), ""), pick(n % 3, "pub ", F.concat(F.lit("pub("), w[1], F.lit(") ")), "")
+    line = F.concat(lead, shown, pick(three % 3, "", "unsafe ", F.concat(F.lit('extern "'), w[0], F.lit('" '))), pick(nine % 10, "fn", "struct", "trait", "enum", "mod", "static mut", "const", "type", "let", "impl"), F.lit(" "), w[0], F.lit("_"), n.cast("string"), F.lit(" {"))
     return table(spark, sf_dir, "part").select("p_partkey", F.explode(tx.symbols(line)).alias("x")).select("p_partkey", "x.*")
 
 
@@ -561,3 +568,22 @@ def first_seen_types(spark, sf_dir):
         table(spark, sf_dir, "events").where(F.col("event_id") % 2 == part).select("event_type").write.mode("append").parquet(source)
         ingest.run_once(ingest.first_seen(spark.readStream.schema("event_type string").parquet(source), "event_type"), out, state)
     return spark.read.parquet(out)
+
+
+# --------------------------------------------- links by prefix and by glob
+
+
+@query(f"WITH {NOTES}, n AS (SELECT path, CASE path % 3 WHEN 0 THEN left(name, 2) ELSE name END AS name, content FROM notes) SELECT a.path AS dst, b.path AS src FROM n a JOIN n b ON contains(b.content, '[[' || a.name) AND a.path <> b.path")
+def prefix_backlinks(spark, sf_dir):
+    """The notes that hold the beginning of a link to each note; every third note has a name of two characters."""
+    notes = with_links(table(spark, sf_dir, "pages"))
+    return lk.prefix_backlinks(notes.withColumn("name", F.when(F.col("path") % 3 == 0, F.left("name", F.lit(2))).otherwise(F.col("name"))))
+
+
+@query("""WITH t AS (SELECT p_partkey AS path, p_name AS name FROM part WHERE p_size > 10), l AS (SELECT p_partkey AS src, CASE p_partkey % 4 WHEN 0 THEN '*' || string_split(p_name, ' ')[2] WHEN 1 THEN upper(string_split(p_name, ' ')[1]) || '?*' WHEN 2 THEN '*' || substr(p_name, 3, 5) || '*' ELSE p_name END AS name FROM part)
+SELECT src, l.name, min(path) AS path FROM l LEFT JOIN t ON lower(t.name) LIKE replace(replace(lower(l.name), '*', '%'), '?', '_') GROUP BY 1, 2""")
+def glob_links(spark, sf_dir):
+    """Links whose names are globs, and the least of the notes that each finds."""
+    part, w = table(spark, sf_dir, "part"), F.split("p_name", " ")
+    name = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("*"), w[1])).when(F.col("p_partkey") % 4 == 1, F.concat(F.upper(w[0]), F.lit("?*"))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("*"), F.substring("p_name", 3, 5), F.lit("*"))).otherwise(F.col("p_name"))
+    return lk.glob_links(part.select(F.col("p_partkey").alias("src"), name.alias("name")), part.where("p_size > 10").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("path")))

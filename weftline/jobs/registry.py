@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.versions import version, version_range
-from ..operators import aggregates as ag, lines as ln, links as lk, predicates as pr, rules as ru, series as se, sets as st
+from ..operators import aggregates as ag, lines as ln, links as lk, matching as ma, predicates as pr, rules as ru, series as se, sets as st
 from .base import NOTES, ORACLE_SQL, QUERIES, query as _query, sql_cut, table as _t, with_links  # noqa: F401
 
 # ------------------------------------------------------------ link graph
@@ -335,20 +335,42 @@ def removed_feature_rules(spark, sf_dir):
     return ru.removed_features(tokens, rules, version_range(F.lit("-7.9"))["high"]).select("p_partkey", show("deprecated"), show("removed"))
 
 
-@_query("""SELECT p_partkey, 'metal' AS "group" FROM part WHERE (p_name LIKE '%bolt' OR p_name LIKE 'small %') AND lower(p_name) NOT IN ('red bolt') UNION ALL SELECT p_partkey, 'round' FROM part WHERE p_name LIKE '%ring'""")
+#: Wildcards made of the names of parts: heads, tails, middles, single characters and whole names, and names that a group allows.
+_WILDCARDS = """rules AS (SELECT 'g' || (p_partkey % 5) AS "group", CASE p_partkey % 5 WHEN 0 THEN upper(string_split(p_name, ' ')[1]) || ' *' WHEN 1 THEN '*' || string_split(p_name, ' ')[2] WHEN 2 THEN '*' || substr(p_name, 2, 4) || '*'
+  WHEN 3 THEN '?' || substr(p_name, 2, 3) || '*' ELSE p_name END AS pattern FROM part WHERE p_size < 12), allow AS (SELECT DISTINCT 'g' || (p_partkey % 5) AS "group", upper(p_name) AS name FROM part WHERE p_size = 1)"""
+
+
+@_query(f"""WITH {_WILDCARDS} SELECT DISTINCT p_partkey, "group" FROM part JOIN rules ON lower(p_name) LIKE replace(replace(lower(pattern), '*', '%'), '?', '_') WHERE NOT EXISTS (SELECT 1 FROM allow WHERE allow."group" = rules."group" AND lower(name) = lower(p_name))""")
 def wildcard_rules(spark, sf_dir):
-    groups = {"metal": (["*bolt", "small *"], ["Red Bolt"]), "round": (["*ring"], []), "empty": ([], ["x"])}
-    return ru.wildcard_matches(_t(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", groups).select("p_partkey", "group")
+    part = _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    group, words = F.concat(F.lit("g"), (F.col("p_partkey") % 5).cast("string")).alias("group"), F.split("p_name", " ")
+    any_, one, k = F.lit("*"), F.lit("?"), F.col("p_partkey") % 5
+    pattern = F.when(k == 0, F.concat(F.upper(words[0]), F.lit(" *"))).when(k == 1, F.concat(any_, words[1])).when(k == 2, F.concat(any_, F.substring("p_name", 2, 4), any_)).when(k == 3, F.concat(one, F.substring("p_name", 2, 3), any_)).otherwise(F.col("p_name"))
+    rules, allow = part.where("p_size < 12").select(group, pattern.alias("pattern")), part.where("p_size = 1").select(group, F.upper("p_name").alias("name"))
+    return ma.wildcard_matches(part.drop("p_size"), "p_name", rules, allow).select("p_partkey", "group")
+
 
+_PREFIXES = "rules AS (SELECT upper(left(p_name, 1 + p_partkey % 9)) AS prefix, p_partkey AS rank FROM part WHERE p_size > 30 AND p_partkey % 3 = 0)"
 
-@_query("SELECT p_partkey, CASE WHEN p_name LIKE 're%' THEN 'Re' WHEN p_name LIKE 'r%' THEN 'r' WHEN p_name LIKE 'small%' THEN 'SMALL' END AS prefix FROM part")
+
+@_query(f"WITH {_PREFIXES} SELECT p_partkey, arg_min(prefix, rank) AS prefix FROM part LEFT JOIN rules ON starts_with(lower(p_name), lower(prefix)) GROUP BY 1")
 def prefix_rules(spark, sf_dir):
-    return ru.first_prefix(_t(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", ["Re", "r", "SMALL"]).select("p_partkey", "prefix")
+    """The first of a table of prefixes, taken from names of parts, that each name begins with."""
+    part = _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    rules = part.where("p_size > 30 and p_partkey % 3 = 0").select(F.upper(F.left("p_name", (1 + F.col("p_partkey") % 9).cast("int"))).alias("prefix"), F.col("p_partkey").alias("rank"))
+    return ma.first_prefix(part.drop("p_size"), "p_name", rules).select("p_partkey", "prefix")
+
+
+_SPELLINGS = "s AS (SELECT lower(p_type) AS low, arg_min(CASE p_partkey % 3 WHEN 0 THEN lower(p_type) WHEN 1 THEN upper(p_type) ELSE upper(left(p_type, 1)) || lower(substr(p_type, 2)) END, p_size * 1000000 + p_partkey) AS canonical FROM part GROUP BY 1)"
 
 
-@_query("SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'Economy' WHEN 'SMALL' THEN 'small' END AS canonical FROM part WHERE p_type IN ('ECONOMY', 'SMALL')")
+@_query(f"WITH {_SPELLINGS} SELECT p_partkey, canonical FROM part JOIN s ON low = lower(p_type) WHERE canonical <> p_type")
 def wrong_case_types(spark, sf_dir):
-    return ru.wrong_case(_t(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", ["Economy", "small", "Small", "LARGE"]).select("p_partkey", "canonical")
+    """Types spelled otherwise than the first entry of a table of spellings."""
+    part, k = _t(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size"), F.col("p_partkey") % 3
+    other = F.concat(F.upper(F.left("p_type", F.lit(1))), F.lower(F.substr("p_type", F.lit(2))))
+    table = part.select(F.when(k == 0, F.lower("p_type")).when(k == 1, F.upper("p_type")).otherwise(other).alias("canonical"), (F.col("p_size") * F.lit(1000000) + F.col("p_partkey")).alias("rank"))
+    return ma.wrong_case(part, "p_type", table).select("p_partkey", "canonical")
 
 
 @_query("SELECT event_id, coalesce(min(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id) < event_id, false) AS before, min(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id) IS NOT NULL AS anywhere FROM events")

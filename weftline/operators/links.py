@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import cut_bytes, link_names, slug, without_links
 from .lines import body_lines, lines
+from .matching import ENDS, meet
 
 
 def edges(notes: DataFrame) -> DataFrame:
@@ -81,3 +82,29 @@ def prefix_expansion(folders: DataFrame, base: str, tokens: list[str], case: str
         name = F.lower("name") if small else F.col("name")
         level = level.where(name.startswith(token.lower() if case == "insensitive" else token))
     return level.select("path")
+
+
+def prefix_backlinks(notes: DataFrame) -> DataFrame:
+    """(dst, src): the notes (path, name, content) whose content holds ``[[`` and then a note's name, as it is written there, whatever follows; not of a note itself.
+
+    Every place after ``[[`` gives its first characters as keys of the lengths that names have, up to ``ENDS``, names meet them by equality, and what meets is confirmed in the
+    whole content, so no note is compared with all names. A null name or content has no links; an empty name is found in every note with a link.
+    """
+    named = notes.where("name is not null").select(F.col("path").alias("dst"), F.concat(F.lit("[["), "name").alias("_mark"), F.left("name", F.lit(ENDS)).alias("_key")).withColumn("_len", F.length("_key"))
+    lengths = [r[0] for r in named.select("_len").distinct().collect()]  # ENDS and one at most
+    places = F.array_distinct(F.regexp_extract_all("content", F.lit(rf"(?s)(?<=\[\[)(?=(.{{0,{ENDS}}}))"), F.lit(1)))
+    begins = F.transform(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: F.when(F.length("_place") >= n, F.struct(n.alias("_len"), F.left("_place", n).alias("_key"))))
+    keyed = notes.select(F.col("path").alias("src"), F.explode(places).alias("_place")).select("src", F.explode(F.array_compact(begins)).alias("x")).select("src", "x.*").distinct()
+    met = keyed.join(named, ["_len", "_key"]).where("src <> dst").select("src", "dst", "_mark")
+    # names of ENDS characters or less are found whole by their key
+    sure, open_ = met.where(F.length("_mark") <= ENDS + 2), met.where(F.length("_mark") > ENDS + 2)
+    told = open_.join(notes.select(F.col("path").alias("src"), "content"), "src").where(F.contains("content", "_mark"))
+    return sure.select("dst", "src").union(told.select("dst", "src")).distinct()
+
+
+def glob_links(links: DataFrame, targets: DataFrame) -> DataFrame:
+    """(src, name, path): links (src, name) whose name is a glob of * and ? joined to targets (name, path), case ignored: the least path of all that match, null if none does."""
+    wanted = links.select(F.lower("name").alias("_glob")).where("_glob is not null").distinct()
+    first = targets.where("name is not null").groupBy(F.lower("name").alias("_name")).agg(F.min("path").alias("path"))
+    found = meet(first, "_name", wanted, "_glob").join(first, "_name").groupBy("_glob").agg(F.min("path").alias("path"))
+    return links.withColumn("_glob", F.lower("name")).join(found, "_glob", "left").select("src", "name", "path")

@@ -1,4 +1,4 @@
-"""Rule tables joined to rows: versions, wildcards, prefixes, scopes and suppressions.
+"""Rule tables joined to rows: versions, arguments, scopes and suppressions; ``matching`` has wildcards, prefixes and spellings.
 
 Rule tables are joined as data, and Spark chooses how by their size in bytes.
 """
@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import glob_regex
 from . import scans
 
 
@@ -25,31 +24,6 @@ def removed_features(tokens: DataFrame, rules: DataFrame, high: Column) -> DataF
     return joined.withColumn("deprecated", first(False)).withColumn("removed", first(True)).where("deprecated is not null or removed is not null").drop("versions")
 
 
-def wildcard_matches(tokens: DataFrame, column: str, groups: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
-    """(row, group): rows whose column matches a group's wildcards and is not on its allow list; one regex for all rejects most rows first."""
-    groups = {g: x for g, x in groups.items() if x[0]}  # a group without wildcards matches nothing
-    if not groups:
-        return tokens.where(F.lit(False)).withColumn("group", F.lit(None).cast("string"))
-    one = {g: "(?i)" + "|".join(f"(?:{glob_regex(p)})" for p in patterns) for g, (patterns, _) in groups.items()}
-    some = tokens.where(F.col(column).rlike("|".join(f"(?:{x})" for x in one.values())))
-    hits = F.array_compact(F.array(*(F.when(F.col(column).rlike(one[g]) & ~F.lower(column).isin([x.lower() for x in allow]), g) for g, (_, allow) in groups.items())))
-    return some.withColumn("group", F.explode(hits))
-
-
-def first_prefix(df: DataFrame, column: str, prefixes: list[str], name: str = "prefix") -> DataFrame:
-    """The first prefix in order that the column begins with, case ignored; null if none."""
-    return df.withColumn(name, F.coalesce(*(F.when(F.lower(column).startswith(p.lower()), p) for p in prefixes)))
-
-
-def wrong_case(df: DataFrame, column: str, canonical: list[str]) -> DataFrame:
-    """Rows whose column is a canonical spelling but for its case, with that spelling (the first in order)."""
-    known: dict[str, str] = {}
-    for x in canonical:
-        known.setdefault(x.lower(), x)
-    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    return df.withColumn("canonical", F.try_element_at(table, F.lower(column))).where(F.col("canonical") != F.col(column))
-
-
 def unsuppressed(df: DataFrame, key: str, order: str, off: Column, on: Column) -> DataFrame:
     """Rows outside suppression: an off row suppresses what follows it in its group until the next on row, or to the end."""
     rows = scans.scan(df, key, order, {"_off": scans.latest(F.when(off, F.lit(True)).when(on, F.lit(False)))})
