@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..operators.shared import scratch  # noqa: F401
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -27,16 +26,6 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark, name: str) -> str:
-    """A new path in the folder that all executors see; only a local master may do without spark.checkpoint.dir."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{found.rstrip('/')}/weftline-{name}-{uuid.uuid4().hex}"
-
-
 def with_links(pages):
     """(path, name, content) of pages: their links as [[name]], each tag on a line of its own, and the first word of the title as name."""
     content = F.regexp_replace(F.regexp_replace("html", 'href="/([^"]*)"', "[[$1]]"), "<", "\n<")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.versions import version
-from ..operators import aggregates as ag, lines as ln, links as lk, matching as ma, predicates as pr, rules as ru, series as se, sets as st
+from ..operators import aggregates as ag, lines as ln, links as lk, matching as ma, predicates as pr, rules as ru, scopes as sc, series as se, sets as st
+from ..operators.numbering import numbered
 from ..sources import files as so, sinks as si
 from ..streaming import ingest
 from .base import NOTES, query, scratch, sql_cut, table, with_links
@@ -318,11 +319,6 @@ def bounded_counts(spark, sf_dir):
 # ------------------------------------------------------------ sorts and samples
 
 
-def _placed(ordered, column: str):
-    """(column, place): the place of each row in an order. One small table is ordered, so one task may number it."""
-    return ordered.select(column).withColumn("place", (F.monotonically_increasing_id())).withColumn("place", F.row_number().over(Window.orderBy("place")).cast("long"))
-
-
 _FILES = "f AS (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN upper(n_name) ELSE n_name END || (n_nationkey * 37 % 11) AS name, n_nationkey % 5 = 0 AS is_dir, n_nationkey * 7 % 13 AS length, CASE n_nationkey % 3 WHEN 0 THEN 'md' WHEN 1 THEN 'py' ELSE '' END AS extension FROM nation)"
 
 
@@ -339,7 +335,7 @@ def file_orders(spark, sf_dir):
     """Places of files in several orders."""
     f = _files(spark, sf_dir)
     orders = {"size": {"by": "size"}, "size reverse": {"by": "size", "reverse": True}, "extension": {"by": "extension", "folders_first": False}, "basename": {"by": "basename", "ignore_case": False}, "natural": {}, "random": {"by": "random", "seed": 3}}
-    return st.appended(*(_placed(se.sorted_files(f, **o), "n_nationkey").withColumn("by", F.lit(k)) for k, o in orders.items()))
+    return st.appended(*(numbered(f, se.file_order(**o), "place").select("n_nationkey", "place").withColumn("by", F.lit(k)) for k, o in orders.items()))
 
 
 @query("""SELECT p_partkey, CASE WHEN n >= 1048576 THEN CASE WHEN n / 1048576.0 < 10 THEN printf('%.1f', ceil(n / 1048576.0 * 10) / 10) ELSE CAST(CAST(ceil(n / 1048576.0) AS BIGINT) AS VARCHAR) END || 'M'
@@ -352,7 +348,7 @@ def human_sizes(spark, sf_dir):
 def event_ranking(spark, sf_dir):
     """Kinds of events, the most frequent first."""
     ranked = ag.ranked_histogram(table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")))
-    return ranked.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "event_type")).cast("long"))
+    return numbered(ranked, [F.desc("n"), "event_type"], "place")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE (SELECT count(*) FROM orders) >= 5 ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 5")
@@ -370,7 +366,7 @@ def completion_list(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     paths = part.where("p_type <> 'SMALL'").select(F.col("p_type").alias("path")).distinct()
     marks = part.where("p_size > 48").select(F.concat("p_type", F.lit("/"), "p_name").alias("path")).distinct()
-    return _placed(se.completions(paths, marks), "path")
+    return se.completions(paths, marks)
 
 
 @query("SELECT p_partkey, ['f' || p_size, 'f' || (p_size * 10), 'f' || (p_size * 100) || 'b'] AS files FROM part")
@@ -587,3 +583,68 @@ def glob_links(spark, sf_dir):
     part, w = table(spark, sf_dir, "part"), F.split("p_name", " ")
     name = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("*"), w[1])).when(F.col("p_partkey") % 4 == 1, F.concat(F.upper(w[0]), F.lit("?*"))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("*"), F.substring("p_name", 3, 5), F.lit("*"))).otherwise(F.col("p_name"))
     return lk.glob_links(part.select(F.col("p_partkey").alias("src"), name.alias("name")), part.where("p_size > 10").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("path")))
+
+
+# ------------------------------------------------------------ scopes
+
+_CROSSING = "s AS (SELECT user_id, event_id AS opener, event_id + (event_id * 7919) % 2000 AS closer, event_type AS kind FROM events WHERE event_id % 11 = 0)"
+
+
+def _crossing(e):
+    return e.where("event_id % 11 = 0").select("user_id", F.col("event_id").alias("opener"), (F.col("event_id") + F.col("event_id") * 7919 % 2000).alias("closer"), F.col("event_type").alias("kind"))
+
+
+@query(f"WITH {_CROSSING} SELECT event_id, opener, closer, kind FROM events e JOIN s ON s.user_id = e.user_id AND event_id > opener AND event_id < closer")
+def crossing_scopes(spark, sf_dir):
+    """Every scope around every event, of scopes that cross and nest."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return sc.around(e.drop("event_type"), _crossing(e), "user_id", "event_id").select("event_id", "opener", "closer", "kind")
+
+
+@query(f"WITH {_CROSSING} SELECT event_id, EXISTS (SELECT 1 FROM s WHERE s.user_id = e.user_id AND event_id > opener AND event_id < closer AND kind IN ('error', 'signup')) AS in_scope FROM events e")
+def events_in_scopes(spark, sf_dir):
+    """Whether each event lies in a scope of certain kinds."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return sc.has_scope(e, _crossing(e), "user_id", "event_id", ["error", "signup"]).select("event_id", "in_scope")
+
+
+@query("SELECT event_id, (SELECT max(opener) FROM (SELECT user_id, event_id AS opener, event_id + 400 AS closer FROM events WHERE event_id % 13 = 0 AND (event_id // 13) % 40 = 0) s WHERE s.user_id = e.user_id AND event_id > opener AND event_id < closer) AS opened_at FROM events e")
+def inside_scopes(spark, sf_dir):
+    """The opener of the given scope, of scopes that do not meet, around each event."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id")
+    scopes = e.where("event_id % 13 = 0 and floor(event_id / 13) % 40 = 0").select("user_id", F.col("event_id").alias("opener"), (F.col("event_id") + 400).alias("closer"))
+    return ru.inside_scopes(e, scopes, "user_id", "event_id").select("event_id", "opened_at")
+
+
+_TREE = """s AS (SELECT *, sum(CASE event_type WHEN 'purchase' THEN -1 WHEN 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS total FROM events),
+d AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY user_id ORDER BY event_id)) AS depth FROM s),
+t AS (SELECT user_id, event_id AS opener, (SELECT min(b.event_id) FROM d b WHERE b.user_id = a.user_id AND b.event_id > a.event_id AND b.depth < a.depth) AS closer, depth AS level,
+  (SELECT max(b.event_id) FROM d b WHERE b.user_id = a.user_id AND b.event_id < a.event_id AND b.event_type = 'signup' AND b.depth = a.depth - 1) AS parent FROM d a WHERE event_type = 'signup')"""
+
+
+def _brackets(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return e, "user_id", "event_id", F.col("event_type") == "signup", F.col("event_type") == "purchase"
+
+
+@query(f"WITH {_TREE} SELECT opener, closer, CAST(level AS BIGINT) AS level, parent FROM t")
+def scope_tree(spark, sf_dir):
+    """Scopes from the rows that open and close them."""
+    return sc.tree(*_brackets(spark, sf_dir)).drop("user_id")
+
+
+@query(f"""WITH {_TREE}, o AS (SELECT event_id, e.user_id, event_type, max(opener) AS scope FROM events e LEFT JOIN t ON t.user_id = e.user_id AND opener % 2 = 0 AND opener < event_id AND (closer IS NULL OR event_id < closer) GROUP BY 1, 2, 3),
+f AS (SELECT user_id, scope, min(event_id) AS first FROM o WHERE event_type = 'error' GROUP BY 1, 2)
+SELECT event_id, o.scope, CASE WHEN event_id % 3 = 0 THEN first IS NOT NULL ELSE coalesce(first < event_id, false) END AS verified FROM o LEFT JOIN f ON f.user_id = o.user_id AND f.scope IS NOT DISTINCT FROM o.scope""")
+def verified_in_closed_scopes(spark, sf_dir):
+    """Has an event's closed scope an error of its own, before it or for every third event anywhere; closed scopes within are skipped, others are not."""
+    e = _brackets(spark, sf_dir)
+    mode = F.when(F.col("event_id") % 3 == 0, "after").otherwise("before")
+    return sc.verified(*e, F.col("event_id") % 2 == 0, F.col("event_type") == "error", mode).select("event_id", "scope", "verified")
+
+
+@query(f"""WITH {_TREE}, o AS (SELECT event_id, e.user_id, event_type, max(opener) AS scope FROM events e LEFT JOIN t ON t.user_id = e.user_id AND opener < event_id AND (closer IS NULL OR event_id < closer) GROUP BY 1, 2, 3)
+SELECT user_id, scope, count(*) AS n FROM o WHERE event_type = 'error' GROUP BY 1, 2 HAVING count(*) >= 2""")
+def repeated_in_scopes(spark, sf_dir):
+    """Scopes with two errors or more of their own level."""
+    return sc.repeated(*_brackets(spark, sf_dir), F.col("event_type") == "error")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import natural_key
 from . import scans
+from .numbering import numbered
 
 
 def previous_entry(df: DataFrame, key: str, at: str) -> DataFrame:
@@ -78,8 +79,8 @@ def exact_sample(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
 SORT_KEYS = {"size": "length", "basename": "name", "mtime": "mtime", "ctime": "ctime", "atime": "atime", "type": "type", "extension": "extension"}
 
 
-def sorted_files(files: DataFrame, by: str = "natural", reverse: bool = False, folders_first: bool = True, ignore_case: bool = True, seed: int = 0, name: str = "name", folder: str = "is_dir") -> DataFrame:
-    """Files in order of natural name, size, basename, mtime, ctime, atime, type, extension or random (the same for a seed).
+def file_order(by: str = "natural", reverse: bool = False, folders_first: bool = True, ignore_case: bool = True, seed: int = 0, name: str = "name", folder: str = "is_dir") -> list[Column]:
+    """The order of files by natural name, size, basename, mtime, ctime, atime, type, extension or random (the same for a seed).
 
     Folders go first whatever the direction; sizes and times are largest and latest first; equal keys go by name, then as they are in bytes.
     """
@@ -93,7 +94,12 @@ def sorted_files(files: DataFrame, by: str = "natural", reverse: bool = False, f
     down = (by in ("size", "mtime", "ctime", "atime")) != reverse
     first = [F.desc(folder)] if folders_first else []
     ties = [plain, F.col(name)]
-    return files.orderBy(*first, key.desc() if down else key.asc(), *(x.desc() if reverse else x.asc() for x in ties))
+    return [*first, key.desc() if down else key.asc(), *(x.desc() if reverse else x.asc() for x in ties)]
+
+
+def sorted_files(files: DataFrame, **how) -> DataFrame:
+    """Files in their ``file_order``."""
+    return files.orderBy(*file_order(**how))
 
 
 def human_size(n: Column) -> Column:
@@ -107,11 +113,11 @@ def human_size(n: Column) -> Column:
 
 
 def completions(paths: DataFrame, bookmarks: DataFrame, path: str = "path") -> DataFrame:
-    """(path) in order: the bookmarks that lie below one of the paths first, then the paths, each by name."""
+    """(path, place) in order: the bookmarks that lie below one of the paths first, then the paths, each by name, numbered from 1."""
     step = F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.length(path)), lambda i: F.when(F.substring(path, i, 1) == "/", F.left(path, i - 1))), lambda x: x.isNotNull()))
     above = bookmarks.select(path, step.alias("_above")).join(paths.select(F.col(path).alias("_above")), "_above", "left_semi").select(path).distinct()
     both = above.withColumn("_rank", F.lit(0)).union(paths.select(path).withColumn("_rank", F.lit(1)))
-    return both.orderBy("_rank", path).select(path)
+    return numbered(both, ["_rank", path], "place").orderBy("place").select(path, "place")
 
 
 def natural_array(a: Column) -> Column:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import date_name
+from ..operators.numbering import numbered
 
 
 def append_log(rows: DataFrame, key: str, path: str) -> None:
@@ -33,10 +34,10 @@ def write_absent(rows: DataFrame, path: str, key: str) -> None:
 
 
 def numbered_notes(rows: DataFrame, order: str, date: Column, first: int) -> DataFrame:
-    """rows with the text and the file of a new note each, numbered from ``first`` in order. A day's new notes are few, so one task may number them."""
-    number = F.row_number().over(Window.orderBy(order)) + F.lit(first - 1)
+    """rows with the text and the file of a new note each, numbered from ``first`` in order, through range partitions."""
     text = F.concat(F.lit("DATE: "), date_name(date), F.lit("\nTITLE:\nTAGS:\n---"))
-    return rows.withColumn("text", text).withColumn("file", F.concat(date_name(date, "numbered"), F.lit("-"), number.cast("string"), F.lit(".md")))
+    placed = numbered(rows, [order], "_number", first)
+    return placed.withColumn("text", text).withColumn("file", F.concat(date_name(date, "numbered"), F.lit("-"), F.col("_number").cast("string"), F.lit(".md"))).drop("_number")
 
 
 def set_current(named: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
