@@ -216,8 +216,9 @@ def keys_with(m: Column, prefix: str) -> Column:
 
 def note_text(title: Column, date: Column, tag: str = "Notes") -> Column:
     """A note with front matter and its title as heading."""
-    head = ["---", F.concat(F.lit("title: '"), title, F.lit("'")), "description: ''", F.concat(F.lit("date: "), date_name(date)), "visibility: private", "status: draft", "tags:", f"  - {tag}", "---", F.concat(F.lit("# "), title), ""]
-    return F.concat_ws("\n", *(x if isinstance(x, Column) else F.lit(x) for x in head))
+    from .templates import NOTE, render
+
+    return render(NOTE, {"title": title, "date": date_name(date), "tags": F.array(F.lit(tag))})
 
 
 def pretty_json(s: Column, schema: str) -> Column:

@@ -7,10 +7,11 @@ import datetime
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.templates import doc_block, render
 from ..functions.versions import version
 from ..operators import aggregates as ag, lines as ln, links as lk, matching as ma, predicates as pr, rules as ru, scopes as sc, series as se, sets as st
 from ..operators.numbering import numbered
-from ..sources import files as so, sinks as si
+from ..sources import files as so, sinks as si, snapshots
 from ..streaming import ingest
 from .base import NOTES, query, scratch, sql_cut, table, with_links
 
@@ -490,13 +491,23 @@ def logged_ids(spark, sf_dir):
     return st.loaded_set(spark, saved, existing, "id")
 
 
-@query("SELECT p_partkey AS path, p_brand AS title, CASE WHEN p_size > 25 THEN p_type END AS author FROM part")
+@query("""WITH f AS (SELECT p_partkey, 'a/' || lower(p_type) || '/' || p_brand || '/f' || p_partkey AS path FROM part),
+s AS (SELECT 'a/' || lower(p_type) || '/' || p_brand AS folder, 'f' || p_partkey AS entry, CASE WHEN p_size % 2 = 0 THEN p_name END AS title, NULL AS author FROM part WHERE p_size > 10
+UNION ALL SELECT 'a/' || lower(p_type), p_brand || '/f' || p_partkey, upper(p_name), 'above ' || p_size FROM part WHERE p_size < 30 UNION ALL SELECT 'a', lower(p_type) || '/' || p_brand || '/f' || p_partkey, 'top', CASE WHEN p_size % 3 = 0 THEN 'root' END FROM part WHERE p_size % 5 = 0),
+m AS (SELECT p_partkey, length(folder) AS n, title, author FROM f JOIN s ON f.path = folder || '/' || entry)
+SELECT f.p_partkey, arg_max(title, n) FILTER (WHERE title IS NOT NULL) AS title, arg_max(author, n) FILTER (WHERE author IS NOT NULL) AS author FROM f LEFT JOIN m ON m.p_partkey = f.p_partkey GROUP BY 1""")
 def stored_metadata(spark, sf_dir):
-    """Metadata of files from a JSON store, with what a store of the folder above says of the rest."""
-    path = scratch(spark, "metadata")
-    part = table(spark, sf_dir, "part")
-    part.select(F.col("p_partkey").alias("path"), F.col("p_brand").alias("title"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("author")).write.json(path)
-    return so.metadata(spark, path, part.select(F.col("p_partkey").alias("path")), "path bigint, title string, author string", "path").select("path", "title", "author")
+    """Metadata of files from JSON stores of their own folder and of those above it, field by field."""
+    path, part = scratch(spark, "metadata"), table(spark, sf_dir, "part")
+    file, type_ = F.concat(F.lit("f"), F.col("p_partkey").cast("string")), F.lower("p_type")
+    none, at = F.lit(None).cast("string"), lambda *x: F.concat_ws("/", *x)
+    own = part.where("p_size > 10").select(at(F.lit("a"), type_, "p_brand").alias("folder"), file.alias("entry"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("title"), none.alias("author"))
+    above = part.where("p_size < 30").select(at(F.lit("a"), type_), at("p_brand", file), F.upper("p_name"), F.concat(F.lit("above "), F.col("p_size").cast("string")))
+    top = part.where("p_size % 5 = 0").select(F.lit("a"), at(type_, "p_brand", file), F.lit("top"), F.when(F.col("p_size") % 3 == 0, "root"))
+    own.union(above).union(top).write.json(path)
+    stores = spark.read.schema("folder string, entry string, title string, author string").json(path)
+    files = part.select("p_partkey", at(F.lit("a"), type_, "p_brand", file).alias("path"))
+    return so.nearest_metadata(files, stores, "path", ["title", "author"]).select("p_partkey", "title", "author")
 
 
 @query("SELECT p_name || '.txt' AS value FROM part WHERE NOT contains(p_name || '.txt', 'red')")
@@ -566,6 +577,57 @@ def first_seen_types(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+def _in_thirds(spark, sf_dir, content, ttl):
+    """Three runs of a stream over one checkpoint, each with the next third of the events by time."""
+    source, out, store, state = (scratch(spark, x) for x in ("in", "out", "store", "state"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts").where("user_id is not null and ts is not null")
+    cuts = [r[0] for r in e.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [1 / 3, 2 / 3]).alias("c")).select(F.explode("c")).collect()]
+    part = F.when(F.unix_micros(F.col("ts").cast("timestamp")) <= cuts[0], 0).when(F.unix_micros(F.col("ts").cast("timestamp")) <= cuts[1], 1).otherwise(2)
+    for i in range(3):
+        e.where(part == i).write.mode("append").parquet(source)
+        ingest.run_changes(spark.readStream.schema(e.schema).parquet(source), "user_id", "ts", content, ttl, store, out, state)
+    return spark.read.parquet(out)
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_type, sha256(event_type) AS h FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), p AS (SELECT *, lag(h) OVER w AS before, lag(ts) OVER w AS since FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, h))
+SELECT user_id, ts, event_type FROM p WHERE before IS NULL OR before <> h OR ts > since + INTERVAL 3 DAY""")
+def changed_kinds(spark, sf_dir):
+    """Events of another kind than the user's last one, or more than three days after it, as a stream in three runs finds them."""
+    return _in_thirds(spark, sf_dir, F.col("event_type"), "3 days").select("user_id", "ts", "event_type")
+
+
+@query("""WITH e AS (SELECT user_id, ts FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), p AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS since FROM e)
+SELECT user_id, ts FROM p WHERE since IS NULL OR ts > since + INTERVAL 1 DAY""")
+def returning_users(spark, sf_dir):
+    """The first event of a user, and those after a day without one, as a stream whose memory ends finds them."""
+    return _in_thirds(spark, sf_dir, None, "1 day").select("user_id", "ts")
+
+
+@query("SELECT DISTINCT p_type AS value FROM part WHERE p_size < 40")
+def replaced_log(spark, sf_dir):
+    """A log of keys that is read and replaced at one path, three times."""
+    path, part = scratch(spark, "log"), table(spark, sf_dir, "part")
+    for lo in (0, 10, 20):
+        snapshots.merge_keys(part.where((F.col("p_size") >= lo) & (F.col("p_size") < lo + 20)).select(F.col("p_type").alias("value")), "value", path)
+    return snapshots.read(spark, path)
+
+
+@query("""SELECT p_partkey, '/**' || chr(10) || ' * ' || p_name || ': A class that does things.' || chr(10) || ' *' || chr(10) || ' * @package Package' || chr(10) || ' **/' || chr(10) || 'class ' || p_name || ' {' || chr(10) || chr(9) || '// body' || chr(10) || '}' || chr(10) AS block FROM part WHERE p_size % 2 = 0
+UNION ALL SELECT p_partkey, chr(9) || '/**' || chr(10) || chr(9) || ' * ' || p_name || ': A method that does things.' || chr(10) || chr(9) || ' *' || chr(10) || chr(9) || ' * @return mixed' || chr(10) || chr(9) || ' **/' || chr(10) || chr(9) || 'private function ' || p_name || '() {' || chr(10) || chr(9) || chr(9) || '// body' || chr(10) || chr(9) || '}' || chr(10) FROM part WHERE p_size % 2 = 1""")
+def doc_blocks(spark, sf_dir):
+    """Documentation blocks of classes and methods."""
+    part = table(spark, sf_dir, "part")
+    block = F.when(F.col("p_size") % 2 == 0, doc_block("class", F.col("p_name"))).otherwise(doc_block("method", F.col("p_name")))
+    return part.select("p_partkey", block.alias("block"))
+
+
+@query("""SELECT l_orderkey, 'Order ' || l_orderkey || ':' || chr(10) || string_agg('  {' || l_linenumber || '} ' || l_quantity::BIGINT || chr(10), '' ORDER BY l_linenumber, l_quantity::BIGINT) AS text FROM lineitem GROUP BY 1""")
+def order_texts(spark, sf_dir):
+    """A text for each order with a line for each of its items."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("number"), F.col("l_quantity").cast("long").alias("quantity")))).alias("items"))  # the items of one order
+    return rows.select("l_orderkey", render("Order {key}:\n{#items}  {{{number}}} {quantity}\n{/items}", {"key": F.col("l_orderkey"), "items": F.col("items")}).alias("text"))
+
+
 # --------------------------------------------- links by prefix and by glob
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import glob_regex, stem
+from .toml import TomlSource
 
 
 def notes(spark, folder: str, glob: str = "*.md", deep: bool = True) -> DataFrame:
@@ -51,21 +51,8 @@ def scraped_urls(spark, path: str) -> DataFrame:
 
 def themes(spark, folder: str, glob: str = "*.toml") -> DataFrame:
     """(name, key, value) of every leaf of the TOML files of a folder: sparse blocks just have no rows."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content")
-
-    def leaves(x, at=""):
-        pairs = x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ()
-        for k, v in pairs:
-            yield from leaves(v, f"{at}.{k}".lstrip(".")) if isinstance(v, (dict, list)) else [(f"{at}.{k}".lstrip("."), str(v))]
-
-    def read(batches):
-        import tomllib
-
-        for b in batches:
-            rows = [(p.as_py(), k, v) for p, raw in zip(b.column(0), b.column(1), strict=True) for k, v in leaves(tomllib.loads(raw.as_py().decode()))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["path", "key", "value"])
-
-    return files.mapInArrow(read, "path string, key string, value string").select(stem(F.col("path")).alias("name"), "key", "value")
+    spark.dataSource.register(TomlSource)
+    return spark.read.format("toml").option("pathGlobFilter", glob).load(folder).select(stem(F.col("path")).alias("name"), "key", "value")
 
 
 def excluded(files: DataFrame, column: str, globs: list[str]) -> DataFrame:
@@ -78,6 +65,22 @@ def metadata(spark, path: str, files: DataFrame, schema: str, key: str) -> DataF
     return files.join(spark.read.schema(schema).json(path), key, "left")
 
 
+def nearest_metadata(files: DataFrame, stores: DataFrame, path: str, fields: list[str], deep: bool = True) -> DataFrame:
+    """files with the fields that stores (folder, entry, fields) have for them: a store's entry is a path relative to its folder.
+
+    Only the store of a file's own folder is looked at, or with ``deep`` those of all folders above it; each field comes from the nearest store that has a value for it. Folders have
+    no slash at their end, the root is an empty string. A file gives a key for each folder above it, and keys meet by equality; a null path has no metadata.
+    """
+    steps = F.split(F.col(path), "/")
+    n = F.size(steps)
+    depth = F.sequence(F.lit(1), n - 1) if deep else F.array(n - 1)
+    above = files.where(F.instr(path, "/") > 0).select(path, F.explode(depth).alias("_depth"), steps.alias("_steps")).distinct()
+    keyed = above.select(path, "_depth", F.array_join(F.slice("_steps", 1, F.col("_depth")), "/").alias("folder"), F.array_join(F.slice("_steps", F.col("_depth") + 1, F.size("_steps")), "/").alias("entry"))
+    met = keyed.join(stores.select("folder", "entry", *fields), ["folder", "entry"])
+    best = met.groupBy(path).agg(*(F.max_by(x, F.when(F.col(x).isNotNull(), F.col("_depth"))).alias(x) for x in fields))
+    return files.join(best, path, "left")
+
+
 def lint_config(spark, path: str) -> DataFrame:
     """(kind, value) of an XML rule configuration, each once: its exclude patterns, the rules that it refers to (rule), and their properties (property, as rule:name=value)."""
     read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)

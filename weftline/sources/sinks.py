@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import date_name
 from ..operators.numbering import numbered
+from . import snapshots
 
 
 def append_log(rows: DataFrame, key: str, path: str) -> None:
@@ -41,12 +40,12 @@ def numbered_notes(rows: DataFrame, order: str, date: Column, first: int) -> Dat
 
 
 def set_current(named: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
-    """Make the named row that is wanted (key) the current one: each choice is a folder of its own under path, and the last written counts; an unknown key changes nothing."""
-    spark = named.sparkSession
+    """Make the named row that is wanted (key) the current one and return it: each choice is a version under path, and the last committed one counts, whatever the clocks say.
+
+    An unknown key changes nothing and returns no row; a choice that fails leaves the one before.
+    """
     row = named.join(wanted, "key", "left_semi")
-    if row.limit(1).count():
-        row.withColumn("chosen", F.current_timestamp()).write.mode("append").option("maxRecordsPerFile", 1).parquet(f"{path}/{uuid.uuid4().hex}")
-    else:
+    if not row.limit(1).count():
         return named.limit(0)
-    chosen = spark.read.option("recursiveFileLookup", "true").schema(row.withColumn("chosen", F.current_timestamp()).schema).parquet(path)
-    return chosen.where(F.col("chosen") == chosen.agg(F.max("chosen")).scalar()).drop("chosen")
+    snapshots.write(row, path)
+    return snapshots.read(named.sparkSession, path)
