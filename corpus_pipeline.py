@@ -51,7 +51,8 @@ def near_dedup(spark, docs, sf_dir):
     rows = common.skew_join(known(rows, i, minhash_dedup.text_sha(F.col(text))), kept, key, copies, groups.count(), list(names.values()))
     # equal texts without words and without a doc_id repeat nothing
     rows = rows.withColumn("own", F.when(F.col("alone") & F.col("none"), F.monotonically_increasing_id()))
-    return rows.dropDuplicates([i, text, "own"]).select(*names.values()).toDF(*docs.columns)
+    # by the join's own keys, so that texts are not exchanged again
+    return rows.dropDuplicates([*key, "own"]).select(*names.values()).toDF(*docs.columns)
 
 
 def repeats(spark, docs, sf_dir):
