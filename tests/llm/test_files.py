@@ -321,3 +321,66 @@ def test_shared_folder_must_be_named_on_a_cluster(spark):
     cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
     with pytest.raises(RuntimeError):
         common.shared(cluster)
+
+
+@pytest.mark.parametrize(
+    "inner",
+    ["<p class='share-price'>{}</p>", "<h2 id='comment-on-law'>{}</h2>", "<h2 class='notice-of-meeting'>{}</h2>", "<div class='cookie-recipe'><p>{}</p></div>", "<div class='tab-menu-recipes'>{}</div>", "<p class='notice'>{}</p>", "<ul><li class='share'>{}</li></ul>"],
+)
+def test_names_within_an_article(inner):
+    """Names of headings and paragraphs of an article are no hints, and parts of names only where links prevail."""
+    from weftline.llm import host_paths as hp
+
+    page = f"<body><nav>go</nav><article><h1>Title here</h1>{BODY}{inner.format('This is a part of it.')}</article></body>"
+    assert hp.extract(hp.read_blocks(page), []) == "\n\n".join([*TEXT, "This is a part of it."])
+    linked = f"<body><article><h1>Title here</h1>{BODY}<div class='share-buttons'><a href=x>Here</a> <a href=y>There</a></div><p class='ad'>buy</p><div class='social'>tell</div></article></body>"
+    assert hp.extract(hp.read_blocks(linked), []) == "\n\n".join(TEXT)
+
+
+def test_an_entry_is_no_widget():
+    from weftline.llm import host_paths as hp
+
+    page = f"<body><div class='entry social'>{BODY}</div><div class='entry social'><p>{'More of it. ' * 30}</p></div><div class='social'>tell</div></body>"
+    assert hp.extract(hp.read_blocks(page), []) == "\n\n".join([*TEXT[1:], ("More of it. " * 30).strip()])
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 6, 20])
+def test_what_stands_within_a_text_stays(spark, n):
+    """Headings and paragraphs that all pages of a host share are left out at the ends of a text only, and a page's middle is the same whatever the number of pages."""
+    from weftline.llm import host_paths as hp
+
+    page = lambda i: f"<body><div><p>All prices without tax.</p><h1>Page {i}</h1><p>{f'text of page {i} is this. ' * 20}</p><h2>Conclusion</h2><p>{'So it goes. ' * 40}</p><p>End of {i}.</p><p>Call us.</p></div></body>"
+    rows = [(i, "http://h/x", page(i)) for i in range(n)] + [(100 + i, "http://h/y", page(0).replace("<body>", f"<body><nav>{i}</nav>")) for i in range(3)]
+    got = {r.page_id: r.text.split("\n\n") for r in hp.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(n):
+        middle = [f"Page {i}", (f"text of page {i} is this. " * 20).strip(), "Conclusion", ("So it goes. " * 40).strip(), f"End of {i}."]
+        assert got[i] == (middle if n > 2 else ["All prices without tax.", *middle, "Call us."])
+
+
+def test_votes_and_repeats_by_force(spark):
+    """Votes, winners and repeated blocks against counts over plain lists."""
+    from weftline.llm import host_paths as hp
+
+    kinds = ["<div class='a{1}'><p>same</p><p>{0} {2}</p></div>", "<main><p>{0} {2}</p></main>", "<div><section><p>{0} {2}</p></section><p>tail</p></div>"]
+    rows = [(f"h{i % 3}", kinds[(i * i) % 3 if i % 5 else 0].format(f"text {i // 2} of it", i, "and more " * 20)) for i in range(60)] + [("h0", None), ("h1", "")]
+    votes = hp._votes(spark.createDataFrame(rows, "host string, html string")).persist()
+    paths, seen = defaultdict(Counter), defaultdict(lambda: defaultdict(set))
+    pages = defaultdict(set)
+    for host, page in rows:
+        blocks = hp.read_blocks(page or "")
+        path = hp.best_path(blocks)
+        if path is None:
+            continue
+        paths[host][" ".join(path)] += 1
+        chosen = [x for x in blocks if not x.outside and x.path[: len(path)] == path]
+        longest = max((x.text for x in chosen), key=lambda t: (len(t), t))
+        pages[host].add(longest)
+        for x in chosen:
+            if not x.own:
+                seen[host][hp._mark(x)].add(longest)
+    cast = hp.host_votes(spark.createDataFrame(rows, "host string, html string"))
+    assert {(r.host, r.path): r.votes for r in cast.collect()} == {(h, p): n for h, c in paths.items() for p, n in c.items()}
+    winners = {r.host: list(r.winners) for r in hp.winning_paths(cast).collect()}
+    assert winners == {h: [p for p, n in sorted(c.items(), key=lambda x: (-x[1], x[0])) if 10 * n >= c.total()] for h, c in paths.items()}
+    repeated = {r.host: set(r.repeated) for r in hp.repeated_blocks(votes).collect()}
+    assert repeated == {h: x for h, m in seen.items() if (x := {k for k, p in m.items() if len(p) >= 3 and 2 * len(p) >= len(pages[h])})} and repeated

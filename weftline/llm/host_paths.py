@@ -6,7 +6,9 @@ a tenth of a host's votes or more win (ten at most). Every page is then extracte
 that the page has; a page that has none of them falls back to its own best container.
 
 What surrounds an article is told by tags (a header only outside the article) and by names, which count for an element only if it is small beside the page or
-neither holds the page's heading nor main element; where pages have no article or main element, also by short blocks that most pages of their host repeat.
+neither holds the page's heading nor main element. Within an article or main element names of headings, paragraphs and list entries do not count unless they are those of adverts,
+and parts of names only where most of what the element holds is links. Where pages have no article or main element, blocks that most articles of their host repeat go
+from both ends of the text, up to the first and from the last one that they do not repeat: what stands within a text stays, however often it is used.
 """
 
 from __future__ import annotations
@@ -49,7 +51,9 @@ _NOT = frozenset("has hide is no not show with without".split())
 #: Parts of names of an element that holds an article, whose header is the article's own.
 _BODY = frozenset("article content entry hentry post story".split())
 _HEADINGS = frozenset("h1".split())
-_SHORT = 200  # characters of a block that may be a notice
+#: Names that hint at adverts on any element, and tags of an article's own text.
+_ADVERTS = frozenset("ad ads adbox advert adverts advertisement advertising sponsor sponsored promo".split())
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption address".split())
 Block = namedtuple("Block", "path outside text free own heading")  # own: in an article or main element
 
 
@@ -59,12 +63,13 @@ def _kind(tag: str, rest: str) -> tuple[str, str, bool]:
 
     Whole names hint at what is "around" an article or at "replies" to it, parts of names only at what "perhaps" is around it.
     """
-    classes, hint, body = [], "", False
+    classes, hint, body, own = [], "", False, False
     if rest:
         for name, *values in _NAMES.findall(rest):
             value = "".join(values).lower()
             names = [re.sub(r"[-_]*\d+", "", w) for w in value.split()]
             body |= any(x in _BODY for w in names for x in re.split("[-_]", w))
+            own |= any(w in _BODY for w in names)
             if tag not in _MAIN and any(w in _HINTS for w in names):
                 hint = "replies" if hint == "replies" or any(w in _REPLIES for w in names) else "around"
             elif tag not in _MAIN and not hint:
@@ -72,21 +77,27 @@ def _kind(tag: str, rest: str) -> tuple[str, str, bool]:
                 hint = "perhaps" if any(not _OTHERS.isdisjoint(x) for x in split if x[0] not in _NOT) else ""
             if name.lower() != "role":
                 classes += [("#" if name.lower() == "id" else "") + re.sub(r"\d+", "", x) for x in value.split()]
+    if tag in _TEXT and hint and not any(_ADVERTS & {re.sub(r"[-_]*\d+", "", w) for w in "".join(v).lower().split()} for _, *v in _NAMES.findall(rest)):
+        hint = "text " + hint
+    elif own and hint != "replies":
+        hint = ""  # it says of itself that it is an article's
     return ".".join([tag, *sorted({x for x in classes if x})]), hint, body
 
 
 class _Element:
     """An open element: its tag and step, why it may surround an article, and what it holds."""
 
-    __slots__ = ("tag", "step", "why", "body", "inside", "free", "main")
+    __slots__ = ("tag", "step", "why", "body", "inside", "free", "main", "all")
 
     def __init__(self, tag: str, rest: str, parents: list):
         self.tag, (self.step, hint, self.body) = tag, _kind(tag, rest)
         # in an article or main element
         self.inside = tag in ("article", "main") or any(x.inside for x in parents)
         own_header = tag == "header" and (any(x.tag in ("article", "main", "section") for x in parents) or bool(parents) and parents[-1].body)
+        if hint.startswith("text "):
+            hint = "" if self.inside else hint.removeprefix("text ")
         self.why = hint or ("tag" if tag in _NOT_MAIN or tag == "header" and not own_header else "")
-        self.free, self.main = 0, False
+        self.free, self.main, self.all = 0, False, 0
 
 
 def read_blocks(page: str) -> list[Block]:
@@ -103,8 +114,9 @@ def read_blocks(page: str) -> list[Block]:
         nonlocal free
         text = " ".join("".join(parts).split())
         if text:
+            letters = len(text) - text.count(" ")
             for x in open_:
-                x.free += free
+                x.free, x.all = x.free + free, x.all + letters
             out.append(([x for x in open_ if x.why], Block(tuple(x.step for x in open_ if x.tag not in _LEAF), False, text, free, any(x.inside for x in open_), any(x.tag in _HEADINGS for x in open_))))
         parts.clear()
         free = 0
@@ -154,7 +166,7 @@ def read_blocks(page: str) -> list[Block]:
     def counts(x: _Element) -> bool:
         if x.why == "replies":
             return True
-        if 10 * x.free >= 9 * total or x.why == "perhaps" and 2 * x.free >= total:
+        if 10 * x.free >= 9 * total or x.why == "perhaps" and (2 * x.free >= total or x.inside and 2 * x.free > x.all):
             return False
         return not (x.main and (x.why in ("around", "perhaps") or x.tag in ("form", "fieldset", "dialog")))
 
@@ -191,7 +203,7 @@ def best_path(blocks: list[Block]) -> tuple[str, ...] | None:
 
 
 def extract(blocks: list[Block], winners, repeated=frozenset()) -> str:
-    """The text under the first of the winning paths that this page has, else under its own best, without blocks that the host repeats."""
+    """The text under the first of the winning paths that this page has, else under its own best, without the blocks at its ends that the host repeats, unless these are half of it or more."""
     own: list[Block] = []
     for path in winners:
         own = [x for x in blocks if not x.outside and x.path[: len(path)] == path]
@@ -200,7 +212,12 @@ def extract(blocks: list[Block], winners, repeated=frozenset()) -> str:
     if not own:
         path = best_path(blocks)
         own = [] if path is None else [x for x in blocks if not x.outside and x.path[: len(path)] == path]
-    return "\n\n".join([x.text for x in own if x.own or not repeated or _mark(x) not in repeated])
+    kept = own
+    if repeated:
+        unlike = [i for i, x in enumerate(own) if x.own or _mark(x) not in repeated]
+        if unlike and 2 * sum(x.free for x in own[unlike[0] : unlike[-1] + 1]) > sum(x.free for x in own):
+            kept = own[unlike[0] : unlike[-1] + 1]
+    return "\n\n".join(x.text for x in kept)
 
 
 def _mark(block: Block) -> int:
@@ -208,7 +225,10 @@ def _mark(block: Block) -> int:
 
 
 def _votes(pages: DataFrame) -> DataFrame:
-    """(host, path, mark, page) of rows (host, html): a row with the path that each page votes for, and one for each short block in it outside article and main elements."""
+    """(host, path, mark, page) of rows (host, html): a row with the path that each page votes for, and one for each block in it outside article and main elements.
+
+    A page is known by the longest block of its text: copies of an article, with other surroundings too, are one page.
+    """
 
     def vote(batches):
         for b in batches:
@@ -218,8 +238,10 @@ def _votes(pages: DataFrame) -> DataFrame:
                 blocks = read_blocks(text)
                 path = best_path(blocks)
                 if path is not None:
-                    known = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                    own = {_mark(x) for x in blocks if not x.outside and not x.own and len(x.text) <= _SHORT and x.path[: len(path)] == path}
+                    chosen = [x for x in blocks if not x.outside and x.path[: len(path)] == path]
+                    longest = max((x.text for x in chosen), key=lambda t: (len(t), t), default="")
+                    known = int.from_bytes(hashlib.blake2b(longest.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                    own = {_mark(x) for x in chosen if not x.own}
                     for m in (None, *sorted(own)):
                         hosts.append(host), paths.append(" ".join(path) if m is None else None), marks.append(m), pages_.append(known)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(marks, pa.int64()), pa.array(pages_, pa.int64())], ["host", "path", "mark", "page"])
@@ -240,8 +262,8 @@ def winning_paths(votes: DataFrame, tenth: int = 10) -> DataFrame:
     return strong.groupBy("host").agg(ordered.alias("x")).select("host", F.col("x.path").alias("winners"))
 
 
-def repeated_blocks(votes: DataFrame, least_pages: int = 5) -> DataFrame:
-    """(host, repeated): marks of the short blocks that at least half of a host's different pages have, and ``least_pages`` at least; copies of a page count once."""
+def repeated_blocks(votes: DataFrame, least_pages: int = 3) -> DataFrame:
+    """(host, repeated): marks of the blocks that at least half of a host's different pages have, and ``least_pages`` at least, as fewer say nothing of a host; copies of a page count once."""
     marks = votes.where("mark is not null").distinct().groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     pages = votes.where("mark is null").select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
     return marks.join(pages, "host").where("2 * n >= n_pages").groupBy("host").agg(F.sort_array(F.collect_set("mark")).alias("repeated"))
