@@ -138,8 +138,11 @@ def identifier_parts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", camel.alias("camel"), tx.snake(camel).alias("snake"), tx.unquote(quoted).alias("bare"), tx.leading_word(F.concat(F.lit("$_\\"), title, F.lit("Name"))).alias("leading"))
 
 
-@query("""WITH v AS (SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN '0b101' WHEN 1 THEN '0x1F' WHEN 2 THEN '017' WHEN 3 THEN '089' WHEN 4 THEN '-' || p_size WHEN 5 THEN '''' || p_size || '''' WHEN 6 THEN '''1e3''' WHEN 7 THEN '1.5' ELSE CAST(p_size AS VARCHAR) END AS s FROM part)
-SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'binary' WHEN 1 THEN 'hex' WHEN 2 THEN 'octal' WHEN 3 THEN 'bad octal' WHEN 8 THEN 'decimal' END AS kind, CASE p_partkey % 9 WHEN 0 THEN 5 WHEN 1 THEN 31 WHEN 2 THEN 15 WHEN 4 THEN -p_size WHEN 5 THEN p_size WHEN 8 THEN p_size END AS value FROM v JOIN part USING (p_partkey)""")
+@query("""WITH v AS (SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN '0b101' WHEN 1 THEN '0x1F' WHEN 2 THEN '017' WHEN 3 THEN '089' WHEN 4 THEN '-' || p_size WHEN 5 THEN '''' || p_size || '''' WHEN 6 THEN '''1e3''' WHEN 7 THEN '1.5' ELSE CAST(p_size AS VARCHAR) END AS s FROM part),
+b AS (SELECT p_partkey, s, CASE WHEN regexp_matches(s, '^[0-9]+$') OR regexp_matches(s, '^0[xXbB]') THEN s END AS bare, CASE WHEN regexp_matches(s, '^([''"]?)[+-]?[0-9]+([''"]?)$') THEN trim(s, '''"') END AS whole FROM v)
+SELECT p_partkey, CASE WHEN regexp_matches(bare, '^0[bB][01]+$') THEN 'binary' WHEN regexp_matches(bare, '^0[xX][0-9a-fA-F]+$') THEN 'hex' WHEN regexp_matches(bare, '^0[0-7]+$') THEN 'octal' WHEN regexp_matches(bare, '^0[0-9]+$') THEN 'bad octal' WHEN bare IS NOT NULL THEN 'decimal' END AS kind,
+  CASE WHEN regexp_matches(bare, '^0[bB][01]+$') THEN list_sum(list_transform(range(1, length(bare) - 1), lambda i: bare[length(bare) - i + 1]::BIGINT * (2 ** (i - 1))::BIGINT))::BIGINT WHEN regexp_matches(bare, '^0[xX]') THEN CAST(bare AS BIGINT)
+  WHEN regexp_matches(bare, '^0[0-7]+$') THEN list_sum(list_transform(range(1, length(bare) + 1), lambda i: bare[length(bare) - i + 1]::BIGINT * (8 ** (i - 1))::BIGINT))::BIGINT WHEN regexp_matches(bare, '^0[0-9]+$') THEN NULL ELSE CAST(whole AS BIGINT) END AS value FROM b""")
 def number_literals(spark, sf_dir):
     """Kinds and values of literals, quoted and signed ones too."""
     size = F.col("p_size").cast("string")
@@ -147,7 +150,8 @@ def number_literals(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tx.integer_kind(s).alias("kind"), tx.decimal_value(s).alias("value"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN [p_size, 3] ELSE [5, p_size, 1] END AS numbers, CASE p_partkey % 4 WHEN 2 THEN [p_size, 3, 0] WHEN 3 THEN [5, p_size, 1] END AS padded FROM part""")
+@query("""WITH v AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '7.4RC1' WHEN 2 THEN p_size || '.3' ELSE '5.' || p_size || '.1' END AS s FROM part), n AS (SELECT p_partkey, CASE WHEN regexp_matches(s, '^[0-9]+([.][0-9]+)*$') THEN list_transform(string_split(s, '.'), lambda x: x::INTEGER) END AS numbers FROM v)
+SELECT p_partkey, numbers, CASE WHEN numbers IS NOT NULL THEN list_concat(numbers, list_transform(range(greatest(3 - len(numbers), 0)), lambda x: 0)) END AS padded FROM n""")
 def version_numbers(spark, sf_dir):
     """Versions as numbers, null for what is none, and with a third part."""
     size = F.col("p_size").cast("string")
@@ -256,7 +260,8 @@ def slug_findings(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'WordPress' WHEN 1 THEN 'éab' WHEN 2 THEN '1' || p_name WHEN 3 THEN 'my\\name' ELSE 'été_' || p_size END AS prefix FROM part)
-SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'ForbiddenPrefixPassed' WHEN 1 THEN 'ShortPrefixPassed' ELSE 'InvalidPrefixPassed' END AS finding FROM s WHERE p_partkey % 5 < 3""")
+SELECT p_partkey, CASE WHEN lower(prefix) IN ('wordpress', 'wp') THEN 'ForbiddenPrefixPassed' WHEN length(prefix) < 4 THEN 'ShortPrefixPassed' ELSE 'InvalidPrefixPassed' END AS finding FROM s
+WHERE lower(prefix) IN ('wordpress', 'wp') OR length(prefix) < 4 OR NOT regexp_matches(prefix, '^[^\\x00-\\x40\\x5B-\\x5E\\x60\\x7B-\\x7F][^\\x00-\\x2F\\x3A-\\x40\\x5B\\x5D\\x5E\\x60\\x7B-\\x7F]*$')""")
 def prefix_findings(spark, sf_dir):
     prefix = F.get(F.array(F.lit("WordPress"), F.lit("éab"), F.concat(F.lit("1"), "p_name"), F.lit("my\\name"), F.concat(F.lit("été_"), F.col("p_size").cast("string"))), (F.col("p_partkey") % 5).cast("int"))
     return ru.prefix_findings(table(spark, sf_dir, "part").select("p_partkey", prefix.alias("prefix")), "prefix", ["wordpress", "wp"]).select("p_partkey", "finding")
@@ -710,3 +715,39 @@ SELECT user_id, scope, count(*) AS n FROM o WHERE event_type = 'error' GROUP BY
 def repeated_in_scopes(spark, sf_dir):
     """Scopes with two errors or more of their own level."""
     return sc.repeated(*_brackets(spark, sf_dir), F.col("event_type") == "error")
+
+
+# ------------------------------------------------------------ named files, lists and simple filters
+
+
+@query("""SELECT strftime(o_orderdate, '%Y-%m-%d') AS name, count(*) || ' orders' AS content FROM orders WHERE year(o_orderdate) = 1995 AND month(o_orderdate) < 3 GROUP BY 1""")
+def daily_notes(spark, sf_dir):
+    """A note for each day of two months, written under its date and read from a folder that holds other notes too."""
+    folder, o = scratch(spark, "days"), table(spark, sf_dir, "orders").where("year(o_orderdate) = 1995 and month(o_orderdate) < 3")
+    days = o.groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.concat(F.count("*").cast("string"), F.lit(" orders")).alias("text"))
+    si.write_texts(days.select(F.concat("day", F.lit(".md")).alias("file"), "text"), "file", "text", folder)
+    si.write_texts(days.select(F.concat(F.lit("about-"), "day", F.lit(".md")).alias("file"), "text"), "file", "text", folder)
+    return so.daily_notes(spark, folder).select("name", "content")
+
+
+@query("SELECT p_partkey, list_transform(string_split(p_brand || ' ; ' || p_type || ';' || repeat(' ', p_size % 4) || p_name, ';'), lambda x: trim(x)) AS fields FROM part")
+def split_fields(spark, sf_dir):
+    """Fields between semicolons, without the blanks around them."""
+    text = F.concat("p_brand", F.lit(" ; "), "p_type", F.lit(";"), F.repeat(F.lit(" "), (F.col("p_size") % 4).cast("int")), "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", tx.split_trim(text).alias("fields"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name AS name, lower(p_type) || '/' || p_brand AS mime, ['d', 'f', 'l'][1 + p_partkey % 3] AS type, md5(p_name || p_type) AS hash FROM part), c AS (SELECT *, count(*) OVER (PARTITION BY hash) AS copies FROM p)
+SELECT p_partkey, 'duplicate files' AS "filter" FROM c WHERE copies > 1 AND type IN ('f') UNION ALL SELECT p_partkey, 'unique and named' FROM c WHERE copies = 1 AND regexp_matches(name, 'o.t$') UNION ALL SELECT p_partkey, 'kind' FROM c WHERE regexp_matches(mime, '^(promo|large)/') AND type IN ('d', 'l')
+UNION ALL SELECT p_partkey, 'one hash' FROM c WHERE hash = (SELECT min(hash) FROM c)""")
+def simple_filters(spark, sf_dir):
+    """The simple filters of a stack, each alone or with another."""
+    part, k = table(spark, sf_dir, "part"), (F.col("p_partkey") % 3).cast("int")
+    files = part.select("p_partkey", F.col("p_name").alias("name"), F.concat_ws("/", F.lower("p_type"), "p_brand").alias("mime"), F.get(F.array(F.lit("d"), F.lit("f"), F.lit("l")), k).alias("type"), F.md5(F.encode(F.concat("p_name", "p_type"), "UTF-8")).alias("hash"))
+    files = pr.counted_copies(files, "hash")
+    least = files.agg(F.min("hash")).first()[0]
+    stacks = {
+        "duplicate files": pr.FilterStack().add("duplicate").add("type", "f"), "unique and named": pr.FilterStack().add("unique").add("name", "o.t$"),
+        "kind": pr.FilterStack().add("mime", "^(promo|large)/").add("type", "dl"), "one hash": pr.FilterStack().add("hash", least),
+    }
+    return st.appended(*(files.where(f.column()).select("p_partkey", F.lit(n).alias("filter")) for n, f in stacks.items()))

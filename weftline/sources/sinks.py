@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import date_name
@@ -39,6 +41,30 @@ def numbered_notes(rows: DataFrame, order: str, date: Column, first: int) -> Dat
     return placed.withColumn("text", text).withColumn("file", F.concat(date_name(date, "numbered"), F.lit("-"), F.col("_number").cast("string"), F.lit(".md"))).drop("_number")
 
 
+def write_texts(rows: DataFrame, file: str, text: str, folder: str) -> None:
+    """Write each row's text to the file of that name in a folder that all executors see, named as a URI: one file per row, whole, and the same again if a task is repeated.
+
+    Names hold no slash; a null text is an empty file; a row without a name writes nothing. Folders above are made.
+    """
+    import pyarrow as pa
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root)
+        for b in batches:
+            for name, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write((value or "").encode())
+                system.move(part, f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    named = rows.where(F.col(file).isNotNull() & ~F.contains(file, F.lit("/"))).select(file, text)
+    named.mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+
+
 def set_current(named: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
     """Make the named row that is wanted (key) the current one and return it: each choice is a version under path, and the last committed one counts, whatever the clocks say.
 

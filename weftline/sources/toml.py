@@ -39,7 +39,7 @@ class TomlReader(DataSourceReader):
         from pyarrow import fs
 
         system, root = fs.FileSystem.from_uri(self.folder) if ":" in self.folder else (fs.LocalFileSystem(), self.folder)
-        found = sorted(x.path for x in system.get_file_info(fs.FileSelector(root, recursive=False)) if x.type == fs.FileType.File and fnmatch.fnmatch(x.base_name, self.glob))
+        found = sorted(x.path for x in system.get_file_info(fs.FileSelector(root, recursive=True)) if x.type == fs.FileType.File and fnmatch.fnmatch(x.base_name, self.glob))
         return [Files(found[i : i + self.run]) for i in range(0, len(found), self.run)] or [Files([])]
 
     def read(self, partition):
