@@ -19,18 +19,21 @@ def latest_before(df: DataFrame, key: str, at: str, bound) -> DataFrame:
 
 
 def next_opposite(df: DataFrame, key: str, order: str, kind: Column, name: str = "next_opposite", wrap: bool = True, reverse: bool = False) -> DataFrame:
-    """The place of the first later row of the other kind (a boolean); with ``wrap`` else of the first row of the other kind at all, else null.
+    """The place of the first later row of another kind; with ``wrap`` else of the first earlier row of another kind, else null.
 
-    ``reverse`` goes through the rows from the last to the first. A null kind is false. Nearest and farthest rows of either kind come from two scans, so keys of any length do.
+    ``reverse`` goes through the rows from the last to the first. Null is a kind of its own. A row whose next one is of another kind knows where that run begins, so
+    scans of next rows, nearest and first run ends are enough, and keys of any length do.
     """
-    yes = F.coalesce(kind, F.lit(False))
-    places = {"t": F.when(yes, F.col(order)), "f": F.when(~yes, F.col(order))}
-    rows = scans.scan(df, key, order, {f"_ahead_{x}": scans.latest(v) for x, v in places.items()}, backward=not reverse)
+    here = F.struct(F.col(order).alias("at"), F.col("_kind").alias("kind"))
+    rows = scans.scan(df.withColumn("_kind", kind), key, order, {"_next": scans.latest(here)}, backward=not reverse)
+    rows = rows.withColumn("_step", F.when(F.col("_next").isNotNull() & ~F.col("_next.kind").eqNullSafe(F.col("_kind")), F.col("_next.at")))
+    rows = scans.scan(rows, key, order, {"_ahead": scans.latest(F.col("_step"))}, backward=not reverse, inclusive=True)
+    found = F.col("_ahead")
     if wrap:
-        rows = scans.scan(rows, key, order, {f"_behind_{x}": scans.earliest(v) for x, v in places.items()}, backward=reverse)
-    steps = ("_ahead", "_behind")[: 1 + wrap]
-    found = F.coalesce(*(F.when(yes, F.col(f"{x}_f")).otherwise(F.col(f"{x}_t")) for x in steps))
-    return rows.withColumn(name, found).drop(*(f"{x}_{k}" for x in steps for k in "tf"))
+        rows = scans.scan(rows, key, order, {"_first": scans.earliest(here), "_change": scans.earliest(F.col("_step"))}, backward=reverse)
+        other = F.col("_first").isNotNull() & ~F.col("_first.kind").eqNullSafe(F.col("_kind"))
+        found = F.coalesce(found, F.when(other, F.col("_first.at")).otherwise(F.col("_change")))
+    return rows.withColumn(name, found).drop("_kind", "_next", "_step", "_ahead", "_first", "_change")
 
 
 def previous_where(df: DataFrame, key: str, order: str, value: Column, name: str) -> DataFrame:
