@@ -219,3 +219,41 @@ def test_toxic_field_by_force():
     best = np.concatenate((field["weight"], [field["bias"]], np.ravel(field["step"])))
     now = loss(best)
     assert now < loss(start) and all(loss(best + e * v) > now - 1e-4 for v in np.eye(7) for e in (-0.2, 0.2))
+
+
+def test_benchmark_blocks_are_small_and_absent_windows_cheap():
+    """What is sent is bounded by the items' words, and windows with a word that a shard lacks are not searched."""
+    import pickle
+
+    from weftline.llm import decontaminate as dc
+
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randint(0, 3000)}" for _ in range(60))) for i in range(2000)]
+    block = dc._block(items, 10)
+    words = sum(len(t.split()) for _, t in items)
+    assert len(pickle.dumps(block)) < 21 * words + 8 * len(block[0]) + 40 * len(items)
+    vocabulary, symbols, sets, shortest, _ = block
+    seen = {tuple(t.split()[j : j + 10]) for _, t in items for j in range(51)}
+    assert [k for k, *_ in sets] == [10] == [shortest] and len(sets[0][1]) == len(seen)
+    searched = []
+    search, dc.FmIndex.search = dc.FmIndex.search, lambda self, p: searched.append(len(p)) or search(self, p)
+    try:
+        text = np.concatenate((symbols[:30], [0], symbols[100:130], [0])).astype(np.int64)
+        found = list(dc._hits(text, np.zeros(len(text), np.int64), np.arange(len(text)), len(vocabulary), symbols, sets))
+    finally:
+        dc.FmIndex.search = search
+    assert {p for x in found for p in x[0].tolist()} == {*range(21), *range(31, 42), 51} and sum(searched) < 60  # items end at every sixtieth word
+
+
+def test_symbols_alike():
+    from weftline.llm import decontaminate as dc
+
+    rng = np.random.default_rng(0)
+    symbol = rng.integers(1, 4, 500).astype(np.int32)
+    for k in (1, 2, 3, 5, 10):
+        begin = np.arange(500 - k)
+        which = dc._alike(symbol, begin, k)
+        same: dict = {}
+        for b, w in zip(begin.tolist(), which.tolist(), strict=True):
+            assert same.setdefault(w, symbol[b : b + k].tolist()) == symbol[b : b + k].tolist()
+        assert len(same) == len({tuple(symbol[b : b + k]) for b in begin})

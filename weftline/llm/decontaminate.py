@@ -3,10 +3,11 @@
 A shard is what a task holds of the documents at a time, an Arrow batch, in parts of up to ``shard_words`` indexed words. Its words become symbols of the
 benchmark's own vocabulary; a word that no item has ends a run, and runs shorter than the shortest window cannot hold
 one, so the index keeps exactly the stretches that can match. The index has the Burrows-Wheeler transform in a
-wavelet matrix, symbol counts and sampled suffix positions. Every distinct window of the benchmark is searched
-backward, all windows at once, its occurrences are located by walking to the next sample, and the hit words merge to spans.
+wavelet matrix, symbol counts and sampled suffix positions. Distinct windows of the benchmark whose words all occur in the shard are searched
+backward, all at once, each until nothing is left of its range; occurrences are located by walking to the next sample, and the hit words merge to spans.
 
-The benchmark is a stated query set. One of up to ``block_bytes`` is sent to every task as a whole, and nothing is shuffled. A larger one is taken in
+The benchmark is a stated query set. One of up to ``block_bytes`` is sent to every task as a whole, and nothing is shuffled. What is sent is a number for each word, and for each distinct
+window where it begins and whose it is: at most 20 bytes a word of the items, so some four times ``block_bytes``. A larger one is taken in
 blocks of that size, one after the other, each in a pass of its own that writes what it has found of every row; a block is dropped before the next
 is read, so no more than one is held anywhere. An item that is longer than a block is a block of its own.
 """
@@ -62,12 +63,17 @@ class FmIndex:
         return self.below[symbol] + at - lo
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The range of rows of each pattern (a row of the array)."""
+        """The range of rows of each pattern (a row of the array); patterns whose range is empty are not followed further."""
+        low, high = np.zeros(len(patterns), np.int64), np.zeros(len(patterns), np.int64)
+        left = np.arange(len(patterns))
         lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
         for j in range(patterns.shape[1] - 1, -1, -1):
-            symbol = patterns[:, j]
+            symbol = patterns[left, j]
             lo, hi = self.below[symbol] + self.rank(symbol, lo), self.below[symbol] + self.rank(symbol, hi)
-        return lo, hi
+            some = lo < hi
+            left, lo, hi = left[some], lo[some], hi[some]
+        low[left], high[left] = lo, hi
+        return low, high
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Where in the text the suffixes of these rows begin."""
@@ -109,39 +115,55 @@ def _suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 def _block(rows, window: int):
-    """(sorted vocabulary, [(patterns, item offsets, items)] by length, shortest length, item ids) of some items."""
+    """(sorted vocabulary, symbols of all words, [(length, where each distinct window begins, item offsets, items)], shortest length, item ids) of some items."""
     ids = [str(r[0]) for r in rows]
     data, at = c.strings(pa.array([r[1] for r in rows], pa.string()))
     data = c.FOLD[data]
     starts, ends, first = c.find_words(data, at, c.SPLIT_ALNUM)
-    h = c.hash_spans(data, starts, ends)
-    vocabulary, symbol = np.unique(h, return_inverse=True)
-    symbol = symbol.astype(np.int64) + 1
-    by_length: dict[int, dict[bytes, list[int]]] = {}
-    for i in range(len(ids)):
-        own = symbol[first[i] : first[i + 1]]
-        k = min(window, len(own))
-        for j in range(len(own) - k + 1 if k else 0):
-            by_length.setdefault(k, {}).setdefault(own[j : j + k].tobytes(), []).append(i)
-    sets = []
-    for k, found in sorted(by_length.items()):
-        items = [sorted(set(x)) for x in found.values()]
-        sets.append((np.frombuffer(b"".join(found), np.int64).reshape(-1, k), np.concatenate(([0], np.cumsum([len(x) for x in items]))), np.concatenate(items).astype(np.int64)))
-    return vocabulary, sets, min(by_length, default=1), ids
-
-
-def _hits(symbols, rows, places, sigma, sets):
-    """(places, lengths, row of each, pattern set, pattern) of all occurrences in one shard."""
-    index = FmIndex(symbols, sigma)
-    for which, (patterns, _, _) in enumerate(sets):
-        lo, hi = index.search(patterns)
-        n = np.maximum(hi - lo, 0)
+    vocabulary, symbol = np.unique(c.hash_spans(data, starts, ends), return_inverse=True)
+    symbol = (symbol + 1).astype(np.int32)
+    size, sets = np.diff(first), []
+    for k in sorted({int(x) for x in np.minimum(size, window)} - {0}):
+        own = np.flatnonzero(size >= k if k == window else size == k)
+        n = size[own] - k + 1
+        item = np.repeat(own, n).astype(np.int32)
+        begin = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[own], n)
+        which = _alike(symbol, begin, k)
+        pair = np.unique(which * len(ids) + item)
+        owner, item = pair // len(ids), (pair % len(ids)).astype(np.int32)
+        chosen = np.zeros(int(which.max()) + 1, np.int32)
+        chosen[which] = begin
+        sets.append((k, chosen, np.searchsorted(owner, np.arange(len(chosen) + 1)).astype(np.int32), item))
+    return vocabulary, symbol, sets, min((x[0] for x in sets), default=1), ids
+
+
+def _alike(symbol: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
+    """A number for each window, the same for windows of the same symbols: found step by step, by the numbers of their halves."""
+    if k == 1:
+        return np.unique(symbol[begin], return_inverse=True)[1].astype(np.int64)
+    half = k // 2
+    a, b = _alike(symbol, begin, half), _alike(symbol, begin + half, k - half)
+    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1].astype(np.int64)
+
+
+def _hits(symbols, rows, places, sigma, words, sets):
+    """(places, lengths, row of each, pattern set, pattern) of all occurrences in one shard; windows with a word that the shard does not have are not searched."""
+    index, present = FmIndex(symbols, sigma), np.zeros(sigma + 1, bool)
+    present[symbols] = True
+    for which, (k, begin, _, _) in enumerate(sets):
+        left = np.arange(len(begin))
+        for j in range(k):
+            left = left[present[words[begin[left] + j]]]
+        if not len(left):
+            continue
+        lo, hi = index.search(words[begin[left][:, None] + np.arange(k)].astype(np.int64))
+        n = hi - lo
         if not n.sum():
             continue
-        pattern = np.repeat(np.arange(len(patterns)), n)
+        pattern = np.repeat(left, n)
         at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         found = index.locate(at)
-        yield places[found], patterns.shape[1], rows[found], which, pattern
+        yield places[found], k, rows[found], which, pattern
 
 
 _STATE = "doc_id long, text string, hits binary, items array<string>"
@@ -180,14 +202,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, texts
 
 def _scan(block, opening: bool, closing: bool, texts: bool, shard_words: int, carry):
     def scan(batches):
-        vocabulary, sets, shortest, names = block.value
+        known = block.value
         for batch in batches:
-            yield _scan_batch(batch, vocabulary, sets, shortest, names, opening, closing, texts, shard_words, carry)
+            yield _scan_batch(batch, known, opening, closing, texts, shard_words, carry)
 
     return scan
 
 
-def _scan_batch(batch, vocabulary, sets, shortest, names, opening, closing, texts, shard_words, carry):
+def _scan_batch(batch, known_items, opening, closing, texts, shard_words, carry):
+    vocabulary, words, sets, shortest, names = known_items
     others = batch.columns[2 if opening else 4 :]
     data, at = c.strings(batch.column(1))
     symbols, rows, places, held, first_word, seen = [], [], [], 0, [], 0
@@ -197,10 +220,10 @@ def _scan_batch(batch, vocabulary, sets, shortest, names, opening, closing, text
     def flush():
         nonlocal held
         if held:
-            for p, k, r, which, pattern in _hits(np.concatenate(symbols), np.concatenate(rows), np.concatenate(places), len(vocabulary), sets):
+            for p, k, r, which, pattern in _hits(np.concatenate(symbols), np.concatenate(rows), np.concatenate(places), len(vocabulary), words, sets):
                 order = np.argsort(r, kind="stable")
                 cuts = np.flatnonzero(np.diff(np.concatenate(([-1], r[order], [-1]))))
-                _, offsets, owners = sets[which]
+                _, _, offsets, owners = sets[which]
                 for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                     own, row = order[x:y], int(r[order[x]])
                     hits.setdefault(row, []).append((np.unique(p[own]), k))
