@@ -98,3 +98,20 @@ def test_lines_of_a_long_text(spark, short):
     fenced = {r.line_no for r in ln.in_fence(numbered, "k").where("in_fence and k = 'long'").collect()}
     assert fenced == {i + 1 for i in range(303) if text.split("\n")[:i].count("```") % 2}
     assert {r.k: r.preview for r in ln.first_content(numbered, "k").collect()}["long"] == "```"
+
+
+def test_free_names_of_one_long_key(spark, short):
+    names = ["a"] * 90 + ["a_", "a_3", "a_4", "a_10", "b", "b", "b_", "c_0", "a_3"]
+    got = {r.i: r.free_name for r in se.free_names(spark.createDataFrame(list(enumerate(names)), "i long, s string").repartition(3), "s", "i").collect()}
+    there, used = set(names), {}
+    for i, n in enumerate(names):
+        k = used.setdefault(n, [0, False])
+        if not k[1]:
+            k[1] = True
+            assert got[i] == n
+            continue
+        free = (n + ("_" if j == 0 else f"_{j - 1}") for j in range(k[0], 1000))
+        chosen = next(x for x in free if x not in there)
+        k[0] = (0 if chosen == n + "_" else int(chosen.rsplit("_", 1)[1]) + 1) + 1
+        assert got[i] == chosen
+    assert len(set(got.values())) == len(names)

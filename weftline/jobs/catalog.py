@@ -319,7 +319,7 @@ def bounded_counts(spark, sf_dir):
     """Counts that stop at two."""
     part = table(spark, sf_dir, "part")
     tests = {"bolt": F.col("p_name").contains("bolt"), "none": F.col("p_name") == "zzz", "one": F.col("p_partkey") == 7}
-    return spark.createDataFrame([(k, ag.bounded_count(part, c)) for k, c in tests.items()], "kind string, n long")
+    return st.appended(*(ag.bounded_count(part, c).select(F.lit(k).alias("kind"), "n") for k, c in tests.items()))
 
 
 # ------------------------------------------------------------ sorts and samples

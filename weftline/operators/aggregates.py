@@ -34,9 +34,9 @@ def most_frequent(df: DataFrame, key: str, value: str) -> DataFrame:
     return c.groupBy(key).agg(F.min_by(value, F.struct(-F.col("n"), value)).alias(value), F.max("n").alias("n"))
 
 
-def bounded_count(df: DataFrame, condition: Column, most: int = 2) -> int:
-    """How many rows meet the condition, up to ``most``; no more are looked for."""
-    return df.where(condition).limit(most).count()
+def bounded_count(df: DataFrame, condition: Column, most: int = 2, name: str = "n") -> DataFrame:
+    """One row: how many rows meet the condition, up to ``most``; no more are looked for."""
+    return df.where(condition).select(F.lit(1)).limit(most).agg(F.count("*").alias(name))
 
 
 def changed_count(df: DataFrame, old: str, new: str, name: str = "n_changed") -> DataFrame:
@@ -45,5 +45,5 @@ def changed_count(df: DataFrame, old: str, new: str, name: str = "n_changed") ->
 
 
 def joined_values(df: DataFrame, key: str, value: str, order: str, name: str = "values", separator: str = "\n") -> DataFrame:
-    """(key, name): the values of a selection in order, joined. The selection is what a user picked, so a group fits a row."""
+    """(key, name): the values of a selection in order, joined. The selection is what a user picked, so a group fits a row; ``lines.joined_blocks`` is for keys that no row can hold."""
     return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("_p")).select(key, F.array_join(F.col(f"_p.{value}"), separator).alias(name))

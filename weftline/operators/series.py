@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import natural_key
 from . import scans
@@ -48,16 +48,17 @@ def next_where(df: DataFrame, key: str, order: str, value: Column, name: str) ->
 
 def free_names(wanted: DataFrame, name: str, order: str) -> DataFrame:
     """Names made unique: the first keeps its own, later ones get those of _, _0, _1 and so on that make no name that is there already."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 2
-    rows = wanted.withColumn("_n", n.cast("long")).withColumn("_taken", F.lit(False))
+    rows = scans.scan(wanted, name, order, {"_n": scans.count()}).withColumn("_n", F.col("_n") - 1).withColumn("_taken", F.lit(False))
     # names that a suffix makes of another; only one base and one suffix make a given name, so new names never meet
     number = F.regexp_extract(name, r"(?s)_(0|[1-9][0-9]{0,17})?\z", 1)
     taken = wanted.select(name).distinct().where(F.col(name).rlike(r"(?s)_(0|[1-9][0-9]{0,17})?\z"))
     taken = taken.select(F.regexp_extract(name, r"(?s)\A(.*)_[0-9]*\z", 1).alias(name), F.when(number == "", F.lit(0).cast("long")).otherwise(number.try_cast("long") + 1).alias("_at"))
     # so many free suffixes come before a taken one
-    taken = taken.select(name, (F.col("_at") - F.row_number().over(Window.partitionBy(name).orderBy("_at")) + 1).alias("_n"), F.lit(True).alias("_taken"))
-    skipped = F.count_if("_taken").over(Window.partitionBy(name).orderBy("_n"))
-    all_ = rows.unionByName(taken, allowMissingColumns=True).withColumn("_n", F.when(F.col("_n") < 0, F.col("_n")).otherwise(F.col("_n") + skipped)).where("not _taken").drop("_taken")
+    taken = scans.scan(taken, name, "_at", {"_before": scans.count()}).select(name, (F.col("_at") - F.col("_before")).alias("_n"), F.lit(True).alias("_taken"))
+    # of one number the taken suffix goes before the name that wants it
+    both = rows.unionByName(taken, allowMissingColumns=True).withColumn("_turn", F.struct("_n", (~F.col("_taken")).alias("_late")))
+    all_ = scans.scan(both, name, "_turn", {"_skipped": scans.count(F.col("_taken"))}, inclusive=True).where("not _taken")
+    all_ = all_.withColumn("_n", F.when(F.col("_n") < 0, F.col("_n")).otherwise(F.col("_n") + F.col("_skipped"))).drop("_taken", "_turn", "_skipped")
     return all_.withColumn("free_name", F.when(F.col("_n") < 0, F.col(name)).when(F.col("_n") == 0, F.concat(name, F.lit("_"))).otherwise(F.concat(F.col(name), F.lit("_"), (F.col("_n") - 1).cast("string")))).drop("_n")
 
 
