@@ -300,6 +300,27 @@ def test_hot_keys_are_split(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_pairs_of_one_head_are_split(spark):
+    """Two thirds of all pairs have the same head: no task gets more than a fraction of them, and none is lost."""
+    from pyspark.sql import functions as F
+
+    from weftline.llm import common, minhash_dedup
+
+    pairs = common.saved(spark.range(1, 9001).selectExpr("id as a", "case when id % 3 < 2 then 0L else id - 1 end as b"), "pairs")
+    told = spark.range(9001).selectExpr("id as node", "cast(id as string) as word")
+    for x, y in (("spark.sql.shuffle.partitions", "16"), ("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(x, y)
+    try:
+        got = minhash_dedup._with_both(pairs, 9000, told, ["word"])
+        assert {(r.a, r.b) for r in got.where("a_word = cast(a as string) and b_word = cast(b as string)").collect()} == {(r.a, r.b) for r in pairs.collect()}
+        most = got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        assert got.count() == 9000 and most < 2500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_messages_hold_distinct_keys_only():
     """What a chunk sends depends on its distinct keys, not on how many rows have them or how many other rows it has."""
     from weftline.llm import common as c

@@ -184,6 +184,15 @@ def test_quality_rules(docs, texts):
     assert quality_rules(empty(docs)).count() == 0
 
 
+def test_quality_rules_take_any_kind_of_language(spark):
+    from weftline.llm.quality_rules import quality_rules
+
+    rows = [(i, " ".join(f"w{(i + j) % 70}" for j in range(60)), i % 2) for i in range(6)] + [(6, None, None)]
+    numbers = spark.createDataFrame(rows, "doc_id long, text string, lang int")
+    verdicts = lambda d: {r.doc_id: (r.kept, r.word_distance) for r in quality_rules(d).collect()}
+    assert verdicts(numbers) == verdicts(numbers.selectExpr("doc_id", "text", "cast(lang as string) as lang")) and len(verdicts(numbers)) == 7
+
+
 def test_quality_keeps_clean_and_rejects_junk(spark):
     from pyspark.sql import functions as F
 

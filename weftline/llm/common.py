@@ -67,11 +67,12 @@ def constants(n: int, seed: int) -> np.ndarray:
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column and where each row begins; null is empty."""
-    column = column.cast(pa.large_string())  # first, as all together may be more than 2 GiB
+    """The bytes (UTF-8) of a column of strings or binaries and where each row begins; null is empty."""
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = column.cast(pa.large_binary() if binary else pa.large_string())  # first, as all together may be more than 2 GiB
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("")
+    column = column.fill_null(b"" if binary else "")
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()

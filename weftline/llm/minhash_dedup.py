@@ -16,7 +16,7 @@
    size. Each possible link is in some list, so none is lost, and a group of copies or near copies never makes all its pairs.
 
 Sets are compared by 64-bit numbers of their shingles. Joins on keys that a large share of the rows may have (a text's copies, a
-component's classes) split such keys among tasks.
+component's classes, a list's members, the pairs of a list's head) split such keys among tasks.
 """
 
 from __future__ import annotations
@@ -157,19 +157,30 @@ def _compatible(n: np.ndarray, k: np.ndarray | int, percent: int) -> np.ndarray:
     return 100 * np.minimum(n, k) >= percent * np.maximum(n, k)
 
 
+def _with_both(pairs: DataFrame, total: int, told: DataFrame, columns: list[str]) -> DataFrame:
+    """The saved pairs (a, b), ``total`` of them, with a_x and b_x for each of the columns x of both classes.
+
+    A class in a large share of the pairs, as the head of a group of near copies is, is repeated for the tasks that its pairs are dealt to.
+    """
+    out = pairs
+    for side, other in (("a", "b"), ("b", "a")):
+        counts = pairs.groupBy(side).agg(F.count("*").alias("n"))
+        out = c.skew_join(out, told.select(F.col("node").alias(side), *(F.col(x).alias(f"{side}_{x}") for x in columns)), [side], counts, total, [other])
+    return out.select("a", "b", *(f"{side}_{x}" for x in columns for side in ("a", "b")))
+
+
 def _likely(pairs: DataFrame, marks: DataFrame, t: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) those whose sizes allow a link and whose signatures agree in t places."""
-    one = marks.selectExpr("node as a", "n_shingles as na", "short as sa")
-    two = marks.selectExpr("node as b", "n_shingles as nb", "short as sb")
 
     def keep(batches):
         for x in batches:
-            ok = _compatible(x.column("na").to_numpy(), x.column("nb").to_numpy(), percent)
+            ok = _compatible(x.column("a_n_shingles").to_numpy(), x.column("b_n_shingles").to_numpy(), percent)
             if x.num_rows:
-                ok &= _agree(x.column("sa").to_pylist(), x.column("sb").to_pylist()) >= t
+                ok &= _agree(x.column("a_short").to_pylist(), x.column("b_short").to_pylist()) >= t
             yield pa.RecordBatch.from_arrays([x.column("a").filter(pa.array(ok)), x.column("b").filter(pa.array(ok))], ["a", "b"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(keep, "a long, b long")
+    pairs, total = c.saved_and_counted(pairs, "pairs")
+    return _with_both(pairs, total, marks, ["n_shingles", "short"]).mapInArrow(keep, "a long, b long")
 
 
 def _unpack(b: bytes) -> np.ndarray:
@@ -181,15 +192,16 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def check(batches):
         for x in batches:
-            ok = []
-            for a, b in zip(x.column("sa").to_pylist(), x.column("sb").to_pylist(), strict=True):
-                u, v = _unpack(a), _unpack(b)
+            (one, i), (two, j) = c.strings(x.column("a_shingles")), c.strings(x.column("b_shingles"))
+            ok = np.zeros(x.num_rows, bool)
+            for r in range(x.num_rows):  # sets are read where they are: a batch may hold many large ones
+                u, v = _unpack(one[i[r] : i[r + 1]]), _unpack(two[j[r] : j[r + 1]])
                 both = len(np.intersect1d(u, v, assume_unique=True))
-                ok.append(100 * both >= percent * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([x.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], ["a", "b"])
+                ok[r] = 100 * both >= percent * (len(u) + len(v) - both)
+            yield pa.RecordBatch.from_arrays([x.column(k).filter(pa.array(ok)) for k in ("a", "b")], ["a", "b"])
 
-    joined = pairs.join(sets.selectExpr("node as a", "shingles as sa"), "a").join(sets.selectExpr("node as b", "shingles as sb"), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    pairs, total = c.saved_and_counted(pairs, "pairs")
+    return _with_both(pairs, total, sets, ["shingles"]).mapInArrow(check, "a long, b long")
 
 
 def _may_link(u: np.ndarray, flat: np.ndarray, at: np.ndarray, low: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,8 +226,11 @@ def _may_link(u: np.ndarray, flat: np.ndarray, at: np.ndarray, low: int, percent
 def _lists(posted: DataFrame, found: DataFrame, marks: DataFrame, columns: list[str]) -> DataFrame:
     """Rows (token, group, size, node, band, comp, *columns of marks) of the lists with more than one component; a group has the sets of a size band and of the next."""
     member = posted.join(found, "node", "left").select("token", "band", "node", F.coalesce("label", "node").alias("comp"), F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("group"))
-    mixed = member.groupBy("token", "group").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"), F.min("band").alias("z")).where("x < y and z = group").select("token", "group", "size")
-    return member.join(mixed, ["token", "group"]).join(marks.select("node", *columns), "node")
+    mixed = member.groupBy("token", "group").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"), F.min("band").alias("z")).where("x < y and z = group")
+    mixed = c.saved(mixed.select("token", "group", "size"), "mixed")
+    total = mixed.agg(F.sum("size")).first()[0] or 0
+    member = c.skew_join(member, mixed, ["token", "group"], mixed.select("token", "group", F.col("size").alias("n")), total, ["node"])
+    return member.join(marks.select("node", *columns), "node")
 
 
 def _compare(lists: DataFrame, t: int, percent: int, block: int, nearest: int, low: int) -> DataFrame:
@@ -352,8 +367,9 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64, t: int
     wanted = c.saved(classes.select("node", "text_sha", "first_id", "n").join(marks.select("node"), "node", "left_semi"), "wanted")  # small enough, it spares the texts a shuffle
     sets = c.saved(_full_sets(rows, wanted, k), "sets")
 
-    heads = posted.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("size"))
-    stars = posted.join(heads, "token").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    heads = c.saved(posted.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1"), "heads")
+    stars = c.skew_join(posted, heads.drop("n"), ["token"], heads.select("token", "n"), heads.agg(F.sum("n")).first()[0] or 0, ["node"])
+    stars = stars.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     links = c.saved(_confirm(_likely(stars, marks, t, percent), sets, percent), "links")
     found = components(links)
 
@@ -395,10 +411,9 @@ def _full_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def make(batches):
         for b in batches:
             data, at = c.strings(b.column(1))
-            packed = []
-            for lo, hi in c.parts(at):
+            for lo, hi in c.parts(at):  # a batch's sets are larger than its texts, so they leave part by part
                 u, begin = shingle_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], k)
-                packed += [u[begin[r] : begin[r + 1]].tobytes() for r in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["node", "shingles"])
+                packed = [u[begin[r] : begin[r + 1]].tobytes() for r in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(packed, pa.binary())], ["node", "shingles"])
 
     return joined.mapInArrow(make, "node long, shingles binary")

@@ -69,7 +69,7 @@ def language_references(docs: DataFrame, common: int = 64, lang_col: str = "lang
                     held, size = {}, 0
         yield from _counted(_merged(held)[0])
 
-    counts = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, fixed boolean, key long, n long")
+    counts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, fixed boolean, key long, n long")
     totals = counts.groupBy("lang", "fixed", "key").agg(F.sum("n").alias("n"))
     ranked = totals.withColumn("place", F.row_number().over(Window.partitionBy("lang", "fixed").orderBy(F.desc("n"), "key")))
     bins = ranked.where(F.col("place") <= max(common, len(CLASSES) + 2)).groupBy("lang").agg(
@@ -129,7 +129,7 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, least_wo
     large = (F.col("n_docs") * 500 >= (total[0] or 0)) | (F.col("lang") == _NULL)
     known = {r["lang"]: _Reference(r) for r in references.where(large).collect()}  # 501 rows of a fixed number of bins at most
     names = [f"_{i}" for i in range(len(carry))]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), *(F.col(x).alias(n) for x, n in zip(carry, names, strict=True)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), *(F.col(x).alias(n) for x, n in zip(carry, names, strict=True)))
     schema = _RESULT + c.typed(docs, carry)
 
     def judge(joined: bool):

@@ -64,10 +64,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, id_col
     spark = docs.sparkSession
     named = [f"_{i}" for i in range(len(carry))]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(x).alias(n) for x, n in zip(carry, named, strict=True)))
-    n = c.chunk_count(spark, c.text_bytes(rows, "text"), chunk_bytes)
+    size = c.text_bytes(rows, "text")
+    n = c.chunk_count(spark, size, chunk_bytes)
     block = (window + 1) // 2
-    # so many bits tell the marks of a bucket apart, whatever the number of buckets
-    drop = max(0, 64 - 26 - n.bit_length())
+    # sixteen marks or more for each word of a bucket, a word being six bytes, so that few agree by chance
+    drop = max(0, 64 - max(26, (size // n // 6).bit_length() + 4) - n.bit_length())
     whole = c.chunks(rows, n)
     schema = (_RESULT if texts else _RESULT.split(", kept_text")[0]) + c.typed(docs, carry)
     empty = pa.schema([(f"_{i}", pa.null()) for i in range(len(carry))])
