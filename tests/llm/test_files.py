@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 
@@ -321,6 +322,42 @@ def test_pairs_of_one_head_are_split(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_relays_change_no_result(spark, sf, monkeypatch):
+    """Messages that go by way of relays, as they do beyond 512 chunks, give the rows that direct ones give."""
+    from weftline.llm import common, distinct_bpe, minhash_dedup, queries, substring_dedup
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+
+    def results():
+        yield substring_dedup.remove_repeats(docs, texts=False, chunk_bytes=60_000)
+        yield distinct_bpe.encode_decode(docs, queries.tokenizer_file(), texts=False, chunk_bytes=60_000)
+        yield minhash_dedup.near_duplicates(docs, chunk_bytes=20_000)
+
+    direct = [sorted(map(tuple, x.collect())) for x in results()]
+    monkeypatch.setattr(common, "DIRECT", 0)
+    assert [sorted(map(tuple, x.collect())) for x in results()] == direct
+
+
+@pytest.mark.parametrize("n", [1, 5, 37, 100])
+def test_relays_bound_messages(spark, n, monkeypatch):
+    """Every message arrives whole, and no sender, relay or receiver has more than the root of n messages."""
+    from pyspark.sql import functions as F
+
+    from weftline.llm import common
+
+    rows = spark.range(n).selectExpr("cast(id as int) as chunk").repartitionById(n, F.col("chunk")).selectExpr("chunk", f"explode(sequence(0, {n - 1})) as bucket").selectExpr("cast(bucket as int) as bucket", "chunk", "encode(concat(bucket, '-', chunk), 'UTF-8') as keys")
+    monkeypatch.setattr(common, "DIRECT", 0)
+    side = int(np.ceil(np.sqrt(n)))
+    assert common._relayed(rows, n, "bucket", "chunk").groupBy("bucket").count().where(f"count > {side}").count() == 0
+
+    def told(key, table):
+        assert table.num_rows == n and table.column("keys").to_pylist() == [f"{key[0]}-{x}".encode() for x in table.column("chunk").to_pylist()]
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(set(table.column("chunk").to_pylist()))], pa.int64())})
+
+    got = common.at_buckets(rows, n, told, "bucket int, n long").collect()
+    assert sorted(map(tuple, got)) == [(i, n) for i in range(n)]
+
+
 def test_messages_hold_distinct_keys_only():
     """What a chunk sends depends on its distinct keys, not on how many rows have them or how many other rows it has."""
     from weftline.llm import common as c

@@ -192,8 +192,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, texts: bool = True, id_col: s
         return _rows(ids_of_docs, n_tokens, shas, text_shas, all_ids, decoded, texts)
 
     asked = whole.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, words binary")
-    answers = c.to_buckets(asked, n).applyInArrow(encode, "chunk int, bucket int, answer binary")
-    return c.with_answers(whole, answers, n).applyInArrow(join, _RESULT + (_TEXTS if texts else ""))
+    answers = c.at_buckets(asked, n, encode, "chunk int, bucket int, answer binary")
+    return c.with_answers(whole, answers, n, join, _RESULT + (_TEXTS if texts else ""))
 
 
 @lru_cache(4)

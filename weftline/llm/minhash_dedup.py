@@ -139,8 +139,8 @@ def _marks(classes: DataFrame, m: int, t: int, percent: int, chunk_bytes: int) -
         low = sig.astype(np.uint32)
         return _marked(table.column("node").to_numpy()[some], n_shingles, _band(n_shingles, percent), size - t + 1, np.take_along_axis(token, first, 1)[inside].view(np.int64), low, turn, low.astype(np.uint8))
 
-    counted = c.to_buckets(whole.groupBy("chunk").applyInArrow(post, c.ASKED), n).applyInArrow(count, "chunk int, bucket int, places binary, times binary")
-    return c.with_answers(whole, counted, n).applyInArrow(order, "node long, n_shingles long, band int, tokens array<long>, sig binary, turn binary, short binary")
+    counted = c.at_buckets(whole.groupBy("chunk").applyInArrow(post, c.ASKED), n, count, "chunk int, bucket int, places binary, times binary")
+    return c.with_answers(whole, counted, n, order, "node long, n_shingles long, band int, tokens array<long>, sig binary, turn binary, short binary")
 
 
 def _marked(node, n_shingles, band, sizes, tokens, *rows) -> pa.Table:

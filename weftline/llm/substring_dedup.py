@@ -105,7 +105,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, id_col
     def match(key, table):
         chunk, sizes, keys, flags = c.asked(table, drop)
         flags, times = c.by_key(keys, flags, np.bitwise_or)
-        return _answers(chunk, sizes, (flags & 1 > 0) & ((flags & 2 > 0) | (times > 1)), keys)
+        return _answers(int(key[0].as_py()), chunk, sizes, (flags & 1 > 0) & ((flags & 2 > 0) | (times > 1)), keys)
 
     def extend(key, left, right):
         if left.num_rows == 0 or right.num_rows == 0:
@@ -132,7 +132,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, id_col
         chunk, sizes, keys, several = c.asked(table)
         least = np.concatenate([np.zeros(0, np.int64), *(c.unpack(x) + low for x, low in zip(table.column("ids").to_pylist(), table.column("low").to_pylist(), strict=True))])
         first, _ = c.by_key(keys, least, np.minimum)
-        return _answers(chunk, sizes, (first < least) | (several > 0), keys, first)
+        return _answers(int(key[0].as_py()), chunk, sizes, (first < least) | (several > 0), keys, first)
 
     def finish(key, left, right):
         if left.num_rows == 0:
@@ -169,16 +169,16 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, id_col
                     spans.append([{"start": x, "end": y} for x, y in cut])
         return _rows(ids, words, removed, shas, kept_texts, spans, texts, table, carry)
 
-    hits = c.to_buckets(whole.groupBy("chunk").applyInArrow(blocks, c.ASKED), n).applyInArrow(match, _FOUND)
-    near = c.with_answers(whole, hits, n).applyInArrow(extend, c.ASKED + ", low long, ids binary")
-    gone = c.to_buckets(near, n).applyInArrow(decide, _FOUND)
-    return c.with_answers(whole, gone, n).applyInArrow(finish, schema)
+    hits = c.at_buckets(whole.groupBy("chunk").applyInArrow(blocks, c.ASKED), n, match, _FOUND)
+    near = c.with_answers(whole, hits, n, extend, c.ASKED + ", low long, ids binary")
+    gone = c.at_buckets(near, n, decide, _FOUND)
+    return c.with_answers(whole, gone, n, finish, schema)
 
 
-_FOUND = "chunk int, keys binary, firsts binary"
+_FOUND = "chunk int, bucket int, keys binary, firsts binary"
 
 
-def _answers(chunk: list, sizes: list, hit: np.ndarray, keys: np.ndarray, firsts: np.ndarray | None = None) -> pa.Table:
+def _answers(bucket: int, chunk: list, sizes: list, hit: np.ndarray, keys: np.ndarray, firsts: np.ndarray | None = None) -> pa.Table:
     """The keys of each chunk that were hit, with their smallest doc_ids if there are such."""
     rows, packed, ids, lo = [], [], [], 0
     for i, size in zip(chunk, sizes, strict=True):
@@ -188,7 +188,7 @@ def _answers(chunk: list, sizes: list, hit: np.ndarray, keys: np.ndarray, firsts
             rows.append(i)
             packed.append(keys[own].tobytes())
             ids.append(b"" if firsts is None else firsts[own].tobytes())
-    return pa.table({"chunk": pa.array(rows, pa.int32()), "keys": pa.array(packed, pa.binary()), "firsts": pa.array(ids, pa.binary())})
+    return pa.table({"chunk": pa.array(rows, pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "keys": pa.array(packed, pa.binary()), "firsts": pa.array(ids, pa.binary())})
 
 
 def _found(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
