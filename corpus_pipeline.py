@@ -18,8 +18,13 @@ def _numbered(docs):
     return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
 
 
+def _carried(names):
+    """The numbered columns that an operator has to carry: not those that ``_documents`` replaces, or every text would travel twice."""
+    return tuple(n for x, n in names.items() if x not in ("text", "n_chars"))
+
+
 def _documents(docs, changed, text: str):
-    """Rows of an operator that carried all numbered columns, as documents; ``text`` is the column that holds the new text."""
+    """Rows of an operator that carried the numbered columns, as documents; ``text`` is the column that holds the new text."""
     _, names = _numbered(docs)
     new = {"text": F.col(text), "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "long"))}
     return changed.select(*(new.get(x, F.col(n)) for x, n in names.items())).toDF(*docs.columns)
@@ -38,7 +43,9 @@ def near_dedup(spark, docs, sf_dir):
     A document is known by its doc_id and text, as ids may be null or repeated. Texts without words are in no group and stay.
     """
     rows, names = _numbered(docs)
-    groups = common.saved(minhash_dedup.grouped(docs.select("doc_id", "text")), "groups")
+    made = minhash_dedup.grouped(docs.select("doc_id", "text"))
+    groups = common.saved(made, "groups")
+    common.forget(made)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha")
     first = groups.where("component is not null").groupBy("component").agg(F.min(order).alias("x")).select("x.doc_id", "x.text_sha", F.lit(False).alias("alone"))
     alone = groups.where("component is null").select("doc_id", "text_sha", F.lit(True).alias("alone")).distinct()
@@ -58,14 +65,14 @@ def near_dedup(spark, docs, sf_dir):
 def repeats(spark, docs, sf_dir):
     """Stretches that repeat those of a document with a smaller doc_id are cut out of the text."""
     rows, names = _numbered(docs)
-    return _documents(docs, substring_dedup.remove_repeats(rows, id_col=names["doc_id"], text_col=names["text"], carry=tuple(names.values())), "kept_text")
+    return _documents(docs, substring_dedup.remove_repeats(rows, id_col=names["doc_id"], text_col=names["text"], carry=_carried(names)), "kept_text")
 
 
 def benchmark_passages(spark, docs, sf_dir):
     """Words that lie in a benchmark window are cut out of the text."""
     rows, names = _numbered(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return _documents(docs, decontaminate.decontaminate(rows, benchmark, id_col=names["doc_id"], text_col=names["text"], carry=tuple(names.values())), "clean_text")
+    return _documents(docs, decontaminate.decontaminate(rows, benchmark, id_col=names["doc_id"], text_col=names["text"], carry=_carried(names)), "clean_text")
 
 
 def tokens(spark, docs, sf_dir):

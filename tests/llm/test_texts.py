@@ -362,6 +362,60 @@ def test_full_sets_have_one_text_per_class(spark):
     assert sets.count() == 40 == sets.select("node").distinct().count()
 
 
+def test_near_dedup_stage_leaves_no_large_tables(spark, sf):
+    """What the stage has written on the way would count against the disk of all later stages."""
+    import os
+
+    import corpus_pipeline as cp
+    from weftline.llm import common
+
+    folder = common.shared(spark).removeprefix("file://")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = set(os.listdir(folder))
+    out = cp.near_dedup(spark, docs, sf)
+    left = {x.split("-")[1] for x in set(os.listdir(folder)) - before if x.startswith("weftline-")}
+    assert left <= {"groups", "mixed", "pairs"} and "groups" in left
+    ids = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+    assert {r.doc_id for r in out.collect()} == {ids[n][0] for n, x in enumerate(groups_by_force([t for _, t in ids])) if n == x}
+
+
+def test_repeats_stage_exchanges_texts_once(spark, sf, monkeypatch):
+    import corpus_pipeline as cp
+    from weftline.llm import common
+
+    sent, chunks = [], common.chunks
+    monkeypatch.setattr(common, "chunks", lambda docs, n: (sent.append(docs), chunks(docs, n))[1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert cp.repeats(spark, docs, sf).columns == docs.columns
+    texts = {r.text for r in docs.collect()} - {None, ""}
+    assert {sum(x in texts for x in r if isinstance(x, str)) for r in sent[0].collect() if r.text} == {1}
+
+
+def test_full_sets_exchange_few_other_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from weftline.llm import common, minhash_dedup as md
+
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('some text of five words and ', id) as text").withColumn("text_sha", md.text_sha(F.col("text")))
+    wanted = docs.where("doc_id % 40 = 7").selectExpr("doc_id as node", "text_sha", "doc_id as first_id", "1L as n")
+    sent, join = [], common.skew_join
+    monkeypatch.setattr(common, "skew_join", lambda left, *a, **b: (sent.append(left), join(left, *a, **b))[1])
+    assert {r.node for r in md._full_sets(docs, wanted, 5).collect()} == set(range(7, 4000, 40))
+    assert 100 <= sent[0].count() < 800
+
+
+def test_likely_loses_no_wanted_row(spark):
+    from weftline.llm.common import likely
+
+    rows = spark.range(20_000).selectExpr("id", "unhex(sha2(cast(id as string), 256)) as sha", "id % 3 = 0 as none", "cast(id as string) as other")
+    for share, most, few in ((40, 1 << 19, 3000), (2, 1 << 19, 12_000), (40, 1, 20_000)):
+        wanted = rows.where(f"id % {share} = 1").select("none", "sha", "id")
+        got = likely(rows, wanted, ["sha", "id", "none"], most)
+        ids = [r.id for r in got.collect()]
+        assert got.columns == rows.columns and len(ids) == len(set(ids)) <= few and set(range(1, 20_000, share)) <= set(ids)
+    assert likely(rows, wanted.limit(0), ["sha", "id", "none"]).count() == 0
+
+
 def test_links_near_the_threshold_are_found(spark):
     """Of links of 0.75 to 0.80 none may be missed: so many pairs of their own, with nothing else to lead to them."""
     from weftline.llm.minhash_dedup import near_duplicates

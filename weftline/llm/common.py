@@ -444,6 +444,23 @@ def skew_join(left, right, keys: list[str], counts, total: int, spread: list[str
     return one.join(two, [*keys, "_piece"], how).drop("_piece")
 
 
+def likely(rows, wanted, keys: list[str], most_words: int = 1 << 19):
+    """All of rows whose keys are in ``wanted``, and few others, so that a join with wanted need not exchange what it will not keep.
+
+    Every key of wanted sets one of some 16 bits for each, by its hash; the bits go to all tasks in words of 64, ``most_words`` at most, which is some 25 MB.
+    With more than two million keys there are less than 16 bits for each and more of the other rows pass.
+    """
+    from pyspark.sql import functions as F
+
+    words = min(most_words, 1 << (wanted.count() // 4).bit_length())
+    place = F.xxhash64(*keys)
+    bit = F.pmod(place, F.lit(64)).cast("int")
+    word = F.pmod(F.shiftright(place, 6), F.lit(words)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    bits = F.broadcast(wanted.select(word.alias("_word"), one.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    return rows.withColumn("_word", word).join(bits, "_word").where(F.col("_bits").bitwiseAND(one) != 0).select(*rows.columns)
+
+
 def clear(spark) -> None:
     """Remove all intermediate tables that this session's operators have written; results that still read from them are lost."""
     for path in _PLACES.pop(spark.sparkContext.applicationId, []):

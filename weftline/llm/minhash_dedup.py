@@ -364,7 +364,7 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64, t: int
     classes = c.saved(classes.select("h1", "h2", "n_shingles", F.col("first.doc_id").alias("first_id"), F.col("first.text_sha").alias("text_sha"), "sig", "n", F.monotonically_increasing_id().alias("node")), "classes")
     marks = c.saved(_marks(classes, m, t, percent, chunk_bytes), "marks")
     posted = marks.select("node", "band", F.explode("tokens").alias("token"))
-    wanted = c.saved(classes.select("node", "text_sha", "first_id", "n").join(marks.select("node"), "node", "left_semi"), "wanted")  # small enough, it spares the texts a shuffle
+    wanted = c.saved(classes.select("node", "text_sha", "first_id", "n").join(marks.select("node"), "node", "left_semi"), "wanted")
     sets = c.saved(_full_sets(rows, wanted, k), "sets")
 
     heads = c.saved(posted.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1"), "heads")
@@ -372,19 +372,24 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 75, m: int = 64, t: int
     stars = stars.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     links = c.saved(_confirm(_likely(stars, marks, t, percent), sets, percent), "links")
     found = components(links)
+    passing = [classes, marks, wanted, sets, heads, links, found]
 
     near = _compare(_lists(posted, found, marks, ["n_shingles", "sig", "turn"]), t, percent, block, nearest, low)
     more, n_more = c.saved_and_counted(_confirm(near, sets, percent), "links")
     if n_more:
         links = links.union(more)
         found = components(links)
+        passing.append(found)
     lowest = marks.join(sets.select("node", F.substring("shingles", 1, 8 * low).alias("low")), "node")
     rest = _compare(_lists(posted, found, lowest, ["n_shingles", "sig", "turn", "low"]), t, percent, block, 0, low)
     last, n_last = c.saved_and_counted(_confirm(rest, sets, percent), "links")
     if n_last:
         found = components(links.union(last))
+        passing.append(found)
 
     groups = c.saved(classes.join(found, "node", "left").select("h1", "h2", "n_shingles", "first_id", "n", F.coalesce("label", "node").alias("label")), "groups")
+    for table in (*passing, more, last):  # what follows reads only groups and signed
+        c.forget(table)
     totals = groups.agg(F.count("*"), F.sum("n")).first()
     least = groups.groupBy("label").agg(F.min("first_id").alias("least_id"), F.count("*").alias("n"))
     named = c.skew_join(groups.drop("n"), least.drop("n"), ["label"], least.select("label", "n"), totals[0], ["h1"]).select("h1", "h2", "n_shingles", "least_id", F.col("label").alias("component"))
@@ -403,9 +408,10 @@ def _full_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     with_key = lambda x, i: x.withColumn("_id", F.coalesce(i, F.lit(0))).withColumn("_none", F.col(i).isNull())
     wanted = with_key(wanted.select("node", "text_sha", "first_id", "n"), "first_id")
     key = ["text_sha", "_id", "_none"]
+    rows = c.likely(with_key(rows.where("text_sha is not null"), "doc_id").select(*key, "text"), wanted, key)
     # only rows without an id can be many of one key, or those that repeat an id and its text
     total = wanted.agg(F.sum("n")).first()[0] or 0
-    joined = c.skew_join(with_key(rows.where("text_sha is not null"), "doc_id").select(*key, "text"), wanted.select(*key, "node"), key, wanted.where("_none").select(*key, "n"), total, ["text_sha", "_id"])
+    joined = c.skew_join(rows, wanted.select(*key, "node"), key, wanted.where("_none").select(*key, "n"), total, ["text_sha", "_id"])
     joined = joined.groupBy("node").agg(F.first("text").alias("text"))
 
     def make(batches):
