@@ -28,6 +28,16 @@ def test_query(spark, sf, con, name):
     assert sorted(map(key, df.collect())) == sorted(key([row[i] for i in order]) for row in r.fetchall())
 
 
+def test_sizes_beyond_a_gigabyte(spark, tmp_path):
+    sizes = [(1, 0), (2, 14), (3, 28), (1_000, 50), (28_340, 1), (283_399, 1), (29_019_874, 1), (29_019_876, 1), (1_199_999, 50), (10**12, 50), (10**15, 50), (None, 3), (7, None)]
+    spark.createDataFrame(sizes, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(map(str, registry.QUERIES["human_sizes"](spark, str(tmp_path)).select("p_partkey", "size").collect()))
+    own = duckdb.connect()
+    own.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    want = own.execute(registry.ORACLE_SQL["human_sizes"]).fetchall()
+    assert got == sorted(f"Row(p_partkey={k}, size={s!r})" for k, s in want) and "2118M" in {s for _, s in want}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -106,10 +106,10 @@ def sorted_files(files: DataFrame, **how) -> DataFrame:
     return files.orderBy(*file_order(**how))
 
 
-def human_size(n: Column) -> Column:
-    """Bytes as du -h shows them: up to one digit after the point, rounded up, in powers of 1024."""
+def human_size(n: Column, units: str = "KMGTP") -> Column:
+    """Bytes as du -h shows them: up to one digit after the point, rounded up, in powers of 1024; the last of the units is for all that is larger."""
     out = F.concat(n.cast("string"), F.lit("B"))
-    for i, unit in enumerate("KMGTP", 1):
+    for i, unit in enumerate(units, 1):
         x = n / float(1024**i)
         shown = F.when(x < 10, F.format_string("%.1f", F.ceil(x * 10) / 10)).otherwise(F.ceil(x).cast("string"))
         out = F.when(n >= 1024**i, F.concat(shown, F.lit(unit))).otherwise(out)
